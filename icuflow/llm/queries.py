@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from icuflow.llm import bpe, decontamination
+from icuflow.llm import bpe, decontamination, topk
 from icuflow.llm.common import table
 
 
@@ -19,11 +19,17 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
+    "op8_topk": op8_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontamination.ORACLE,
+    "op8_topk": topk.ORACLE,
 }
