@@ -122,8 +122,8 @@ def distinct_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(words, "word string").distinct()
 
 
-def word_table(docs: DataFrame, source: str) -> DataFrame:
-    """Encodes each distinct word once. A row a task: hashes (uint64, ascending), counts (uint16) and ids (uint32), packed."""
+def word_table(docs: DataFrame, source: str, id_type: type) -> DataFrame:
+    """Encodes each distinct word once. A row a task: packed hashes (64 bits), numbers of ids (16 bits, or 32 if a word has so many) and ids."""
     shared = docs.sparkSession.sparkContext.broadcast(source)
 
     def encode(batches):
@@ -132,12 +132,12 @@ def word_table(docs: DataFrame, source: str) -> DataFrame:
             words = b.column("word").to_pylist()
             keys.append(hashes(words))
             got = encoded(model, words)
-            counts.append(np.array([len(x) for x in got], np.uint16 if max(map(len, got), default=0) < 65536 else np.uint32))
-            ids.append(np.array([i for x in got for i in x], np.uint32))
+            counts.append(np.array([len(x) for x in got], np.uint32))
+            ids.append(np.array([i for x in got for i in x], id_type))
         if keys:
-            width = np.uint32 if any(c.dtype == np.uint32 for c in counts) else np.uint16
-            flat = [np.concatenate(keys), np.concatenate(counts).astype(width), np.concatenate(ids)]
-            yield pa.RecordBatch.from_pydict({"keys": [flat[0].tobytes()], "counts": [flat[1].astype(np.uint32).tobytes()], "ids": [flat[2].tobytes()]}, schema=pa.schema([(c, pa.binary()) for c in ("keys", "counts", "ids")]))
+            flat = [np.concatenate(x) for x in (keys, counts, ids)]
+            flat[1] = flat[1] if flat[1].max() > 65535 else flat[1].astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in flat], names=["keys", "counts", "ids"])
 
     return settle(distinct_words(docs).mapInArrow(encode, "keys binary, counts binary, ids binary"), "words")
 
@@ -145,14 +145,14 @@ def word_table(docs: DataFrame, source: str) -> DataFrame:
 class WordTable:
     """The encoded words by hash, in a few flat arrays."""
 
-    def __init__(self, rows: list):
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-        counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows] or [np.zeros(0, np.uint32)])
-        self.ids = np.concatenate([np.frombuffer(r["ids"], np.uint32) for r in rows] or [np.zeros(0, np.uint32)])
-        if self.ids.size and self.ids.max() < 65536:
-            self.ids = self.ids.astype(np.uint16)
+    def __init__(self, rows: list, id_type: type):
+        joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
+        keys = joined([np.frombuffer(r["keys"], np.uint64) for r in rows], np.uint64)
+        counts = joined([np.frombuffer(r["counts"], np.uint16 if len(r["counts"]) * 4 == len(r["keys"]) else np.uint32) for r in rows], np.uint16)
+        self.ids = joined([np.frombuffer(r["ids"], id_type) for r in rows], id_type)
         order = np.argsort(keys)
-        self.keys, self.starts, self.counts = keys[order], (np.cumsum(counts, dtype=np.int64) - counts)[order].astype(np.uint32), counts[order].astype(np.uint16 if counts.size and counts.max() < 65536 else np.uint32)
+        self.keys, self.counts = keys[order], counts[order]
+        self.starts = (np.cumsum(counts, dtype=np.int64) - counts)[order].astype(np.uint32 if self.ids.size < 1 << 32 else np.int64)
         self.distinct = bool((self.keys[1:] != self.keys[:-1]).all())
 
     def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,9 +261,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, table_bytes: int = TABLE_BYT
     pieces = piece_bytes(source)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_OUT}"
-    words = word_table(docs, source)
+    id_type = np.uint16 if len(pieces) <= 65536 else np.uint32
+    words = word_table(docs, source, id_type)
     size = words.agg(F.sum(F.octet_length("keys") + F.octet_length("counts") + F.octet_length("ids"))).first()[0] or 0
-    if size <= table_bytes and (rows := WordTable(words.collect())).distinct:
+    if size <= table_bytes and (rows := WordTable(words.collect(), id_type)).distinct:
         return _by_broadcast(docs, rows, pieces, schema)
     return _by_shuffle(docs, source, pieces, schema, block_chars)
 
