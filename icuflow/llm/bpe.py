@@ -123,7 +123,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
 
 
 def word_table(docs: DataFrame, source: str, id_type: type) -> DataFrame:
-    """Encodes each distinct word once. A row a task: packed hashes (64 bits), numbers of ids (16 bits, or 32 if a word has so many) and ids."""
+    """Encodes each distinct word once. A row a task: packed hashes (64 bits), numbers of ids (8 bits, or 32 if a word has so many) and ids."""
     shared = docs.sparkSession.sparkContext.broadcast(source)
 
     def encode(batches):
@@ -136,24 +136,38 @@ def word_table(docs: DataFrame, source: str, id_type: type) -> DataFrame:
             ids.append(np.array([i for x in got for i in x], id_type))
         if keys:
             flat = [np.concatenate(x) for x in (keys, counts, ids)]
-            flat[1] = flat[1] if flat[1].max() > 65535 else flat[1].astype(np.uint16)
+            flat[1] = flat[1] if flat[1].max() > 255 else flat[1].astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in flat], names=["keys", "counts", "ids"])
 
     return settle(distinct_words(docs).mapInArrow(encode, "keys binary, counts binary, ids binary"), "words")
 
 
+class PackedTable:
+    """What the driver holds and sends of the encoded words; a task that loads it gets a WordTable."""
+
+    def __init__(self, rows: Iterator, id_type: type):
+        self.rows, self.id_type = [{c: bytes(r[c]) for c in ("keys", "counts", "ids")} for r in rows], id_type
+
+    def __reduce__(self):
+        return WordTable, (self.rows, self.id_type)
+
+    def collides(self) -> bool:
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in self.rows)])
+        keys.sort()
+        return bool((keys[1:] == keys[:-1]).any())
+
+
 class WordTable:
     """The encoded words by hash, in a few flat arrays."""
 
     def __init__(self, rows: list, id_type: type):
         joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
         keys = joined([np.frombuffer(r["keys"], np.uint64) for r in rows], np.uint64)
-        counts = joined([np.frombuffer(r["counts"], np.uint16 if len(r["counts"]) * 4 == len(r["keys"]) else np.uint32) for r in rows], np.uint16)
+        counts = joined([np.frombuffer(r["counts"], np.uint8 if len(r["counts"]) * 8 == len(r["keys"]) else np.uint32) for r in rows], np.uint8)
         self.ids = joined([np.frombuffer(r["ids"], id_type) for r in rows], id_type)
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
         self.starts = (np.cumsum(counts, dtype=np.int64) - counts)[order].astype(np.uint32 if self.ids.size < 1 << 32 else np.int64)
-        self.distinct = bool((self.keys[1:] != self.keys[:-1]).all())
 
     def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word the start and number of its ids, and the ids."""
@@ -192,7 +206,7 @@ def _results(keys: pa.Array, rows: list[np.ndarray], found: tuple, pieces: list[
         yield pa.RecordBatch.from_arrays([keys.slice(at, len(ids)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([decoded(x, pieces) for x in ids], pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
 
 
-def _by_broadcast(docs: DataFrame, rows: WordTable, pieces: list[bytes], schema: str) -> DataFrame:
+def _by_broadcast(docs: DataFrame, rows: PackedTable, pieces: list[bytes], schema: str) -> DataFrame:
     context = docs.sparkSession.sparkContext
     shared, spelled = context.broadcast(rows), context.broadcast(pieces)
 
@@ -264,7 +278,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, table_bytes: int = TABLE_BYT
     id_type = np.uint16 if len(pieces) <= 65536 else np.uint32
     words = word_table(docs, source, id_type)
     size = words.agg(F.sum(F.octet_length("keys") + F.octet_length("counts") + F.octet_length("ids"))).first()[0] or 0
-    if size <= table_bytes and (rows := WordTable(words.collect(), id_type)).distinct:
+    if size <= table_bytes and not (rows := PackedTable(words.toLocalIterator(), id_type)).collides():
         return _by_broadcast(docs, rows, pieces, schema)
     return _by_shuffle(docs, source, pieces, schema, block_chars)
 
