@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from icuflow.llm import bpe, decontamination, language_id, token_files, topk, toxicity
+from icuflow.llm import bpe, decontamination, jaccard, language_id, token_files, topk, toxicity
 from icuflow.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -40,11 +44,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
+    "op7_jaccard": op7_jaccard,
     "op8_topk": op8_topk,
     "op9_token_files": op9_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontamination.ORACLE,
+    "op7_jaccard": jaccard.ORACLE,
     "op8_topk": topk.ORACLE,
 }
