@@ -10,13 +10,15 @@ Each task attempt writes files of its own names in the shared folder, and the ma
 the files of the attempts that counted; so a lost executor leaves nothing but unnamed files.
 
 A word is encoded once a task. Text is cut at spaces; the tokenizer drops white space, and neither its normalization
-nor its splitting looks across a space, so the ids of a text are those of its parts in order. Null and empty texts
+nor its splitting looks across a space, so the ids of a text are those of its parts in order. Parts of ASCII and
+Latin letters, whose lower case and splitting are plain, are cut into the tokenizer's own words first. Null and empty texts
 have no ids but the end id. Repeated rows are documents of their own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -114,6 +116,11 @@ class SequenceFile:
         return out[0] if len(out) == 1 else np.concatenate(out or [np.zeros(0, np.uint16)])
 
 
+# Characters that normalization leaves alone or just lower-cases, and the splitting rule among them.
+_PLAIN = re.compile(r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u017f]+|[0-9]|[^a-z0-9\t-\r \u00df-\u017f]+")
+
+
 class WordCache:
     """Ids of texts from the ids of their parts between spaces, each part encoded when it is first met."""
 
@@ -121,19 +128,24 @@ class WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.dtype, self.known = Tokenizer.from_str(source), dtype, {}
+        self.model, self.dtype, self.known, self.words = Tokenizer.from_str(source), dtype, {}, {}
         self.model.no_padding()
         self.model.no_truncation()
 
     def encode(self, texts: list[str | None], end: int) -> Iterator[np.ndarray]:
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
+            self.words.clear()
         split = [t.split(" ") if t else [] for t in texts]
         fresh = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.known]
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
+        cut = {w: _SPLIT.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else [w] for w in fresh}
+        words = [w for w in dict.fromkeys(w for own in cut.values() for w in own) if w not in self.words]
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
             got = self.model.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in got), strict=True))
+            self.words.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in got), strict=True))
+        find = self.words.__getitem__
+        self.known.update((w, find(own[0]) if len(own) == 1 else b"".join(map(find, own))) for w, own in cut.items())
         last = np.array([end], self.dtype).tobytes()
         for words in split:
             yield np.frombuffer(b"".join([*map(self.known.__getitem__, words), last]), self.dtype)
