@@ -52,7 +52,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 1 << 20:
+        if len(known) > 1 << 19:
             known.clear()
         digest = xxhash.xxh3_64_intdigest
         codes = np.array([known.get(w) or known.setdefault(w, digest(w)) for w in words], np.uint64)
@@ -220,28 +220,21 @@ def near_enough(percent: int):
     return length & (most * (100 + percent) >= (n + m) * percent)
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """cls, grams, bins of each wanted class, from the text of its smallest id."""
-    chosen = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    size = chosen.count()
-    if size <= BROADCAST_IDS:
-        ids = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in chosen.toLocalIterator()], np.int64)))
-
-        def pick(batches):
-            for b in batches:
-                yield b.filter(pa.array(np.isin(b.column("doc_id").fill_null(0).to_numpy(), ids.value)))
-
-        docs = docs.mapInArrow(pick, docs.schema)
-    else:
-        docs = docs.join(chosen, "doc_id", "left_semi")
+def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, full: bool) -> DataFrame:
+    """cls and grams (the set, if full) or bins (its histogram) of each wanted class, from the text of its smallest id. A class may come twice if ids repeat."""
+    chosen = rows.join(wanted.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    chosen = settle(chosen, "ids")
+    small = chosen.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(chosen) if small else chosen, "doc_id", "left_semi").select("text")
+    name, made = ("grams", np.ndarray.tobytes) if full else ("bins", lambda s: histogram(s).tobytes())
 
     def make(batches):
         shingler = Shingler(words)
         for _, sets in _sets(batches, shingler):
             sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([histogram(s).tobytes() for s in sets], pa.binary())], names=["cls", "grams", "bins"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()), pa.array([made(s) for s in sets], pa.binary())], names=["cls", name])
 
-    return docs.mapInArrow(make, "cls binary, grams binary, bins binary").dropDuplicates(["cls"])
+    return settle(texts.mapInArrow(make, f"cls binary, {name} binary"), name)
 
 
 def _filtered(pairs: DataFrame, sets: DataFrame, column: str, passes: Callable) -> DataFrame:
@@ -256,18 +249,25 @@ def _filtered(pairs: DataFrame, sets: DataFrame, column: str, passes: Callable)
     return pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(test, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (a, b) of classes: first by histograms (suffix filter), then by the sets."""
+def suffix_filtered(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose histograms allow enough common n-grams."""
 
     def may(x: bytes, y: bytes) -> bool:
         p, q = (np.frombuffer(v, np.uint16).astype(np.int64) for v in (x, y))
         return max(p.max(), q.max()) == 65535 or np.minimum(p, q).sum() >= needed(p.sum(), q.sum(), percent)
 
+    return settle(_filtered(pairs, bins, "bins", may), "pairs")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """The linked ones of the settled pairs (a, b), by their whole sets. Only sets that a pair needs are made and moved."""
+
     def link(x: bytes, y: bytes) -> bool:
         p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         return np.intersect1d(p, q, assume_unique=True).size >= needed(p.size, q.size, percent)
 
-    return _filtered(_filtered(pairs, sets, "bins", may), sets, "grams", link)
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    return _filtered(pairs, sets_of(docs, rows, wanted, words, full=True), "grams", link)
 
 
 def block_pairs(rows: DataFrame, percent: int, block: int) -> DataFrame:
@@ -314,20 +314,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     survey = settle(surveyed(docs, words), "survey")
     rows = survey.where("chunk is null").select("doc_id", "n", "cls")
     classes = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    with_id = docs.where("doc_id is not null")
+    with_id, placed = docs.where("doc_id is not null"), rows.where("cls is not null and doc_id is not null")
     live = settle(shared_grams(prefixes(with_id, sketch_of(survey), words, percent)), "grams")
-    sets = settle(sets_of(with_id, rows.where("cls is not null and doc_id is not null"), live.select("cls").distinct(), words), "sets")
+    bins = sets_of(with_id, placed, live, words, full=False)
 
     def edges(links: DataFrame) -> DataFrame:
         named = lambda side, name: classes.select(F.col("cls").alias(side), F.col("rep").alias(name))
         return links.join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v")
 
     to_hub = live.where((F.col("cls") != F.col("hub")) & near_enough(percent)).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    first = settle(edges(verified(to_hub, sets, percent)), "links")
+    first = edges(verified(suffix_filtered(to_hub, bins, percent), with_id, placed, words, percent))
     known = connected(first)
     comps = classes.join(known, F.col("rep") == F.col("node"), "left").select(F.col("cls").alias("c"), F.coalesce("component", "rep").alias("comp"))
-    rest = live.join(comps, F.col("cls") == F.col("c")).join(sets.select(F.col("cls").alias("s"), "bins"), F.col("cls") == F.col("s")).select("gram", "cls", "place", "hub", "comp", "bins")
-    second = settle(edges(verified(block_pairs(rest, percent, block), sets, percent)), "links")
+    rest = live.join(comps, F.col("cls") == F.col("c")).join(bins.select(F.col("cls").alias("s"), "bins"), F.col("cls") == F.col("s")).select("gram", "cls", "place", "hub", "comp", "bins")
+    second = edges(verified(settle(block_pairs(rest, percent, block), "pairs"), with_id, placed, words, percent))
     final = connected(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second))
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select(F.col("cls").alias("c"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, F.col("cls") == F.col("c"), "left")
