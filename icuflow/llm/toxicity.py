@@ -42,11 +42,13 @@ _CODE = np.zeros(0x180, np.int64)
 _CODE[[ord(c) for c in LETTERS]] = np.arange(1, _N)
 _WORD = re.compile(r"[^\W\d_]+")
 _SUSPECT = re.compile(
-    r"(?<!\w)[^\W_](?:[ .*_~-][^\W_]){3,}(?![^\W_])"  # single characters with separators
-    r"|[^\W_]+[*_~.-](?:[^\W_][*_~.-])+[^\W_]+"  # separators inside a word
-    r"|[^\W_]*(?:[^\W\d_][0-9@$!|+(€£¥]+(?=[^\W\d_])|(?<!\w)[0-9@$|+€£¥](?=[^\W\d_]{2})|[^\W\d_]{2}[0-9@$](?!\w))[^\s.,;:?\"]*"  # imitating characters beside letters
-    r"|\w*([^\W\d_])\1\1\w*"  # a letter three times
+    r"[^\W_][*_~.-][^\W_]"  # separators inside
+    r"|[^\W\d_][0-9@$!|+(€£¥]+[^\W\d_]|^\W*[0-9@$|+€£¥][^\W\d_]{2}|[^\W\d_]{2}[0-9@](?![@$%#&*])\W*$"  # imitating characters beside letters
+    r"|([^\W\d_])\1\1"  # a letter three times
 )
+_MAY_BE_SPACED = re.compile(r" \S \S ")
+_SPACED = re.compile(r"(?<!\w)[^\W_](?: [^\W_]){3,}(?![^\W_])")
+_MARKS = "0123456789@$!|+()€£¥*_~.-"
 
 
 def trigram_ids(text: str) -> np.ndarray:
@@ -116,23 +118,27 @@ def features_of(word: str) -> list[str]:
 
 
 class Restorer:
-    """The distinct words of a text, as written and as restored."""
+    """The distinct words of a text, as written and as restored. Each distinct stretch between white space is decoded once."""
 
     def __init__(self, model: CharacterModel):
         self.model, self.known = model, {}
 
+    def restored(self, seen: str) -> list[str]:
+        # with the marks at its ends cut off it is tried as well: an imitating character may be just a mark
+        return [w for w in {self.model.restore(x) for x in (seen, seen.strip(_MARKS))} if len(w) > 2]
+
     def words(self, text: str) -> set[str]:
         text = text.lower()
-        words = set(_WORD.findall(text))
-        for m in _SUSPECT.finditer(text):
-            seen = m.group()
-            if seen not in self.known:
-                if len(self.known) > KNOWN_WORDS:
-                    self.known.clear()
-                # a stretch with its punctuation cut off is tried as well: an imitating character may be just a mark
-                shapes = {seen, seen.strip("0123456789@$!|+()€£¥*_~.-")}
-                self.known[seen] = [w for w in {self.model.restore(x) for x in shapes} if len(w) > 2]
-            words.update(self.known[seen])
+        parts = set(text.split())
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        for p in parts.difference(self.known):
+            self.known[p] = tuple(_WORD.findall(p)) + (tuple(self.restored(p)) if _SUSPECT.search(p) else ())
+        words = set()
+        words.update(*map(self.known.__getitem__, parts))
+        if _MAY_BE_SPACED.search(text):
+            for m in _SPACED.finditer(text):
+                words.update(self.restored(m.group()))
         return words
 
 
@@ -211,7 +217,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     if not all(n):
         return ToxicityModel(characters, {}, None, share)
     part = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / n[1]))).otherwise(F.lit(min(1.0, sample / n[0])))
-    marks = marks.where(hash_share("doc_id") < part)
+    # at most about 2 * sample rows, so they go to the texts, not the texts to them
+    marks = F.broadcast(marks.where(hash_share("doc_id") < part))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marks, "doc_id").where(F.col("text").isNotNull())
     restorer = Restorer(characters)
     texts = sorted(((r["s"], r["text"], r["toxic"]) for r in rows.select("text", "toxic", hash_share("text", "doc_id").alias("s")).collect()), key=lambda r: r[:2])
