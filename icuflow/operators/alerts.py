@@ -1,14 +1,16 @@
 """Alert state machine and rolling patient state.
 
-Both feed on their own earlier decisions, so they run as a step function over each stay's windows in order: in batch by
-applyInPandas on stays, in streams by the same function in a stateful operator (streaming/state.py).
+Both feed on their own earlier decisions, so they run as a step function over each stay's windows in order: in batch
+over partitions that hold whole stays, sorted, with one stay's state at a time in memory; in streams by the same
+function in a stateful operator (streaming/state.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,24 @@ from pyspark.sql import functions as F
 THRESHOLD, COOLDOWN, ESCALATION, DEAD_BAND, MAX_GAP, HISTORY = 0.108, 3, 0.10, 0.01, 6, 120
 
 
+def over_stays(df: DataFrame, order: Sequence[str], start: Callable, step: Callable, schema: str) -> DataFrame:
+    """step(state, row) gives the columns that follow df's own; start() makes the state of a stay. Rows stream by in order."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def run(batches):
+        stay, state = None, None
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if state is None or row["stay_id"] != stay:
+                    stay, state = row["stay_id"], start()
+                out.append(step(state, row))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([r[c] for r in out]) for c in names)], names=[*b.schema.names, *names])
+
+    ordered = df.repartition("stay_id").sortWithinPartitions("stay_id", *order)
+    return ordered.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in df.dtypes), schema]))
+
+
 def directions(df: DataFrame, score: str = "p", threshold: float = THRESHOLD, dead_band: float = DEAD_BAND, max_gap: int = MAX_GAP) -> DataFrame:
     """delta to the previous window (none beyond max_gap windows), direction, and whether the threshold was crossed upwards."""
     order = Window.partitionBy("stay_id").orderBy("window_id")
@@ -77,13 +97,11 @@ def alert_rows(state: AlertState, stay: int, windows: Iterator[tuple[int, float]
 
 
 def alert_machine(df: DataFrame, score: str = "p", **settings) -> DataFrame:
-    """The machine over each stay's rows by window (repeats in order of arrival). A stay's history is bounded by its length of stay."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["window_id", "p"], kind="stable")
-        return alert_rows(AlertState(), int(pdf["stay_id"].iloc[0]), zip(pdf["window_id"].tolist(), pdf["p"].tolist(), strict=True), **settings)
-
-    return df.select("stay_id", "window_id", F.col(score).alias("p")).groupBy("stay_id").applyInPandas(run, ALERTS)
+    """The machine over each stay's rows by window (repeats by score)."""
+    rows = df.select("stay_id", F.col("window_id").cast("long").alias("window_id"), F.col(score).cast("double").alias("p"))
+    step = lambda state, r: state.step(r["window_id"], r["p"], **settings)
+    made = over_stays(rows, ["window_id", "p"], AlertState, step, "alert boolean, reason string, direction string, pending boolean, cooldown long")
+    return made.withColumn("cooldown", F.col("cooldown").cast("int"))
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:
@@ -114,17 +132,11 @@ class PatientState:
         return "accepted"
 
 
-STATES = "stay_id long, seq long, window_id long, reason string, n_kept int"
-
-
 def state_reasons(df: DataFrame, history: int = HISTORY) -> DataFrame:
-    """df: stay_id, seq (order of arrival), window_id, time, content, static, discharged. Returns what became of each offer."""
+    """df: stay_id, seq (order of arrival), window_id, time, content, static, discharged. Adds what became of each offer, and how many windows are kept."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = PatientState(history), []
-        for r in pdf.sort_values("seq", kind="stable").itertuples(index=False):
-            reason = state.offer(int(r.window_id), r.time, r.content, r.static, bool(r.discharged))
-            out.append((int(r.stay_id), int(r.seq), int(r.window_id), reason, len(state.windows)))
-        return pd.DataFrame(out, columns=["stay_id", "seq", "window_id", "reason", "n_kept"])
+    def step(state: PatientState, r: dict) -> dict:
+        reason = state.offer(r["window_id"], r["time"], r["content"], r["static"], bool(r["discharged"]))
+        return {"reason": reason, "n_kept": len(state.windows)}
 
-    return df.select("stay_id", "seq", "window_id", "time", "content", "static", "discharged").groupBy("stay_id").applyInPandas(run, STATES)
+    return over_stays(df.select("stay_id", "seq", "window_id", "time", "content", "static", "discharged"), ["seq", "content"], lambda: PatientState(history), step, "reason string, n_kept long")

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from icuflow.plans import decisions, features, streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**features.QUERIES, **decisions.QUERIES, **streams.QUERIES}
+ORACLE_SQL: dict[str, str] = {**features.ORACLE_SQL, **decisions.ORACLE_SQL, **streams.ORACLE_SQL}

@@ -300,7 +300,7 @@ def history_topn(spark, d):
 
 def latest_with_explanation(spark, d):
     """Each order's last prediction with the line's part."""
-    parts = predictions(spark, d).where("p2 > 0.5").select("stay_id", "window_id", F.round("p2", 6).alias("p2"))
+    parts = predictions(spark, d).where("p2 > 0.5").select("stay_id", "window_id", F.round("p2", 9).alias("p2"))
     return serving.with_explanation(_events(spark, d), parts, "stay_id", ["window_id"], ["stay_id", "window_id"])
 
 
@@ -399,7 +399,7 @@ def parity_report(spark, d):
 
 
 def nearest_decision(spark, d):
-    return rounded(parity.nearest_threshold(predictions(spark, d).select("stay_id", "window_id", "p2"), "p2", 0.44, 50, "stay_id", "window_id"))
+    return rounded(parity.nearest_threshold(predictions(spark, d).select("stay_id", "window_id", "p2"), "p2", 0.44, 50, "stay_id", "window_id"), 9)
 
 
 def straddling(spark, d):
@@ -474,7 +474,7 @@ ORACLE_SQL = {
     "blend_gain": f"WITH {PREDS_SQL}, long AS (SELECT label, 'p1' AS model, p1 AS score FROM preds UNION ALL SELECT label, 'p2', p2 FROM preds UNION ALL SELECT label, 'blend', {WEIGHT} * p1 + (1 - {WEIGHT}) * p2 FROM preds), g AS (SELECT model, score, sum(label) AS pos, sum(1 - label) AS neg FROM long GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY score DESC) AS ctp FROM g), r AS (SELECT model, sum(neg * (ctp - pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY 1), m AS (SELECT max(auc) FILTER (model = 'blend') AS b, max(auc) FILTER (model <> 'blend') AS s FROM r) SELECT round(b, 5) AS blend, round(s, 5) AS best_single, round(b - s, 5) AS gain, round(100 * (b - s) / s, 5) AS gain_percent FROM m",
     "bootstrap_replicates": f"WITH {boot_sql(5)} SELECT CAST(replicate AS INTEGER) AS replicate, score, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM boot",
     "bootstrap_ci": f"WITH {boot_sql(REPLICATES)} SELECT score, count(*) AS n, round(avg(roc_auc), 6) AS mean, round(quantile_cont(roc_auc, 0.025), 6) AS low, round(quantile_cont(roc_auc, 0.975), 6) AS high FROM boot GROUP BY 1",
-    "bootstrap_gain": f"WITH {boot_sql(REPLICATES)}, w AS (SELECT a.roc_auc - b.roc_auc AS d FROM boot a JOIN boot b USING (replicate) WHERE a.score = 'p1' AND b.score = 'p2') SELECT count(*) AS n, round(avg(CAST(d > 0 AS INTEGER)), 6) AS p_better, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM w",
+    "bootstrap_gain": f"WITH {boot_sql(REPLICATES)}, dif AS (SELECT a.roc_auc - b.roc_auc AS d FROM boot a JOIN boot b USING (replicate) WHERE a.score = 'p1' AND b.score = 'p2') SELECT count(*) AS n, round(avg(CAST(d > 0 AS INTEGER)), 6) AS p_better, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM dif",
     "risk_direction": f"WITH {SCORES_SQL}, l AS (SELECT *, CASE WHEN window_id - lag(window_id) OVER o <= 1 THEN lag(p) OVER o END AS b FROM scores WINDOW o AS (PARTITION BY stay_id ORDER BY window_id)) SELECT stay_id, window_id, round(p, 6) AS p, round(p - b, 6) AS delta, CASE WHEN b IS NULL THEN 'initial' WHEN p - b > 0.05 THEN 'rising' WHEN p - b < -0.05 THEN 'falling' ELSE 'stable' END AS direction, coalesce(b < 0.5 AND p >= 0.5, false) AS crossed FROM l",
     "alert_machine": f"WITH {ALERT_SQL} SELECT stay_id, window_id, round(p, 6) AS p, alert, reason, direction, pending, CAST(cooldown AS INTEGER) AS cooldown FROM m",
     "alert_counts": f"WITH {ALERT_SQL} SELECT reason, count(*) AS n, count(*) FILTER (alert) AS n_alerts FROM m GROUP BY 1",
@@ -488,7 +488,7 @@ ORACLE_SQL = {
     "message_latency": f"WITH {MESSAGES_SQL} SELECT source_mode, count(*) AS n, round(avg(lag * 1000), 6) AS mean_ms, CAST(max(lag * 1000) AS BIGINT) AS max_ms FROM m GROUP BY 1",
     "latest_risk": f"WITH {EVENTS_SQL} SELECT stay_id, arg_max(window_id, window_id) AS window_id, arg_max(status, window_id) AS status, arg_max(seq, window_id) AS seq, arg_max(p, window_id) AS p FROM ev GROUP BY 1",
     "history_topn": f"WITH {EVENTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY window_id DESC) AS rank FROM ev) SELECT stay_id, window_id, status, seq, p, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3",
-    "latest_with_explanation": f"WITH {EVENTS_SQL}, l AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY stay_id ORDER BY window_id DESC) = 1) SELECT l.*, round(p2, 6) AS p2 FROM l LEFT JOIN (SELECT stay_id, window_id, p2 FROM preds WHERE p2 > 0.5) USING (stay_id, window_id)",
+    "latest_with_explanation": f"WITH {EVENTS_SQL}, l AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY stay_id ORDER BY window_id DESC) = 1) SELECT l.*, round(p2, 9) AS p2 FROM l LEFT JOIN (SELECT stay_id, window_id, p2 FROM preds WHERE p2 > 0.5) USING (stay_id, window_id)",
     "doctor_load": f"WITH {ASSIGN_SQL} SELECT n_nationkey AS doctor_id, n_name, count(DISTINCT patient_id) AS n_patients FROM nation LEFT JOIN asg ON doctor_id = n_nationkey AND closed_at IS NULL GROUP BY 1, 2",
     "worklist": f"WITH {ASSIGN_SQL} SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND c_custkey IN (SELECT patient_id FROM asg WHERE closed_at IS NULL)",
     "open_handover": f"WITH {ASSIGN_SQL} SELECT assignment_id, patient_id, doctor_id FROM asg WHERE closed_at IS NULL AND doctor_id > 20 AND assignment_id % 4 <> 0",
@@ -504,7 +504,7 @@ ORACLE_SQL = {
     "late_after_final": "WITH x AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CAST(floor(epoch(ts)) AS BIGINT) + CASE WHEN event_id % 9 = 0 THEN 200000 ELSE 0 END AS arrival FROM events), y AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400 AS w FROM x) SELECT user_id AS stay_id, event_id, coalesce((t // 86400 + 1) * 86400 <= w, false) AS late_after_final FROM y",
     "risk_series": f"WITH {EVENTS_SQL} SELECT stay_id, window_id, round(p * 100, 2) AS percent FROM ev WHERE stay_id < 500",
     "parity_report": f"WITH {features_sql(1440)} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, CAST(0 AS BIGINT) AS n_failed, 0.0::DOUBLE AS p50, 0.0::DOUBLE AS p95, 0.0::DOUBLE AS p99, 0.0::DOUBLE AS p999, 0.0::DOUBLE AS max FROM features" for c in ("click_mean", "error_last", "view_missing")),
-    "nearest_decision": f"WITH {PREDS_SQL} SELECT stay_id, window_id, round(p2, 6) AS p2 FROM (SELECT * FROM preds ORDER BY abs(p2 - 0.44), stay_id, window_id LIMIT 50)",
+    "nearest_decision": f"WITH {PREDS_SQL} SELECT stay_id, window_id, round(p2, 9) AS p2 FROM (SELECT * FROM preds ORDER BY abs(p2 - 0.44), stay_id, window_id LIMIT 50)",
     "straddling": f"WITH {PREDS_SQL} SELECT label, count(*) AS n FROM preds WHERE (p1 >= 0.44) <> (p2 >= 0.44) GROUP BY 1",
     "stay_pick": f"WITH {PREDS_SQL}, w AS (SELECT stay_id, window_id FROM preds WHERE (stay_id + window_id) % 17 <> 0), g AS (SELECT stay_id, window_id - lag(window_id) OVER (PARTITION BY stay_id ORDER BY window_id) AS gap FROM w), s AS (SELECT stay_id, count(*) AS n_windows, coalesce(max(gap) > 1, false) AS has_gap FROM g GROUP BY 1), k AS (SELECT stay_id, n_windows, CASE WHEN has_gap THEN 'gapped' WHEN n_windows >= 8 THEN 'very_long' WHEN n_windows > 5 THEN 'long' ELSE 'short' END AS kind FROM s) SELECT *, row_number() OVER (PARTITION BY kind ORDER BY stay_id) AS pick FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY stay_id) <= 10",
     "hash_sample": f"WITH {PREDS_SQL}, n AS (SELECT stay_id, count(*) AS n FROM preds GROUP BY 1 HAVING count(*) >= 6) SELECT stay_id, n FROM (SELECT *, {H.format(key=chr(39) + '7:' + chr(39) + ' || stay_id')} AS h FROM n ORDER BY h, stay_id LIMIT 100)",
