@@ -91,26 +91,33 @@ class CharacterModel:
         self.code = {c: k + 1 for k, c in enumerate(LETTERS)}
 
     def restore(self, observed: str) -> str:
-        """The likeliest word behind the observed characters."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """The likeliest word behind the observed characters, in time linear in their number."""
+        # the last two letters' codes: the best score, and the letters so far as a chain of (before, letter)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for c in observed:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             means = [(c, 0.0)] if c in self.code else []
-            means += [(x, COST_IMITATES) for x in IMITATES.get(c, "")]
-            for (a, b), (score, word) in states.items():
+            imitated = IMITATES.get(c, "")
+            means += [(x, COST_IMITATES) for x in imitated]
+            for (a, b), (score, chain) in states.items():
                 for letter, cost in means:
                     k = self.code[letter]
                     s = score + self.log[a][b][k] - cost
                     if s > after.get((b, k), (-math.inf,))[0]:
-                        after[b, k] = (s, word + letter)
-                repeats = word and (c == word[-1] or word[-1] in IMITATES.get(c, ""))
+                        after[b, k] = (s, (chain, letter))
+                repeats = chain is not None and (c == chain[1] or chain[1] in imitated)
                 if repeats or not means:
                     s = score - (COST_REPEATS if repeats else COST_SEPARATES)
                     if s > after.get((a, b), (-math.inf,))[0]:
-                        after[a, b] = (s, word)
+                        after[a, b] = (s, chain)
             # a few best paths are enough: others differ by letters that the model finds unlikely
             states = after if len(after) <= 24 else dict(sorted(after.items(), key=lambda x: -x[1][0])[:24])
-        return max(((s + self.log[a][b][0], w) for (a, b), (s, w) in states.items()), default=(0, ""))[1]
+        chain = max(((s + self.log[a][b][0], n, c) for n, ((a, b), (s, c)) in enumerate(states.items())), default=(0, 0, None))[2]
+        out = []
+        while chain is not None:
+            chain, letter = chain
+            out.append(letter)
+        return "".join(reversed(out))
 
 
 def features_of(word: str) -> list[str]:
