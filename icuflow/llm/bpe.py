@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.llm.common import settle
+from icuflow.llm.common import discard, settle
 
 TABLE_BYTES = 128 << 20
 BLOCK_CHARS = 16 << 20
@@ -278,7 +278,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, table_bytes: int = TABLE_BYT
     id_type = np.uint16 if len(pieces) <= 65536 else np.uint32
     words = word_table(docs, source, id_type)
     size = words.agg(F.sum(F.octet_length("keys") + F.octet_length("counts") + F.octet_length("ids"))).first()[0] or 0
-    if size <= table_bytes and not (rows := PackedTable(words.toLocalIterator(), id_type)).collides():
+    rows = PackedTable(words.toLocalIterator(), id_type) if size <= table_bytes else None
+    discard(words)
+    if rows and not rows.collides():
         return _by_broadcast(docs, rows, pieces, schema)
     return _by_shuffle(docs, source, pieces, schema, block_chars)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.llm.common import settle
+from icuflow.llm.common import discard, settle
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -33,12 +33,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """edges: u, v (long, any direction, no nulls). Returns node, component (the smallest node) for all but the smallest nodes themselves."""
+    """edges: u, v (long, any direction, no nulls). Returns node, component (the smallest node) for all but the smallest nodes themselves, settled."""
     edges = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.settled_at = edges.settled_at
+            return out
         seen = state
-        edges = settle(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, settle(_small_star(_large_star(edges)), "edges")
+        discard(before)
