@@ -8,11 +8,12 @@ as 64-bit hashes of n-grams; texts with equal sets (by a 128-bit hash) form one
    this one keeps common passages out of prefixes.
 2. Prefixes, n - ceil(t n) + 1 n-grams long, are shuffled by n-gram. Sorted within each partition, an n-gram that one
    class has alone is dropped; no n-gram's rows are ever held at once, whatever their number.
-3. Each n-gram's classes are first compared with its smallest class (the hub), which joins large groups of near copies
-   with as many comparisons as they have members. Then the classes that are still in different components meet in
-   blocks of at most BLOCK rows, pair of blocks by pair of blocks. Length, positional and suffix filters (the latter by
-   a histogram of the sets) leave few pairs; each is verified once, by its sets.
-4. Links make components (components.py).
+3. Among the classes of an n-gram, pairs that pass the length, positional and suffix filters (the latter by a histogram
+   of the sets) are found, block of at most BLOCK rows by block, and a spanning forest of them is given out: no more
+   rows than classes, however many pairs pass. The forests' components (components.py) hold every link.
+4. Each component's sets meet once, again in blocks of bounded bytes, and pairs are verified there. A search that
+   takes each class from the rest as soon as it is linked verifies no pair twice, few pairs of classes that are
+   connected already, and gives out a spanning forest of the links.
 
 Empty sets (no words, or null text) link with nothing. Rows with a null id are returned with a null component and
 take no part. Repeated rows and ids are in one component when their texts are alike.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.llm.common import settle
+from icuflow.llm.common import discard, settle
 from icuflow.llm.components import connected
 
 WORDS = 3
@@ -37,6 +38,7 @@ SKETCH = 1 << 20
 CHUNKS = 64
 BINS = 32
 BLOCK = 2000
+BLOCK_BYTES = 32 << 20
 BROADCAST_IDS = 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -162,173 +164,168 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
-    """gram, cls, place, hub, hub_place: the rows of n-grams that several classes have; the hub is the smallest of them."""
+    """gram, cls, place: the rows of n-grams that several classes have."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def scan(batches):
-        gram, cls, place = np.zeros(0, np.int64), np.zeros(0, "V16"), np.zeros(0, np.int64)
-        state: dict = {"gram": None}  # of the run that may go on in the next batch: its hub, its last class, and if the hub was given out
+        # of the run that may go on in the next batch: its n-gram, first row and last class, and if the first row was given out
+        state: dict = {"gram": None}
         for b in batches:
-            gram = b.column("gram").to_numpy()
-            cls = np.frombuffer(b"".join(b.column("cls").to_pylist()), "V16")
-            place = b.column("place").to_numpy()
-            if not gram.size:
+            if not b.num_rows:
                 continue
+            gram, place = b.column("gram").to_numpy(), b.column("place").to_numpy()
+            cls = np.frombuffer(b"".join(b.column("cls").to_pylist()), "V16")
+            words = cls.view(np.uint64).reshape(-1, 2)
             goes_on = state["gram"] == gram[0]
             new_run = np.r_[not goes_on, gram[1:] != gram[:-1]]
-            words = cls.view(np.uint64).reshape(-1, 2)
             again = np.r_[goes_on and state["last"] == cls[0].tobytes(), (~new_run[1:]) & (words[1:] == words[:-1]).all(axis=1)]
-            keep = ~again
-            run = np.cumsum(new_run) - (0 if goes_on else 1)
-            heads = np.nonzero(new_run)[0]
-            hub = np.concatenate([np.frombuffer(state["hub"], "V16"), cls[heads]]) if goes_on else cls[heads]
-            hub_place = np.concatenate([[state["hub_place"]], place[heads]]) if goes_on else place[heads]
-            sizes = np.bincount(run[keep], minlength=len(hub))  # distinct rows here; in the first, of a run that goes on, the hub came before
-            others = sizes - 1
-            if goes_on:
-                others[0] = sizes[0]
-            out = keep & (others[run] > 0)
-            is_hub = np.zeros(len(gram), bool)
-            is_hub[heads] = True
-            first = []
-            if goes_on and others[0] and not state["given"]:
-                first = [(state["gram"], state["hub"], state["hub_place"])]
-            n = int(out.sum())
-            if n or first:
-                g = np.concatenate([np.array([f[0] for f in first], np.int64), gram[out]])
-                c = [f[1] for f in first] + [x.tobytes() for x in cls[out]]
-                p = np.concatenate([np.array([f[2] for f in first], np.int64), place[out]])
-                h = [f[1] for f in first] + [x.tobytes() for x in hub[run[out]]]
-                q = np.concatenate([np.array([f[2] for f in first], np.int64), hub_place[run[out]]])
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c, pa.binary()), pa.array(p), pa.array(h, pa.binary()), pa.array(q)], names=["gram", "cls", "place", "hub", "hub_place"])
-            last = int(run[-1])
-            state = {"gram": gram[-1], "last": cls[-1].tobytes(), "hub": hub[last].tobytes(), "hub_place": hub_place[last], "given": bool(others[last]) or (goes_on and last == 0 and state["given"])}
+            run = np.cumsum(new_run) - (not goes_on)
+            others = np.bincount(run[~again], minlength=run[-1] + 1) - 1  # distinct classes of the run in this batch beyond its first
+            others[0] += goes_on
+            out = ~again & (others[run] > 0)
+            waits = goes_on and others[0] > 0 and not state["given"]
+            first = [state["first"]] if waits else []
+            if out.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.r_[gram[:1][: len(first)], gram[out]]), pa.array([c for c, _ in first] + [x.tobytes() for x in cls[out]], pa.binary()), pa.array(np.r_[np.array([p for _, p in first], np.int64), place[out]])], names=["gram", "cls", "place"]
+                )
+            head = int(np.nonzero(new_run)[0][-1]) if new_run.any() else None
+            kept_on = head is None  # the whole batch belongs to the run that went on
+            state = {"gram": gram[-1], "last": cls[-1].tobytes(), "first": state["first"] if kept_on else (cls[head].tobytes(), place[head]), "given": bool(others[run[-1]] > 0) or (kept_on and state["given"])}
 
     ordered = rows.repartition(parts, "gram").sortWithinPartitions("gram", F.shiftright("place", 32), "cls")
-    return ordered.mapInArrow(scan, "gram long, cls binary, place long, hub binary, hub_place long")
+    return ordered.mapInArrow(scan, "gram long, cls binary, place long")
 
 
-def _split(place: str) -> tuple:
-    return F.shiftright(place, 32), F.col(place).bitwiseAND(F.lit((1 << 32) - 1))
+def with_sets(texts: DataFrame, words: int, name: str, made: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """texts with a column made from each text's set instead of the text; rows with an empty set go."""
+    kept = [c for c in texts.columns if c != "text"]
+    schema = ", ".join([*(f"{c} {t}" for c, t in texts.dtypes if c != "text"), f"{name} binary"])
 
+    def make(batches):
+        shingler = Shingler(words)
+        for b, sets in _sets(batches, shingler):
+            full = pa.array([len(s) > 0 for s in sets])
+            column = pa.array([made(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), column], names=[*kept, name]).filter(full)
 
-def near_enough(percent: int):
-    """Length and positional filters on columns place and hub_place."""
-    (n, i), (m, j) = _split("place"), _split("hub_place")
-    length = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    most = F.least(i, j) + F.least(n - i, m - j)
-    return length & (most * (100 + percent) >= (n + m) * percent)
+    return texts.mapInArrow(make, schema)
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, full: bool) -> DataFrame:
-    """cls and grams (the set, if full) or bins (its histogram) of each wanted class, from the text of its smallest id. A class may come twice if ids repeat."""
-    chosen = rows.join(wanted.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    chosen = settle(chosen, "ids")
-    small = chosen.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(chosen) if small else chosen, "doc_id", "left_semi").select("text")
-    name, made = ("grams", np.ndarray.tobytes) if full else ("bins", lambda s: histogram(s).tobytes())
+def forest(n: int, right: np.ndarray, whole: bool, passing: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that connect what chains of passing pairs connect. Unless whole, pairs stand left and right.
 
-    def make(batches):
-        shingler = Shingler(words)
-        for _, sets in _sets(batches, shingler):
-            sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()), pa.array([made(s) for s in sets], pa.binary())], names=["cls", name])
+    passing(x, others) gives those of others that pass with x. What is connected already is not asked about again."""
+    left, edges = np.arange(n), []
+    while left.size:
+        open_, left = [int(left[0])], left[1:]
+        while open_ and left.size:
+            x = open_.pop()
+            asked = left if whole else left[right[left] != right[x]]
+            found = passing(x, asked) if asked.size else asked
+            if found.size:
+                edges += [(x, y) for y in found.tolist()]
+                open_ += found.tolist()
+                left = left[~np.isin(left, found, assume_unique=True)]
+    return edges
 
-    return settle(texts.mapInArrow(make, f"cls binary, {name} binary"), name)
 
+def in_blocks(rows: DataFrame, blocks: str, row: str) -> DataFrame:
+    """Rows of a key with several blocks go to every pair of blocks that their own is in: i <= j, and right tells rows of j."""
+    own = F.when(F.col(blocks) > 1, F.pmod(F.xxhash64(row), F.col(blocks))).otherwise(0).cast("int")
+    x = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
+    return x.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("right", F.col("own") > F.col("other")).drop("own", "other", blocks)
 
-def _filtered(pairs: DataFrame, sets: DataFrame, column: str, passes: Callable) -> DataFrame:
-    """Pairs (a, b) that pass a test of both sides' column."""
-    one = lambda side, name: sets.select(F.col("cls").alias(side), F.col(column).alias(name))
 
-    def test(batches):
-        for b in batches:
-            x, y = (b.column(c).to_pylist() for c in ("x", "y"))
-            yield b.select(["a", "b"]).filter(pa.array([passes(p, q) for p, q in zip(x, y, strict=True)], pa.bool_()))
+def _suffix(bins: np.ndarray, x: int, y: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Where the histograms allow least common n-grams (full bins tell nothing)."""
+    return (np.minimum(bins[y], bins[x]).sum(axis=1) >= least) | (bins[y].max(axis=1) == 65535)
 
-    return pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(test, "a binary, b binary")
 
+def _edges(rep: np.ndarray, edges: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([rep[a] for a, _ in edges], pa.int64()), "v": pa.array([rep[b] for _, b in edges], pa.int64())})
 
-def suffix_filtered(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose histograms allow enough common n-grams."""
 
-    def may(x: bytes, y: bytes) -> bool:
-        p, q = (np.frombuffer(v, np.uint16).astype(np.int64) for v in (x, y))
-        return max(p.max(), q.max()) == 65535 or np.minimum(p, q).sum() >= needed(p.sum(), q.sum(), percent)
+def _one_block(t: pa.Table) -> bool:
+    return t.column("i")[0].as_py() == t.column("j")[0].as_py()
 
-    return settle(_filtered(pairs, bins, "bins", may), "pairs")
 
+def candidate_edges(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """u, v: forests of the pairs of each n-gram's classes that pass all filters but verification. rows: gram, rep, place, bins."""
+    sizes = rows.groupBy("gram").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("gram", "g")
+    dealt = in_blocks(rows.join(sizes, F.col("gram") == F.col("g")).drop("g"), "blocks", "rep")
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The linked ones of the settled pairs (a, b), by their whole sets. Only sets that a pair needs are made and moved."""
+    def filtered(t: pa.Table) -> pa.Table:
+        rep, place, right = (t.column(c).to_numpy() for c in ("rep", "place", "right"))
+        n, at = place >> 32, place & ((1 << 32) - 1)
+        bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
 
-    def link(x: bytes, y: bytes) -> bool:
-        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        return np.intersect1d(p, q, assume_unique=True).size >= needed(p.size, q.size, percent)
+        def passing(x: int, y: np.ndarray) -> np.ndarray:
+            y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
+            least = needed(n[y], n[x], percent)
+            may = np.minimum(at[y], at[x]) + np.minimum(n[y] - at[y], n[x] - at[x]) >= least
+            y, least = y[may], least[may]
+            return y[_suffix(bins, x, y, least)] if y.size else y
 
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
-    return _filtered(pairs, sets_of(docs, rows, wanted, words, full=True), "grams", link)
+        return _edges(rep, forest(len(rep), right, _one_block(t), passing))
 
+    return dealt.groupBy("gram", "i", "j").applyInArrow(filtered, "u long, v long").where("u <> v").distinct()
 
-def block_pairs(rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """a, b: pairs of an n-gram's classes in different components that pass all filters but verification.
 
-    rows: gram, cls, place, hub, comp, bins. Pairs with the hub were compared before."""
-    rows = rows.where("cls <> hub")
-    sizes = rows.groupBy("gram").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    blocks = F.ceil(F.col("k") / block).cast("int")
-    dealt = rows.join(sizes.select(F.col("gram").alias("g"), blocks.alias("blocks")), F.col("gram") == F.col("g")).drop("g")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    # block i meets every block j >= i, itself included; for j > i it stands on the left
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"), "cls", "place", "comp", "bins")
+def links_in(sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: forests of the links within each cluster. sets: cluster, rep, grams, i, j, right."""
 
-    def pairs(t: pa.Table) -> pa.Table:
-        cls, comp = t.column("cls").to_pylist(), t.column("comp").to_numpy()
-        place, right = t.column("place").to_numpy(), t.column("right").to_numpy()
-        n, at = place >> 32, place & ((1 << 32) - 1)
-        bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
-        same_block = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        left, out = np.nonzero(~right)[0], ([], [])
-        others = np.nonzero(right)[0] if not same_block else left
-        for k, x in enumerate(left):
-            y = others[k + 1 :] if same_block else others
-            y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+    def linked(t: pa.Table) -> pa.Table:
+        rep, right = t.column("rep").to_numpy(), t.column("right").to_numpy()
+        sets = [np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()]
+        n = np.array([len(s) for s in sets], np.int64)
+        bins = np.stack([histogram(s) for s in sets]).astype(np.int32)
+
+        def passing(x: int, y: np.ndarray) -> np.ndarray:
+            y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
             least = needed(n[y], n[x], percent)
-            y, least = (v[np.minimum(at[y], at[x]) + np.minimum(n[y] - at[y], n[x] - at[x]) >= least] for v in (y, least))
-            if y.size:
-                most = np.minimum(bins[y], bins[x]).sum(axis=1)
-                y = y[(most >= least) | (bins[y].max(axis=1) == 65535)]
-                for z in y.tolist():
-                    a, b = sorted((cls[x], cls[z]))
-                    out[0].append(a)
-                    out[1].append(b)
-        return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
+            may = _suffix(bins, x, y, least) if y.size else np.zeros(0, bool)
+            y, least, out = y[may], least[may], [y[:0]]
+            for k in range(0, len(y), 256):
+                part = [sets[z] for z in y[k : k + 256]]
+                flat = np.concatenate(part)
+                at = np.minimum(np.searchsorted(sets[x], flat), n[x] - 1)
+                starts = np.cumsum([0, *[len(s) for s in part[:-1]]])
+                common = np.add.reduceat((sets[x][at] == flat).astype(np.int64), starts)
+                out.append(y[k : k + 256][common >= least[k : k + 256]])
+            return np.concatenate(out)
+
+        return _edges(rep, forest(len(rep), right, _one_block(t), passing))
+
+    return sets.groupBy("cluster", "i", "j").applyInArrow(linked, "u long, v long").where("u <> v").distinct()
+
 
-    return dealt.groupBy("gram", "i", "j").applyInArrow(pairs, "a binary, b binary").distinct()
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs of the wanted doc_ids with wanted's columns; a small wanted, which is settled, goes to the texts."""
+    return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row of docs: doc_id, n_shingles (set size) and component_id (the smallest doc_id that links reach)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = settle(surveyed(docs, words), "survey")
     rows = survey.where("chunk is null").select("doc_id", "n", "cls")
-    classes = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    with_id, placed = docs.where("doc_id is not null"), rows.where("cls is not null and doc_id is not null")
+    placed = rows.where("cls is not null and doc_id is not null")
+    classes = placed.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    with_id = docs.where("doc_id is not null")
     live = settle(shared_grams(prefixes(with_id, sketch_of(survey), words, percent)), "grams")
-    bins = sets_of(with_id, placed, live, words, full=False)
-
-    def edges(links: DataFrame) -> DataFrame:
-        named = lambda side, name: classes.select(F.col("cls").alias(side), F.col("rep").alias(name))
-        return links.join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v")
-
-    to_hub = live.where((F.col("cls") != F.col("hub")) & near_enough(percent)).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    first = edges(verified(suffix_filtered(to_hub, bins, percent), with_id, placed, words, percent))
-    known = connected(first)
-    comps = classes.join(known, F.col("rep") == F.col("node"), "left").select(F.col("cls").alias("c"), F.coalesce("component", "rep").alias("comp"))
-    rest = live.join(comps, F.col("cls") == F.col("c")).join(bins.select(F.col("cls").alias("s"), "bins"), F.col("cls") == F.col("s")).select("gram", "cls", "place", "hub", "comp", "bins")
-    second = edges(verified(settle(block_pairs(rest, percent, block), "pairs"), with_id, placed, words, percent))
-    final = connected(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second))
+    reps = settle(live.select("cls").distinct().join(classes, "cls").select(F.col("cls").alias("c"), F.col("rep").alias("doc_id")), "reps")
+    bins = with_sets(texts_of(with_id, reps), words, "bins", lambda s: histogram(s).tobytes())
+    bins = settle(bins.dropDuplicates(["c"]).withColumnRenamed("doc_id", "rep"), "bins")
+    clusters = connected(candidate_edges(live.join(bins, F.col("cls") == F.col("c")).select("gram", "rep", "place", "bins"), percent, block))
+    members = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).unionByName(clusters.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct())
+    sized = members.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
+    bytes_ = F.sum(F.col("n").cast("long") * 8)
+    blocks = sized.groupBy("cluster").agg(F.ceil(F.greatest(bytes_ / block_bytes, F.count("*") / block)).cast("int").alias("blocks"))
+    members = settle(members.join(blocks, "cluster"), "members")
+    sets = with_sets(texts_of(with_id, members), words, "grams", np.ndarray.tobytes).withColumnRenamed("doc_id", "rep")
+    final = connected(links_in(in_blocks(sets, "blocks", "rep"), percent))
+    discard(live, reps, bins, clusters, members)
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select(F.col("cls").alias("c"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, F.col("cls") == F.col("c"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
