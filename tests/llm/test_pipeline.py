@@ -1,6 +1,6 @@
 """The pipeline's stages take effect and keep clean documents."""
 
-from conftest import DATA
+from helpers import DATA
 
 
 def test_stages(spark, odd, none):
