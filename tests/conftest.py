@@ -7,8 +7,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 os.environ.setdefault("OMP_NUM_THREADS", "1")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -24,29 +22,9 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from helpers import DATA, TABLES
 
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     return con
-
-
-def plain(value):
-    """A value as both engines would print it."""
-    import pandas as pd
-
-    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
-        return "null"
-    if isinstance(value, bool) or type(value).__name__ == "bool_":
-        return str(bool(value))
-    if hasattr(value, "isoformat"):
-        return value.isoformat()
-    try:
-        return f"{float(value):.5f}".replace("-0.00000", "0.00000")
-    except (TypeError, ValueError):
-        return str(value)
-
-
-def rows_of(frame):
-    frame = frame[sorted(frame.columns)]
-    return sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False))
