@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icuflow.plans.decisions import _scores
+from icuflow.plans.decisions import ALERT_SQL, _scores
 from icuflow.plans.features import DAY, features_sql, rounded
 from icuflow.sources.telemetry import VITALS, observations, stays
 from icuflow.streaming import streams
@@ -52,5 +52,6 @@ _STATS = ", ".join(f"round({v}_{s}, 6) AS {v}_{s}" for v in VITALS for s in ("me
 _FLAGS = ", ".join(f"{v}_missing" for v in VITALS)
 
 ORACLE_SQL = {
+    "stream_alerts": f"WITH {ALERT_SQL} SELECT stay_id, window_id, round(p, 6) AS p, alert, reason, direction, pending, CAST(cooldown AS INTEGER) AS cooldown FROM m",
     "stream_windows": f"WITH {features_sql(DAY)}, seen AS (SELECT user_id AS stay_id, max(epoch(ts)) AS t FROM events GROUP BY 1) SELECT stay_id, window_id, {_STATS}, {_FLAGS} FROM features JOIN stays USING (stay_id) JOIN seen USING (stay_id) WHERE epoch(intime) + (window_id + 1) * 86400 <= t - 300",
 }
