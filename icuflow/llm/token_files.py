@@ -21,6 +21,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,6 +121,10 @@ class SequenceFile:
 _PLAIN = re.compile(r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u017f]+|[0-9]|[^a-z0-9\t-\r \u00df-\u017f]+")
 
+# Byte-level vocabularies spell a byte by a character: printable Latin-1 characters by themselves, the others, in order, by 256 and on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
 
 class WordCache:
     """Ids of texts from the ids of their parts between spaces, each part encoded when it is first met."""
@@ -129,6 +134,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.model, self.dtype, self.known, self.words = Tokenizer.from_str(source), dtype, {}, {}
+        self.code = array("H" if np.dtype(dtype).itemsize == 2 else "I").typecode
         self.model.no_padding()
         self.model.no_truncation()
 
@@ -138,14 +144,19 @@ class WordCache:
             self.words.clear()
         split = [t.split(" ") if t else [] for t in texts]
         fresh = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.known]
-        cut = {w: _SPLIT.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else [w] for w in fresh}
-        words = [w for w in dict.fromkeys(w for own in cut.values() for w in own) if w not in self.words]
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            got = self.model.encode_batch_fast(part, add_special_tokens=False)
-            self.words.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in got), strict=True))
+        cut = {w: _SPLIT.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else None for w in fresh}
+        model, words = self.model.model, self.words
+        for w in dict.fromkeys(w for own in cut.values() if own for w in own):
+            if w not in words:
+                # the model itself takes a word that is lower-cased and cut already, spelled in its characters for bytes
+                spelled = w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(_BYTES)
+                words[w] = array(self.code, [t.id for t in model.tokenize(spelled)]).tobytes()
+        odd = [w for w, own in cut.items() if own is None]
+        for at in range(0, len(odd), 10_000):
+            got = self.model.encode_batch_fast(odd[at : at + 10_000], add_special_tokens=False)
+            self.known.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(odd[at : at + 10_000], got, strict=True))
         find = self.words.__getitem__
-        self.known.update((w, find(own[0]) if len(own) == 1 else b"".join(map(find, own))) for w, own in cut.items())
+        self.known.update((w, find(own[0]) if len(own) == 1 else b"".join(map(find, own))) for w, own in cut.items() if own is not None)
         last = np.array([end], self.dtype).tobytes()
         for words in split:
             yield np.frombuffer(b"".join([*map(self.known.__getitem__, words), last]), self.dtype)
