@@ -41,7 +41,7 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     """The alert machine over orders' scores, window by window of arrival."""
     folder = _folder(spark, "alerts")
     scores = _scores(spark, d).withColumn("at", F.timestamp_seconds("window_id"))
-    streams.in_slices(scores, "at", f"{folder}/in", SLICES)
+    streams.in_slices(scores, "at", f"{folder}/in", 2)
     made = streams.alert_stream(streams.replayed(scores, f"{folder}/in").select("stay_id", "window_id", "p"), threshold=0.6, cooldown=3, escalation=0.1, dead_band=0.05)
     return rounded(_ran(made, folder))
 
