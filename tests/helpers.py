@@ -10,7 +10,7 @@ def plain(value):
 
     if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "null"
-    if isinstance(value, bool) or type(value).__name__ == "bool_":
+    if type(value).__name__ in ("bool", "bool_"):
         return str(bool(value))
     if hasattr(value, "isoformat"):
         return value.isoformat()
