@@ -250,26 +250,65 @@ def _one_block(t: pa.Table) -> bool:
     return t.column("i")[0].as_py() == t.column("j")[0].as_py()
 
 
-def candidate_edges(rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """u, v: forests of the pairs of each n-gram's classes that pass all filters but verification. rows: gram, rep, place, bins."""
-    sizes = rows.groupBy("gram").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("gram", "g")
-    dealt = in_blocks(rows.join(sizes, F.col("gram") == F.col("g")).drop("g"), "blocks", "rep")
+def whole_groups(batches, keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that no group of keys is cut by; a group's rows are bounded."""
+    waiting: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        same = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        last = np.ones(b.num_rows, bool)
+        for v in same:
+            last &= v == v[-1]
+        start = int(b.num_rows - last[::-1].argmin()) if not last.all() else 0
+        if start or (waiting and any(waiting[-1].column(k)[-1] != b.column(k)[0] for k in keys)):
+            # what waited ends in this batch, or before it
+            yield pa.Table.from_batches([*waiting, b.slice(0, start)]).combine_chunks()
+            waiting = []
+        waiting.append(b.slice(start))
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
 
-    def filtered(t: pa.Table) -> pa.Table:
-        rep, place, right = (t.column(c).to_numpy() for c in ("rep", "place", "right"))
-        n, at = place >> 32, place & ((1 << 32) - 1)
-        bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
 
-        def passing(x: int, y: np.ndarray) -> np.ndarray:
-            y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
-            least = needed(n[y], n[x], percent)
-            may = np.minimum(at[y], at[x]) + np.minimum(n[y] - at[y], n[x] - at[x]) >= least
-            y, least = y[may], least[may]
-            return y[_suffix(bins, x, y, least)] if y.size else y
+def candidate_edges(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """u, v: forests of the pairs of each n-gram's classes that pass all filters but verification. rows: gram, rep, place, bins.
 
-        return _edges(rep, forest(len(rep), right, _one_block(t), passing))
+    Most n-grams have two classes; those are tested all at once."""
+    sizes = rows.groupBy("gram").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("gram", "g")
+    dealt = in_blocks(rows.join(sizes, F.col("gram") == F.col("g")).drop("g"), "blocks", "rep")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["gram", "i", "j"]
 
-    return dealt.groupBy("gram", "i", "j").applyInArrow(filtered, "u long, v long").where("u <> v").distinct()
+    def filtered(batches):
+        for t in whole_groups(batches, keys):
+            gram, i, j, rep, place, right = (t.column(c).to_numpy() for c in (*keys, "rep", "place", "right"))
+            if not len(gram):
+                continue
+            n, at = place >> 32, place & ((1 << 32) - 1)
+            bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
+
+            def passing(x, y, n=n, at=at, bins=bins):
+                """Of the pairs (x, y), x one row or as many as y: which pass."""
+                least = needed(n[y], n[x], percent)
+                may = (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent) & (np.minimum(at[y], at[x]) + np.minimum(n[y] - at[y], n[x] - at[x]) >= least)
+                few = np.nonzero(may)[0]
+                may[few] = _suffix(bins, x[few] if isinstance(x, np.ndarray) else x, y[few], least[few]) if few.size else False
+                return may
+
+            heads = np.r_[0, np.nonzero((gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))[0] + 1]
+            counts = np.diff(np.r_[heads, len(gram)])
+            two = heads[(counts == 2) & ((i == j)[heads] | (right[heads] != right[np.minimum(heads + 1, len(gram) - 1)]))]
+            two = two[passing(two, two + 1)] if two.size else two
+            u, v = [rep[two]], [rep[two + 1]]
+            for start, k in zip(heads[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
+                own = slice(start, start + k)
+                edges = forest(k, right[own], i[start] == j[start], lambda x, y, start=start, passing=passing: y[passing(start + x, start + y)])
+                u.append(rep[own][[e[0] for e in edges]] if edges else rep[:0])
+                v.append(rep[own][[e[1] for e in edges]] if edges else rep[:0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+    ordered = dealt.repartition(parts, *keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(filtered, "u long, v long").where("u <> v").distinct()
 
 
 def links_in(sets: DataFrame, percent: int) -> DataFrame:
