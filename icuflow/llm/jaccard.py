@@ -38,7 +38,7 @@ SKETCH = 1 << 20
 CHUNKS = 64
 BINS = 32
 BLOCK = 2000
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 96 << 20
 BROADCAST_IDS = 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -316,7 +316,12 @@ def links_in(sets: DataFrame, percent: int) -> DataFrame:
 
     def linked(t: pa.Table) -> pa.Table:
         rep, right = t.column("rep").to_numpy(), t.column("right").to_numpy()
-        sets = [np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()]
+        packed = t.column("grams").combine_chunks()
+        packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
+        _, ends, data = packed.buffers()
+        ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(packed.type) else np.int32)[packed.offset : packed.offset + len(packed) + 1]
+        data = np.frombuffer(data, np.uint8)
+        sets = [data[a:b].view(np.uint64) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]  # no copies
         n = np.array([len(s) for s in sets], np.int64)
         bins = np.stack([histogram(s) for s in sets]).astype(np.int32)
 
