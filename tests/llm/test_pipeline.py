@@ -26,3 +26,22 @@ def test_near_copies_leave_one(spark):
     text = " ".join(f"w{k}" for k in range(100))
     docs = spark.createDataFrame([(5, text, "en", "s", 1), (3, text + " end", "en", "s", 1), (9, "other words entirely", "en", "s", 1), (None, text, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in p.deduplicated(spark, docs, DATA).collect()} == {3, 9, None}
+
+
+def test_copies_alike_by_eight_tenths_leave_one(spark):
+    import corpus_pipeline as p
+
+    words = [f"w{k}" for k in range(200)]
+    edited = [f"x{k}" if k in (30, 80, 130, 180) else w for k, w in enumerate(words)]
+    longer = [*words, *(f"y{k}" for k in range(30))]
+    inserted = [*words[:100], *(f"z{k}" for k in range(30)), *words[100:]]
+    other = [f"x{k}" if k % 20 == 10 else w for k, w in enumerate(words)]
+
+    def alike(a, b):
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    assert all(0.8 <= alike(words, x) < 0.9 for x in (edited, longer, inserted)) and alike(words, other) < 0.8
+    rows = [(k, " ".join(x), "en", "s", 1) for k, x in ((7, words), (8, edited), (9, longer), (10, inserted), (11, other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in p.deduplicated(spark, docs, DATA).collect()} == {7, 11}
