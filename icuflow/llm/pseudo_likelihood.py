@@ -1,19 +1,22 @@
 """Masked pseudo-likelihood: a bidirectional window network scores documents.
 
-Words are counted over all documents; the most frequent get an id each, all others share hashed ids, and id 0 stands
+Words are counted over all documents; those with at least OWN occurrences, and the most frequent of a small corpus, get
+an id each. All others share hashed ids, within which a word has its share of their occurrences; of these words, those
+that occur more than once are sent to the tasks with their counts. So the vocabulary grows with the corpus. Id 0 stands
 for what lies outside a text. A network predicts each word from REACH words on either side: their embeddings, one
 table for each place, are summed and squashed; a softmax over classes of ids and one over the members of the class
 give the word's probability. A document's score is the sum of the conditional log-probabilities of its words.
 
 Training reads every word of every document: each task runs stochastic gradient descent (Adagrad, numpy) from the
-same start over its own rows, and the tasks' weights are averaged, weighted by their numbers of words; then another
-round starts from the average. Averages are taken in Spark, a piece of the weights at a time.
+same start over its own rows, and the weights of the tasks that changed them are averaged, weighted by their numbers of
+words; then another round starts from the average. Averages are taken in Spark, a piece of the weights at a time.
 
 Null and empty texts have no words, score 0 and no mean. Repeated rows score alike. Texts are read whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,10 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from icuflow.llm.common import discard, settle
+
 REACH, WIDTH, CLASSES = 2, 16, 32
 IDS = CLASSES * CLASSES
 HASHED = 256
-BATCH = 16384
+OWN = 100
+BATCH = 4096
 ROUNDS = 1
 PIECE = 1024
 WORD = re.compile(r"\w+|[^\w\s]")
@@ -55,20 +61,55 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def classes_for(words: int) -> int:
+    """The number of classes, and of members of each, for so many words with ids of their own."""
+    return max(CLASSES, math.isqrt(words + HASHED) + 1)
+
+
+def hash_of(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+
+
 class Numbering:
-    """Words to ids: 1 and on by frequency, then hashed ids."""
+    """Words to ids: 1 and on by frequency, then hashed ids. rest: hashes (ascending) and counts of other words, and all counts by hashed id."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         self.ids = {w: k + 1 for k, w in enumerate(words)}
+        self.hashed = classes_for(len(words)) ** 2 - HASHED
         self.known: dict[str, int] = {}
-
-    def row(self, text: str | None) -> np.ndarray:
+        self.shares: dict[str, float] = {}
+        self.rest = rest
+
+    def _learn(self, words: set[str]) -> None:
+        others = []
+        for w in words:
+            if (own := self.ids.get(w)) is not None:
+                self.known[w] = own
+            else:
+                others.append(w)
+        hashes = np.array([hash_of(w) for w in others], np.uint64)
+        buckets = (hashes % np.uint64(HASHED)).astype(np.int64)
+        self.known.update(zip(others, (self.hashed + buckets).tolist(), strict=True))
+        if self.rest is not None and others:
+            known, counts, masses = self.rest
+            n = np.ones(len(others))  # what isn't listed occurs once
+            if known.size:
+                at = np.minimum(np.searchsorted(known, hashes), known.size - 1)
+                n = np.where(known[at] == hashes, counts[at], 1)
+            self.shares.update(zip(others, np.log(n / np.maximum(masses[buckets], n)).tolist(), strict=True))
+
+    def row_and_share(self, text: str | None) -> tuple[np.ndarray, float]:
+        """The ids of a text, and the sum of its words' log-shares of their hashed ids."""
         words = WORD.findall((text or "").lower())
         if len(self.known) > 1 << 19:
             self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = self.ids.get(w) or IDS - HASHED + xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) % HASHED
-        return np.array([*map(self.known.__getitem__, words)], np.int32)
+            self.shares.clear()
+        if new := set(words).difference(self.known):
+            self._learn(new)
+        return np.array([*map(self.known.__getitem__, words)], np.int32), math.fsum(self.shares[w] for w in words if w in self.shares) if self.shares else 0.0
+
+    def row(self, text: str | None) -> np.ndarray:
+        return self.row_and_share(text)[0]
 
 
 def windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,17 +125,26 @@ def windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 class Network:
     """All weights in one flat vector, seen as named parts."""
 
-    SHAPES = {"table": (2 * REACH, IDS, WIDTH), "squash": (WIDTH,), "classes": (WIDTH, CLASSES), "class_bias": (CLASSES,), "members": (CLASSES, WIDTH, CLASSES), "member_bias": (CLASSES, CLASSES)}
-
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 5):
-        size = sum(int(np.prod(s)) for s in self.SHAPES.values())
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 5, classes: int = CLASSES):
+        if flat is not None:
+            # the number of classes that has so many weights
+            a, b = (2 * REACH + 1) * WIDTH + 1, WIDTH + 1
+            classes = round((math.sqrt(b * b + 4 * a * (flat.size - WIDTH)) - b) / (2 * a))
+        self.count = classes
+        shapes = {"table": (2 * REACH, classes * classes, WIDTH), "squash": (WIDTH,), "classes": (WIDTH, classes), "class_bias": (classes,), "members": (classes, WIDTH, classes), "member_bias": (classes, classes)}
+        size = sum(int(np.prod(s)) for s in shapes.values())
         self.flat = flat.copy() if flat is not None else np.random.default_rng(seed).normal(0, 0.1, size).astype(np.float32)
-        self.part, at = {}, 0
-        for name, shape in self.SHAPES.items():
+        self.shapes = shapes
+        self.part = self._parts(self.flat)
+        self.squares: dict[str, np.ndarray] = {}
+
+    def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for name, shape in self.shapes.items():
             n = int(np.prod(shape))
-            self.part[name] = self.flat[at : at + n].reshape(shape)
+            out[name] = flat[at : at + n].reshape(shape)
             at += n
-        self.squares: dict[str, np.ndarray] = {}
+        return out
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         table = self.part["table"]
@@ -107,8 +157,8 @@ class Network:
 
     def _members(self, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        cuts = np.searchsorted(classes[order], np.arange(self.count + 1))
+        for c in range(self.count):
             if cuts[c] < cuts[c + 1]:
                 yield c, order[cuts[c] : cuts[c + 1]]
 
@@ -116,52 +166,61 @@ class Network:
         out = np.zeros(len(words))
         for at in range(0, len(words), BATCH):
             own, target = around[at : at + BATCH], words[at : at + BATCH]
-            h, c, m = self.hidden(own), target // CLASSES, target % CLASSES
+            h, c, m = self.hidden(own), target // self.count, target % self.count
             got = self._log_softmax(h @ self.part["classes"] + self.part["class_bias"])[np.arange(len(c)), c].astype(np.float64)
             for k, rows in self._members(c):
                 got[rows] += self._log_softmax(h[rows] @ self.part["members"][k] + self.part["member_bias"][k])[np.arange(len(rows)), m[rows]]
             out[at : at + BATCH] = got
         return out
 
-    def _step(self, name: str, slope: np.ndarray, rate: float) -> None:
-        square = self.squares.setdefault(name, np.full(slope.shape, 1e-6, np.float32))
-        square += slope * slope
-        self.part[name] -= rate * slope / np.sqrt(square)
+    def _step(self, name: str, slope: np.ndarray, rate: float, at=...) -> None:
+        """Adagrad on the part, or on what at names of it; a weight without slope doesn't move."""
+        square = self.squares[name][at] + slope * slope
+        self.squares[name][at] = square
+        self.part[name][at] -= rate * slope / np.sqrt(square)
 
     def train(self, around: np.ndarray, words: np.ndarray, rate: float = 0.05) -> None:
+        if not self.squares:
+            self.squares = self._parts(np.full(self.flat.size, 1e-6, np.float32))
+        cells = np.arange(WIDTH, dtype=np.int64)
         for at in range(0, len(words), BATCH):
             own, target = around[at : at + BATCH], words[at : at + BATCH]
-            n, c, m = len(target), target // CLASSES, target % CLASSES
+            n, c, m = len(target), target // self.count, target % self.count
             h = self.hidden(own)
             off = np.exp(self._log_softmax(h @ self.part["classes"] + self.part["class_bias"]))
             off[np.arange(n), c] -= 1
             off /= n
             back = off @ self.part["classes"].T
-            members, member_bias = np.zeros(self.SHAPES["members"], np.float32), np.zeros(self.SHAPES["member_bias"], np.float32)
             for k, rows in self._members(c):
                 e = np.exp(self._log_softmax(h[rows] @ self.part["members"][k] + self.part["member_bias"][k]))
                 e[np.arange(len(rows)), m[rows]] -= 1
                 e /= n
                 back[rows] += e @ self.part["members"][k].T
-                members[k], member_bias[k] = h[rows].T @ e, e.sum(axis=0)
+                self._step("members", h[rows].T @ e, rate, k)
+                self._step("member_bias", e.sum(axis=0), rate, k)
             back *= 1 - h * h
-            cells, flat = np.arange(WIDTH, dtype=np.int32), back.astype(np.float64).ravel()
-            table = np.stack([np.bincount((own[:, k, None] * WIDTH + cells).ravel(), weights=flat, minlength=IDS * WIDTH).reshape(IDS, WIDTH) for k in range(own.shape[1])]).astype(np.float32)
-            for name, slope in (("classes", h.T @ off), ("class_bias", off.sum(axis=0)), ("members", members), ("member_bias", member_bias), ("table", table), ("squash", back.sum(axis=0))):
+            flat = back.astype(np.float64).ravel()
+            for k in range(own.shape[1]):
+                met, place = np.unique(own[:, k], return_inverse=True)
+                slope = np.bincount((place.reshape(-1, 1) * WIDTH + cells).ravel(), weights=flat, minlength=len(met) * WIDTH)
+                self._step("table", slope.reshape(-1, WIDTH).astype(np.float32), rate, (k, met))
+            for name, slope in (("classes", h.T @ off), ("class_bias", off.sum(axis=0)), ("squash", back.sum(axis=0))):
                 self._step(name, slope, rate)
 
 
-def _groups(batches, numbering: Numbering, words: int = 1 << 17) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Keys and id rows, about words words at a time."""
+def _groups(batches, numbering: Numbering, words: int = 1 << 17) -> Iterator[tuple[list, list[np.ndarray], list[float]]]:
+    """Keys, id rows and log-shares, about words words at a time."""
     for b in batches:
         keys = b.column("doc_id") if "doc_id" in b.schema.names else None
-        start, rows, size = 0, [], 0
+        start, rows, shares, size = 0, [], [], 0
         for k, t in enumerate(b.column("text")):
-            rows.append(numbering.row(t.as_py()))
+            row, share = numbering.row_and_share(t.as_py())
+            rows.append(row)
+            shares.append(share)
             size += len(rows[-1])
             if size >= words or k + 1 == b.num_rows:
-                yield keys.slice(start, k + 1 - start) if keys is not None else None, rows
-                start, rows, size = k + 1, [], 0
+                yield keys.slice(start, k + 1 - start) if keys is not None else None, rows, shares
+                start, rows, shares, size = k + 1, [], [], 0
 
 
 def averaged_round(docs: DataFrame, numbering, start: np.ndarray) -> np.ndarray:
@@ -170,14 +229,17 @@ def averaged_round(docs: DataFrame, numbering, start: np.ndarray) -> np.ndarray:
 
     def train(batches):
         network, n = Network(shared.value), 0
-        for _, rows in _groups(batches, Numbering(numbering.value)):
+        for _, rows, _ in _groups(batches, Numbering(numbering.value)):
             around, words = windows(rows)
             order = np.random.default_rng(len(words)).permutation(len(words))
             network.train(around[order], words[order])
             n += len(words)
         if n:
-            pieces = [network.flat[k : k + PIECE].tobytes() for k in range(0, network.flat.size, PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([n] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], names=["piece", "n", "weights"])
+            changed = [k for k in range(-(-network.flat.size // PIECE)) if not np.array_equal(network.flat[k * PIECE : (k + 1) * PIECE], shared.value[k * PIECE : (k + 1) * PIECE])]
+            for at in range(0, len(changed), 1024):
+                part = changed[at : at + 1024]
+                pieces = [network.flat[k * PIECE : (k + 1) * PIECE].tobytes() for k in part]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([n] * len(part), pa.int64()), pa.array(pieces, pa.binary())], names=["piece", "n", "weights"])
 
     def average(batches):
         sums: dict[int, list] = {}
@@ -189,34 +251,65 @@ def averaged_round(docs: DataFrame, numbering, start: np.ndarray) -> np.ndarray:
         for piece, (n, total) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["piece", "weights"])
 
-    made = docs.select("text").mapInArrow(train, "piece int, n long, weights binary").repartition(-(-start.size // PIECE), "piece").mapInArrow(average, "piece int, weights binary")
-    rows = sorted(made.collect(), key=lambda r: r["piece"])
-    return np.frombuffer(b"".join(r["weights"] for r in rows), np.float32) if rows else start
+    parts = min(-(-start.size // PIECE), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    made = docs.select("text").mapInArrow(train, "piece int, n long, weights binary").repartition(parts, "piece").mapInArrow(average, "piece int, weights binary")
+    out = start.copy()
+    for r in made.collect():
+        out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["weights"], np.float32)
+    return out
 
 
-def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """The words with ids of their own, in order, and the trained weights."""
+def rest_of(counts: DataFrame, own: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words after the last one of own: hashes, ascending, and counts where they occur more than once; all counts by hashed id."""
+
+    def hashed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([hash_of(w) for w in b.column("word").to_pylist()], np.uint64).view(np.int64)), b.column("n")], names=["hash", "n"])
+
+    if own:
+        n, word = own[-1]["n"], own[-1]["word"]
+        counts = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
+    rest, masses = counts.mapInArrow(hashed, "hash long, n long"), np.zeros(HASHED)
+    for r in rest.groupBy(F.col("hash").bitwiseAND(HASHED - 1).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        masses[r["bucket"]] = r["n"]
+    listed = rest.where("n > 1").toArrow()
+    hashes, n = listed.column("hash").to_numpy().view(np.uint64), listed.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order].astype(np.uint32), masses
+
+
+def learn_all(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The words with ids of their own, in order, the trained weights, and what Numbering takes for the other words."""
     docs = docs.select(F.col("text").cast("string").alias("text"))
-    frequent = [r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(IDS - HASHED - 1).collect()]
+    counts = settle(word_counts(docs), "words")
+    size = max(IDS - HASHED - 1, counts.where(F.col("n") >= OWN).count())
+    own = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+    frequent, rest = [r["word"] for r in own], rest_of(counts, own)
+    discard(counts)
     numbering = docs.sparkSession.sparkContext.broadcast(frequent)
-    weights = Network().flat
+    weights = Network(classes=classes_for(len(frequent))).flat
     for _ in range(rounds):
         weights = averaged_round(docs, numbering, weights)
-    return frequent, weights
+    return frequent, weights, rest
+
+
+def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+    """The words with ids of their own, in order, and the trained weights."""
+    return learn_all(docs, rounds)[:2]
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """For each row of docs: doc_id, n_words, score (the sum of log-probabilities) and mean_score."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, rounds))
+    shared = docs.sparkSession.sparkContext.broadcast(learn_all(docs, rounds))
 
     def score(batches):
-        words, weights = shared.value
+        words, weights, rest = shared.value
         network = Network(weights)
-        for keys, rows in _groups(batches, Numbering(words)):
+        for keys, rows, shares in _groups(batches, Numbering(words, rest)):
             sums = np.concatenate([[0.0], np.cumsum(network.log_probabilities(*windows(rows)))])
             sizes = np.array([len(r) for r in rows], np.int64)
             ends = np.cumsum(sizes)
-            scores = sums[ends] - sums[ends - sizes]
+            scores = sums[ends] - sums[ends - sizes] + np.array(shares)
             yield pa.RecordBatch.from_arrays([keys, pa.array(sizes), pa.array(scores), pa.array([s / n if n else None for s, n in zip(scores.tolist(), sizes.tolist(), strict=True)], pa.float64())], names=["doc_id", "n_words", "score", "mean_score"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))

@@ -108,6 +108,23 @@ def test_training_helps_and_order_matters(spark, odd, none):
     assert pseudo_likelihood.score_documents(none).count() == 0
 
 
+def test_vocabulary_follows_the_counts(spark):
+    words, rare = [f"w{k}" for k in range(2000)], [f"r{k}" for k in range(300)]
+    rows = [(0, " ".join(words * pseudo_likelihood.OWN)), *((k + 1, " ".join(rare[:150])) for k in range(5)), (10, " ".join(rare[150:])), (11, "r0"), (12, "r150")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    own, weights, rest = pseudo_likelihood.learn_all(docs)
+    assert set(own) == set(words) and pseudo_likelihood.Network(weights).count ** 2 > len(words) + pseudo_likelihood.HASHED
+    numbering, counts, buckets = pseudo_likelihood.Numbering(own, rest), {}, {}
+    for w in rare:
+        i, share = numbering.row_and_share(w)
+        n = sum(t.split().count(w) for _, t in rows)
+        counts[w] = n
+        buckets.setdefault(int(i[0]), []).append((n, share))
+    assert all(abs(sum(np.exp(s) for _, s in x) - 1) < 1e-9 for x in buckets.values())
+    assert all(abs(np.exp(s) - n / sum(m for m, _ in x)) < 1e-9 for x in buckets.values() for n, s in x)
+    assert len({int(numbering.row(w)[0]) for w in words}) == len(words) and numbering.row_and_share(words[0])[1] == 0
+
+
 # 3 toxicity
 
 
