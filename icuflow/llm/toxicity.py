@@ -42,12 +42,14 @@ _CODE = np.zeros(0x180, np.int64)
 _CODE[[ord(c) for c in LETTERS]] = np.arange(1, _N)
 _WORD = re.compile(r"[^\W\d_]+")
 _SUSPECT = re.compile(
-    r"[^\W_][*_~.-][^\W_]"  # separators inside
-    r"|[^\W\d_][0-9@$!|+(€£¥]+[^\W\d_]|^\W*[0-9@$|+€£¥][^\W\d_]{2}|[^\W\d_]{2}[0-9@](?![@$%#&*])\W*$"  # imitating characters beside letters
-    r"|([^\W\d_])\1\1"  # a letter three times
+    r"[^\W_][*_~.-]+[^\W_]"  # separators inside, in runs
+    r"|[^\W\d_][0-9@$!|+(€£¥]+[^\W\d_]"  # imitating characters beside letters
+    r"|(?<![^\W_])(?<![@$!|+(€£¥])[0-9@$!|+(€£¥]+[^\W\d_]{2}|[^\W\d_][!|+(€£¥]*[0-9@$]"
+    r"|([^\W\d_])\1"  # a letter twice or more
 )
-_MAY_BE_SPACED = re.compile(r" \S \S ")
-_SPACED = re.compile(r"(?<!\w)[^\W_](?: [^\W_]){3,}(?![^\W_])")
+# characters that stand alone, three at least, with runs of separators and white space between them
+_SPACED = re.compile(r"(?:(?<![^\W_])[^\W_]|(?<!\S)[@$!|+(€£¥])(?:[\s*_~.-]+[^\W_](?![^\W_])|[\s*_~.-]+[@$!|+(€£¥](?![^\W_])){2,}")
+_INNER = re.compile(r"[,/:;?\"'&#]+")  # punctuation that no hidden word holds
 _MARKS = "0123456789@$!|+()€£¥*_~.-"
 
 
@@ -132,7 +134,9 @@ class Restorer:
 
     def restored(self, seen: str) -> list[str]:
         # with the marks at its ends cut off it is tried as well: an imitating character may be just a mark
-        return [w for w in {self.model.restore(x) for x in (seen, seen.strip(_MARKS))} if len(w) > 2]
+        # and so is each piece between inner punctuation
+        pieces = {x for x in _INNER.split(seen) if _SUSPECT.search(x)}
+        return [w for w in {self.model.restore(x) for p in {seen, *pieces} for x in (p, p.strip(_MARKS))} if len(w) > 2]
 
     def words(self, text: str) -> set[str]:
         text = text.lower()
@@ -143,9 +147,11 @@ class Restorer:
             self.known[p] = tuple(_WORD.findall(p)) + (tuple(self.restored(p)) if _SUSPECT.search(p) else ())
         words = set()
         words.update(*map(self.known.__getitem__, parts))
-        if _MAY_BE_SPACED.search(text):
-            for m in _SPACED.finditer(text):
-                words.update(self.restored(m.group()))
+        for p in {m.group() for m in _SPACED.finditer(text)}:
+            found = self.known.get(p)
+            if found is None:
+                found = self.known[p] = tuple(self.restored(p))
+            words.update(found)
         return words
 
 

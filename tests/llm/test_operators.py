@@ -155,6 +155,21 @@ def test_scores_ignore_held_out_labels(spark, toxic, odd, none):
     assert toxicity.score_toxicity(none, labels).count() == 0
 
 
+@pytest.mark.parametrize("hidden", ["idi0t", "hi/1diot", "x,1diot", "1diot", "i d-i o.t", "i  d  i  o  t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "i d ! o t", "i--d--i--o--t", "id--iot", "idi..ot", "iidiot", "!diot", "idioott"])
+def test_every_hidden_form_is_decoded(spark, toxic, hidden):
+    model = toxicity.learn(toxic, toxic.select("doc_id", "toxic"))
+    model.start()
+    assert "idiot" in model.restorer.words(f"you are an {hidden} and so"), model.restorer.words(hidden)
+
+
+@pytest.mark.parametrize("form", ["as$", "dumbas$", "a$$", "a55", "f**k", "st--upid", "a s s", "stuppid"])
+def test_every_hidden_form_reaches_the_lattice(form):
+    restorer, seen = toxicity.Restorer(toxicity.CharacterModel({})), []
+    restorer.model.restore = lambda x: seen.append(x) or ""
+    restorer.words(f"so {form} it is")
+    assert form in seen
+
+
 def test_decoding_is_linear():
     toxicity.CharacterModel({}).restore("a " * 50_000)
 
