@@ -12,7 +12,6 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from icuflow.llm import bpe, decontamination, jaccard, language_id, pii
 from icuflow.llm.common import scratch_dir, table
@@ -24,10 +23,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (sets of five-word shingles alike by 0.8 or more) the row with the smallest doc_id stays; of rows with that id, one. Rows without an id stay."""
-    kept = jaccard.near_duplicates(docs, words=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """Of each group of near copies (sets of five-word shingles alike by 0.8 or more) one row with the smallest doc_id stays; rows without an id or a word stay."""
+    return jaccard.deduplicated_rows(docs, words=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

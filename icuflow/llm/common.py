@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MEMBER_BITS = 1 << 26
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, as in local tests, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="icuflow-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -48,3 +54,34 @@ def id_remainder(column: str, divisor: int) -> Column:
 def hash_share(*columns: str) -> Column:
     """A number in [0, 1) that depends on the row alone, for samples that any layout repeats."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """name, or name with underscores until no column is called so (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def chars_in(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+
+
+class Members:
+    """A bitmap of hashed ids, of MEMBER_BITS bits at most: no member is missed, a few others pass, and a later join drops those.
+
+    ids: one column. has() takes F.xxhash64 of ids. The bitmap is put together by an aggregation, its size doesn't grow beyond the bound."""
+
+    def __init__(self, ids: DataFrame, most: int = MEMBER_BITS):
+        n = ids.count()
+        self.bits = 1 << min(max(16, (16 * n).bit_length()), most.bit_length() - 1)
+        place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(self.bits))
+        bits = ids.select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), place.bitwiseAND(63).cast("int").alias("bit"))
+        words = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("set")).toArrow()
+        self.words = np.zeros(self.bits >> 6, np.int64)
+        self.words[words.column("word").to_numpy()] = words.column("set").to_numpy()
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes & np.int64(self.bits - 1)
+        return (self.words[place >> 6] >> (place & 63)) & 1 == 1

@@ -2,34 +2,41 @@
 
 Two texts link when the Jaccard similarity of their sets of word n-grams is at least PERCENT / 100. Sets are compared
 as 64-bit hashes of n-grams; texts with equal sets (by a 128-bit hash) form one class, and only classes are joined.
+Classes, not doc_ids, are the keys throughout: one id may hold several texts.
 
 1. A first pass gives each row its set size and class, and adds up how often n-grams occur in a sketch of fixed size
    over all texts. The sketch orders the n-grams, rare ones first (ties by hash): any fixed order gives right results,
    this one keeps common passages out of prefixes.
-2. Prefixes, n - ceil(t n) + 1 n-grams long, are shuffled by n-gram. Sorted within each partition, an n-gram that one
-   class has alone is dropped; no n-gram's rows are ever held at once, whatever their number.
-3. Among the classes of an n-gram, pairs that pass the length, positional and suffix filters (the latter by a histogram
-   of the sets) are found, block of at most BLOCK rows by block, and a spanning forest of them is given out: no more
-   rows than classes, however many pairs pass. The forests' components (components.py) hold every link.
-4. Each component's sets meet once, again in blocks of bounded bytes, and pairs are verified there. A search that
-   takes each class from the rest as soon as it is linked verifies no pair twice, few pairs of classes that are
-   connected already, and gives out a spanning forest of the links.
+2. Prefixes, n - ceil(t n) + 1 n-grams long, are shuffled by n-gram, with each n-gram's position and a histogram of the
+   suffix that starts there. N-grams that the sketch finds very common are salted. Sorted within each partition, an
+   n-gram that one class has alone is dropped; no n-gram's rows are ever held at once.
+3. Then in rounds: each n-gram names the classes with the smallest hashes as its pivots (1, then 16, 256, ... a round), and
+   every other class of the n-gram meets them. Pairs that pass the length, positional and suffix filters, and that
+   weren't tested before, are verified, each once: the sets of a pivot's partners travel to the pivot's set, a bounded
+   number of n-grams to a task. Linked classes are contracted (components.py); then pivots leave their n-grams, as do
+   n-grams whose classes are all connected by now. So a group of copies costs about one test a class, not one a pair,
+   and a pair is left untested only if its classes are connected already or a filter rules it out.
+
+Sets are made again from the texts where they are needed; a bitmap of fixed size tells which texts those are.
 
 Empty sets (no words, or null text) link with nothing. Rows with a null id are returned with a null component and
-take no part. Repeated rows and ids are in one component when their texts are alike.
+take no part. Repeated rows and ids are in one component when their texts are alike; rows of one id with unlike texts
+each have their own. Texts are read whole, whatever their length; no rows give no rows. Further columns of docs aren't
+read by near_duplicates and stay, whatever their names, in deduplicated_rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from icuflow.llm.common import discard, settle
+from icuflow.llm.common import Members, discard, settle, unused
 from icuflow.llm.components import connected
 
 WORDS = 3
@@ -37,10 +44,11 @@ PERCENT = 90
 SKETCH = 1 << 20
 CHUNKS = 64
 BINS = 32
-BLOCK = 2000
-BLOCK_BYTES = 96 << 20
-BROADCAST_IDS = 2_000_000
+HOT = 10_000
+PART_GRAMS = 1 << 21
+PIVOTS = 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_HISTOGRAM = [f"h{k}" for k in range(BINS // 8)]
 
 
 class Shingler:
@@ -83,10 +91,6 @@ def needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def histogram(grams: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((grams & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65535).astype(np.uint16)
-
-
 def _sets(batches, shingler: Shingler) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
@@ -138,241 +142,257 @@ def sketch_of(survey: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """gram, cls, place (size and position, packed): the prefix of each class, at least once."""
+def suffix_histograms(ordered: np.ndarray, places: int) -> tuple[int, np.ndarray]:
+    """For the first places of a set in its order: how many n-grams of the suffix from there on fall in each bin, in units of the first result, rounded up to bytes."""
+    bins = (ordered & np.uint64(BINS - 1)).astype(np.int64)
+    whole = np.bincount(bins, minlength=BINS)
+    gone = np.zeros((places, BINS), np.int64)
+    gone[np.arange(1, places), bins[: places - 1]] = 1
+    unit = -(-int(whole.max()) // 255)
+    return unit, (-(-(whole - np.cumsum(gone, axis=0)) // unit)).astype(np.uint8)
+
+
+def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int, hot: int = HOT) -> DataFrame:
+    """gram, salts, cls, n, place, unit, h0 and on: the prefix of each class, at least once. salts: into how many parts a common n-gram is dealt."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 20) - 1).astype(np.uint32))
+    # what every place of the sketch holds on average is noise, not a common n-gram
+    hot = max(hot, 4 * int(sketch.mean()))
 
     def cut(batches):
         shingler, counts, seen = Shingler(words), shared.value, set()
         for _, sets in _sets(batches, shingler):
-            grams, classes, places = [], [], []
+            grams, often, classes, numbers, tails = [], [], [], [], []
             for s in sets:
                 if not len(s) or (cls := class_of(s)) in seen:
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(cls)
-                rank = (counts[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20))
-                p = prefix_length(len(s), percent)
-                grams.append(s[np.argsort(rank, kind="stable")[:p]])
+                count = counts[(s >> np.uint64(44)).astype(np.int64)]
+                rank = (count.astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20))
+                p, order = prefix_length(len(s), percent), np.argsort(rank, kind="stable")
+                unit, tail = suffix_histograms(s[order], p)
+                grams.append(s[order[:p]])
+                often.append(count[order[:p]])
                 classes.append(np.full(p, np.frombuffer(cls, "V16")[0], "V16"))
-                places.append((np.int64(len(s)) << np.int64(32)) | np.arange(p))
+                numbers.append(np.stack([np.full(p, len(s)), np.arange(p), np.full(p, unit)]).astype(np.int32))
+                tails.append(tail)
             if grams:
                 data = np.concatenate(classes).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(data) // 16, [None, pa.py_buffer(data)]).cast(pa.binary()), pa.array(np.concatenate(places))], names=["gram", "cls", "place"])
+                n, place, unit = np.concatenate(numbers, axis=1)
+                packed = np.concatenate(tails).view(np.int64)
+                cls = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(data) // 16, [None, pa.py_buffer(data)]).cast(pa.binary())
+                salts = (np.concatenate(often) // np.uint32(hot) + 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(grams).view(np.int64)), pa.array(salts), cls, *map(pa.array, (n, place, unit)), *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(len(_HISTOGRAM)))], names=["gram", "salts", "cls", "n", "place", "unit", *_HISTOGRAM]
+                )
 
-    return docs.select("text").mapInArrow(cut, "gram long, cls binary, place long")
+    return docs.select("text").mapInArrow(cut, "gram long, salts int, cls binary, n int, place int, unit int, " + ", ".join(f"{h} long" for h in _HISTOGRAM))
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
-    """gram, cls, place: the rows of n-grams that several classes have."""
+    """rows, with salt, of n-grams that several classes have, each class once; all rows of salted n-grams."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def scan(batches):
-        # of the run that may go on in the next batch: its n-gram, first row and last class, and if the first row was given out
-        state: dict = {"gram": None}
+        waiting, given, last = None, False, (None, None, None)  # the last batch's last row, if it was given out, and its key and class
         for b in batches:
             if not b.num_rows:
                 continue
-            gram, place = b.column("gram").to_numpy(), b.column("place").to_numpy()
-            cls = np.frombuffer(b"".join(b.column("cls").to_pylist()), "V16")
-            words = cls.view(np.uint64).reshape(-1, 2)
-            goes_on = state["gram"] == gram[0]
-            new_run = np.r_[not goes_on, gram[1:] != gram[:-1]]
-            again = np.r_[goes_on and state["last"] == cls[0].tobytes(), (~new_run[1:]) & (words[1:] == words[:-1]).all(axis=1)]
-            run = np.cumsum(new_run) - (not goes_on)
-            others = np.bincount(run[~again], minlength=run[-1] + 1) - 1  # distinct classes of the run in this batch beyond its first
-            others[0] += goes_on
-            out = ~again & (others[run] > 0)
-            waits = goes_on and others[0] > 0 and not state["given"]
-            first = [state["first"]] if waits else []
+            gram, salt, many = (b.column(c).to_numpy() for c in ("gram", "salt", "salts"))
+            cls = np.frombuffer(b"".join(b.column("cls").to_pylist()), np.uint64).reshape(-1, 2)
+            same_run = np.r_[last[:2] == (gram[0], salt[0]), (gram[1:] == gram[:-1]) & (salt[1:] == salt[:-1])]
+            again = same_run & np.r_[last[2] == cls[0].tobytes(), (cls[1:] == cls[:-1]).all(axis=1)]
+            follows = same_run & ~again  # another class of the same n-gram
+            run = np.cumsum(~same_run)
+            out = ~again & ((many > 1) | (np.bincount(run[follows], minlength=run[-1] + 1)[run] > 0))
+            if run[0] == 0 and given:  # the run goes on from the last batch, which had given it out
+                out |= ~again & (run == 0)
+            if run[0] == 0 and not given and (follows & (run == 0)).any():
+                yield waiting
             if out.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[gram[:1][: len(first)], gram[out]]), pa.array([c for c, _ in first] + [x.tobytes() for x in cls[out]], pa.binary()), pa.array(np.r_[np.array([p for _, p in first], np.int64), place[out]])], names=["gram", "cls", "place"]
-                )
-            head = int(np.nonzero(new_run)[0][-1]) if new_run.any() else None
-            kept_on = head is None  # the whole batch belongs to the run that went on
-            state = {"gram": gram[-1], "last": cls[-1].tobytes(), "first": state["first"] if kept_on else (cls[head].tobytes(), place[head]), "given": bool(others[run[-1]] > 0) or (kept_on and state["given"])}
-
-    ordered = rows.repartition(parts, "gram").sortWithinPartitions("gram", F.shiftright("place", 32), "cls")
-    return ordered.mapInArrow(scan, "gram long, cls binary, place long")
-
-
-def with_sets(texts: DataFrame, words: int, name: str, made: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """texts with a column made from each text's set instead of the text; rows with an empty set go."""
-    kept = [c for c in texts.columns if c != "text"]
-    schema = ", ".join([*(f"{c} {t}" for c, t in texts.dtypes if c != "text"), f"{name} binary"])
+                yield b.filter(pa.array(out))
+            in_last = run == run[-1]
+            given = bool((out & in_last).any()) or (given and run[-1] == 0)
+            if run[-1]:
+                waiting = b.slice(int(np.argmax(in_last)), 1)
+            last = (gram[-1], salt[-1], cls[-1].tobytes())
+
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
+    return salted.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "cls").mapInArrow(scan, salted.schema)
+
+
+def _suffix_bound(a: str, b: str) -> Column:
+    """The most n-grams that two suffixes can share, by their histograms."""
+    byte = lambda side, h, k: F.shiftrightunsigned(F.col(f"{side}.{h}"), 8 * k).bitwiseAND(255) * F.col(f"{side}.unit")
+    total = F.lit(0).cast("long")
+    for h in _HISTOGRAM:
+        for k in range(8):
+            total = total + F.least(byte(a, h, k), byte(b, h, k))
+    return total
+
+
+def candidate_pairs(live: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """u, v, n: pairs of classes of different components, u a pivot and v a later class of one of its n-grams, that pass all filters; n is v's set size.
+
+    live, pivots: gram, salt(s), cls, first, label, n, place, unit, h0 and on."""
+    p = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("p")
+    least = F.ceil(percent * (F.col("p.n") + F.col("x.n")).cast("long") / (100 + percent))
+    lengths = F.least("p.n", "x.n") * F.lit(100).cast("long") >= F.greatest("p.n", "x.n") * F.lit(percent).cast("long")
+    before = F.least("p.place", "x.place")
+    positional = before + F.least(F.col("p.n") - F.col("p.place"), F.col("x.n") - F.col("x.place")) >= least
+    later = (F.col("x.first") > F.col("p.first")) | ((F.col("x.first") == F.col("p.first")) & (F.col("x.cls") > F.col("p.cls")))
+    met = live.alias("x").join(p, (F.col("x.gram") == F.col("p.gram")) & (F.col("x.salt") == F.col("p.salt")) & later & (F.col("x.label") != F.col("p.label")))
+    passed = met.where(lengths & positional).where(before + _suffix_bound("p", "x") >= least)
+    return passed.select(F.col("p.cls").alias("u"), F.col("x.cls").alias("v"), F.col("x.n").alias("n")).distinct()
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """cls, grams of the texts of docs whose doc_id is in wanted (one column), at least once a class, and of a few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(Members(wanted))
 
     def make(batches):
-        shingler = Shingler(words)
-        for b, sets in _sets(batches, shingler):
-            full = pa.array([len(s) > 0 for s in sets])
-            column = pa.array([made(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), column], names=[*kept, name]).filter(full)
-
-    return texts.mapInArrow(make, schema)
-
-
-def forest(n: int, right: np.ndarray, whole: bool, passing: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that connect what chains of passing pairs connect. Unless whole, pairs stand left and right.
-
-    passing(x, others) gives those of others that pass with x. What is connected already is not asked about again."""
-    left, edges = np.arange(n), []
-    while left.size:
-        open_, left = [int(left[0])], left[1:]
-        while open_ and left.size:
-            x = open_.pop()
-            asked = left if whole else left[right[left] != right[x]]
-            found = passing(x, asked) if asked.size else asked
-            if found.size:
-                edges += [(x, y) for y in found.tolist()]
-                open_ += found.tolist()
-                left = left[~np.isin(left, found, assume_unique=True)]
-    return edges
-
-
-def in_blocks(rows: DataFrame, blocks: str, row: str) -> DataFrame:
-    """Rows of a key with several blocks go to every pair of blocks that their own is in: i <= j, and right tells rows of j."""
-    own = F.when(F.col(blocks) > 1, F.pmod(F.xxhash64(row), F.col(blocks))).otherwise(0).cast("int")
-    x = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
-    return x.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("right", F.col("own") > F.col("other")).drop("own", "other", blocks)
-
-
-def _suffix(bins: np.ndarray, x: int, y: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Where the histograms allow least common n-grams (full bins tell nothing)."""
-    return (np.minimum(bins[y], bins[x]).sum(axis=1) >= least) | (bins[y].max(axis=1) == 65535)
-
-
-def _edges(rep: np.ndarray, edges: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"u": pa.array([rep[a] for a, _ in edges], pa.int64()), "v": pa.array([rep[b] for _, b in edges], pa.int64())})
-
-
-def _one_block(t: pa.Table) -> bool:
-    return t.column("i")[0].as_py() == t.column("j")[0].as_py()
-
-
-def whole_groups(batches, keys: list[str]) -> Iterator[pa.Table]:
-    """Sorted batches as tables that no group of keys is cut by; a group's rows are bounded."""
-    waiting: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        same = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        last = np.ones(b.num_rows, bool)
-        for v in same:
-            last &= v == v[-1]
-        start = int(b.num_rows - last[::-1].argmin()) if not last.all() else 0
-        if start or (waiting and any(waiting[-1].column(k)[-1] != b.column(k)[0] for k in keys)):
-            # what waited ends in this batch, or before it
-            yield pa.Table.from_batches([*waiting, b.slice(0, start)]).combine_chunks()
-            waiting = []
-        waiting.append(b.slice(start))
-    if waiting:
-        yield pa.Table.from_batches(waiting).combine_chunks()
-
-
-def candidate_edges(rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """u, v: forests of the pairs of each n-gram's classes that pass all filters but verification. rows: gram, rep, place, bins.
-
-    Most n-grams have two classes; those are tested all at once."""
-    sizes = rows.groupBy("gram").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("gram", "g")
-    dealt = in_blocks(rows.join(sizes, F.col("gram") == F.col("g")).drop("g"), "blocks", "rep")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["gram", "i", "j"]
-
-    def filtered(batches):
-        for t in whole_groups(batches, keys):
-            gram, i, j, rep, place, right = (t.column(c).to_numpy() for c in (*keys, "rep", "place", "right"))
-            if not len(gram):
-                continue
-            n, at = place >> 32, place & ((1 << 32) - 1)
-            bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
-
-            def passing(x, y, n=n, at=at, bins=bins):
-                """Of the pairs (x, y), x one row or as many as y: which pass."""
-                least = needed(n[y], n[x], percent)
-                may = (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent) & (np.minimum(at[y], at[x]) + np.minimum(n[y] - at[y], n[x] - at[x]) >= least)
-                few = np.nonzero(may)[0]
-                may[few] = _suffix(bins, x[few] if isinstance(x, np.ndarray) else x, y[few], least[few]) if few.size else False
-                return may
-
-            heads = np.r_[0, np.nonzero((gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))[0] + 1]
-            counts = np.diff(np.r_[heads, len(gram)])
-            two = heads[(counts == 2) & ((i == j)[heads] | (right[heads] != right[np.minimum(heads + 1, len(gram) - 1)]))]
-            two = two[passing(two, two + 1)] if two.size else two
-            u, v = [rep[two]], [rep[two + 1]]
-            for start, k in zip(heads[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
-                own = slice(start, start + k)
-                edges = forest(k, right[own], i[start] == j[start], lambda x, y, start=start, passing=passing: y[passing(start + x, start + y)])
-                u.append(rep[own][[e[0] for e in edges]] if edges else rep[:0])
-                v.append(rep[own][[e[1] for e in edges]] if edges else rep[:0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-
-    ordered = dealt.repartition(parts, *keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(filtered, "u long, v long").where("u <> v").distinct()
-
-
-def links_in(sets: DataFrame, percent: int) -> DataFrame:
-    """u, v: forests of the links within each cluster. sets: cluster, rep, grams, i, j, right."""
-
-    def linked(t: pa.Table) -> pa.Table:
-        rep, right = t.column("rep").to_numpy(), t.column("right").to_numpy()
-        packed = t.column("grams").combine_chunks()
-        packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
-        _, ends, data = packed.buffers()
-        ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(packed.type) else np.int32)[packed.offset : packed.offset + len(packed) + 1]
-        data = np.frombuffer(data, np.uint8)
-        sets = [data[a:b].view(np.uint64) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]  # no copies
-        n = np.array([len(s) for s in sets], np.int64)
-        bins = np.stack([histogram(s) for s in sets]).astype(np.int32)
-
-        def passing(x: int, y: np.ndarray) -> np.ndarray:
-            y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
-            least = needed(n[y], n[x], percent)
-            may = _suffix(bins, x, y, least) if y.size else np.zeros(0, bool)
-            y, least, out = y[may], least[may], [y[:0]]
-            for k in range(0, len(y), 256):
-                part = [sets[z] for z in y[k : k + 256]]
-                flat = np.concatenate(part)
-                at = np.minimum(np.searchsorted(sets[x], flat), n[x] - 1)
-                starts = np.cumsum([0, *[len(s) for s in part[:-1]]])
-                common = np.add.reduceat((sets[x][at] == flat).astype(np.int64), starts)
-                out.append(y[k : k + 256][common >= least[k : k + 256]])
-            return np.concatenate(out)
-
-        return _edges(rep, forest(len(rep), right, _one_block(t), passing))
-
-    return sets.groupBy("cluster", "i", "j").applyInArrow(linked, "u long, v long").where("u <> v").distinct()
-
-
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs of the wanted doc_ids with wanted's columns; a small wanted, which is settled, goes to the texts."""
-    return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each row of docs: doc_id, n_shingles (set size) and component_id (the smallest doc_id that links reach)."""
+        shingler, seen = Shingler(words), set()
+        for b in batches:
+            few = b.filter(pa.array(shared.value.has(b.column("key").to_numpy())))
+            for _, sets in _sets([few], shingler):
+                made = {}
+                for s in sets:
+                    if len(s) and (cls := class_of(s)) not in seen:
+                        made[cls] = s.tobytes()
+                        if len(seen) < 1 << 20:
+                            seen.add(cls)
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.binary()), pa.array(list(made.values()), pa.binary())], names=["cls", "grams"])
+
+    return docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(make, "cls binary, grams binary")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, part_grams: int = PART_GRAMS) -> DataFrame:
+    """u, v, linked of pairs (u, v, n; settled). A pivot's partners are dealt to parts of about part_grams n-grams, and its set goes to each of them."""
+    hubs = settle(pairs.groupBy("u").agg(F.ceil(F.sum(F.col("n").cast("long")) / part_grams).cast("int").alias("parts")), "hubs")
+    dealt = pairs.alias("p").join(hubs.alias("h"), F.col("p.u") == F.col("h.u")).select(F.col("p.u").alias("u"), F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.col("v").alias("wanted"), F.lit(1).alias("turn"))
+    own = hubs.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("u").alias("wanted"), F.lit(0).alias("turn"))
+    needs = own.unionByName(dealt)
+    ids = pairs.select(F.col("v").alias("wanted")).unionByName(hubs.select(F.col("u").alias("wanted"))).distinct().join(classes, F.col("wanted") == F.col("cls")).select("doc_id").distinct()
+    moved = needs.join(sets_of(docs, ids, words), F.col("wanted") == F.col("cls")).select("u", "part", "turn", "wanted", "grams")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def check(batches):
+        key, own = None, None
+        for b in batches:
+            us, vs = b.column("u").to_pylist(), b.column("wanted").to_pylist()
+            out: dict[tuple[bytes, bytes], bool] = {}
+            for k, (part, turn) in enumerate(zip(b.column("part").to_pylist(), b.column("turn").to_pylist(), strict=True)):
+                grams = np.frombuffer(b.column("grams")[k].as_buffer(), np.uint64)
+                if not turn:
+                    key, own = (us[k], part), grams.copy()
+                elif (us[k], vs[k]) not in out:
+                    if key != (us[k], part):
+                        raise ValueError("the set of a pivot is missing")
+                    at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
+                    out[us[k], vs[k]] = int((own[at] == grams).sum()) >= needed(len(own), len(grams), percent)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary()), pa.array(list(out.values()), pa.bool_())], names=["u", "v", "linked"])
+
+    done = settle(moved.repartition(parts, "u", "part").sortWithinPartitions("u", "part", "turn").mapInArrow(check, "u binary, v binary, linked boolean"), "verdicts")
+    discard(hubs)
+    return done
+
+
+def linked_classes(live: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, part_grams: int = PART_GRAMS) -> DataFrame | None:
+    """node, component: the components of classes, settled; None without links. live: shared_grams()."""
+    tested, found, k = [], None, 1
+    rows = settle(live.select("*", F.xxhash64("cls").alias("first"), F.col("cls").alias("label")), "live")
+    while not rows.isEmpty():
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("gram").orderBy("first", "cls")))
+        pivots = settle(ranked.where(F.col("rank") <= k).drop("rank", "salt"), "pivots")
+        pairs = candidate_pairs(rows, pivots, percent)
+        for old in tested:
+            pairs = pairs.join(old.where("not linked").select("u", "v"), ["u", "v"], "left_anti")
+        pairs = settle(pairs, "pairs")
+        if not pairs.isEmpty():
+            tested.append(verified(pairs, classes, docs, words, percent, part_grams))
+            edges = tested[-1].where("linked").select("u", "v")
+            before, found = found, connected(edges if found is None else edges.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+            discard(*([before] if before is not None else []))
+        rest = rows.drop("label").join(pivots.select("gram", "cls"), ["gram", "cls"], "left_anti")
+        if found is not None:
+            rest = rest.join(found, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls")).drop("node", "component")
+        else:
+            rest = rest.withColumn("label", F.col("cls"))
+        rest = settle(rest, "live")
+        # grams whose classes aren't all in one component
+        open_ = settle(rest.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram"), "open")
+        before, rows = rows, settle(rest.join(open_, "gram", "left_semi"), "live")
+        discard(before, pivots, pairs, rest, open_)
+        k *= PIVOTS
+    discard(rows, *tested)
+    return found
+
+
+def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: int = HOT, part_grams: int = PART_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id, n and cls (null for an empty set or a null id); and of each class the label (a class of its component) and component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = settle(surveyed(docs, words), "survey")
-    rows = survey.where("chunk is null").select("doc_id", "n", "cls")
-    placed = rows.where("cls is not null and doc_id is not null")
-    classes = placed.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    rows = survey.where("chunk is null").select("doc_id", "n", F.expr("if(doc_id is null, null, cls)").alias("cls"))
+    classes = settle(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
     with_id = docs.where("doc_id is not null")
-    live = settle(shared_grams(prefixes(with_id, sketch_of(survey), words, percent)), "grams")
-    reps = settle(live.select("cls").distinct().join(classes, "cls").select(F.col("cls").alias("c"), F.col("rep").alias("doc_id")), "reps")
-    bins = with_sets(texts_of(with_id, reps), words, "bins", lambda s: histogram(s).tobytes())
-    bins = settle(bins.dropDuplicates(["c"]).withColumnRenamed("doc_id", "rep"), "bins")
-    clusters = connected(candidate_edges(live.join(bins, F.col("cls") == F.col("c")).select("gram", "rep", "place", "bins"), percent, block))
-    members = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).unionByName(clusters.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct())
-    sized = members.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
-    bytes_ = F.sum(F.col("n").cast("long") * 8)
-    blocks = sized.groupBy("cluster").agg(F.ceil(F.greatest(bytes_ / block_bytes, F.count("*") / block)).cast("int").alias("blocks"))
-    members = settle(members.join(blocks, "cluster"), "members")
-    sets = with_sets(texts_of(with_id, members), words, "grams", np.ndarray.tobytes).withColumnRenamed("doc_id", "rep")
-    final = connected(links_in(in_blocks(sets, "blocks", "rep"), percent))
-    discard(live, reps, bins, clusters, members)
-    named = classes.join(final, F.col("rep") == F.col("node"), "left").select(F.col("cls").alias("c"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(named, F.col("cls") == F.col("c"), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    live = shared_grams(prefixes(with_id, sketch_of(survey), words, percent, hot))
+    found = linked_classes(live, classes, with_id, words, percent, part_grams)
+    if found is None:
+        named = classes.select("cls", F.col("cls").alias("label"), F.col("doc_id").alias("component_id"))
+    else:
+        joined = settle(classes.join(found, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("label")), "labels")
+        least = settle(joined.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+        named = joined.join(least, "label").select("cls", "label", "component_id")
+    named = settle(named, "named")
+    discard(classes, *([found, joined, least] if found is not None else []))
+    return rows, named
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, **bounds: int) -> DataFrame:
+    """For each row of docs: doc_id, n_shingles (set size) and component_id (the smallest doc_id that links reach)."""
+    rows, named = labelled(docs, words, percent, **bounds)
+    out = rows.join(named.select(F.col("cls").alias("c"), "component_id"), F.col("cls") == F.col("c"), "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def deduplicated_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, **bounds: int) -> DataFrame:
+    """Of each component of docs one row with the smallest doc_id, with all its columns; rows with an empty set or a null id all stay.
+
+    Where an id holds several texts, each text's own component decides."""
+    rows, named = labelled(docs, words, percent, **bounds)
+    key = unused(docs.columns, "kept_id")
+    in_class = rows.where("cls is not null").groupBy("doc_id", "cls").agg(F.count("*").alias("copies"))
+    best = in_class.join(named.select(F.col("cls").alias("c"), "label"), F.col("cls") == F.col("c")).groupBy("label").agg(F.min(F.struct("doc_id", "cls")).alias("row"))
+    kept = settle(best.select("row.doc_id", "row.cls"), "kept")
+    ids = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("d")).agg(F.count("*").alias("times"), F.max(F.col("n") == 0).alias("empty"))
+    ids = settle(ids.join(kept.groupBy("doc_id").agg(F.count("*").alias("keeps")), F.col("d") == F.col("doc_id"), "left").select("d", "times", "empty", "keeps"), "ids")
+    once = ids.where("times = 1 and (empty or keeps is not null)").select(F.col("d").alias(key))
+    own = docs["doc_id"].cast("long")
+    out = docs.join(once, own == once[key], "left_semi").unionByName(docs.where(own.isNull()))
+    repeated = ids.where("times > 1 and (empty or keeps is not null)").select("d")
+    if repeated.isEmpty():
+        return out
+    # ids that several rows have: those rows' classes decide
+    column, shared, names = unused(docs.columns, "cls"), docs.sparkSession.sparkContext.broadcast(Members(repeated)), docs.columns
+    hashed = unused([*docs.columns, column], "id_hash")
+
+    def classed(batches):
+        shingler = Shingler(words)
+        for b in batches:
+            few = b.filter(pa.array(shared.value.has(b.column(len(names)).to_numpy())))
+            for at in range(0, few.num_rows, 256):
+                part = few.slice(at, 256)
+                sets = [shingler.set_of(t) for t in part.column(names.index("text")).cast(pa.string()).cast(pa.binary()).to_pylist()]
+                cls = pa.array([class_of(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], cls], names=[*names, column])
+
+    found = docs.where(own.isNotNull()).withColumn(hashed, F.xxhash64(own)).mapInArrow(classed, StructType([*docs.schema, StructField(column, BinaryType())]))
+    found = settle(found.join(repeated.select(F.col("d").alias(key)), F.col("doc_id").cast("long") == F.col(key), "left_semi"), "repeated")
+    wanted = kept.select(F.col("doc_id").alias(key), F.col("cls").alias(hashed))
+    chosen = found.where(F.col(column).isNotNull()).join(wanted, (F.col("doc_id").cast("long") == F.col(key)) & (F.col(column) == F.col(hashed)), "left_semi").dropDuplicates(["doc_id", column])
+    return out.unionByName(chosen.unionByName(found.where(F.col(column).isNull())).drop(column))
 
 
 ORACLE = r"""

@@ -261,8 +261,8 @@ def brute_components(docs):
     return sorted((d, len(g), find(d)) for d, g in sets)
 
 
-@pytest.mark.parametrize("block", [2000, 7])
-def test_components_by_brute_force(spark, rng, block):
+@pytest.mark.parametrize("bounds", [{}, {"hot": 1, "part_grams": 50}])
+def test_components_by_brute_force(spark, rng, bounds):
     bases = [[f"w{rng.randrange(300)}" for _ in range(n)] for n in (1, 2, 3, 9, 10, 11, 12, 25, 60, 60, 200)]
     docs = []
     for k in range(300):
@@ -272,7 +272,44 @@ def test_components_by_brute_force(spark, rng, block):
         docs.append((k, " ".join(w)))
     docs += [(1000, None), (1001, ""), (1002, "  "), (1003, docs[3][1]), (1003, docs[3][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert sorted(map(tuple, jaccard.near_duplicates(df, block=block).collect())) == brute_components(docs)
+    assert sorted(map(tuple, jaccard.near_duplicates(df, **bounds).collect())) == brute_components(docs)
+
+
+def test_ids_with_two_texts(spark, rng):
+    """Each text of an id links on its own; the stage keeps one row of each component."""
+    rows, text = [], lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(60))
+    for k in range(40):
+        a, b = text(), text()
+        rows += [(k, a, "x"), (k, b, "y"), (100 + k, a + " end", "x"), (200 + k, b + " end", "y"), (200 + k, b + " end", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df).collect()}
+    assert all(got[100 + k] == got[200 + k] == got[k] == k for k in range(40))
+    kept = jaccard.deduplicated_rows(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] < 100)
+
+
+def test_large_groups_of_near_copies(spark, rng):
+    """A chain of edits, two groups that share most of their n-grams, and a passage that unlike texts share."""
+    base = [f"a{k}" for k in range(300)]
+    docs, own = [], list(base)
+    for k in range(150):
+        own = list(own)
+        own[rng.randrange(300)] = f"e{k}"
+        docs.append((k, " ".join(own)))
+    far = base[:255] + [f"b{k}" for k in range(45)]
+    docs += [(200 + k, " ".join([*far[:270], f"f{k}", *far[271:]])) for k in range(60)]
+    docs += [(300 + k, " ".join([*(f"p{k}" for k in range(12)), *(f"q{k}.{j}" for j in range(13))])) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for bounds in ({}, {"hot": 1, "part_grams": 1000}):
+        assert sorted(map(tuple, jaccard.near_duplicates(df, **bounds).collect())) == brute_components(docs)
+
+
+def test_suffix_histograms():
+    s = np.arange(7, 2000, 3, dtype=np.uint64)
+    unit, tails = jaccard.suffix_histograms(s, 50)
+    for at in (0, 1, 49):
+        exact = np.bincount((s[at:] % jaccard.BINS).astype(int), minlength=jaccard.BINS)
+        assert ((tails[at].astype(int) * unit >= exact) & (tails[at].astype(int) * unit < exact + unit)).all()
 
 
 def test_near_duplicate_edges(odd, none):
