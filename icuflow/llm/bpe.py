@@ -1,18 +1,18 @@
 """BPE encoding and decoding through a table of distinct words.
 
 1. Split: each task cuts its texts before every space that has no white space on either side. The tokenizer's own
-   splitting never joins characters over such a cut, so the ids of a text are the ids of its words in order.
-2. Encode: each distinct word of all documents is encoded once, by the tokenizers library.
-3. Join: the ids return to the words' positions in each document. The encoded table is written once; while it holds
-   at most TABLE_BYTES it is broadcast and joined by the words' 64-bit hash (all hashes must differ, or it is not
-   used). Beyond that, documents become blocks of bounded size, in which words are numbered; (block, number, word)
-   rows are shuffled by word to be encoded and then by block to meet their documents. A frequent word makes one row a
-   block, so no task grows with its frequency.
-4. Decode: ids are joined with the id-to-piece table of the vocabulary, whose size is fixed, and the pieces' bytes are
-   put together in order.
-
-Null text counts as empty and has no ids. Rows are independent: repeated rows give repeated results. Strings of the
-vocabulary's special tokens become those tokens, as the library does by default.
+   splitting never joins characters over such a cut, so the ids of a text are the ids of its words in order. Texts
+   become blocks with numbered words (wordblocks.py).
+2. Encode: the distinct words of all blocks meet in buckets by hash, where each is encoded once, by the tokenizers
+   library. The table of encoded words is never in one place.
+3. Join: words' ids return to the blocks that have them, and take the words' places in each text, by number.
+4. Decode: the ids of each distinct word are joined with the id-to-piece table of the vocabulary, whose size is fixed
+   and whose key is dense, so that the join is a look-up by id; the words' bytes are put together in order.
+
+No step holds more than a bucket's distinct words, or a block's, and a few texts. A text is never cut between blocks,
+whatever its length. Null text counts as empty and has no ids. Rows are independent: repeated rows give repeated
+results. Columns of docs other than doc_id and text aren't read, whatever their names; no rows give no rows. Strings of
+the vocabulary's special tokens become those tokens, as the library does by default.
 """
 
 from __future__ import annotations
@@ -20,21 +20,17 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.llm.common import discard, settle
+from icuflow.llm import wordblocks
+from icuflow.llm.common import chars_in
+from icuflow.llm.wordblocks import ascending, pack, unpack
 
-TABLE_BYTES = 128 << 20
-BLOCK_CHARS = 16 << 20
-SEEN_WORDS = 1 << 20
+OUT_WORDS = 1 << 16
 _ROUGH, _CLEAN = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -47,24 +43,6 @@ def words_of(text: str | None) -> list[str]:
     return text.split(" ")
 
 
-class Numbered(dict):
-    """Words, first words of texts as 1-tuples, to numbers in order of appearance."""
-
-    def row(self, text: str | None) -> np.ndarray:
-        if not (words := words_of(text)):
-            return np.zeros(0, np.int32)
-        first, give = self.setdefault((words[0],), len(self)), self.setdefault
-        return np.array([first, *[give(w, len(self)) for w in words[1:]]], np.int32)
-
-    def spelled(self) -> list[str]:
-        return [" " + w if type(w) is str else w[0] for w in self]
-
-
-def hashes(words: list[str]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w.encode()) for w in words], np.uint64)
-
-
 def tokenizer(source: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -90,106 +68,8 @@ def piece_bytes(source: str) -> list[bytes]:
     return [spell(by_id.get(i, "")) for i in range(max(by_id) + 1)]
 
 
-def _sliced(texts: pa.Array, chars: int = 8 << 20) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of about chars bytes, so that what is made of a run stays small."""
-    start, size = 0, 0
-    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-    for k, n in enumerate(lengths):
-        size += n
-        if size >= chars or k + 1 == len(lengths):
-            yield start, texts.slice(start, k + 1 - start).to_pylist()
-            start, size = k + 1, 0
-
-
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """One column, word: each distinct word of all texts once."""
-
-    def words(batches):
-        seen: Numbered = Numbered()
-        for b in batches:
-            for _, texts in _sliced(b.column("text")):
-                before = len(seen)
-                for t in texts:
-                    if own := words_of(t):
-                        seen.setdefault((own[0],), None)
-                        seen.update(dict.fromkeys(own[1:]))
-                fresh = [" " + w if type(w) is str else w[0] for k, w in enumerate(seen) if k >= before]
-                if fresh:
-                    yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.string())], names=["word"])
-                if len(seen) > SEEN_WORDS:
-                    seen.clear()
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(words, "word string").distinct()
-
-
-def word_table(docs: DataFrame, source: str, id_type: type) -> DataFrame:
-    """Encodes each distinct word once. A row a task: packed hashes (64 bits), numbers of ids (8 bits, or 32 if a word has so many) and ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(source)
-
-    def encode(batches):
-        model, keys, counts, ids = tokenizer(shared.value), [], [], []
-        for b in batches:
-            words = b.column("word").to_pylist()
-            keys.append(hashes(words))
-            got = encoded(model, words)
-            counts.append(np.array([len(x) for x in got], np.uint32))
-            ids.append(np.array([i for x in got for i in x], id_type))
-        if keys:
-            flat = [np.concatenate(x) for x in (keys, counts, ids)]
-            flat[1] = flat[1] if flat[1].max() > 255 else flat[1].astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in flat], names=["keys", "counts", "ids"])
-
-    return settle(distinct_words(docs).mapInArrow(encode, "keys binary, counts binary, ids binary"), "words")
-
-
-class PackedTable:
-    """What the driver holds and sends of the encoded words; a task that loads it gets a WordTable."""
-
-    def __init__(self, rows: Iterator, id_type: type):
-        self.rows, self.id_type = [{c: bytes(r[c]) for c in ("keys", "counts", "ids")} for r in rows], id_type
-
-    def __reduce__(self):
-        return WordTable, (self.rows, self.id_type)
-
-    def collides(self) -> bool:
-        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in self.rows)])
-        keys.sort()
-        return bool((keys[1:] == keys[:-1]).any())
-
-
-class WordTable:
-    """The encoded words by hash, in a few flat arrays."""
-
-    def __init__(self, rows: list, id_type: type):
-        joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
-        keys = joined([np.frombuffer(r["keys"], np.uint64) for r in rows], np.uint64)
-        counts = joined([np.frombuffer(r["counts"], np.uint8 if len(r["counts"]) * 8 == len(r["keys"]) else np.uint32) for r in rows], np.uint8)
-        self.ids = joined([np.frombuffer(r["ids"], id_type) for r in rows], id_type)
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
-        self.starts = (np.cumsum(counts, dtype=np.int64) - counts)[order].astype(np.uint32 if self.ids.size < 1 << 32 else np.int64)
-
-    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word the start and number of its ids, and the ids."""
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), self.ids
-        wanted = hashes(words)
-        at = np.searchsorted(self.keys, wanted)
-        if at.max() >= self.keys.size or (self.keys[at] != wanted).any():
-            raise KeyError("a word is missing in the table of distinct words")
-        return self.starts[at].astype(np.int64), self.counts[at].astype(np.int64), self.ids
-
-
-def gathered(row: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The ids of the words in row, in order."""
-    n = counts[row]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if ends.size else 0
-    return ids[np.repeat(starts[row] - (ends - n), n) + np.arange(total)].astype("<u4")
-
-
-def decoded(ids: np.ndarray, pieces: list[bytes]) -> bytes:
-    out = b"".join(map(pieces.__getitem__, ids.tolist()))
+def decoded(parts: list[bytes]) -> bytes:
+    out = b"".join(parts)
     try:
         out.decode()
     except UnicodeDecodeError:
@@ -197,92 +77,93 @@ def decoded(ids: np.ndarray, pieces: list[bytes]) -> bytes:
     return out
 
 
-_OUT = "ids binary, decoded string"
-
-
-def _results(keys: pa.Array, rows: list[np.ndarray], found: tuple, pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(rows), 500):
-        ids = [gathered(r, *found) for r in rows[at : at + 500]]
-        yield pa.RecordBatch.from_arrays([keys.slice(at, len(ids)), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([decoded(x, pieces) for x in ids], pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
-
+def _numbering() -> wordblocks.Numbering:
+    """First words of texts are 1-tuples; all others stand for themselves with a space before."""
 
-def _by_broadcast(docs: DataFrame, rows: PackedTable, pieces: list[bytes], schema: str) -> DataFrame:
-    context = docs.sparkSession.sparkContext
-    shared, spelled = context.broadcast(rows), context.broadcast(pieces)
+    def marked(text: str) -> list:
+        words = words_of(text)
+        return [(words[0],), *words[1:]] if words else []
 
-    def join(batches):
-        for b in batches:
-            numbered, texts = Numbered(), b.column("text")
-            rows = [numbered.row(t) for _, part in _sliced(texts) for t in part]
-            yield from _results(b.column("doc_id"), rows, shared.value.find(numbered.spelled()), spelled.value)
-
-    return docs.mapInArrow(join, schema)
+    return wordblocks.Numbering(marked, lambda w: " " + w if type(w) is str else w[0])
 
 
-def _by_shuffle(docs: DataFrame, source: str, pieces: list[bytes], schema: str, block_chars: int) -> DataFrame:
-    context = docs.sparkSession.sparkContext
-    shared, spelled = context.broadcast(source), context.broadcast(pieces)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def blocks(batches):
-        block, chars, numbered, sent = TaskContext.get().partitionId() << 32, 0, Numbered(), 0
-        for b in batches:
-            for start, texts in _sliced(b.column("text"), block_chars):
-                rows = [numbered.row(t).tobytes() for t in texts]
-                fresh = numbered.spelled()[sent:]
-                n, m = len(rows), len(fresh)
-                keys = pa.concat_arrays([b.column("doc_id").slice(start, n), pa.nulls(m, b.column("doc_id").type)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * (n + m), pa.int64()), keys, pa.array(rows + [None] * m, pa.binary()), pa.array([None] * n + [*range(sent, sent + m)], pa.int32()), pa.array([None] * n + fresh, pa.string())], names=["block", "doc_id", "row", "number", "word"]
-                )
-                sent, chars = sent + m, chars + sum(len(t or "") for t in texts)
-                if chars >= block_chars:
-                    block, chars, numbered, sent = block + 1, 0, Numbered(), 0
-
-    made = settle(docs.mapInArrow(blocks, f"block long, doc_id {id_type}, row binary, number int, word string"), "blocks")
+def word_ids(made: DataFrame, source: str) -> DataFrame:
+    """block, numbers, counts, ids: for each row of words its numbers and, packed, the numbers of ids and the ids. A word is encoded once."""
+    shared = made.sparkSession.sparkContext.broadcast(source)
 
     def encode(batches):
-        model, known = tokenizer(shared.value), {}
+        model, known, bucket = tokenizer(shared.value), {}, None
         for b in batches:
-            words = b.column("word").to_pylist()
-            fresh = [w for w in dict.fromkeys(words) if w not in known]
-            known.update(zip(fresh, (np.array(x, "<u4").tobytes() for x in encoded(model, fresh)), strict=True))
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("number"), pa.array([known[w] for w in words], pa.binary())], names=["block", "number", "ids"])
-
-    # all rows of a word meet in one task, which encodes it once
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = made.where("number is not null").select("block", "number", "word").repartition(parts, "word").mapInArrow(encode, "block long, number int, ids binary")
-
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("number")
-        ids = [np.frombuffer(x, "<u4") for x in right.column("ids").to_pylist()]
-        counts = np.array([x.size for x in ids], np.int64)
-        found = np.cumsum(counts) - counts, counts, np.concatenate(ids or [np.zeros(0, "<u4")])
-        rows = [np.frombuffer(x, np.int32) for x in left.column("row").to_pylist()]
-        return pa.Table.from_batches(_results(left.column("doc_id").combine_chunks(), rows, found, spelled.value))
-
-    texts = made.where("row is not null").select("block", "doc_id", "row")
-    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, schema)
-
-
-def encode_decode(docs: DataFrame, vocabulary: str, table_bytes: int = TABLE_BYTES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+            out: tuple[list, list] = ([], [])
+            for own, packed in zip(b.column("bucket").to_pylist(), b.column("words").to_pylist(), strict=True):
+                if own != bucket:
+                    bucket, known = own, {}
+                words = wordblocks.unpack_words(packed)
+                fresh = [w for w in words if w not in known]
+                known.update(zip(fresh, (np.array(x, np.uint32).tobytes() for x in encoded(model, fresh)), strict=True))
+                ids = [known[w] for w in words]
+                out[0].append(pack(np.fromiter(map(len, ids), np.uint32, len(ids)) >> 2))
+                out[1].append(pack(np.frombuffer(b"".join(ids), np.uint32)))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("numbers"), *(pa.array(x, pa.binary()) for x in out)], names=["block", "numbers", "counts", "ids"])
+
+    return wordblocks.by_bucket(made, "numbers", "words").mapInArrow(encode, "block long, numbers binary, counts binary, ids binary")
+
+
+class BlockWords:
+    """The encoded words of a block by number: where their ids start, how many there are, and their bytes."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes, bytes]], pieces: list[bytes]):
+        numbers, counts, ids = ([f(r[k]) for r in rows] for k, f in enumerate((ascending, unpack, unpack)))
+        joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
+        numbers, counts, self.ids = joined(numbers, np.int64), joined(counts, np.int64), joined(ids, np.uint32)
+        ends = np.cumsum(counts)
+        flat = [*map(pieces.__getitem__, self.ids.tolist())]
+        self.counts, self.starts = np.zeros(numbers.size, np.int64), np.zeros(numbers.size, np.int64)
+        self.counts[numbers], self.starts[numbers] = counts, ends - counts
+        self.spelled = [b"".join(flat[a : a + n]) for a, n in zip(self.starts.tolist(), self.counts.tolist(), strict=True)]
+
+    def text(self, row: np.ndarray) -> tuple[bytes, bytes]:
+        """The ids of the words in row, packed, and the bytes that they are decoded to."""
+        n = self.counts[row]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if ends.size else 0
+        ids = self.ids[np.repeat(self.starts[row] - (ends - n), n) + np.arange(total)]
+        return ids.astype("<u4").tobytes(), decoded([*map(self.spelled.__getitem__, row.tolist())])
+
+
+def encode_decode(docs: DataFrame, vocabulary: str, block_chars: int = wordblocks.BLOCK_CHARS) -> DataFrame:
     """For each row of docs: doc_id, ids (packed, little-endian unsigned 32-bit) and the text decoded from them.
 
     vocabulary: path of a byte-level BPE file of the tokenizers library. It is read on the driver and sent along.
     """
     with open(vocabulary, encoding="utf-8") as f:
         source = f.read()
-    pieces = piece_bytes(source)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_OUT}"
-    id_type = np.uint16 if len(pieces) <= 65536 else np.uint32
-    words = word_table(docs, source, id_type)
-    size = words.agg(F.sum(F.octet_length("keys") + F.octet_length("counts") + F.octet_length("ids"))).first()[0] or 0
-    rows = PackedTable(words.toLocalIterator(), id_type) if size <= table_bytes else None
-    discard(words)
-    if rows and not rows.collides():
-        return _by_broadcast(docs, rows, pieces, schema)
-    return _by_shuffle(docs, source, pieces, schema, block_chars)
+    spelled = docs.sparkSession.sparkContext.broadcast(piece_bytes(source))
+    made = wordblocks.blocked(docs, _numbering, wordblocks.buckets_for(docs, chars_in(docs)), block_chars)
+
+    def assemble(batches):
+        block, waiting, words = None, [], None
+        for b in batches:
+            columns = [b.column(c) for c in ("block", "turn", "keys", "numbers", "lengths", "counts", "ids")]
+            for k in range(b.num_rows):
+                own, turn, keys, numbers, lengths, counts, ids = (c[k] for c in columns)
+                if own.as_py() != block:
+                    block, waiting, words = own.as_py(), [], None
+                if not turn.as_py():
+                    waiting.append((numbers.as_py(), counts.as_py(), ids.as_py()))
+                    continue
+                if words is None:
+                    words, waiting = BlockWords(waiting, spelled.value), []
+                flat, ends = unpack(numbers.as_py()), np.cumsum(unpack(lengths.as_py()), dtype=np.int64)
+                start, done = 0, 0  # the first text, and word, not given out yet
+                while start < ends.size:
+                    stop = max(start + 1, int(np.searchsorted(ends, done + OUT_WORDS, side="right")))
+                    texts = [words.text(row) for row in np.split(flat[done : ends[stop - 1]], ends[start : stop - 1] - done)]
+                    yield pa.RecordBatch.from_arrays([keys.values.slice(start, stop - start), pa.array([t[0] for t in texts], pa.binary()), pa.array([t[1] for t in texts], pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
+                    start, done = stop, int(ends[stop - 1])
+
+    return wordblocks.by_block(made, word_ids(made, source)).mapInArrow(assemble, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
 
 
 def bpe_report(docs: DataFrame, vocabulary: str, **bounds: int) -> DataFrame:

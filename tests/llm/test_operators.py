@@ -226,7 +226,7 @@ def test_decontamination_edges(spark, odd, none):
 # 6 byte-pair encoding
 
 
-@pytest.mark.parametrize("bounds", [{}, {"table_bytes": 0, "block_chars": 20_000}])
+@pytest.mark.parametrize("bounds", [{}, {"block_chars": 20_000}])
 def test_bpe_equals_library(spark, odd, none, bounds):
     extra = ["\n\n x<|endoftext|> y", "<|endoftext|>", "  x 　y  z", "é" * 300 + " " + "x" * 3000, "tab\t here \t\t there", "１２ ½ 3", "😀 😀😀  "]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + k, t) for k, t in enumerate(extra)], "doc_id long, text string")).unionByName(spark.read.parquet(f"{DATA}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
