@@ -142,28 +142,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, block_chars: int = wordblock
     spelled = docs.sparkSession.sparkContext.broadcast(piece_bytes(source))
     made = wordblocks.blocked(docs, _numbering, wordblocks.buckets_for(docs, chars_in(docs)), block_chars)
 
-    def assemble(batches):
-        block, waiting, words = None, [], None
-        for b in batches:
-            columns = [b.column(c) for c in ("block", "turn", "keys", "numbers", "lengths", "counts", "ids")]
-            for k in range(b.num_rows):
-                own, turn, keys, numbers, lengths, counts, ids = (c[k] for c in columns)
-                if own.as_py() != block:
-                    block, waiting, words = own.as_py(), [], None
-                if not turn.as_py():
-                    waiting.append((numbers.as_py(), counts.as_py(), ids.as_py()))
-                    continue
-                if words is None:
-                    words, waiting = BlockWords(waiting, spelled.value), []
-                flat, ends = unpack(numbers.as_py()), np.cumsum(unpack(lengths.as_py()), dtype=np.int64)
-                start, done = 0, 0  # the first text, and word, not given out yet
-                while start < ends.size:
-                    stop = max(start + 1, int(np.searchsorted(ends, done + OUT_WORDS, side="right")))
-                    texts = [words.text(row) for row in np.split(flat[done : ends[stop - 1]], ends[start : stop - 1] - done)]
-                    yield pa.RecordBatch.from_arrays([keys.values.slice(start, stop - start), pa.array([t[0] for t in texts], pa.binary()), pa.array([t[1] for t in texts], pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
-                    start, done = stop, int(ends[stop - 1])
-
-    return wordblocks.by_block(made, word_ids(made, source)).mapInArrow(assemble, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
+    def assemble(texts, values):
+        words = BlockWords(values, spelled.value)
+        for keys, rows in wordblocks.slices(texts, OUT_WORDS):
+            out = [words.text(row) for row in rows]
+            yield pa.RecordBatch.from_arrays([keys, pa.array([t[0] for t in out], pa.binary()), pa.array([t[1] for t in out], pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
+
+    return wordblocks.by_block(made, word_ids(made, source), assemble, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
 
 
 def bpe_report(docs: DataFrame, vocabulary: str, **bounds: int) -> DataFrame:

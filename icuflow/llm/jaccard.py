@@ -9,10 +9,11 @@ Classes, not doc_ids, are the keys throughout: one id may hold several texts.
    this one keeps common passages out of prefixes.
 2. Prefixes, n - ceil(t n) + 1 n-grams long, are shuffled by n-gram, with each n-gram's position and a histogram of the
    suffix that starts there. N-grams that the sketch finds very common are salted. Sorted within each partition, an
-   n-gram that one class has alone is dropped; no n-gram's rows are ever held at once.
-3. Then in rounds: each n-gram names the classes with the smallest hashes as its pivots (1, then 16, 256, ... a round), and
-   every other class of the n-gram meets them. Pairs that pass the length, positional and suffix filters, and that
-   weren't tested before, are verified, each once: the sets of a pivot's partners travel to the pivot's set, a bounded
+   n-gram that one class has alone is dropped; no n-gram's rows are ever held at once. Each row left tells how many
+   n-grams before it are left too (no other can be shared, which tightens the positional filter), and the first of them.
+3. Then in rounds: each n-gram names the classes that share most as its pivots (1, then 16, 256, ... a round), and every
+   other class of the n-gram meets them. A pair counts at the first n-gram that it shares. Pairs that pass the length,
+   positional and suffix filters are verified, each once: the sets of a pivot's partners travel to the pivot's set, a bounded
    number of n-grams to a task. Linked classes are contracted (components.py); then pivots leave their n-grams, as do
    n-grams whose classes are all connected by now. So a group of copies costs about one test a class, not one a pair,
    and a pair is left untested only if its classes are connected already or a filter rules it out.
@@ -45,8 +46,9 @@ SKETCH = 1 << 20
 CHUNKS = 64
 BINS = 32
 HOT = 10_000
-PART_GRAMS = 1 << 21
+PART_GRAMS = 1 << 16
 PIVOTS = 16
+KNOWN = 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _HISTOGRAM = [f"h{k}" for k in range(BINS // 8)]
 
@@ -221,6 +223,16 @@ def shared_grams(rows: DataFrame) -> DataFrame:
     return salted.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "cls").mapInArrow(scan, salted.schema)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """rows with before (how many n-grams of the class come earlier), earlier (the first KNOWN of them), first (the order of pivots) and label (the class itself)."""
+    own = Window.partitionBy("cls")
+    order, shares = own.orderBy("place"), F.least(F.count("*").over(own), F.lit(1 << 20))
+    x = rows.withColumn("before", (F.row_number().over(order) - 1).cast("int"))
+    x = x.withColumn("earlier", F.collect_list(F.when(F.col("before") < KNOWN, F.col("gram"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    first = F.shiftleft((F.lit(1 << 20) - shares).cast("long"), 40) + F.xxhash64("cls").bitwiseAND((1 << 40) - 1)
+    return x.withColumn("first", first).withColumn("label", F.col("cls"))
+
+
 def _suffix_bound(a: str, b: str) -> Column:
     """The most n-grams that two suffixes can share, by their histograms."""
     byte = lambda side, h, k: F.shiftrightunsigned(F.col(f"{side}.{h}"), 8 * k).bitwiseAND(255) * F.col(f"{side}.unit")
@@ -234,15 +246,15 @@ def _suffix_bound(a: str, b: str) -> Column:
 def candidate_pairs(live: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     """u, v, n: pairs of classes of different components, u a pivot and v a later class of one of its n-grams, that pass all filters; n is v's set size.
 
-    live, pivots: gram, salt(s), cls, first, label, n, place, unit, h0 and on."""
+    live, pivots: rows of placed()."""
     p = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("p")
     least = F.ceil(percent * (F.col("p.n") + F.col("x.n")).cast("long") / (100 + percent))
     lengths = F.least("p.n", "x.n") * F.lit(100).cast("long") >= F.greatest("p.n", "x.n") * F.lit(percent).cast("long")
-    before = F.least("p.place", "x.place")
+    before = F.least("p.before", "x.before")
     positional = before + F.least(F.col("p.n") - F.col("p.place"), F.col("x.n") - F.col("x.place")) >= least
     later = (F.col("x.first") > F.col("p.first")) | ((F.col("x.first") == F.col("p.first")) & (F.col("x.cls") > F.col("p.cls")))
     met = live.alias("x").join(p, (F.col("x.gram") == F.col("p.gram")) & (F.col("x.salt") == F.col("p.salt")) & later & (F.col("x.label") != F.col("p.label")))
-    passed = met.where(lengths & positional).where(before + _suffix_bound("p", "x") >= least)
+    passed = met.where(lengths & positional).where(before + _suffix_bound("p", "x") >= least).where(~F.arrays_overlap("p.earlier", "x.earlier"))
     return passed.select(F.col("p.cls").alias("u"), F.col("x.cls").alias("v"), F.col("x.n").alias("n")).distinct()
 
 
@@ -302,7 +314,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 def linked_classes(live: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, part_grams: int = PART_GRAMS) -> DataFrame | None:
     """node, component: the components of classes, settled; None without links. live: shared_grams()."""
     tested, found, k = [], None, 1
-    rows = settle(live.select("*", F.xxhash64("cls").alias("first"), F.col("cls").alias("label")), "live")
+    rows = settle(placed(live), "live")
     while not rows.isEmpty():
         ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("gram").orderBy("first", "cls")))
         pivots = settle(ranked.where(F.col("rank") <= k).drop("rank", "salt"), "pivots")

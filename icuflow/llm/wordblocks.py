@@ -5,7 +5,8 @@ and a text becomes a row of numbers. Each block sends its distinct words, dealt
 to whatever finds a value for them; a frequent word makes one entry a block, so no bucket grows with its frequency.
 Entries are packed: one row of a table holds all words that a block has in a bucket.
 
-blocked() gives both in one table, written once, so that numbers and words always fit together:
+blocked() gives both in one table, written once, so that numbers and words always fit together, and bucketed by block,
+so that texts aren't shuffled to meet their words' values:
 
 * rows of texts: block, keys (doc_ids), numbers and lengths (packed), for up to about CHUNK_WORDS words; bucket is null.
 * rows of words: block, bucket, numbers (packed, ascending), words (packed), and counts (packed) in the block.
@@ -14,6 +15,7 @@ blocked() gives both in one table, written once, so that numbers and words alway
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,10 +24,9 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from icuflow.llm.common import settle
+from icuflow.llm.common import scratch_dir
 
 BLOCK_CHARS = 32 << 20
 BUCKET_CHARS = 32 << 20
@@ -90,6 +91,10 @@ def runs(texts: pa.Array, size: int = RUN_BYTES) -> Iterator[tuple[int, list[str
             start, at = k + 1, 0
 
 
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 _NAMES = ["block", "bucket", "keys", "numbers", "lengths", "words", "counts"]
 
 
@@ -135,7 +140,13 @@ def blocked(docs: DataFrame, numbering: Callable[[], Numbering], buckets: int, b
         if texts:
             yield from made(block, numbered, texts)
 
-    return settle(docs.mapInArrow(blocks, f"block long, bucket int, keys array<{kind}>, numbers binary, lengths binary, words binary, counts binary"), name)
+    table = docs.mapInArrow(blocks, f"block long, bucket int, keys array<{kind}>, numbers binary, lengths binary, words binary, counts binary")
+    spark, called = docs.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{called}"
+    table.write.format("parquet").bucketBy(_parts(spark), "block").option("path", path).saveAsTable(called)
+    out = spark.table(called)
+    out.settled_at = path
+    return out
 
 
 def ascending(packed: bytes) -> np.ndarray:
@@ -144,19 +155,34 @@ def ascending(packed: bytes) -> np.ndarray:
 
 
 def buckets_for(docs: DataFrame, chars: int) -> int:
-    """So many that one bucket's distinct words fit into a task's memory."""
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
+    """So many that one bucket's distinct words fit into a task's memory, and that partitions get about as much each."""
+    return max(4 * _parts(docs.sparkSession), -(-chars // BUCKET_CHARS))
 
 
 def by_bucket(made: DataFrame, *columns: str) -> DataFrame:
     """The rows of words, those of a bucket together."""
-    parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return made.where("bucket is not null").select("block", "bucket", *columns).repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
+    return made.where("bucket is not null").select("block", "bucket", *columns).repartition(_parts(made.sparkSession), "bucket").sortWithinPartitions("bucket", "block")
+
+
+def by_block(made: DataFrame, values: DataFrame, function: Callable[[list[tuple], list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """function(texts, values) of each block: texts are (keys, numbers, lengths), values the columns of values (block, numbers and further binary columns) without block."""
+    columns = [c for c in values.columns if c != "block"]
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = [*zip(*(left.column(c) for c in ("keys", "numbers", "lengths")), strict=True)]
+        texts = [(k.values, n.as_py(), m.as_py()) for k, n, m in texts]
+        return pa.Table.from_batches(function(texts, [*zip(*(right.column(c).to_pylist() for c in columns), strict=True)]))
+
+    texts = made.where("bucket is null").select("block", "keys", "numbers", "lengths")
+    return texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(joined, schema)
 
 
-def by_block(made: DataFrame, values: DataFrame) -> DataFrame:
-    """The rows of texts after the values of their block's words, block by block. values: block, numbers and further binary columns."""
-    parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = made.where("bucket is null").select("block", F.lit(1).alias("turn"), "keys", "numbers", "lengths")
-    both = texts.unionByName(values.withColumn("turn", F.lit(0)), allowMissingColumns=True)
-    return both.repartition(parts, "block").sortWithinPartitions("block", "turn")
+def slices(texts: list[tuple], words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Keys and rows of numbers, about words words at a time."""
+    for keys, numbers, lengths in texts:
+        flat, ends = unpack(numbers), np.cumsum(unpack(lengths), dtype=np.int64)
+        start, done = 0, 0  # the first text, and word, not given out yet
+        while start < ends.size:
+            stop = max(start + 1, int(np.searchsorted(ends, done + words, side="right")))
+            yield keys.slice(start, stop - start), np.split(flat[done : ends[stop - 1]], ends[start : stop - 1] - done)
+            start, done = stop, int(ends[stop - 1])
