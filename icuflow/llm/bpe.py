@@ -142,7 +142,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, block_chars: int = wordblock
     spelled = docs.sparkSession.sparkContext.broadcast(piece_bytes(source))
     made = wordblocks.blocked(docs, _numbering, wordblocks.buckets_for(docs, chars_in(docs)), block_chars)
 
-    def assemble(texts, values):
+    def assemble(_, texts, values):
         words = BlockWords(values, spelled.value)
         for keys, rows in wordblocks.slices(texts, OUT_WORDS):
             out = [words.text(row) for row in rows]

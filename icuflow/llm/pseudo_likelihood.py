@@ -1,24 +1,26 @@
 """Masked pseudo-likelihood: a bidirectional window network scores documents.
 
-Words are counted over all documents; those with at least OWN occurrences, and the most frequent of a small corpus, get
-an id each. All others share hashed ids, within which a word has its share of their occurrences; of these words, those
-that occur more than once are sent to the tasks with their counts. So the vocabulary grows with the corpus. Id 0 stands
-for what lies outside a text. A network predicts each word from REACH words on either side: their embeddings, one
-table for each place, are summed and squashed; a softmax over classes of ids and one over the members of the class
-give the word's probability. A document's score is the sum of the conditional log-probabilities of its words.
-
-Training reads every word of every document: each task runs stochastic gradient descent (Adagrad, numpy) from the
-same start over its own rows, and the weights of the tasks that changed them are averaged, weighted by their numbers of
-words; then another round starts from the average. Averages are taken in Spark, a piece of the weights at a time.
-
-Null and empty texts have no words, score 0 and no mean. Repeated rows score alike. Texts are read whole.
+Words are counted over all documents, exactly. The most frequent ones get an id each; all others share hashed ids,
+within which a word has its share of their occurrences, so that every word of the corpus has a probability of its own
+and what is gathered grows with the corpus. Id 0 stands for what lies outside a text. A network predicts each word from
+REACH words on either side: their embeddings, one table for each place, are summed and squashed; a softmax over
+classes of ids, one over the members of the class, and the share within the id give the word's probability. A
+document's score is the sum of the conditional log-probabilities of its words.
+
+Documents are dealt to blocks by a hash of the row, so that the layout of docs changes nothing. Texts are cut into words
+once; words travel to their counts and back by wordblocks.py, so no task or driver holds the vocabulary: it holds the
+ids of at most CLASSES * CLASSES words. Training predicts every word of every document: each block runs stochastic
+gradient descent (Adagrad, numpy) from the same start, and the blocks' weights are averaged, weighted by their numbers
+of words, in Spark, a piece of the weights at a time; another round starts from the average.
+
+Null and empty texts have no words, score 0 and no mean. Repeated rows score alike, up to rounding. Texts are read whole, whatever
+their length, each in one block. Columns of docs other than doc_id and text aren't read, whatever their names; no rows
+give no rows.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,150 +29,121 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.llm.common import discard, settle
+from icuflow.llm import wordblocks
+from icuflow.llm.common import chars_in, discard, settle
+from icuflow.llm.wordblocks import ascending, pack, unpack
 
 REACH, WIDTH, CLASSES = 2, 16, 32
-IDS = CLASSES * CLASSES
 HASHED = 256
-OWN = 100
 BATCH = 4096
+GROUP = 1 << 15
 ROUNDS = 1
+RATE = 0.05
 PIECE = 1024
+BLOCK_CHARS = 16 << 20
 WORD = re.compile(r"\w+|[^\w\s]")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n over all texts. A task adds up its own words first, and gives out what it has whenever it has many."""
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
 
-    def count(batches):
-        seen: Counter = Counter()
 
-        def out():
-            words = list(seen)
-            made = pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace").decode() for w in words], pa.string()), pa.array([seen[w] for w in words], pa.int64())], names=["word", "n"])
-            seen.clear()
-            return made
+def hash_of(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode()) % HASHED
 
-        for b in batches:
-            for t in b.column("text"):
-                seen.update(WORD.findall((t.as_py() or "").lower()))
-                if len(seen) > 1 << 19:
-                    yield out()
-        yield out()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+class Ids:
+    """The id of a word: 1 and on by frequency, the last HASHED for all others."""
 
+    def __init__(self, words: list[str], classes: int = CLASSES):
+        self.own = {w: k + 1 for k, w in enumerate(words)}
+        self.first = classes * classes - HASHED
 
-def classes_for(words: int) -> int:
-    """The number of classes, and of members of each, for so many words with ids of their own."""
-    return max(CLASSES, math.isqrt(words + HASHED) + 1)
+    def __call__(self, word: str) -> int:
+        return self.own.get(word) or self.first + hash_of(word)
 
 
-def hash_of(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-
-
-class Numbering:
-    """Words to ids: 1 and on by frequency, then hashed ids. rest: hashes (ascending) and counts of other words, and all counts by hashed id."""
-
-    def __init__(self, words: list[str], rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
-        self.ids = {w: k + 1 for k, w in enumerate(words)}
-        self.hashed = classes_for(len(words)) ** 2 - HASHED
-        self.known: dict[str, int] = {}
-        self.shares: dict[str, float] = {}
-        self.rest = rest
-
-    def _learn(self, words: set[str]) -> None:
-        others = []
-        for w in words:
-            if (own := self.ids.get(w)) is not None:
-                self.known[w] = own
-            else:
-                others.append(w)
-        hashes = np.array([hash_of(w) for w in others], np.uint64)
-        buckets = (hashes % np.uint64(HASHED)).astype(np.int64)
-        self.known.update(zip(others, (self.hashed + buckets).tolist(), strict=True))
-        if self.rest is not None and others:
-            known, counts, masses = self.rest
-            n = np.ones(len(others))  # what isn't listed occurs once
-            if known.size:
-                at = np.minimum(np.searchsorted(known, hashes), known.size - 1)
-                n = np.where(known[at] == hashes, counts[at], 1)
-            self.shares.update(zip(others, np.log(n / np.maximum(masses[buckets], n)).tolist(), strict=True))
-
-    def row_and_share(self, text: str | None) -> tuple[np.ndarray, float]:
-        """The ids of a text, and the sum of its words' log-shares of their hashed ids."""
-        words = WORD.findall((text or "").lower())
-        if len(self.known) > 1 << 19:
-            self.known.clear()
-            self.shares.clear()
-        if new := set(words).difference(self.known):
-            self._learn(new)
-        return np.array([*map(self.known.__getitem__, words)], np.int32), math.fsum(self.shares[w] for w in words if w in self.shares) if self.shares else 0.0
-
-    def row(self, text: str | None) -> np.ndarray:
-        return self.row_and_share(text)[0]
-
-
-def windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids in the 2 * REACH places around each word of all rows, and the words."""
-    edge = np.zeros(REACH, np.int32)
-    flat = np.concatenate([x for r in rows for x in (r, edge)] or [edge])
-    flat = np.concatenate([edge, flat])
-    at = np.concatenate([np.arange(len(r)) + s for r, s in zip(rows, np.cumsum([REACH, *[len(r) + REACH for r in rows]]), strict=False)] or [np.zeros(0, np.int64)]).astype(np.int64)
-    places = [k for k in range(-REACH, REACH + 1) if k]
-    return np.stack([flat[at + k] for k in places], axis=1) if at.size else np.zeros((0, len(places)), np.int32), flat[at]
+def stream(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows with REACH zeros around each, and where the words are."""
+    lengths = np.array([len(r) for r in rows], np.int64)
+    starts = np.cumsum(np.r_[REACH, lengths[:-1] + REACH]) if len(rows) else np.zeros(0, np.int64)
+    flat = np.zeros(int(lengths.sum()) + REACH * (len(rows) + 1), np.int16)
+    at = np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    flat[at] = np.concatenate([*rows, np.zeros(0, np.int16)])
+    return flat, at
+
+
+_PLACES = [k for k in range(-REACH, REACH + 1) if k]
 
 
 class Network:
     """All weights in one flat vector, seen as named parts."""
 
     def __init__(self, flat: np.ndarray | None = None, seed: int = 5, classes: int = CLASSES):
-        if flat is not None:
-            # the number of classes that has so many weights
-            a, b = (2 * REACH + 1) * WIDTH + 1, WIDTH + 1
-            classes = round((math.sqrt(b * b + 4 * a * (flat.size - WIDTH)) - b) / (2 * a))
         self.count = classes
-        shapes = {"table": (2 * REACH, classes * classes, WIDTH), "squash": (WIDTH,), "classes": (WIDTH, classes), "class_bias": (classes,), "members": (classes, WIDTH, classes), "member_bias": (classes, classes)}
+        shapes = {"table": (len(_PLACES), classes * classes, WIDTH), "squash": (WIDTH,), "classes": (WIDTH, classes), "class_bias": (classes,), "members": (classes, WIDTH, classes), "member_bias": (classes, classes)}
         size = sum(int(np.prod(s)) for s in shapes.values())
         self.flat = flat.copy() if flat is not None else np.random.default_rng(seed).normal(0, 0.1, size).astype(np.float32)
-        self.shapes = shapes
-        self.part = self._parts(self.flat)
+        self.shapes, self.part = shapes, self._parts(self.flat, shapes)
         self.squares: dict[str, np.ndarray] = {}
+        self.ones, self.full = np.ones(classes, np.float32), np.ones(BATCH, np.float32)
 
-    def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+    @staticmethod
+    def _parts(flat: np.ndarray, shapes: dict) -> dict[str, np.ndarray]:
         out, at = {}, 0
-        for name, shape in self.shapes.items():
+        for name, shape in shapes.items():
             n = int(np.prod(shape))
             out[name] = flat[at : at + n].reshape(shape)
             at += n
         return out
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        table = self.part["table"]
-        return np.tanh(sum(table[k][around[:, k]] for k in range(around.shape[1])) + self.part["squash"])
+    def hidden(self, around: list[np.ndarray]) -> np.ndarray:
+        h = self.part["squash"] + self.part["table"][0].take(around[0], axis=0)
+        for k in range(1, len(around)):
+            h += self.part["table"][k].take(around[k], axis=0)
+        return np.tanh(h, out=h)
+
+    def _large(self) -> bool:
+        """Whether an exponential of a logit could leave the range."""
+        most = lambda w, b: (np.abs(self.part[w]).max(axis=-1).sum(axis=-1) + np.abs(self.part[b]).max(axis=-1)).max()
+        return max(most("classes", "class_bias"), most("members", "member_bias")) > 40
 
     @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-    def _members(self, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(self.count + 1))
-        for c in range(self.count):
-            if cuts[c] < cuts[c + 1]:
-                yield c, order[cuts[c] : cuts[c + 1]]
-
-    def log_probabilities(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(words))
-        for at in range(0, len(words), BATCH):
-            own, target = around[at : at + BATCH], words[at : at + BATCH]
-            h, c, m = self.hidden(own), target // self.count, target % self.count
-            got = self._log_softmax(h @ self.part["classes"] + self.part["class_bias"])[np.arange(len(c)), c].astype(np.float64)
-            for k, rows in self._members(c):
-                got[rows] += self._log_softmax(h[rows] @ self.part["members"][k] + self.part["member_bias"][k])[np.arange(len(rows)), m[rows]]
-            out[at : at + BATCH] = got
+    def _logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, large: bool) -> np.ndarray:
+        x = h @ weights
+        x += bias
+        if large:
+            x -= x.max(axis=1, keepdims=True)
+        return x
+
+    def _sums(self, x: np.ndarray) -> np.ndarray:
+        """x becomes exponentials; their sums by row."""
+        np.exp(x, out=x)
+        return x @ self.ones
+
+    def _sorted(self, flat: np.ndarray, at: np.ndarray) -> tuple:
+        """A batch in the order of its words' classes: hidden layer, places around, classes, members, and where classes begin."""
+        order = np.argsort(flat[at], kind="stable")
+        at = at[order]
+        around, target = [flat[at + k] for k in _PLACES], flat[at].astype(np.int64)
+        c, m = target // self.count, target % self.count
+        return order, self.hidden(around), around, c, m, np.searchsorted(c, np.arange(self.count + 1)).tolist()
+
+    def log_probabilities(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the ids of flat at the places at."""
+        out, large = np.zeros(len(at)), self._large()
+        for start in range(0, len(at), GROUP):
+            order, h, _, c, m, cuts = self._sorted(flat, at[start : start + GROUP])
+            logits = self._logits(h, self.part["classes"], self.part["class_bias"], large)
+            got = logits[np.arange(len(c)), c].astype(np.float64)
+            got -= np.log(self._sums(logits))
+            for k in range(self.count):
+                a, b = cuts[k], cuts[k + 1]
+                if a < b:
+                    inner = self._logits(h[a:b], self.part["members"][k], self.part["member_bias"][k], large)
+                    got[a:b] += inner[np.arange(b - a), m[a:b]]
+                    got[a:b] -= np.log(self._sums(inner))
+            out[start + order] = got
         return out
 
     def _step(self, name: str, slope: np.ndarray, rate: float, at=...) -> None:
@@ -179,138 +152,196 @@ class Network:
         self.squares[name][at] = square
         self.part[name][at] -= rate * slope / np.sqrt(square)
 
-    def train(self, around: np.ndarray, words: np.ndarray, rate: float = 0.05) -> None:
+    def train(self, flat: np.ndarray, at: np.ndarray, rate: float = RATE) -> None:
+        """One pass over the places at, BATCH at a time."""
         if not self.squares:
-            self.squares = self._parts(np.full(self.flat.size, 1e-6, np.float32))
-        cells = np.arange(WIDTH, dtype=np.int64)
-        for at in range(0, len(words), BATCH):
-            own, target = around[at : at + BATCH], words[at : at + BATCH]
-            n, c, m = len(target), target // self.count, target % self.count
-            h = self.hidden(own)
-            off = np.exp(self._log_softmax(h @ self.part["classes"] + self.part["class_bias"]))
-            off[np.arange(n), c] -= 1
-            off /= n
+            self.squares = self._parts(np.full(self.flat.size, 1e-6, np.float32), self.shapes)
+        for start in range(0, len(at), BATCH):
+            _, h, around, c, m, cuts = self._sorted(flat, at[start : start + BATCH])
+            n, large = len(c), self._large()
+            members, member_bias = np.zeros_like(self.part["members"]), np.zeros_like(self.part["member_bias"])
+            off = self._logits(h, self.part["classes"], self.part["class_bias"], large)
+            off *= (1 / (self._sums(off) * n))[:, None]
+            off[np.arange(n), c] -= 1 / n
             back = off @ self.part["classes"].T
-            for k, rows in self._members(c):
-                e = np.exp(self._log_softmax(h[rows] @ self.part["members"][k] + self.part["member_bias"][k]))
-                e[np.arange(len(rows)), m[rows]] -= 1
-                e /= n
-                back[rows] += e @ self.part["members"][k].T
-                self._step("members", h[rows].T @ e, rate, k)
-                self._step("member_bias", e.sum(axis=0), rate, k)
+            for k in range(self.count):
+                a, b = cuts[k], cuts[k + 1]
+                if a < b:
+                    own = h[a:b]
+                    e = self._logits(own, self.part["members"][k], self.part["member_bias"][k], large)
+                    e *= (1 / (self._sums(e) * n))[:, None]
+                    e[np.arange(b - a), m[a:b]] -= 1 / n
+                    back[a:b] += e @ self.part["members"][k].T
+                    np.matmul(own.T, e, out=members[k])
+                    np.matmul(self.full[: b - a], e, out=member_bias[k])
             back *= 1 - h * h
-            flat = back.astype(np.float64).ravel()
-            for k in range(own.shape[1]):
-                met, place = np.unique(own[:, k], return_inverse=True)
-                slope = np.bincount((place.reshape(-1, 1) * WIDTH + cells).ravel(), weights=flat, minlength=len(met) * WIDTH)
-                self._step("table", slope.reshape(-1, WIDTH).astype(np.float32), rate, (k, met))
-            for name, slope in (("classes", h.T @ off), ("class_bias", off.sum(axis=0)), ("squash", back.sum(axis=0))):
+            for k, met in enumerate(around):
+                order = np.argsort(met, kind="stable")
+                ids = met[order]
+                heads = np.r_[0, np.nonzero(ids[1:] != ids[:-1])[0] + 1]
+                self._step("table", np.add.reduceat(back[order], heads, axis=0), rate, (k, ids[heads]))
+            for name, slope in (("members", members), ("member_bias", member_bias), ("classes", h.T @ off), ("class_bias", off.sum(axis=0)), ("squash", back.sum(axis=0))):
                 self._step(name, slope, rate)
 
 
-def _groups(batches, numbering: Numbering, words: int = 1 << 17) -> Iterator[tuple[list, list[np.ndarray], list[float]]]:
-    """Keys, id rows and log-shares, about words words at a time."""
+def groups(texts: list[tuple], ids: np.ndarray) -> Iterator[tuple[pa.Array, list[np.ndarray], list[np.ndarray]]]:
+    """Keys, rows of numbers and rows of ids, about GROUP words at a time."""
+    for keys, rows in wordblocks.slices(texts, GROUP):
+        yield keys, rows, [ids[r] for r in rows]
+
+
+def _by_number(values: list[tuple]) -> list[np.ndarray]:
+    """The packed columns of values after the numbers, in the order of the numbers."""
+    numbers = np.concatenate([*(ascending(v[0]) for v in values), np.zeros(0, np.int64)])
+    out = []
+    for k in range(1, len(values[0]) if values else 1):
+        out.append(np.zeros(numbers.size, np.uint32))
+        out[-1][numbers] = np.concatenate([unpack(v[k]) for v in values])
+    return out
+
+
+def dealt(docs: DataFrame, chars: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, text in an order, and in parts, that depend on the rows alone."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    row = F.xxhash64("doc_id", "text")
+    return rows.withColumn("row", row).repartition(max(1, -(-chars // block_chars)), "row").sortWithinPartitions("row", "doc_id", "text").drop("row")
+
+
+def counted(made: DataFrame, most: int) -> tuple[list[tuple[str, int]], np.ndarray]:
+    """The most frequent words with their counts (ties by word), and the counts of all words by hashed id."""
+
+    def count(batches):
+        def out(words, totals):
+            totals = np.concatenate(totals)
+            best = np.argsort(-totals, kind="stable")
+            # ties at the end stay, the driver's order decides
+            best = best[totals[best] >= totals[best[min(most, best.size) - 1]]].tolist() if best.size else []
+            names = [*words]
+            cells = np.bincount(np.fromiter(map(hash_of, names), np.int64, len(names)), weights=totals, minlength=HASHED).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in best], pa.string()), pa.nulls(len(best), pa.int32()), pa.array(totals[best])], names=["word", "cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(HASHED, pa.string()), pa.array(np.arange(HASHED, dtype=np.int32)), pa.array(cells)], names=["word", "cell", "n"])
+
+        for _, words, totals, _ in _totals(batches):
+            yield from out(words, [totals])
+
+    got = wordblocks.by_bucket(made, "words", "counts").mapInArrow(count, "word string, cell int, n long")
+    got = settle(got, "counts")
+    best = [(r["word"], r["n"]) for r in got.where("word is not null").orderBy(F.desc("n"), "word").limit(most).collect()]
+    masses = np.zeros(HASHED)
+    for r in got.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        masses[r["cell"]] = r["n"]
+    for word, n in best:
+        masses[hash_of(word)] -= n
+    discard(got)
+    return best, masses
+
+
+def _totals(batches) -> Iterator[tuple[int, list[str], np.ndarray, list[tuple]]]:
+    """Of each bucket: its distinct words, their counts in all blocks, and its rows as (row, places of its words)."""
+    bucket, words, rows, totals = None, wordblocks.Numbering(lambda w: w), [], np.zeros(0, np.int64)
     for b in batches:
-        keys = b.column("doc_id") if "doc_id" in b.schema.names else None
-        start, rows, shares, size = 0, [], [], 0
-        for k, t in enumerate(b.column("text")):
-            row, share = numbering.row_and_share(t.as_py())
-            rows.append(row)
-            shares.append(share)
-            size += len(rows[-1])
-            if size >= words or k + 1 == b.num_rows:
-                yield keys.slice(start, k + 1 - start) if keys is not None else None, rows, shares
-                start, rows, shares, size = k + 1, [], [], 0
-
-
-def averaged_round(docs: DataFrame, numbering, start: np.ndarray) -> np.ndarray:
-    """The average of the weights that the tasks reach from start."""
-    shared = docs.sparkSession.sparkContext.broadcast(start)
-
-    def train(batches):
+        columns = b.schema.names
+        for k in range(b.num_rows):
+            row = {c: b.column(c)[k].as_py() for c in columns}
+            if row["bucket"] != bucket:
+                if rows:
+                    yield bucket, words, totals, rows
+                bucket, words, rows, totals = row["bucket"], wordblocks.Numbering(lambda w: w), [], np.zeros(0, np.int64)
+            places = words.row(wordblocks.unpack_words(row.pop("words")))
+            totals = np.concatenate([totals, np.zeros(len(words) - totals.size, np.int64)])
+            totals[places] += unpack(row.pop("counts"))
+            rows.append((row, places.astype(np.uint32)))
+    if rows:
+        yield bucket, words, totals, rows
+
+
+def valued(made: DataFrame, words: list[str]) -> DataFrame:
+    """block, numbers, ids, totals (0 for words with an id of their own) of each row of words, kept by block."""
+    shared = made.sparkSession.sparkContext.broadcast(words)
+
+    def value(batches):
+        id_of = Ids(shared.value)
+        for _, known, totals, rows in _totals(batches):
+            ids = np.fromiter(map(id_of, known), np.uint32, len(known))
+            rest = np.where(ids < id_of.first, 0, totals).astype(np.uint32)
+            for at in range(0, len(rows), 256):
+                part = rows[at : at + 256]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["block"] for r, _ in part], pa.int64()), pa.array([r["numbers"] for r, _ in part], pa.binary()), pa.array([pack(ids[p]) for _, p in part], pa.binary()), pa.array([pack(rest[p]) for _, p in part], pa.binary())], names=["block", "numbers", "ids", "totals"]
+                )
+
+    rows = wordblocks.by_bucket(made, "numbers", "words", "counts").mapInArrow(value, "block long, numbers binary, ids binary, totals binary")
+    return wordblocks.kept_by_block(rows, "values")
+
+
+def averaged_round(made: DataFrame, values: DataFrame, start: np.ndarray) -> np.ndarray:
+    """The average of the weights that the blocks reach from start."""
+    shared = made.sparkSession.sparkContext.broadcast(start)
+
+    def train(block, texts, values):
+        ids = _by_number(values)[0].astype(np.int16) if values else np.zeros(0, np.int16)
         network, n = Network(shared.value), 0
-        for _, rows, _ in _groups(batches, Numbering(numbering.value)):
-            around, words = windows(rows)
-            order = np.random.default_rng(len(words)).permutation(len(words))
-            network.train(around[order], words[order])
-            n += len(words)
-        if n:
-            changed = [k for k in range(-(-network.flat.size // PIECE)) if not np.array_equal(network.flat[k * PIECE : (k + 1) * PIECE], shared.value[k * PIECE : (k + 1) * PIECE])]
-            for at in range(0, len(changed), 1024):
-                part = changed[at : at + 1024]
-                pieces = [network.flat[k * PIECE : (k + 1) * PIECE].tobytes() for k in part]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([n] * len(part), pa.int64()), pa.array(pieces, pa.binary())], names=["piece", "n", "weights"])
+        for _, _, rows in groups(texts, ids):
+            flat, at = stream(rows)
+            network.train(flat, at)
+            n += len(at)
+        pieces = range(-(-network.flat.size // PIECE)) if n else []
+        weights = [network.flat[k * PIECE : (k + 1) * PIECE].tobytes() for k in pieces]
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(weights), pa.int64()), pa.array(pieces, pa.int32()), pa.array([n] * len(weights), pa.int64()), pa.array(weights, pa.binary())], names=["block", "piece", "n", "weights"])
 
     def average(batches):
-        sums: dict[int, list] = {}
+        piece, words, total = None, 0, 0.0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([(total / words).astype(np.float32).tobytes()], pa.binary())], names=["piece", "weights"])
         for b in batches:
-            for piece, n, weights in zip(b.column("piece").to_pylist(), b.column("n").to_pylist(), b.column("weights").to_pylist(), strict=True):
-                own = sums.setdefault(piece, [0, 0.0])
-                own[0] += n
-                own[1] = own[1] + n * np.frombuffer(weights, np.float32).astype(np.float64)
-        for piece, (n, total) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["piece", "weights"])
-
-    parts = min(-(-start.size // PIECE), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    made = docs.select("text").mapInArrow(train, "piece int, n long, weights binary").repartition(parts, "piece").mapInArrow(average, "piece int, weights binary")
+            for own, n, weights in zip(b.column("piece").to_pylist(), b.column("n").to_pylist(), b.column("weights").to_pylist(), strict=True):
+                if own != piece:
+                    if words:
+                        yield out()
+                    piece, words, total = own, 0, 0.0
+                words, total = words + n, total + n * np.frombuffer(weights, np.float32).astype(np.float64)
+        if words:
+            yield out()
+
+    trained = wordblocks.by_block(made, values, train, "block long, piece int, n long, weights binary")
+    parts = min(-(-start.size // PIECE), int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = start.copy()
-    for r in made.collect():
+    for r in trained.repartition(parts, "piece").sortWithinPartitions("piece", "block").mapInArrow(average, "piece int, weights binary").collect():
         out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["weights"], np.float32)
     return out
 
 
-def rest_of(counts: DataFrame, own: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words after the last one of own: hashes, ascending, and counts where they occur more than once; all counts by hashed id."""
-
-    def hashed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([hash_of(w) for w in b.column("word").to_pylist()], np.uint64).view(np.int64)), b.column("n")], names=["hash", "n"])
-
-    if own:
-        n, word = own[-1]["n"], own[-1]["word"]
-        counts = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
-    rest, masses = counts.mapInArrow(hashed, "hash long, n long"), np.zeros(HASHED)
-    for r in rest.groupBy(F.col("hash").bitwiseAND(HASHED - 1).alias("bucket")).agg(F.sum("n").alias("n")).collect():
-        masses[r["bucket"]] = r["n"]
-    listed = rest.where("n > 1").toArrow()
-    hashes, n = listed.column("hash").to_numpy().view(np.uint64), listed.column("n").to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], n[order].astype(np.uint32), masses
-
-
-def learn_all(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The words with ids of their own, in order, the trained weights, and what Numbering takes for the other words."""
-    docs = docs.select(F.col("text").cast("string").alias("text"))
-    counts = settle(word_counts(docs), "words")
-    size = max(IDS - HASHED - 1, counts.where(F.col("n") >= OWN).count())
-    own = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    frequent, rest = [r["word"] for r in own], rest_of(counts, own)
-    discard(counts)
-    numbering = docs.sparkSession.sparkContext.broadcast(frequent)
-    weights = Network(classes=classes_for(len(frequent))).flat
-    for _ in range(rounds):
-        weights = averaged_round(docs, numbering, weights)
-    return frequent, weights, rest
-
+def prepared(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame, list[str], np.ndarray]:
+    """The blocks of docs, their words' values, the words with ids of their own, and the counts of all others by hashed id."""
+    chars = chars_in(docs.select(F.col("text").cast("string").alias("text")))
+    made = wordblocks.blocked(dealt(docs, chars, block_chars), lambda: wordblocks.Numbering(words_of), wordblocks.buckets_for(docs, chars), block_chars)
+    best, masses = counted(made, CLASSES * CLASSES - HASHED - 1)
+    words = [w for w, _ in best]
+    return made, valued(made, words), words, masses
 
-def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """The words with ids of their own, in order, and the trained weights."""
-    return learn_all(docs, rounds)[:2]
 
-
-def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """For each row of docs: doc_id, n_words, score (the sum of log-probabilities) and mean_score."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn_all(docs, rounds))
+    made, values, _, masses = prepared(docs, block_chars)
+    weights = Network().flat
+    for _ in range(rounds):
+        weights = averaged_round(made, values, weights)
+    shared = docs.sparkSession.sparkContext.broadcast((weights, masses))
 
-    def score(batches):
-        words, weights, rest = shared.value
+    def score(_, texts, values):
+        weights, masses = shared.value
         network = Network(weights)
-        for keys, rows, shares in _groups(batches, Numbering(words, rest)):
-            sums = np.concatenate([[0.0], np.cumsum(network.log_probabilities(*windows(rows)))])
+        ids, totals = _by_number(values) if values else (np.zeros(0, np.uint32),) * 2
+        first = CLASSES * CLASSES - HASHED
+        rest = ids >= first
+        shares = np.zeros(ids.size)
+        shares[rest] = np.log(totals[rest] / masses[ids[rest].astype(np.int64) - first])
+        for keys, numbers, rows in groups(texts, ids.astype(np.int16)):
+            got = network.log_probabilities(*stream(rows)) + shares[np.concatenate([*numbers, np.zeros(0, np.uint32)])]
             sizes = np.array([len(r) for r in rows], np.int64)
             ends = np.cumsum(sizes)
-            scores = sums[ends] - sums[ends - sizes] + np.array(shares)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(sizes), pa.array(scores), pa.array([s / n if n else None for s, n in zip(scores.tolist(), sizes.tolist(), strict=True)], pa.float64())], names=["doc_id", "n_words", "score", "mean_score"])
+            sums = np.concatenate([[0.0], np.cumsum(got)])
+            scores = sums[ends] - sums[ends - sizes]
+            means = [s / n if n else None for s, n in zip(scores.tolist(), sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(sizes), pa.array(scores), pa.array(means, pa.float64())], names=["doc_id", "n_words", "score", "mean_score"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, score double, mean_score double")
+    return wordblocks.by_block(made, values, score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, score double, mean_score double")

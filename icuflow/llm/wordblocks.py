@@ -140,8 +140,12 @@ def blocked(docs: DataFrame, numbering: Callable[[], Numbering], buckets: int, b
         if texts:
             yield from made(block, numbered, texts)
 
-    table = docs.mapInArrow(blocks, f"block long, bucket int, keys array<{kind}>, numbers binary, lengths binary, words binary, counts binary")
-    spark, called = docs.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    return kept_by_block(docs.mapInArrow(blocks, f"block long, bucket int, keys array<{kind}>, numbers binary, lengths binary, words binary, counts binary"), name)
+
+
+def kept_by_block(table: DataFrame, name: str) -> DataFrame:
+    """table written once to the shared folder, bucketed by block."""
+    spark, called = table.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = f"{scratch_dir(spark)}/{called}"
     table.write.format("parquet").bucketBy(_parts(spark), "block").option("path", path).saveAsTable(called)
     out = spark.table(called)
@@ -164,14 +168,15 @@ def by_bucket(made: DataFrame, *columns: str) -> DataFrame:
     return made.where("bucket is not null").select("block", "bucket", *columns).repartition(_parts(made.sparkSession), "bucket").sortWithinPartitions("bucket", "block")
 
 
-def by_block(made: DataFrame, values: DataFrame, function: Callable[[list[tuple], list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """function(texts, values) of each block: texts are (keys, numbers, lengths), values the columns of values (block, numbers and further binary columns) without block."""
+def by_block(made: DataFrame, values: DataFrame, function: Callable[[int, list[tuple], list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """function(block, texts, values) of each block: texts are (keys, numbers, lengths), values the columns of values (block, numbers and further binary columns) without block."""
     columns = [c for c in values.columns if c != "block"]
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = [*zip(*(left.column(c) for c in ("keys", "numbers", "lengths")), strict=True)]
         texts = [(k.values, n.as_py(), m.as_py()) for k, n, m in texts]
-        return pa.Table.from_batches(function(texts, [*zip(*(right.column(c).to_pylist() for c in columns), strict=True)]))
+        block = next((t.column("block")[0].as_py() for t in (left, right) if t.num_rows))
+        return pa.Table.from_batches(function(block, texts, [*zip(*(right.column(c).to_pylist() for c in columns), strict=True)]))
 
     texts = made.where("bucket is null").select("block", "keys", "numbers", "lengths")
     return texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(joined, schema)
