@@ -11,8 +11,13 @@ the rest, a logistic layer over a text's strongest features is fitted, weighted
 labelled rows, so that scores are probabilities. The sample holds at most about SAMPLE rows of each class and depends
 on the rows alone. Score and model use nothing but the text.
 
+Only stretches with a sign of hiding (_SUSPECT, _SPACED) reach the lattice; other writings are read as they stand. In
+scoring, neither do stretches that cannot become a word with odds, whatever the path: imitation, repetition and
+separation leave a stretch's skeleton as it is. Decoding is exact, no path is cut off.
+
 Null and empty texts have no features; their score is the model's for none. Without labels of both classes every
-score is the share of label 1, or 0. Labels that contradict one another count as toxic. Texts are read whole.
+score is the share of label 1, or 0. Labels that contradict one another count as toxic. Texts are read whole, whatever their
+length. Repeated rows score alike; other columns aren't read, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -112,8 +117,7 @@ class CharacterModel:
                     s = score - (COST_REPEATS if repeats else COST_SEPARATES)
                     if s > after.get((a, b), (-math.inf,))[0]:
                         after[a, b] = (s, chain)
-            # a few best paths are enough: others differ by letters that the model finds unlikely
-            states = after if len(after) <= 24 else dict(sorted(after.items(), key=lambda x: -x[1][0])[:24])
+            states = after
         chain = max(((s + self.log[a][b][0], n, c) for n, ((a, b), (s, c)) in enumerate(states.items())), default=(0, 0, None))[2]
         out = []
         while chain is not None:
@@ -126,33 +130,72 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in (4, 5, 6, 7) if len(word) > n)] if len(word) > 2 else [word]
 
 
+def _kinds() -> dict[int, str | None]:
+    """For str.translate: a character's kind. Letters that one character imitates are of one kind, and so is that character; others have none."""
+    kind = {c: c for c in LETTERS}
+    for letters in IMITATES.values():
+        for c in letters:
+            kind = {k: kind[letters[0]] if v == kind[c] else v for k, v in kind.items()}
+    return {ord(k): v for k, v in kind.items()} | {ord(c): kind[letters[0]] for c, letters in IMITATES.items()}
+
+
+class _Kinds(dict):
+    def __missing__(self, key):
+        return None
+
+
+_KINDS = _Kinds(_kinds())
+_RUN = re.compile(r"(.)\1+")
+
+
+def skeleton(observed: str) -> str:
+    """The kinds of the characters, runs as one. Whatever word restore() finds has the skeleton of what was observed."""
+    return _RUN.sub(r"\1", observed.translate(_KINDS))
+
+
 class Restorer:
-    """The distinct words of a text, as written and as restored. Each distinct stretch between white space is decoded once."""
+    """The words of a text, as written and as restored. Each distinct stretch between white space is decoded once.
+
+    With odds, only words that have odds are given, and only stretches whose skeleton fits one of those are decoded: the rest can't find any."""
 
-    def __init__(self, model: CharacterModel):
-        self.model, self.known = model, {}
+    def __init__(self, model: CharacterModel, odds: dict[str, float] | None = None):
+        self.model, self.odds, self.known = model, odds, {}
+        whole, starts = ({skeleton(f) for f in odds or () if f.endswith("*") == star} for star in (False, True))
+        self.whole, self.starts, self.lengths = whole, starts, sorted({len(x) for x in starts})
+
+    def _fits(self, seen: str) -> bool:
+        if self.odds is None:
+            return True
+        own = skeleton(seen)
+        return own in self.whole or any(own[:n] in self.starts for n in self.lengths)
 
     def restored(self, seen: str) -> list[str]:
         # with the marks at its ends cut off it is tried as well: an imitating character may be just a mark
         # and so is each piece between inner punctuation
         pieces = {x for x in _INNER.split(seen) if _SUSPECT.search(x)}
-        return [w for w in {self.model.restore(x) for p in {seen, *pieces} for x in (p, p.strip(_MARKS))} if len(w) > 2]
+        tried = {x for p in {seen, *pieces} for x in (p, p.strip(_MARKS))}
+        return [w for w in {self.model.restore(x) for x in tried if self._fits(x)} if len(w) > 2]
+
+    def _kept(self, words: list[str]) -> tuple[str, ...]:
+        return tuple(words) if self.odds is None else tuple(w for w in words if any(f in self.odds for f in features_of(w)))
 
-    def words(self, text: str) -> set[str]:
+    def words(self, text: str) -> tuple[set[str], int]:
+        """The words, and the number of distinct stretches between white space."""
         text = text.lower()
         parts = set(text.split())
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        for p in parts.difference(self.known):
-            self.known[p] = tuple(_WORD.findall(p)) + (tuple(self.restored(p)) if _SUSPECT.search(p) else ())
+        known = self.known
+        for p in parts.difference(known):
+            known[p] = self._kept(_WORD.findall(p) + (self.restored(p) if _SUSPECT.search(p) else []))
         words = set()
-        words.update(*map(self.known.__getitem__, parts))
+        words.update(*map(known.__getitem__, parts))
         for p in {m.group() for m in _SPACED.finditer(text)}:
-            found = self.known.get(p)
+            found = known.get(p)
             if found is None:
-                found = self.known[p] = tuple(self.restored(p))
+                found = known[p] = self._kept(self.restored(p))
             words.update(found)
-        return words
+        return words, len(parts)
 
 
 class ToxicityModel:
@@ -162,26 +205,16 @@ class ToxicityModel:
         self.characters, self.odds, self.layer, self.share = characters, odds, layer, share
 
     def start(self) -> None:
-        self.restorer, self.best = Restorer(self.characters), {}
-
-    def strength(self, word: str) -> float:
-        got = self.best.get(word)
-        if got is None:
-            if len(self.best) > KNOWN_WORDS:
-                self.best.clear()
-            got = self.best[word] = max((self.odds.get(f, 0.0) for f in features_of(word)), default=0.0)
-        return got
-
-    def summary(self, text: str | None) -> np.ndarray:
-        words = self.restorer.words(text) if text else ()
-        found = sorted((s for s in map(self.strength, words) if s > 0), reverse=True)[:5] + [0.0] * 5
-        size = math.log1p(len(words))
-        return np.array([1.0, found[0], found[1], found[2], sum(found[:5]), float(sum(s > 3 for s in found)), size / 5])
+        self.restorer = Restorer(self.characters, self.odds)
+
+    def summary(self, words: set[str], parts: int) -> np.ndarray:
+        found = sorted((s for s in (max((self.odds.get(f, 0.0) for f in features_of(w)), default=0.0) for w in words) if s > 0), reverse=True)[:5] + [0.0] * 5
+        return np.array([1.0, found[0], found[1], found[2], sum(found[:5]), float(sum(s > 3 for s in found)), math.log1p(parts) / 5])
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if self.layer is None:
             return [self.share] * len(texts)
-        x = np.array([self.summary(t) for t in texts]).reshape(len(texts), -1) @ self.layer
+        x = np.array([self.summary(*(self.restorer.words(t) if t else ((), 0))) for t in texts]).reshape(len(texts), -1) @ self.layer
         return (1 / (1 + np.exp(-np.clip(x, -30, 30)))).tolist()
 
 
@@ -237,12 +270,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     texts = sorted(((r["s"], r["text"], r["toxic"]) for r in rows.select("text", "toxic", hash_share("text", "doc_id").alias("s")).collect()), key=lambda r: r[:2])
     if not {0, 1} <= {toxic for _, _, toxic in texts}:
         return ToxicityModel(characters, {}, None, share)
-    words = [(restorer.words(text), toxic) for _, text, toxic in texts]
+    words = [(*restorer.words(text), toxic) for _, text, toxic in texts]
     cut = len(words) * 3 // 5
-    first = ToxicityModel(characters, log_odds(words[:cut]), None, share)
-    first.start()
-    first.restorer = restorer
-    x = np.array([first.summary(text) for _, text, _ in texts[cut:]])
+    first = ToxicityModel(characters, log_odds([(w, toxic) for w, _, toxic in words[:cut]]), None, share)
+    x = np.array([first.summary(w, n) for w, n, _ in words[cut:]])
     y = np.array([toxic for _, _, toxic in texts[cut:]])
     got = Counter(toxic for _, _, toxic in texts)
     weight = np.where(y == 1, n[1] / got[1], n[0] / got[0])

@@ -177,7 +177,8 @@ def test_hidden_words_are_found(spark, toxic):
     model.start()
     scores = model.scores(["we walk to the market each day and so it goes on", "you are an 1d10t and so it goes on", "you are an i d i o t and so it goes on", None, ""])
     assert scores[0] < 0.3 and min(scores[1:3]) > 0.3 and max(scores[3:]) < 0.6
-    assert model.restorer.words("clean words stay") == {"clean", "words", "stay"}
+    assert model.restorer.words("clean words stay stay") == (set(), 3)
+    assert toxicity.Restorer(model.characters).words("clean words stay") == ({"clean", "words", "stay"}, 3)
 
 
 def test_scores_ignore_held_out_labels(spark, toxic, odd, none):
@@ -195,7 +196,7 @@ def test_scores_ignore_held_out_labels(spark, toxic, odd, none):
 def test_every_hidden_form_is_decoded(spark, toxic, hidden):
     model = toxicity.learn(toxic, toxic.select("doc_id", "toxic"))
     model.start()
-    assert "idiot" in model.restorer.words(f"you are an {hidden} and so"), model.restorer.words(hidden)
+    assert "idiot" in model.restorer.words(f"you are an {hidden} and so")[0]
 
 
 @pytest.mark.parametrize("form", ["as$", "dumbas$", "a$$", "a55", "f**k", "st--upid", "a s s", "stuppid"])
@@ -206,6 +207,47 @@ def test_every_hidden_form_reaches_the_lattice(form):
     assert form in seen
 
 
+def test_decoding_by_enumeration(rng):
+    """restore() gives the likeliest of all paths through the lattice, and its result has the skeleton of what was observed."""
+    counts = {}
+    for w in ["idiot", "stupid", "about", "oil", "toll", "see", "as"] * 20:
+        for i in toxicity.trigram_ids(w).tolist():
+            counts[i] = counts.get(i, 0) + 1
+    model = toxicity.CharacterModel(counts)
+
+    def paths(seen, done=""):
+        if not seen:
+            yield done, 0.0
+            return
+        c, imitated = seen[0], toxicity.IMITATES.get(seen[0], "")
+        means = ([(c, 0.0)] if c in model.code else []) + [(x, toxicity.COST_IMITATES) for x in imitated]
+        steps = [(done + x, cost) for x, cost in means]
+        repeats = bool(done) and (c == done[-1] or done[-1] in imitated)
+        if repeats or not means:
+            steps.append((done, toxicity.COST_REPEATS if repeats else toxicity.COST_SEPARATES))
+        for now, cost in steps:
+            for word, rest in paths(seen[1:], now):
+                yield word, rest + cost
+
+    def value(word, cost):
+        codes = [0, 0, *(model.code[c] for c in word), 0]
+        return sum(model.log[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)) - cost
+
+    for _ in range(400):
+        seen = "".join(rng.choice("idots01!|5$- .aalll2") for _ in range(rng.randint(1, 8)))
+        got, all_ = model.restore(seen), [(value(w, cost), w) for w, cost in paths(seen)]
+        assert abs(max(v for v, w in all_ if w == got) - max(all_)[0]) < 1e-9
+        assert toxicity.skeleton(got) == toxicity.skeleton(seen)
+
+
+def test_scoring_decodes_all_that_counts(spark, toxic):
+    """With odds the same words with odds are found as without them."""
+    model, text = toxicity.learn(toxic, toxic.select("doc_id", "toxic")), "an 1d10t, a m0r0n; i d i o t s  st--upid idiooots p@thet1c/trash hello l00k 100 2.5 foo--bar"
+    model.start()
+    every = toxicity.Restorer(model.characters).words(text)[0]
+    assert model.restorer.words(text)[0] == {w for w in every if any(f in model.odds for f in toxicity.features_of(w))}
+
+
 def test_decoding_is_linear():
     toxicity.CharacterModel({}).restore("a " * 50_000)
 
