@@ -4,17 +4,17 @@ Two texts link when the Jaccard similarity of their sets of word n-grams is at l
 as 64-bit hashes of n-grams; texts with equal sets (by a 128-bit hash) form one class, and only classes are joined.
 Classes, not doc_ids, are the keys throughout: one id may hold several texts.
 
-1. A first pass gives each row its set size and class, and adds up how often n-grams occur in a sketch of fixed size
+1. A first pass gives each row its set size, class and histogram, and adds up how often n-grams occur in a sketch of fixed size
    over all texts. The sketch orders the n-grams, rare ones first (ties by hash): any fixed order gives right results,
    this one keeps common passages out of prefixes.
-2. Prefixes, n - ceil(t n) + 1 n-grams long, are shuffled by n-gram, with each n-gram's position and a histogram of the
-   suffix that starts there. N-grams that the sketch finds very common are salted. Sorted within each partition, an
+2. Prefixes, n - ceil(t n) + 1 n-grams long, are shuffled by n-gram, with each n-gram's position. N-grams that the sketch finds very common are salted. Sorted within each partition, an
    n-gram that one class has alone is dropped; no n-gram's rows are ever held at once. Each row left tells how many
    n-grams before it are left too (no other can be shared, which tightens the positional filter), and the first of them.
 3. Then in rounds: each n-gram names the classes that share most as its pivots (1, then 16, 256, ... a round), and every
-   other class of the n-gram meets them. A pair counts at the first n-gram that it shares. Pairs that pass the length,
-   positional and suffix filters are verified, each once: the sets of a pivot's partners travel to the pivot's set, a bounded
-   number of n-grams to a task. Linked classes are contracted (components.py); then pivots leave their n-grams, as do
+   other class of the n-gram meets them. A pair counts at the first n-gram that it shares. Pairs that pass the length and
+   positional filters, and whose histograms allow enough common n-grams, are verified, each once: the sets of a pivot's partners travel to the pivot's set, a bounded
+   number of n-grams to a task, where the suffix filter (the parts of both suffixes on either side of a probe) precedes
+   the whole comparison. Linked classes are contracted (components.py); then pivots leave their n-grams, as do
    n-grams whose classes are all connected by now. So a group of copies costs about one test a class, not one a pair,
    and a pair is left untested only if its classes are connected already or a filter rules it out.
 
@@ -44,13 +44,12 @@ WORDS = 3
 PERCENT = 90
 SKETCH = 1 << 20
 CHUNKS = 64
-BINS = 32
+BINS = 64
 HOT = 10_000
 PART_GRAMS = 1 << 16
 PIVOTS = 16
-KNOWN = 16
+KNOWN = 4
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_HISTOGRAM = [f"h{k}" for k in range(BINS // 8)]
 
 
 class Shingler:
@@ -101,9 +100,9 @@ def _sets(batches, shingler: Shingler) -> Iterator[tuple[pa.RecordBatch, list[np
 
 
 def surveyed(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds: doc_id, n, cls of each row with an id; and chunk, counts: each task's sketch of n-gram counts in pieces."""
+    """Rows of two kinds: doc_id, n, cls, bins of each row; and chunk, counts: each task's sketch of n-gram counts in pieces."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n int, cls binary, chunk int, counts binary"
+    schema = f"doc_id {id_type}, n int, cls binary, bins binary, chunk int, counts binary"
     width = SKETCH // CHUNKS
 
     def survey(batches):
@@ -115,13 +114,13 @@ def surveyed(docs: DataFrame, words: int) -> DataFrame:
                 total += np.bincount((np.concatenate(waiting) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
                 waiting = []
             k = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([class_of(s) if len(s) else None for s in sets], pa.binary()), none(k, pa.int32()), none(k, pa.binary())], names=["doc_id", "n", "cls", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([class_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([histogram(s) if len(s) else None for s in sets], pa.binary()), none(k, pa.int32()), none(k, pa.binary())], names=["doc_id", "n", "cls", "bins", "chunk", "counts"])
         if kind is not None:
             total += np.bincount((np.concatenate([*waiting, np.zeros(0, np.uint64)]) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
             pieces = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(CHUNKS, width)
             for c, piece in enumerate(pieces):
                 if piece.any():
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([c], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["doc_id", "n", "cls", "chunk", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([c], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["doc_id", "n", "cls", "bins", "chunk", "counts"])
 
     return docs.mapInArrow(survey, schema)
 
@@ -144,18 +143,34 @@ def sketch_of(survey: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def suffix_histograms(ordered: np.ndarray, places: int) -> tuple[int, np.ndarray]:
-    """For the first places of a set in its order: how many n-grams of the suffix from there on fall in each bin, in units of the first result, rounded up to bytes."""
-    bins = (ordered & np.uint64(BINS - 1)).astype(np.int64)
-    whole = np.bincount(bins, minlength=BINS)
-    gone = np.zeros((places, BINS), np.int64)
-    gone[np.arange(1, places), bins[: places - 1]] = 1
-    unit = -(-int(whole.max()) // 255)
-    return unit, (-(-(whole - np.cumsum(gone, axis=0)) // unit)).astype(np.uint8)
+def histogram(grams: np.ndarray) -> bytes:
+    """The unit, and how many n-grams fall in each bin, in units, rounded up to bytes."""
+    counts = np.bincount((grams & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    unit = -(-int(counts.max()) // 255)
+    return np.uint32(unit).tobytes() + (-(-counts // unit)).astype(np.uint8).tobytes()
+
+
+def most_common(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The most n-grams that sets with these histograms can share."""
+    read = lambda x: (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 4 + BINS)[:, 4:].astype(np.int64)) * np.frombuffer(b"".join(h[:4] for h in x), np.uint32).astype(np.int64)[:, None]
+    return np.minimum(read(a), read(b)).sum(axis=1)
+
+
+def suffixes_allow(x: np.ndarray, y: np.ndarray, least: int, depth: int = 3) -> bool:
+    """Whether two ascending sets can share least elements: a probe from the middle of the longer one cuts both in two, down to some depth."""
+
+    def most(x: np.ndarray, y: np.ndarray, depth: int) -> int:
+        if not depth or min(x.size, y.size) < 8:
+            return min(x.size, y.size)
+        probe = (x if x.size >= y.size else y)[max(x.size, y.size) // 2]
+        i, j = (int(np.searchsorted(z, probe)) for z in (x, y))
+        return most(x[:i], y[:j], depth - 1) + most(x[i:], y[j:], depth - 1)
+
+    return most(x, y, depth) >= least
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int, hot: int = HOT) -> DataFrame:
-    """gram, salts, cls, n, place, unit, h0 and on: the prefix of each class, at least once. salts: into how many parts a common n-gram is dealt."""
+    """gram, salts, cls, n, place: the prefix of each class, at least once. salts: into how many parts a common n-gram is dealt."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 20) - 1).astype(np.uint32))
     # what every place of the sketch holds on average is noise, not a common n-gram
     hot = max(hot, 4 * int(sketch.mean()))
@@ -163,7 +178,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int, hot:
     def cut(batches):
         shingler, counts, seen = Shingler(words), shared.value, set()
         for _, sets in _sets(batches, shingler):
-            grams, often, classes, numbers, tails = [], [], [], [], []
+            grams, often, classes, numbers = [], [], [], []
             for s in sets:
                 if not len(s) or (cls := class_of(s)) in seen:
                     continue
@@ -172,23 +187,18 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int, hot:
                 count = counts[(s >> np.uint64(44)).astype(np.int64)]
                 rank = (count.astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20))
                 p, order = prefix_length(len(s), percent), np.argsort(rank, kind="stable")
-                unit, tail = suffix_histograms(s[order], p)
                 grams.append(s[order[:p]])
                 often.append(count[order[:p]])
                 classes.append(np.full(p, np.frombuffer(cls, "V16")[0], "V16"))
-                numbers.append(np.stack([np.full(p, len(s)), np.arange(p), np.full(p, unit)]).astype(np.int32))
-                tails.append(tail)
+                numbers.append(np.stack([np.full(p, len(s)), np.arange(p)]).astype(np.int32))
             if grams:
                 data = np.concatenate(classes).tobytes()
-                n, place, unit = np.concatenate(numbers, axis=1)
-                packed = np.concatenate(tails).view(np.int64)
+                n, place = np.concatenate(numbers, axis=1)
                 cls = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(data) // 16, [None, pa.py_buffer(data)]).cast(pa.binary())
                 salts = (np.concatenate(often) // np.uint32(hot) + 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(grams).view(np.int64)), pa.array(salts), cls, *map(pa.array, (n, place, unit)), *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(len(_HISTOGRAM)))], names=["gram", "salts", "cls", "n", "place", "unit", *_HISTOGRAM]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(salts), cls, pa.array(n), pa.array(place)], names=["gram", "salts", "cls", "n", "place"])
 
-    return docs.select("text").mapInArrow(cut, "gram long, salts int, cls binary, n int, place int, unit int, " + ", ".join(f"{h} long" for h in _HISTOGRAM))
+    return docs.select("text").mapInArrow(cut, "gram long, salts int, cls binary, n int, place int")
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
@@ -233,29 +243,33 @@ def placed(rows: DataFrame) -> DataFrame:
     return x.withColumn("first", first).withColumn("label", F.col("cls"))
 
 
-def _suffix_bound(a: str, b: str) -> Column:
-    """The most n-grams that two suffixes can share, by their histograms."""
-    byte = lambda side, h, k: F.shiftrightunsigned(F.col(f"{side}.{h}"), 8 * k).bitwiseAND(255) * F.col(f"{side}.unit")
-    total = F.lit(0).cast("long")
-    for h in _HISTOGRAM:
-        for k in range(8):
-            total = total + F.least(byte(a, h, k), byte(b, h, k))
-    return total
-
-
 def candidate_pairs(live: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """u, v, n: pairs of classes of different components, u a pivot and v a later class of one of its n-grams, that pass all filters; n is v's set size.
+    """u, v, m, n: pairs of classes of different components, u a pivot and v a later class of one of its n-grams, that pass the length and positional filters; m and n are their set sizes.
 
     live, pivots: rows of placed()."""
     p = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("p")
     least = F.ceil(percent * (F.col("p.n") + F.col("x.n")).cast("long") / (100 + percent))
     lengths = F.least("p.n", "x.n") * F.lit(100).cast("long") >= F.greatest("p.n", "x.n") * F.lit(percent).cast("long")
-    before = F.least("p.before", "x.before")
-    positional = before + F.least(F.col("p.n") - F.col("p.place"), F.col("x.n") - F.col("x.place")) >= least
+    positional = F.least("p.before", "x.before") + F.least(F.col("p.n") - F.col("p.place"), F.col("x.n") - F.col("x.place")) >= least
     later = (F.col("x.first") > F.col("p.first")) | ((F.col("x.first") == F.col("p.first")) & (F.col("x.cls") > F.col("p.cls")))
     met = live.alias("x").join(p, (F.col("x.gram") == F.col("p.gram")) & (F.col("x.salt") == F.col("p.salt")) & later & (F.col("x.label") != F.col("p.label")))
-    passed = met.where(lengths & positional).where(before + _suffix_bound("p", "x") >= least).where(~F.arrays_overlap("p.earlier", "x.earlier"))
-    return passed.select(F.col("p.cls").alias("u"), F.col("x.cls").alias("v"), F.col("x.n").alias("n")).distinct()
+    passed = met.where(lengths & positional).where(~F.arrays_overlap("p.earlier", "x.earlier"))
+    return passed.select(F.col("p.cls").alias("u"), F.col("x.cls").alias("v"), F.col("p.n").alias("m"), F.col("x.n").alias("n")).distinct()
+
+
+def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs (settled) whose histograms allow a link."""
+    bins = lambda c: classes.select(F.col("cls").alias(f"c{c}"), F.col("bins").alias(f"b{c}"))
+    both = pairs.join(bins("u"), F.col("u") == F.col("cu")).join(bins("v"), F.col("v") == F.col("cv")).select("u", "v", "m", "n", "bu", "bv")
+
+    def keep(batches):
+        for b in batches:
+            if b.num_rows:
+                m, n = b.column("m").to_numpy().astype(np.int64), b.column("n").to_numpy().astype(np.int64)
+                may = most_common(b.column("bu").to_pylist(), b.column("bv").to_pylist()) >= needed(m, n, percent)
+                yield b.select(["u", "v", "n"]).filter(pa.array(may))
+
+    return both.mapInArrow(keep, "u binary, v binary, n int")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -301,8 +315,12 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 elif (us[k], vs[k]) not in out:
                     if key != (us[k], part):
                         raise ValueError("the set of a pivot is missing")
-                    at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
-                    out[us[k], vs[k]] = int((own[at] == grams).sum()) >= needed(len(own), len(grams), percent)
+                    least = needed(len(own), len(grams), percent)
+                    linked = suffixes_allow(own, grams, least)
+                    if linked:
+                        at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
+                        linked = int((own[at] == grams).sum()) >= least
+                    out[us[k], vs[k]] = linked
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary()), pa.array(list(out.values()), pa.bool_())], names=["u", "v", "linked"])
 
@@ -321,22 +339,23 @@ def linked_classes(live: DataFrame, classes: DataFrame, docs: DataFrame, words:
         pairs = candidate_pairs(rows, pivots, percent)
         for old in tested:
             pairs = pairs.join(old.where("not linked").select("u", "v"), ["u", "v"], "left_anti")
-        pairs = settle(pairs, "pairs")
+        met = settle(pairs, "met")
+        pairs = settle(alike(met, classes, percent), "pairs")
         if not pairs.isEmpty():
             tested.append(verified(pairs, classes, docs, words, percent, part_grams))
             edges = tested[-1].where("linked").select("u", "v")
             before, found = found, connected(edges if found is None else edges.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
             discard(*([before] if before is not None else []))
-        rest = rows.drop("label").join(pivots.select("gram", "cls"), ["gram", "cls"], "left_anti")
-        if found is not None:
-            rest = rest.join(found, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls")).drop("node", "component")
-        else:
-            rest = rest.withColumn("label", F.col("cls"))
-        rest = settle(rest, "live")
+
+        def named(x: DataFrame, found=found, pivots=pivots) -> DataFrame:
+            """x without pivots, with labels of now."""
+            x = x.join(pivots.select("gram", "cls"), ["gram", "cls"], "left_anti")
+            return x.withColumn("label", F.col("cls")) if found is None else x.join(found, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls")).drop("node", "component")
+
         # grams whose classes aren't all in one component
-        open_ = settle(rest.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram"), "open")
-        before, rows = rows, settle(rest.join(open_, "gram", "left_semi"), "live")
-        discard(before, pivots, pairs, rest, open_)
+        open_ = settle(named(rows.select("gram", "cls")).groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram"), "open")
+        before, rows = rows, settle(named(rows.drop("label").join(open_, "gram", "left_semi")), "live")
+        discard(before, pivots, met, pairs, open_)
         k *= PIVOTS
     discard(rows, *tested)
     return found
@@ -347,7 +366,7 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = settle(surveyed(docs, words), "survey")
     rows = survey.where("chunk is null").select("doc_id", "n", F.expr("if(doc_id is null, null, cls)").alias("cls"))
-    classes = settle(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = settle(survey.where("chunk is null and doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bins").alias("bins")), "classes")
     with_id = docs.where("doc_id is not null")
     live = shared_grams(prefixes(with_id, sketch_of(survey), words, percent, hot))
     found = linked_classes(live, classes, with_id, words, percent, part_grams)

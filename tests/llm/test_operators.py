@@ -382,12 +382,15 @@ def test_large_groups_of_near_copies(spark, rng):
         assert sorted(map(tuple, jaccard.near_duplicates(df, **bounds).collect())) == brute_components(docs)
 
 
-def test_suffix_histograms():
-    s = np.arange(7, 2000, 3, dtype=np.uint64)
-    unit, tails = jaccard.suffix_histograms(s, 50)
-    for at in (0, 1, 49):
-        exact = np.bincount((s[at:] % jaccard.BINS).astype(int), minlength=jaccard.BINS)
-        assert ((tails[at].astype(int) * unit >= exact) & (tails[at].astype(int) * unit < exact + unit)).all()
+def test_bounds_of_common_ngrams(rng):
+    """Neither histograms nor the suffix filter rule out what two sets share."""
+    for n in (3, 50, 3000, 40_000):
+        x = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+        for kept in (0, 0.5, 0.95, 1):
+            y = np.unique(np.concatenate([x[: int(kept * n)], np.array([rng.getrandbits(64) for _ in range(n - int(kept * n))], np.uint64)]))
+            common = np.intersect1d(x, y).size
+            assert jaccard.most_common([jaccard.histogram(x)], [jaccard.histogram(y)])[0] >= common and jaccard.suffixes_allow(x, y, common)
+            assert n < 3000 or kept > 0.5 or not jaccard.suffixes_allow(x, y, n)
 
 
 def test_near_duplicate_edges(odd, none):
