@@ -55,9 +55,11 @@ class AlertState:
     def __init__(self, last_window=None, last_p=None, pending=False, alert_window=None, alert_p=None):
         self.last_window, self.last_p, self.pending, self.alert_window, self.alert_p = last_window, last_p, pending, alert_window, alert_p
 
-    def step(self, window: int, p: float, threshold: float = THRESHOLD, cooldown: int = COOLDOWN, escalation: float = ESCALATION, dead_band: float = DEAD_BAND) -> dict:
+    def step(self, window: int, p: float | None, threshold: float = THRESHOLD, cooldown: int = COOLDOWN, escalation: float = ESCALATION, dead_band: float = DEAD_BAND) -> dict:
         if self.last_window is not None and window <= self.last_window:
             return {"alert": False, "reason": "duplicate_suppressed" if window == self.last_window else "stale_suppressed", "direction": "stale", "pending": self.pending, "cooldown": self._left(self.last_window, cooldown)}
+        if p is None or p != p:  # a window without a score changes nothing
+            return {"alert": False, "reason": "no_score", "direction": "unknown", "pending": self.pending, "cooldown": self._left(window, cooldown)}
         before, high = self.last_p, p >= threshold
         if before is None:
             direction = "initial"
@@ -115,6 +117,7 @@ class PatientState:
         self.history, self.windows, self.last_time, self.static, self.discharged = history, {}, None, None, False
 
     def offer(self, window: int, time, content: str, static: str | None, discharged: bool = False) -> str:
+        content = (content, time, static)  # what a repeated window must agree in
         if window in self.windows:
             return "duplicate" if self.windows[window] == content else "conflicting_duplicate"
         if self.discharged:

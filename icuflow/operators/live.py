@@ -53,28 +53,29 @@ def discharge_filter(events: DataFrame, discharges: DataFrame, grace: int = GRAC
 
 
 class LiveOrder:
-    """Of one stay: the last live update's time and content."""
+    """Of one stay: the open window's last update, and the last closed window.
 
-    def __init__(self):
-        self.window, self.time, self.content, self.closed = None, None, None, None
+    A newer window is always news; times are compared within a window only. A final update closes its window."""
 
-    def offer(self, window: int, time: int, content: str, final: bool) -> str:
+    def __init__(self, refresh: bool = False):
+        self.window, self.time, self.closed, self.refresh = None, None, None, refresh
+
+    def offer(self, window: int, time: int, final: bool = False) -> str:
         if self.closed is not None and window <= self.closed:
             return "closed"
         if self.window is not None and window < self.window:
             return "stale"
-        if self.time is not None and time < self.time:
-            return "out_of_order"
-        if self.time == time and self.content == content:
+        if self.window == window and time == self.time and not self.refresh:
             return "duplicate"
-        reason = "same_time_refresh" if self.time == time else "accepted"
-        self.window, self.time, self.content = window, time, content
+        if self.window == window and time < self.time:
+            return "out_of_order"
+        self.window, self.time = window, time
         if final:
-            self.closed = window
-        return reason
+            self.window, self.time, self.closed = None, None, window
+        return "accepted"
 
 
-def live_order(updates: DataFrame) -> DataFrame:
-    """updates: stay_id, seq, window_id, time, content, final. Adds what became of each."""
-    step = lambda s, r: {"reason": s.offer(r["window_id"], r["time"], r["content"], r["final"])}
-    return over_stays(updates.select("stay_id", "seq", "window_id", "time", "content", "final"), ["seq"], LiveOrder, step, "reason string")
+def live_order(updates: DataFrame, refresh: bool = False) -> DataFrame:
+    """updates: stay_id, seq, window_id, time, final. Adds what became of each. refresh: whether an update with the time of the last one counts."""
+    step = lambda s, r: {"reason": s.offer(r["window_id"], r["time"], bool(r["final"]))}
+    return over_stays(updates.select("stay_id", "seq", "window_id", "time", "final"), ["seq"], lambda: LiveOrder(refresh), step, "reason string")

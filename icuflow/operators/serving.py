@@ -73,10 +73,14 @@ def retained(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 
 def risk_delta(df: DataFrame) -> DataFrame:
-    """Against the previous live update of the stay, else against its last FINAL before."""
-    order = Window.partitionBy("stay_id").orderBy("seq")
-    live = F.when(F.col("status") == "UPDATE", F.col("p"))
-    final = F.when(F.col("status") == "FINAL", F.col("p"))
-    rows = order.rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.last(live, ignorenulls=True).over(rows), F.last(final, ignorenulls=True).over(rows))
-    return df.withColumn("risk_delta", F.col("p") - before)
+    """Against the stay's live update before; a FINAL ends the live state, so what comes next is compared with that FINAL."""
+    before = Window.partitionBy("stay_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("risk_delta", F.col("p") - F.last("p", ignorenulls=True).over(before))
+
+
+def active_handovers(alerts: DataFrame, last_seen: DataFrame, now: Column, stale_after: Column) -> DataFrame:
+    """Alerts whose patient was seen within stale_after of now; those of patients not seen for longer, or never, are hidden.
+
+    alerts: stay_id; last_seen: stay_id, seen."""
+    seen = last_seen.groupBy("stay_id").agg(F.max("seen").alias("seen"))
+    return alerts.join(seen.where(now - F.col("seen") <= stale_after), "stay_id", "left_semi")

@@ -7,13 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MESSAGE = "schema_version string, event_id string, stay_id long, charttime string, ingestion_time string, source_mode string, vital_sign string, value double"
-REQUIRED = ("schema_version", "event_id", "stay_id", "charttime", "vital_sign", "value")
+from icuflow.operators.alerts import over_stays
+
+MESSAGE = "schema_version string, event_id string, stay_id long, charttime string, ingestion_time string, source_mode string, source_type string, vital_sign string, value double"
+REQUIRED = ("schema_version", "event_id", "stay_id", "charttime", "ingestion_time", "source_mode", "source_type", "vital_sign", "value")
+REMEMBERED = 5000  # keys of each kind a stay
 
 
 def parsed(raw: DataFrame, schema: str = MESSAGE, column: str = "value") -> DataFrame:
-    """JSON text to columns; times in UTC without zone; malformed text gives nulls, which validation rejects."""
-    x = raw.select(F.from_json(F.col(column).cast("string"), schema).alias("m")).select("m.*")
+    """JSON text to columns; times in UTC without zone; malformed text gives nulls, which validation rejects.
+
+    The text is parsed once: later filters don't move below an explode of one element, so the parser isn't repeated in them."""
+    x = raw.select(F.explode(F.array(F.from_json(F.col(column).cast("string"), schema))).alias("m")).select("m.*")
     times = [F.try_to_timestamp(F.col(c)).alias(c) if c in ("charttime", "ingestion_time") else F.col(c) for c in x.columns]
     return x.select(*times)
 
@@ -23,7 +28,7 @@ def judged(df: DataFrame, aliases: Mapping[str, str], ranges: Mapping[str, tuple
     name = F.lower(F.trim("vital_sign"))
     known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])[name]
     low, high = (F.create_map(*[F.lit(x) for k, r in ranges.items() for x in (k, float(r[i]))])[known] for i in (0, 1))
-    missing = F.lit(False)
+    missing = F.trim("event_id") == ""
     for c in REQUIRED:
         missing = missing | F.col(c).isNull()
     finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
@@ -43,11 +48,26 @@ def late(df: DataFrame, seconds: int = 60) -> DataFrame:
     return df.withColumn("is_late", F.coalesce((F.col("source_mode") == "realtime") & (lag > seconds), F.lit(False)))
 
 
-def deduplicated(df: DataFrame, order: Sequence[str] = ("ingestion_time", "event_id")) -> DataFrame:
-    """The first row of each event id, and of those the first of each (stay, vital, time)."""
-    first = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    x = df.withColumn("_n", first(["event_id"])).where("_n = 1")
-    return x.withColumn("_n", first(["stay_id", "vital_sign", "charttime"])).where("_n = 1").drop("_n")
+class SeenKeys:
+    """Of one stay: the event ids, and the (vital, time) pairs, of the rows taken last. A refused row leaves no trace."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.ids, self.pairs = most, {}, {}
+
+    def offer(self, event_id: str, vital: str, time) -> bool:
+        if event_id in self.ids or (vital, time) in self.pairs:
+            return False
+        for known, key in ((self.ids, event_id), (self.pairs, (vital, time))):
+            known[key] = None
+            if len(known) > self.most:
+                del known[next(iter(known))]
+        return True
+
+
+def deduplicated(df: DataFrame, order: Sequence[str] = ("ingestion_time", "event_id"), most: int = REMEMBERED) -> DataFrame:
+    """In order of arrival, the rows of each stay that repeat neither the event id nor the (vital, time) of a row taken before."""
+    step = lambda s, r: {"_taken": s.offer(r["event_id"], r["vital_sign"], r["charttime"])}
+    return over_stays(df, list(order), lambda: SeenKeys(most), step, "_taken boolean").where("_taken").drop("_taken")
 
 
 def complete_batches(df: DataFrame, needed: Sequence[str]) -> DataFrame:

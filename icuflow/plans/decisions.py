@@ -122,7 +122,7 @@ def calibration_invariance(spark, d):
 
 
 def blend_grid(spark, d):
-    return rounded(ensemble.blend_grid(predictions(spark, d), "p1", "p2", 10))
+    return rounded(ensemble.blend_grid(predictions(spark, d), "p1", "p2", 100))
 
 
 def blend_gain(spark, d):
@@ -343,7 +343,7 @@ def membership_sync(spark, d):
 
 def snapshot_diff(spark, d):
     e = _events(spark, d)
-    return serving.new_since(e.where("window_id <= 4").select("seq", "status"), e.where("window_id <= 2").select("seq"), "seq")
+    return serving.new_since(e.select("seq", "status"), e.where("status = 'FINAL'").select("seq"), "seq")
 
 
 def constraint_audit(spark, d):
@@ -386,7 +386,7 @@ def late_after_final(spark, d):
 
 
 def risk_series(spark, d):
-    return _events(spark, d).where("p is not null and stay_id < 500").select("stay_id", "window_id", F.round(F.col("p") * 100, 2).alias("percent"))
+    return _events(spark, d).where("p is not null").select("stay_id", "window_id", F.round(F.col("p") * 100, 2).alias("percent"))
 
 
 # parity and picks
@@ -470,7 +470,7 @@ ORACLE_SQL = {
     "monotone_curve": "SELECT CAST(0 AS BIGINT) AS sensitivity_rises, CAST(0 AS BIGINT) AS specificity_falls",
     "platt_apply": f"WITH {PREDS_SQL} SELECT stay_id, window_id, round({_PLATT('p1', *PLATT['p1'])}, 6) AS p1_calibrated, round({_PLATT('p2', *PLATT['p2'])}, 6) AS p2_calibrated FROM preds",
     "calibration_invariance": "SELECT true AS roc_auc_kept, true AS average_precision_kept",
-    "blend_grid": f"WITH {PREDS_SQL}, b AS (SELECT k / 10.0::DOUBLE AS weight, label, round(k / 10.0::DOUBLE * p1 + (1 - k / 10.0::DOUBLE) * p2, 12) AS score FROM preds, range(0, 11) r(k)), g AS (SELECT weight, score, sum(label) AS pos, sum(1 - label) AS neg FROM b GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER o AS ctp, sum(neg) OVER o AS cfp FROM g WINDOW o AS (PARTITION BY weight ORDER BY score DESC)), r AS (SELECT weight, round(sum(neg * (ctp - pos / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * ctp / (ctp + cfp)) / sum(pos), 6) AS average_precision FROM c GROUP BY 1), q AS (SELECT weight, round(avg(pow(score - label, 2)), 6) AS brier, round(avg(-(label * ln({_CLIP}) + (1 - label) * ln(1 - {_CLIP}))), 6) AS log_loss FROM b GROUP BY 1) SELECT * FROM r JOIN q USING (weight)",
+    "blend_grid": f"WITH {PREDS_SQL}, b AS (SELECT k / 100.0::DOUBLE AS weight, label, round(k / 100.0::DOUBLE * p1 + (1 - k / 100.0::DOUBLE) * p2, 12) AS score FROM preds, range(0, 101) r(k)), g AS (SELECT weight, score, sum(label) AS pos, sum(1 - label) AS neg FROM b GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER o AS ctp, sum(neg) OVER o AS cfp FROM g WINDOW o AS (PARTITION BY weight ORDER BY score DESC)), r AS (SELECT weight, round(sum(neg * (ctp - pos / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * ctp / (ctp + cfp)) / sum(pos), 6) AS average_precision FROM c GROUP BY 1), q AS (SELECT weight, round(avg(pow(score - label, 2)), 6) AS brier, round(avg(-(label * ln({_CLIP}) + (1 - label) * ln(1 - {_CLIP}))), 6) AS log_loss FROM b GROUP BY 1) SELECT * FROM r JOIN q USING (weight)",
     "blend_gain": f"WITH {PREDS_SQL}, long AS (SELECT label, 'p1' AS model, p1 AS score FROM preds UNION ALL SELECT label, 'p2', p2 FROM preds UNION ALL SELECT label, 'blend', {WEIGHT} * p1 + (1 - {WEIGHT}) * p2 FROM preds), g AS (SELECT model, score, sum(label) AS pos, sum(1 - label) AS neg FROM long GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY score DESC) AS ctp FROM g), r AS (SELECT model, sum(neg * (ctp - pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY 1), m AS (SELECT max(auc) FILTER (model = 'blend') AS b, max(auc) FILTER (model <> 'blend') AS s FROM r) SELECT round(b, 5) AS blend, round(s, 5) AS best_single, round(b - s, 5) AS gain, round(100 * (b - s) / s, 5) AS gain_percent FROM m",
     "bootstrap_replicates": f"WITH {boot_sql(5)} SELECT CAST(replicate AS INTEGER) AS replicate, score, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM boot",
     "bootstrap_ci": f"WITH {boot_sql(REPLICATES)} SELECT score, count(*) AS n, round(avg(roc_auc), 6) AS mean, round(quantile_cont(roc_auc, 0.025), 6) AS low, round(quantile_cont(roc_auc, 0.975), 6) AS high FROM boot GROUP BY 1",
@@ -494,15 +494,15 @@ ORACLE_SQL = {
     "open_handover": f"WITH {ASSIGN_SQL} SELECT assignment_id, patient_id, doctor_id FROM asg WHERE closed_at IS NULL AND doctor_id > 20 AND assignment_id % 4 <> 0",
     "resolvable_alerts": f"WITH {ASSIGN_SQL} SELECT assignment_id, patient_id FROM asg a WHERE closed_at IS NULL AND doctor_id > 20 AND EXISTS (SELECT 1 FROM asg b WHERE b.patient_id = a.patient_id AND b.closed_at IS NULL AND b.assignment_id <> a.assignment_id)",
     "membership_sync": "WITH w AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_totalprice > 200000), h AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45) SELECT k, 'INSERT' AS action FROM w WHERE k NOT IN (SELECT k FROM h) UNION ALL SELECT k, 'DELETE' FROM h WHERE k NOT IN (SELECT k FROM w)",
-    "snapshot_diff": f"WITH {EVENTS_SQL} SELECT seq, status FROM ev WHERE window_id IN (3, 4)",
+    "snapshot_diff": f"WITH {EVENTS_SQL} SELECT seq, status FROM ev WHERE status <> 'FINAL'",
     "constraint_audit": f"WITH {ASSIGN_SQL} SELECT patient_id, count(*) AS n_open FROM asg WHERE closed_at IS NULL GROUP BY 1 HAVING count(*) > 1",
     "kpis": f"WITH {EVENTS_SQL}, l AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY stay_id ORDER BY window_id DESC) = 1) SELECT count(*) AS n, count(*) FILTER (p >= 0.5) AS n_elevated, count(*) FILTER (status = 'FINAL') AS n_final FROM l",
     "patient_search": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'machinery') AND c_acctbal < 0",
     "final_upsert": f"WITH {EVENTS_SQL} SELECT stay_id, window_id // 2 AS window_id, status, seq, p FROM ev QUALIFY row_number() OVER (PARTITION BY stay_id, window_id // 2 ORDER BY status = 'FINAL' DESC, seq DESC) = 1",
     "retention": f"WITH {EVENTS_SQL} SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY stay_id ORDER BY window_id DESC) <= 3",
-    "risk_delta": f"WITH {EVENTS_SQL} SELECT stay_id, seq, round(p - coalesce(last_value(CASE WHEN status = 'UPDATE' THEN p END IGNORE NULLS) OVER o, last_value(CASE WHEN status = 'FINAL' THEN p END IGNORE NULLS) OVER o), 6) AS risk_delta FROM ev WINDOW o AS (PARTITION BY stay_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    "risk_delta": f"WITH {EVENTS_SQL} SELECT stay_id, seq, round(p - lag(p) OVER (PARTITION BY stay_id ORDER BY seq), 6) AS risk_delta FROM ev",
     "late_after_final": "WITH x AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CAST(floor(epoch(ts)) AS BIGINT) + CASE WHEN event_id % 9 = 0 THEN 200000 ELSE 0 END AS arrival FROM events), y AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400 AS w FROM x) SELECT user_id AS stay_id, event_id, coalesce((t // 86400 + 1) * 86400 <= w, false) AS late_after_final FROM y",
-    "risk_series": f"WITH {EVENTS_SQL} SELECT stay_id, window_id, round(p * 100, 2) AS percent FROM ev WHERE stay_id < 500",
+    "risk_series": f"WITH {EVENTS_SQL} SELECT stay_id, window_id, round(p * 100, 2) AS percent FROM ev",
     "parity_report": f"WITH {features_sql(1440)} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, CAST(0 AS BIGINT) AS n_failed, 0.0::DOUBLE AS p50, 0.0::DOUBLE AS p95, 0.0::DOUBLE AS p99, 0.0::DOUBLE AS p999, 0.0::DOUBLE AS max FROM features" for c in ("click_mean", "error_last", "view_missing")),
     "nearest_decision": f"WITH {PREDS_SQL} SELECT stay_id, window_id, round(p2, 9) AS p2 FROM (SELECT * FROM preds ORDER BY abs(p2 - 0.44), stay_id, window_id LIMIT 50)",
     "straddling": f"WITH {PREDS_SQL} SELECT label, count(*) AS n FROM preds WHERE (p1 >= 0.44) <> (p2 >= 0.44) GROUP BY 1",

@@ -9,7 +9,8 @@ from icuflow.operators import audits, encode, sequences, splits, windows
 from icuflow.sources.telemetry import PREDS_SQL, STAYS_SQL, VITALS, observations, predictions, stays, table
 
 DAY = 1440
-LENGTH, WIDTH = 8, len(VITALS)
+LENGTH, WIDTH = 120, len(VITALS)
+CHECKPOINTS = (1, 5, 10, 20, 30, 60, 90, 120)
 MEANS = [f"{v}_mean" for v in VITALS]
 COEFFICIENTS = {"click_mean": 0.02, "error_mean": -0.01, "purchase_mean": 0.015, "signup_mean": 0.005, "view_mean": -0.02}
 
@@ -155,7 +156,7 @@ def table_diff(spark, d):
 
 def key_difference(spark, d):
     a = features(spark, d).select("stay_id", "window_id")
-    return audits.key_difference(a.where("window_id < 20"), a.where("window_id >= 5 and window_id < 25"), ["stay_id", "window_id"])
+    return audits.key_difference(a.where("window_id < 20"), a.where("window_id >= 5"), ["stay_id", "window_id"])
 
 
 def label_consistency(spark, d):
@@ -227,7 +228,7 @@ def _positions(spark, d):
 
 
 def checkpoint_fixed(spark, d):
-    return _positions(spark, d).where(windows.fixed_checkpoint("position", "n_windows", (1, 5, 10, 20, 30))).select("stay_id", "window_id", F.col("position").cast("long").alias("position"))
+    return _positions(spark, d).where(windows.fixed_checkpoint("position", "n_windows", CHECKPOINTS)).select("stay_id", "window_id", F.col("position").cast("long").alias("position"))
 
 
 def checkpoint_adaptive(spark, d):
@@ -255,7 +256,7 @@ long AS ({" UNION ALL ".join(f"SELECT stay_id, window_id, base, {k} AS k, '{c}'
 
 
 def linear_attr_topk(spark, d):
-    return rounded(encode.top_attributions(_attributed(spark, d), MEANS, 3, ["stay_id", "window_id"]).where("rank <= 1"))
+    return rounded(encode.top_attributions(_attributed(spark, d), MEANS, 3, ["stay_id", "window_id"]))
 
 
 def attr_importance(spark, d):
@@ -268,7 +269,7 @@ def attr_additivity(spark, d):
 
 
 def waterfall(spark, d):
-    x = encode.waterfall(_attributed(spark, d).where("window_id = 3"), MEANS, ["stay_id", "window_id"], 3)
+    x = encode.waterfall(_attributed(spark, d), MEANS, ["stay_id", "window_id"], 3)
     return rounded(x.withColumn("step", F.col("step").cast("long")))
 
 
@@ -327,7 +328,7 @@ ORACLE_SQL = {
     + " UNION ALL ".join(f"SELECT '{m}' AS measure, t.{c} AS whole, s.{c} AS parts, t.{c} = s.{c} AS ok FROM t, s" for m, c in (("rows", "a"), ("stay_id", "b"), ("subject_id", "c"))),
     "unassigned": f"WITH {features_sql(DAY)} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_unassigned FROM features",
     "table_diff": f"WITH {features_sql(DAY)} SELECT count(*) FILTER (stay_id % 10 = 0) AS only_a, CAST(0 AS BIGINT) AS only_b, count(*) FILTER (stay_id % 10 <> 0 AND window_id % 7 = 0 AND click_last IS NOT NULL) AS n_apart, 0.5 AS max_distance FROM features",
-    "key_difference": f"WITH {features_sql(DAY)} SELECT stay_id, window_id, CASE WHEN window_id < 5 THEN 'missing' ELSE 'extra' END AS side FROM features WHERE window_id < 5 OR (window_id >= 20 AND window_id < 25)",
+    "key_difference": f"WITH {features_sql(DAY)} SELECT stay_id, window_id, CASE WHEN window_id < 5 THEN 'missing' ELSE 'extra' END AS side FROM features WHERE window_id < 5 OR window_id >= 20",
     "label_consistency": "SELECT n_values, count(*) AS n_orders FROM (SELECT l_orderkey, count(DISTINCT year(l_shipdate)) AS n_values FROM lineitem GROUP BY 1) WHERE n_values > 1 GROUP BY 1",
     "static_consistency": "SELECT user_id, count(DISTINCT event_type || ':' || hour(ts)) AS n_values FROM events GROUP BY 1 HAVING count(DISTINCT event_type || ':' || hour(ts)) > 1",
     "median_impute": f"WITH {IMPUTED_SQL} SELECT stay_id, window_id, {', '.join(f'round({c}, 6) AS {c}' for c in MEANS)}, CAST({_MASKS} AS BIGINT) AS n_missing FROM imputed",
@@ -335,12 +336,12 @@ ORACLE_SQL = {
     "sequence_shape": f"WITH {POSITIONS_SQL} SELECT least(position, {LENGTH}) AS sequence_length, count(*) AS n, count(*) AS n_valid FROM positions GROUP BY 1",
     "sequence_padding": f"WITH {IMPUTED_SQL} SELECT stay_id, window_id AS terminal_window_id, {LENGTH} - count(*) OVER w AS n_padding, round(first_value({MEANS[0]}) OVER w, 6) AS first_value, round({MEANS[-1]}, 6) AS last_value FROM imputed WINDOW w AS (PARTITION BY stay_id ORDER BY window_id {_ROWS})",
     "mask_total": f"WITH {IMPUTED_SQL}, s AS (SELECT sum({_MASKS}) OVER w AS m, count(*) OVER w AS n FROM imputed WINDOW w AS (PARTITION BY stay_id ORDER BY window_id {_ROWS})) SELECT count(*) AS n_sequences, CAST(sum(m) AS BIGINT) AS n_missing, CAST(sum(n) AS BIGINT) AS n_steps FROM s",
-    "checkpoint_fixed": f"WITH {POSITIONS_SQL} SELECT stay_id, window_id, position FROM positions WHERE position IN (1, 5, 10, 20, 30) OR position = n",
+    "checkpoint_fixed": f"WITH {POSITIONS_SQL} SELECT stay_id, window_id, position FROM positions WHERE position IN {CHECKPOINTS} OR position = n",
     "checkpoint_adaptive": f"WITH {POSITIONS_SQL} SELECT stay_id, window_id, position FROM positions WHERE (position * least(n, 12) + n - 1) // n <> ((position - 1) * least(n, 12) + n - 1) // n OR position = n",
     "onehot_width": f"WITH {STAYS_SQL} SELECT 'segment' AS column_name, count(DISTINCT segment) + 1 AS width FROM stays UNION ALL SELECT 'region', count(DISTINCT region) + 1 FROM stays UNION ALL SELECT 'vector', count(DISTINCT segment) + count(DISTINCT region) + 3 FROM stays",
-    "linear_attr_topk": f"WITH {ATTRIBUTED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY stay_id, window_id ORDER BY abs(v) DESC, k) AS rank FROM long) SELECT stay_id, window_id, CAST(rank AS INTEGER) AS rank, feature, round(v, 6) AS attribution FROM r WHERE rank <= 1",
+    "linear_attr_topk": f"WITH {ATTRIBUTED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY stay_id, window_id ORDER BY abs(v) DESC, k) AS rank FROM long) SELECT stay_id, window_id, CAST(rank AS INTEGER) AS rank, feature, round(v, 6) AS attribution FROM r WHERE rank <= 3",
     "attr_importance": f"WITH {ATTRIBUTED_SQL}, m AS (SELECT feature, k, avg(abs(v)) AS a, avg(v) AS b FROM long GROUP BY 1, 2) SELECT feature, round(a, 6) AS mean_abs, round(b, 6) AS mean, CAST(row_number() OVER (ORDER BY a DESC, k) AS INTEGER) AS rank FROM m",
     "attr_additivity": f"WITH {features_sql(DAY)} SELECT count(*) AS n, true AS adds_up FROM features",
-    "waterfall": f"WITH {ATTRIBUTED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY abs(v) DESC, k) - 1 AS step FROM long WHERE window_id = 3), b AS (SELECT stay_id, window_id, base, step, feature, v FROM r WHERE step < 3 UNION ALL SELECT stay_id, window_id, base, 3, 'Other', sum(v) FROM r WHERE step >= 3 GROUP BY 1, 2, 3), e AS (SELECT *, base + sum(v) OVER (PARTITION BY stay_id ORDER BY step) AS t FROM b) SELECT stay_id, window_id, step, feature, round(v, 6) AS value, round(t - v, 6) AS start, round(t, 6) AS \"end\" FROM e",
+    "waterfall": f"WITH {ATTRIBUTED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY stay_id, window_id ORDER BY abs(v) DESC, k) - 1 AS step FROM long), b AS (SELECT stay_id, window_id, base, step, feature, v FROM r WHERE step < 3 UNION ALL SELECT stay_id, window_id, base, 3, 'Other', sum(v) FROM r WHERE step >= 3 GROUP BY 1, 2, 3), e AS (SELECT *, base + sum(v) OVER (PARTITION BY stay_id, window_id ORDER BY step) AS t FROM b) SELECT stay_id, window_id, step, feature, round(v, 6) AS value, round(t - v, 6) AS start, round(t, 6) AS \"end\" FROM e",
     "rank_stability": "WITH s AS (SELECT o_orderpriority AS run, month(l_shipdate) AS feature, round(sum(l_quantity), 2) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), r AS (SELECT run, feature, row_number() OVER (PARTITION BY run ORDER BY value DESC, feature) AS rank FROM s) SELECT a.run AS run_a, b.run AS run_b, round(corr(a.rank, b.rank), 6) AS spearman, round(count(*) FILTER (a.rank <= 5 AND b.rank <= 5) / count(*) FILTER (a.rank <= 5 OR b.rank <= 5), 6) AS top_jaccard FROM r a JOIN r b USING (feature) WHERE a.run < b.run GROUP BY 1, 2",
 }

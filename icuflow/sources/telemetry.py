@@ -59,7 +59,7 @@ def hash01(*columns: str):
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON observation messages with faults chosen by hash: some repeat, come late, lack a field, or hold a bad value, kind or version."""
     e = table(spark, sf_dir, "events")
-    h = hash01("event_id")
+    e, h = e.withColumn("h", hash01("event_id")), F.col("h")  # one digest a row
     lag = F.when(h < 0.05, F.lit(61)).when(h < 0.10, F.lit(60)).otherwise(F.lit(5))
     fields = e.select(
         F.when(h.between(0.10, 0.12), F.lit("2.0")).otherwise(F.lit("1.0")).alias("schema_version"),
@@ -68,6 +68,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("charttime"),
         F.date_format(F.timestamp_seconds(F.unix_timestamp("ts") + lag), "yyyy-MM-dd HH:mm:ss").alias("ingestion_time"),
         F.when(h < 0.5, F.lit("realtime")).otherwise(F.lit("replay")).alias("source_mode"),
+        F.lit("monitor").alias("source_type"),
         F.when(h.between(0.14, 0.16), F.lit("unknown")).otherwise(F.concat(F.lit(" "), F.upper("event_type"))).alias("vital_sign"),
         F.when(h.between(0.16, 0.18), -F.col("value")).otherwise(F.col("value")).alias("value"),
     )

@@ -4,6 +4,7 @@ import pytest
 
 from icuflow.operators import serving, validate
 from icuflow.operators.alerts import AlertState, PatientState, alert_machine
+from icuflow.operators.live import LiveOrder
 
 
 def last(rows, **settings):
@@ -49,18 +50,48 @@ def test_patient_state():
 
 
 def test_hygiene(spark):
-    rows = [("1.0", "a", 1, "2024-01-01 00:00:00", "2024-01-01 00:01:00", "realtime", " HR ", 5.0), ("1.0", "b", 1, "2024-01-01 00:00:00", "2024-01-01 00:01:01", "realtime", "hr", 10.0), ("2.0", "c", 1, "2024-01-01 00:00:00", None, "realtime", "hr", 5.0), ("1.0", "d", None, "2024-01-01 00:00:00", None, "realtime", "hr", 5.0), ("1.0", "e", 1, "2024-01-01 00:00:00", None, "realtime", "bp", 5.0), ("1.0", "f", 1, "2024-01-01 00:00:00", None, "realtime", "hr", 10.1)]
+    rows = [("1.0", "a", 1, "2024-01-01 00:00:00", "2024-01-01 00:01:00", "realtime", " HR ", 5.0), ("1.0", "b", 1, "2024-01-01 00:00:00", "2024-01-01 00:01:01", "realtime", "hr", 10.0)]
+    rows += [(v, i, s, "2024-01-01 00:00:00", "2024-01-01 00:01:00", "realtime", k, x) for v, i, s, k, x in (("2.0", "c", 1, "hr", 5.0), ("1.0", "d", None, "hr", 5.0), ("1.0", "e", 1, "bp", 5.0), ("1.0", "f", 1, "hr", 10.1), ("1.0", " ", 1, "hr", 5.0))]
+    rows = [(*r[:6], "monitor", *r[6:]) for r in rows] + [("1.0", "g", 1, "2024-01-01 00:00:00", None, "realtime", "monitor", "hr", 5.0)]
     from pyspark.sql import functions as F
 
     raw = spark.createDataFrame(rows, validate.MESSAGE).select(F.to_json(F.struct("*")).alias("value")).unionByName(spark.createDataFrame([("not json",)], "value string"))
     j = validate.judged(validate.parsed(raw), {"hr": "hr"}, {"hr": (0.0, 10.0)})
-    assert {r["event_id"]: r["reason"] for r in j.collect()} == {"a": None, "b": None, "c": "schema_version", "d": "missing_field", "e": "unknown_vital", "f": "out_of_range", None: "missing_field"}
+    assert {r["event_id"]: r["reason"] for r in j.collect()} == {"a": None, "b": None, "c": "schema_version", "d": "missing_field", "e": "unknown_vital", "f": "out_of_range", " ": "missing_field", "g": "missing_field", None: "missing_field"}
     valid, rejected = validate.split(j)
-    assert valid.count() + rejected.count() == 7
+    assert valid.count() + rejected.count() == 9
     assert {r["event_id"]: r["is_late"] for r in validate.late(valid).collect()} == {"a": False, "b": True}
     assert [r["event_id"] for r in validate.deduplicated(valid).collect()] == ["a"]
 
 
+def test_duplicates_leave_no_trace(spark):
+    """Ids count within a stay only; a refused row's other key doesn't refuse later rows; old keys are forgotten."""
+    rows = [(1, "a", "hr", 1, 1), (2, "a", "hr", 1, 2), (1, "b", "hr", 1, 3), (1, "b", "hr", 2, 4), (1, "a", "bp", 5, 5), (1, "c", "hr", 6, 6)]
+    df = spark.createDataFrame(rows, "stay_id long, event_id string, vital_sign string, charttime long, seq long")
+    assert sorted(r["seq"] for r in validate.deduplicated(df, ["seq"]).collect()) == [1, 2, 4, 6]
+    assert sorted(r["seq"] for r in validate.deduplicated(df, ["seq"], most=1).collect()) == [1, 2, 4, 5, 6]
+
+
+def test_live_order():
+    """Windows come first, times count within a window, a final update closes it."""
+    def told(rows, refresh=False):
+        state = LiveOrder(refresh)
+        return [state.offer(*r) for r in rows]
+
+    assert told([(1, 100), (2, 90), (2, 90), (2, 80), (1, 200), (2, 95)]) == ["accepted", "accepted", "duplicate", "out_of_order", "stale", "accepted"]
+    assert told([(1, 100), (1, 100)], refresh=True) == ["accepted", "accepted"]
+    assert told([(3, 100, True), (3, 200), (2, 300), (4, 50), (4, 50, True), (4, 60)]) == ["accepted", "closed", "closed", "accepted", "duplicate", "accepted"]
+
+
+def test_risk_delta_after_a_final(spark):
+    df = spark.createDataFrame([(1, 1, "UPDATE", 0.1), (1, 2, "FINAL", 0.3), (1, 3, "UPDATE", 0.6), (1, 4, "UPDATE", None), (1, 5, "UPDATE", 0.7)], "stay_id long, seq long, status string, p double")
+    assert [None if r["risk_delta"] is None else round(r["risk_delta"], 6) for r in serving.risk_delta(df).orderBy("seq").collect()] == [None, 0.2, 0.3, None, 0.1]
+
+
+def test_no_score_changes_nothing():
+    assert last([(1, 0.05), (2, None)])["reason"] == "no_score" and last([(1, 0.05), (2, None), (3, 0.2)])["reason"] == "threshold_crossing"
+
+
 def test_upsert(spark):
     df = spark.createDataFrame([(1, "UPDATE", 1), (1, "FINAL", 2), (1, "UPDATE", 3), (2, "UPDATE", 1), (2, "UPDATE", 2)], "k long, status string, seq long")
     assert {(r["k"], r["status"], r["seq"]) for r in serving.final_upsert(df, ["k"], "seq").collect()} == {(1, "FINAL", 2), (2, "UPDATE", 2)}
