@@ -6,10 +6,12 @@ window length there is one searcher: a shift table over blocks of two words says
 the windows that end with a block share a bucket, and a direct comparison confirms an occurrence. Benchmark words are
 numbered; a document word that no item has is 0 and always allows the longest skip.
 
-The documents are never shuffled: each task searches its own rows. Windows go to the tasks in blocks of at most
-BLOCK_BYTES of item text; a larger benchmark takes several passes, with the hits carried along as columns.
+The documents are never shuffled: each task searches its own rows. Windows go to the tasks in blocks of about
+BLOCK_BYTES of distinct item text, one block at a time: it is collected, searched for in a pass that is written, and
+let go before the next; hits are carried along as columns.
 
-Null and empty texts have no words. Items with a null id or text, or without a word, have no windows. Repeated rows
+Null and empty texts have no words. Texts are read whole, whatever their length; other columns of docs aren't read,
+whatever their names, and clean_rows() returns them all; no rows give no rows. Items with a null id or text, or without a word, have no windows. Repeated rows
 and repeated items are searched like any other; an item counts once a document.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from icuflow.llm.common import settle
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _FOLD = bytes(ord(chr(c).lower()) if c >= 128 or chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 
 
@@ -104,13 +106,14 @@ _HITS = "n_words long, hits array<struct<start:int,end:int>>, item_ids array<lon
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def matchers(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
-    """A broadcast of items for each block. The size is measured first; a block holds about block_bytes of text."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+def matchers(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[bool, object]]:
+    """Block by block, if it is the last one, and a broadcast of its items. The size is measured first; a block holds about block_bytes of text."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     context = benchmark.sparkSession.sparkContext
-    return [context.broadcast([(r[0], r[1].encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]) for k in range(n)]
+    for k in range(n):
+        yield k + 1 == n, context.broadcast([(r[0], r[1].encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()])
 
 
 def searched(shared, window: int) -> Callable[[bytes | None], tuple]:
@@ -120,10 +123,9 @@ def searched(shared, window: int) -> Callable[[bytes | None], tuple]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row of docs: doc_id, n_words, hits (runs of hit words), item_ids (sorted items with an occurring window)."""
-    blocks = matchers(benchmark, window, block_bytes)
     empty = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<long>")
     out = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), empty[0].alias("hits"), empty[1].alias("item_ids"))
-    for k, shared in enumerate(blocks):
+    for last, shared in matchers(benchmark, block_bytes):
 
         def search(batches, shared=shared):
             find = searched(shared, window)
@@ -136,15 +138,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 )
 
         out = out.mapInArrow(search, out.schema)
-        if k + 1 < len(blocks):
+        if not last:
             out = settle(out, "hits")
+            shared.destroy()
     return out.drop("text")
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs in which no window occurs, with all their columns."""
     at = docs.columns.index("text")
-    for shared in matchers(benchmark, window, block_bytes):
+    for last, shared in matchers(benchmark, block_bytes):
 
         def keep(batches, shared=shared):
             find = searched(shared, window)
@@ -152,6 +155,9 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
                 yield b.filter(pa.array([not find(t)[2] for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        if not last:
+            docs = settle(docs, "clean")
+            shared.destroy()
     return docs
 
 

@@ -4,12 +4,14 @@ Subwords are runs of one to three characters of the lower-cased text, where ever
 counts as a space and runs of spaces as one. They are hashed to BUCKETS rows of an embedding table; a text is the
 average of its rows, and a linear layer with softmax gives a probability for each language. Table and layer are
 trained together by stochastic gradient descent in numpy, on a sample of at most about SAMPLE rows, the same share of
-each language up to its part of the bound; the sample depends on the rows alone. One row in five of it is kept out of
-training, to fit the temperature of the softmax and the score below which a prediction is rejected: at most one in a
-thousand of its correct predictions lies below, and it is MOST_REJECTED at most.
-
-Every text is read whole. Null texts and texts without a letter are "und" with score 0, as are all texts if nothing
-could be learned. Repeated rows give repeated results.
+each language up to its part of the bound, whatever their number; the sample depends on the rows alone. One row in five
+of it is kept out of training, to fit the temperature of the softmax and the score below which a prediction is
+rejected: at most one in a thousand of its correct predictions lies below, and it is ABOVE_CHANCE beyond an even score
+of all languages at most, so that clean short texts stay.
+
+Every text is read whole, whatever its length. Null texts and texts without a letter are "und" with score 0, as are all
+texts if nothing could be learned. Repeated rows give repeated results. identify() reads no other columns than doc_id,
+text and lang, whatever their names, and accepted_rows() returns all of them; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from icuflow.llm.common import hash_share, id_remainder
 BUCKETS = 1 << 12
 WIDTH = 16
 SAMPLE = 4000
-MOST_REJECTED = 0.35
+ABOVE_CHANCE = 0.1
 UNDETERMINED = "und"
 _OTHER, _LETTER = re.compile(r"[\W\d_]+"), re.compile(r"[^\W\d_]")
 
@@ -135,7 +137,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 12, batch: int = 64, rate: fl
         model.temperature = min(loss, key=loss.get)
         p = model.probabilities(features[: len(kept)])
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth[: len(kept)]])
-        model.least = min(MOST_REJECTED, float(right[len(right) // 1000])) if right.size else 0.0
+        model.least = min(1 / len(languages) + ABOVE_CHANCE, float(right[len(right) // 1000])) if right.size else 0.0
     return model
 
 
@@ -146,13 +148,11 @@ def held_out() -> Column:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """From rows with a text and a language that aren't held out."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), "doc_id").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
-    if not sizes:
+    sizes = rows.groupBy(F.col("lang").alias("named")).agg(F.count("*").alias("n"))
+    if not (languages := sizes.count()):
         return fit([])
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, sample / len(sizes) / n))).otherwise(share)
-    picked = rows.where(hash_share("doc_id", "text") < share).select("text", "lang").collect()
+    shared = rows.join(sizes, F.col("lang") == F.col("named")).where(hash_share("doc_id", "text") < F.lit(sample / languages) / F.col("n"))
+    picked = shared.select("text", "lang").collect()
     return fit([(r["text"], r["lang"]) for r in picked])
 
 
