@@ -66,6 +66,35 @@ def test_trees_find_free_formats_and_keep_base(spark):
     assert pii.redact(rows[0], spans).count("[EMAIL]") == 1
 
 
+def test_planted_free_formats_in_given_documents(spark, rng):
+    """Recall of each kind's free formats planted into the given documents, by a model that learned from those as they are; and what it adds to them."""
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet").collect() if r["text"]]
+    model = pii.fit(sorted(set(texts)))
+    assert all(t < 1 for t in model.thresholds.values()) and set(model.thresholds) == set(pii.KINDS)
+    cards = [c for c in (f"{rng.randrange(10**15, 10**16)}" for _ in range(1000)) if pii.luhn(c)]
+
+    def made(kind):
+        n = lambda a, b: rng.randrange(a, b)
+        if kind == "email":
+            return "".join(rng.choices("abcdefghij", k=n(3, 9))) + rng.choice([" [at] ", " (at) ", "[at]"]) + rng.choice(["corp", "mailbox", "site"]) + rng.choice([" [dot] ", " (dot) ", "."]) + rng.choice(["com", "org"])
+        if kind == "ip":
+            return rng.choice(["[.]", "(.)", "[dot]"]).join(str(n(0, 256)) for _ in range(4))
+        c = rng.choice(cards)
+        return rng.choice([".", "/", "_"]).join(c[k : k + 4] for k in range(0, 16, 4)) if kind == "card" else f"({n(200, 999)}) {n(200, 999)}-{n(1000, 9999)}"
+
+    for kind in pii.KINDS:
+        found = 0
+        for text in rng.sample(texts, 60):
+            words = text.split(" ")
+            at, own = rng.randrange(len(words) + 1), made(kind)
+            start = len(" ".join([*words[:at], ""]))
+            found += (kind, start, start + len(own)) in model.spans(" ".join([*words[:at], own, *words[at:]]))[1]
+        assert found >= 42, (kind, found)
+    added = [(k, t[s:e]) for t in texts for k, s, e in model.added(t, pii.base_spans(t))]
+    assert len(added) <= 5
+    assert model.added("see version 1.2.3 and page 12, 13, 14, 15, on 2024-01-15, when they look at the house. Then go", []) == []
+
+
 def test_pii_report(spark, odd, none):
     assert pii.pii_report(odd).count() == odd.count() and pii.pii_report(none).count() == 0
     empty = hashlib.sha256(b"").hexdigest()
