@@ -211,18 +211,17 @@ def counted(made: DataFrame, most: int) -> tuple[list[tuple[str, int]], np.ndarr
     """The most frequent words with their counts (ties by word), and the counts of all words by hashed id."""
 
     def count(batches):
-        def out(words, totals):
-            totals = np.concatenate(totals)
-            best = np.argsort(-totals, kind="stable")
-            # ties at the end stay, the driver's order decides
-            best = best[totals[best] >= totals[best[min(most, best.size) - 1]]].tolist() if best.size else []
-            names = [*words]
-            cells = np.bincount(np.fromiter(map(hash_of, names), np.int64, len(names)), weights=totals, minlength=HASHED).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in best], pa.string()), pa.nulls(len(best), pa.int32()), pa.array(totals[best])], names=["word", "cell", "n"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(HASHED, pa.string()), pa.array(np.arange(HASHED, dtype=np.int32)), pa.array(cells)], names=["word", "cell", "n"])
-
+        # of all buckets of the task: the best words so far, and the counts by hashed id
+        names, n, cells = np.zeros(0, object), np.zeros(0, np.int64), np.zeros(HASHED, np.int64)
         for _, words, totals, _ in _totals(batches):
-            yield from out(words, [totals])
+            own = np.array([*words], object)
+            cells += np.bincount(np.fromiter(map(hash_of, own), np.int64, own.size), weights=totals, minlength=HASHED).astype(np.int64)
+            names, n = np.concatenate([names, own]), np.concatenate([n, totals])
+            best = sorted(np.nonzero(n >= np.partition(n, -most)[-most])[0] if n.size > most else range(n.size), key=lambda k: (-n[k], names[k]))[:most]
+            names, n = names[best], n[best]
+        full = np.nonzero(cells)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.nulls(n.size, pa.int32()), pa.array(n)], names=["word", "cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(full.size, pa.string()), pa.array(full, pa.int32()), pa.array(cells[full])], names=["word", "cell", "n"])
 
     got = wordblocks.by_bucket(made, "words", "counts").mapInArrow(count, "word string, cell int, n long")
     got = settle(got, "counts")
