@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from icuflow.functions.scalars import blend, clipped_logit, platt
-from icuflow.operators.metrics import probability_metrics, ranking_metrics, running, score_groups
+from icuflow.operators.metrics import probability_metrics, ranking_metrics
+from icuflow.operators.resampling import group_weights, hashed_weights, resampled_metrics
 
 
 def platt_fit(df: DataFrame, score: str) -> DataFrame:
@@ -51,33 +52,12 @@ def improvement(metrics: DataFrame, metric: str) -> DataFrame:
     return metrics.agg(own.alias("blend"), best.alias("best_single"), (own - best).alias("gain"), (100 * (own - best) / best).alias("gain_percent"))
 
 
-def replicate_weights(groups: DataFrame, key: str, replicates: int, seed: int = 1) -> DataFrame:
-    """replicate, key, weight: groups drawn with replacement, as many as there are, for each replicate.
+def bootstrap(df: DataFrame, key: str, scores: Sequence[str], replicates: int = 2000, seed: int = 1, hashed: bool = False) -> DataFrame:
+    """replicate, score, roc_auc, average_precision of each resample of whole groups; replicates without both classes go.
 
-    The draws are counted, never copied. A draw's group is its hash modulo the number of groups, in the order of keys."""
-    keys = groups.select(key).distinct()
-    n = keys.count()
-    # ranks from counts of ranges, so that no single task sorts all keys
-    ranked = keys.withColumn("index", _dense_index(keys, key))
-    draws = groups.sparkSession.range(0, replicates * n).select(F.floor(F.col("id") / n).cast("int").alias("replicate"), F.pmod("id", F.lit(n)).alias("d"))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("replicate"), F.col("d"))), 1, 8), 16, 10).cast("long")
-    counted = draws.groupBy("replicate", F.pmod(hashed, F.lit(n)).alias("index")).agg(F.count("*").alias("weight"))
-    return counted.join(ranked, "index").select("replicate", key, "weight")
-
-
-def _dense_index(keys: DataFrame, key: str):
-    from pyspark.sql import Window
-
-    return (F.row_number().over(Window.orderBy(key)) - 1).cast("long")
-
-
-def bootstrap(df: DataFrame, key: str, scores: Sequence[str], replicates: int, seed: int = 1) -> DataFrame:
-    """replicate, score, roc_auc, average_precision of each resample of whole groups; replicates without both classes go."""
-    small = df.select(key, "label", F.explode(F.create_map(*[x for s in scores for x in (F.lit(s), F.col(s))])).alias("score", "p"))
-    small = small.groupBy(key, "score", "p", "label").agg(F.count("*").alias("n"))
-    x = small.join(replicate_weights(df, key, replicates, seed), key)
-    by = ["replicate", "score"]
-    return ranking_metrics(x, "p", by, F.col("n") * F.col("weight")).where("roc_auc is not null")
+    hashed draws come from md5 and can be repeated by another engine; they cost a row for each draw and suit few replicates."""
+    weights = (hashed_weights if hashed else group_weights)(df, key, replicates, seed)
+    return resampled_metrics(df, key, scores, weights, replicates)
 
 
 def confidence(replicates: DataFrame, metric: str) -> DataFrame:
@@ -101,4 +81,4 @@ def drift(artifact: DataFrame, expected: Mapping[str, float], tolerance: float =
     return artifact.selectExpr(f"stack({len(names)}, {stack}) AS (name, expected, actual)").withColumn("ok", F.coalesce(F.abs(F.col("expected") - F.col("actual")) <= tolerance, F.lit(False)))
 
 
-__all__ = ["bootstrap", "blend_grid", "confidence", "drift", "gain_probability", "improvement", "platt_apply", "platt_fit", "replicate_weights", "running", "score_groups", "single_and_blend"]
+__all__ = ["bootstrap", "blend_grid", "confidence", "drift", "gain_probability", "improvement", "platt_apply", "platt_fit", "single_and_blend"]

@@ -11,7 +11,7 @@ from icuflow.plans.features import H, _attributed, features, features_sql, round
 from icuflow.sources.telemetry import PREDS_SQL, VITALS, messages, predictions, table
 
 PLATT = {"p1": (-0.4, 0.3), "p2": (0.2, -0.5)}
-WEIGHT, REPLICATES = 0.48, 20
+WEIGHT, REPLICATES, REPEATED = 0.48, 2000, 20
 FLOORS = [0.70, 0.75, 0.80, 0.85, 0.90]
 
 
@@ -131,8 +131,8 @@ def blend_gain(spark, d):
 
 
 def bootstrap_replicates(spark, d):
-    """ROC AUC of each score on each resample of whole stays."""
-    return rounded(ensemble.bootstrap(predictions(spark, d), "stay_id", ["p1", "p2"], 5))
+    """ROC AUC of each score on each resample of whole stays, with draws that the SQL repeats: the intervals' plan, checked with few replicates."""
+    return rounded(ensemble.bootstrap(predictions(spark, d), "stay_id", ["p1", "p2"], REPEATED, hashed=True))
 
 
 def bootstrap_ci(spark, d):
@@ -472,9 +472,7 @@ ORACLE_SQL = {
     "calibration_invariance": "SELECT true AS roc_auc_kept, true AS average_precision_kept",
     "blend_grid": f"WITH {PREDS_SQL}, b AS (SELECT k / 100.0::DOUBLE AS weight, label, round(k / 100.0::DOUBLE * p1 + (1 - k / 100.0::DOUBLE) * p2, 12) AS score FROM preds, range(0, 101) r(k)), g AS (SELECT weight, score, sum(label) AS pos, sum(1 - label) AS neg FROM b GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER o AS ctp, sum(neg) OVER o AS cfp FROM g WINDOW o AS (PARTITION BY weight ORDER BY score DESC)), r AS (SELECT weight, round(sum(neg * (ctp - pos / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * ctp / (ctp + cfp)) / sum(pos), 6) AS average_precision FROM c GROUP BY 1), q AS (SELECT weight, round(avg(pow(score - label, 2)), 6) AS brier, round(avg(-(label * ln({_CLIP}) + (1 - label) * ln(1 - {_CLIP}))), 6) AS log_loss FROM b GROUP BY 1) SELECT * FROM r JOIN q USING (weight)",
     "blend_gain": f"WITH {PREDS_SQL}, long AS (SELECT label, 'p1' AS model, p1 AS score FROM preds UNION ALL SELECT label, 'p2', p2 FROM preds UNION ALL SELECT label, 'blend', {WEIGHT} * p1 + (1 - {WEIGHT}) * p2 FROM preds), g AS (SELECT model, score, sum(label) AS pos, sum(1 - label) AS neg FROM long GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY score DESC) AS ctp FROM g), r AS (SELECT model, sum(neg * (ctp - pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY 1), m AS (SELECT max(auc) FILTER (model = 'blend') AS b, max(auc) FILTER (model <> 'blend') AS s FROM r) SELECT round(b, 5) AS blend, round(s, 5) AS best_single, round(b - s, 5) AS gain, round(100 * (b - s) / s, 5) AS gain_percent FROM m",
-    "bootstrap_replicates": f"WITH {boot_sql(5)} SELECT CAST(replicate AS INTEGER) AS replicate, score, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM boot",
-    "bootstrap_ci": f"WITH {boot_sql(REPLICATES)} SELECT score, count(*) AS n, round(avg(roc_auc), 6) AS mean, round(quantile_cont(roc_auc, 0.025), 6) AS low, round(quantile_cont(roc_auc, 0.975), 6) AS high FROM boot GROUP BY 1",
-    "bootstrap_gain": f"WITH {boot_sql(REPLICATES)}, dif AS (SELECT a.roc_auc - b.roc_auc AS d FROM boot a JOIN boot b USING (replicate) WHERE a.score = 'p1' AND b.score = 'p2') SELECT count(*) AS n, round(avg(CAST(d > 0 AS INTEGER)), 6) AS p_better, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM dif",
+    "bootstrap_replicates": f"WITH {boot_sql(REPEATED)} SELECT CAST(replicate AS INTEGER) AS replicate, score, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM boot",
     "risk_direction": f"WITH {SCORES_SQL}, l AS (SELECT *, CASE WHEN window_id - lag(window_id) OVER o <= 1 THEN lag(p) OVER o END AS b FROM scores WINDOW o AS (PARTITION BY stay_id ORDER BY window_id)) SELECT stay_id, window_id, round(p, 6) AS p, round(p - b, 6) AS delta, CASE WHEN b IS NULL THEN 'initial' WHEN p - b > 0.05 THEN 'rising' WHEN p - b < -0.05 THEN 'falling' ELSE 'stable' END AS direction, coalesce(b < 0.5 AND p >= 0.5, false) AS crossed FROM l",
     "alert_machine": f"WITH {ALERT_SQL} SELECT stay_id, window_id, round(p, 6) AS p, alert, reason, direction, pending, CAST(cooldown AS INTEGER) AS cooldown FROM m",
     "alert_counts": f"WITH {ALERT_SQL} SELECT reason, count(*) AS n, count(*) FILTER (alert) AS n_alerts FROM m GROUP BY 1",
