@@ -7,7 +7,8 @@
    library. The table of encoded words is never in one place.
 3. Join: words' ids return to the blocks that have them, and take the words' places in each text, by number.
 4. Decode: the ids of each distinct word are joined with the id-to-piece table of the vocabulary, whose size is fixed
-   and whose key is dense, so that the join is a look-up by id; the words' bytes are put together in order.
+   and whose key is dense, so that the join is a look-up by id; the words' bytes are put together in order. Ids and
+   bytes of a block's words stand in one buffer each, not as objects.
 
 No step holds more than a bucket's distinct words, or a block's, and a few texts. A text is never cut between blocks,
 whatever its length. Null text counts as empty and has no ids. Rows are independent: repeated rows give repeated
@@ -68,8 +69,25 @@ def piece_bytes(source: str) -> list[bytes]:
     return [spell(by_id.get(i, "")) for i in range(max(by_id) + 1)]
 
 
-def decoded(parts: list[bytes]) -> bytes:
-    out = b"".join(parts)
+def gathered(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of buffer that start at starts, one after another."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return buffer[np.repeat(starts.astype(np.int64) - (ends - lengths), lengths) + np.arange(int(ends[-1]) if ends.size else 0)]
+
+
+class Pieces:
+    """The bytes of all ids in one buffer, by id."""
+
+    def __init__(self, spelled: list[bytes]):
+        self.buffer = np.frombuffer(b"".join(spelled), np.uint8)
+        self.lengths = np.fromiter(map(len, spelled), np.uint32, len(spelled))
+        self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        return gathered(self.buffer, self.starts[ids], self.lengths[ids])
+
+
+def decoded(out: bytes) -> bytes:
     try:
         out.decode()
     except UnicodeDecodeError:
@@ -110,25 +128,25 @@ def word_ids(made: DataFrame, source: str) -> DataFrame:
 
 
 class BlockWords:
-    """The encoded words of a block by number: where their ids start, how many there are, and their bytes."""
+    """The encoded words of a block by number: their ids and their bytes, each in one buffer, with starts and lengths."""
 
-    def __init__(self, rows: list[tuple[bytes, bytes, bytes]], pieces: list[bytes]):
+    def __init__(self, rows: list[tuple[bytes, bytes, bytes]], pieces: Pieces):
         numbers, counts, ids = ([f(r[k]) for r in rows] for k, f in enumerate((ascending, unpack, unpack)))
-        joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
-        numbers, counts, self.ids = joined(numbers, np.int64), joined(counts, np.int64), joined(ids, np.uint32)
-        ends = np.cumsum(counts)
-        flat = [*map(pieces.__getitem__, self.ids.tolist())]
-        self.counts, self.starts = np.zeros(numbers.size, np.int64), np.zeros(numbers.size, np.int64)
-        self.counts[numbers], self.starts[numbers] = counts, ends - counts
-        self.spelled = [b"".join(flat[a : a + n]) for a, n in zip(self.starts.tolist(), self.counts.tolist(), strict=True)]
+        joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind, copy=False)
+        numbers, counts, self.ids = joined(numbers, np.int64), joined(counts, np.uint32), joined(ids, np.uint32)
+        # a block's distinct words have fewer bytes than a string may have, so 32 bits are enough for places in them
+        by_number = np.argsort(numbers)
+        self.n_ids, self.id_starts = counts[by_number], (np.cumsum(counts, dtype=np.uint32) - counts)[by_number]
+        upto = np.zeros(self.ids.size + 1, np.uint32)
+        np.cumsum(pieces.lengths[self.ids], dtype=np.uint32, out=upto[1:])
+        self.byte_starts = upto[self.id_starts]
+        self.n_bytes = upto[self.id_starts + self.n_ids] - self.byte_starts
+        self.bytes = np.concatenate([np.zeros(0, np.uint8), *(pieces.of(self.ids[k : k + OUT_WORDS]) for k in range(0, self.ids.size, OUT_WORDS))])
 
     def text(self, row: np.ndarray) -> tuple[bytes, bytes]:
         """The ids of the words in row, packed, and the bytes that they are decoded to."""
-        n = self.counts[row]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if ends.size else 0
-        ids = self.ids[np.repeat(self.starts[row] - (ends - n), n) + np.arange(total)]
-        return ids.astype("<u4").tobytes(), decoded([*map(self.spelled.__getitem__, row.tolist())])
+        ids = gathered(self.ids, self.id_starts[row], self.n_ids[row])
+        return ids.astype("<u4").tobytes(), decoded(gathered(self.bytes, self.byte_starts[row], self.n_bytes[row]).tobytes())
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, block_chars: int = wordblocks.BLOCK_CHARS) -> DataFrame:
@@ -139,11 +157,12 @@ def encode_decode(docs: DataFrame, vocabulary: str, block_chars: int = wordblock
     with open(vocabulary, encoding="utf-8") as f:
         source = f.read()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    spelled = docs.sparkSession.sparkContext.broadcast(piece_bytes(source))
+    spelled = docs.sparkSession.sparkContext.broadcast(Pieces(piece_bytes(source)))
     made = wordblocks.blocked(docs, _numbering, wordblocks.buckets_for(docs, chars_in(docs)), block_chars)
 
     def assemble(_, texts, values):
         words = BlockWords(values, spelled.value)
+        wordblocks.release()
         for keys, rows in wordblocks.slices(texts, OUT_WORDS):
             out = [words.text(row) for row in rows]
             yield pa.RecordBatch.from_arrays([keys, pa.array([t[0] for t in out], pa.binary()), pa.array([t[1] for t in out], pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])

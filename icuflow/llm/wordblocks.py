@@ -61,6 +61,12 @@ def unpack_words(data: bytes) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def release() -> None:
+    """Give freed memory back to the system, as workers live on after a block."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 class Numbering(dict):
     """Words to numbers in order of appearance. words_of cuts a text; spelled gives each word's text."""
 
@@ -137,8 +143,11 @@ def blocked(docs: DataFrame, numbering: Callable[[], Numbering], buckets: int, b
                     if chars >= block_chars:
                         yield from made(block, numbered, texts)
                         block, chars, numbered, texts = block + 1, 0, numbering(), []
+                        release()
         if texts:
             yield from made(block, numbered, texts)
+        del numbered, texts
+        release()
 
     return kept_by_block(docs.mapInArrow(blocks, f"block long, bucket int, keys array<{kind}>, numbers binary, lengths binary, words binary, counts binary"), name)
 
