@@ -42,14 +42,20 @@ def onehot_widths(df: DataFrame, categories: Sequence[str]) -> DataFrame:
     return counts.unpivot([], list(categories), "column_name", "width")
 
 
-def tree_model(train: DataFrame, numeric: Sequence[str], rounds: int = 20, depth: int = 6, seed: int = 42):
-    """Boosted trees for the label; missing numbers become train medians first. Classes are weighted alike."""
+def tree_model(train: DataFrame, numeric: Sequence[str], validation: DataFrame | None = None, rounds: int = 30, depth: int = 6, seed: int = 42):
+    """Boosted trees for the label; missing numbers become train medians first. Classes are weighted alike. With validation rows, rounds end when their loss no longer falls; without any, all rounds are made."""
     n = train.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
     weight = (n["n"] - n["p"]) / n["p"] if n["p"] else 1.0
     filled = Imputer(strategy="median", inputCols=list(numeric), outputCols=[f"{c}__f" for c in numeric])
     assemble = VectorAssembler(inputCols=filled.getOutputCols(), outputCol="features")
     trees = GBTClassifier(maxDepth=depth, stepSize=0.05, maxBins=128, maxIter=rounds, subsamplingRate=0.8, weightCol="w", seed=seed)
-    return Pipeline(stages=[filled, assemble, trees]).fit(train.withColumn("w", F.when(F.col("label") == 1, F.lit(weight)).otherwise(F.lit(1.0))))
+    weighted = lambda df: df.withColumn("w", F.when(F.col("label") == 1, F.lit(weight)).otherwise(F.lit(1.0)))
+    medians = filled.fit(train)
+    if validation is None or validation.isEmpty():
+        return PipelineModel([medians, *Pipeline(stages=[assemble, trees]).fit(medians.transform(weighted(train))).stages])
+    both = weighted(train).withColumn("held", F.lit(False)).unionByName(weighted(validation).withColumn("held", F.lit(True)))
+    trees.setValidationIndicatorCol("held")
+    return PipelineModel([medians, *Pipeline(stages=[assemble, trees]).fit(medians.transform(both)).stages])
 
 
 def linear_model(train: DataFrame, features: Sequence[str]):

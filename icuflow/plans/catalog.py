@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from icuflow.plans import changes, decisions, features, live, streams
+from icuflow.plans import changes, decisions, exchange, features, live, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**features.QUERIES, **decisions.QUERIES, **live.QUERIES, **changes.QUERIES, **streams.QUERIES}
-ORACLE_SQL: dict[str, str] = {**features.ORACLE_SQL, **decisions.ORACLE_SQL, **live.ORACLE_SQL, **changes.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**features.QUERIES, **decisions.QUERIES, **live.QUERIES, **changes.QUERIES, **exchange.QUERIES, **streams.QUERIES}
+ORACLE_SQL: dict[str, str] = {**features.ORACLE_SQL, **decisions.ORACLE_SQL, **live.ORACLE_SQL, **changes.ORACLE_SQL, **exchange.ORACLE_SQL, **streams.ORACLE_SQL}

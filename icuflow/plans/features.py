@@ -280,17 +280,24 @@ def rank_stability(spark, d):
     return rounded(encode.rank_stability(x, "run", "feature", "value", 5))
 
 
+def _by_split(spark, d, rows):
+    """rows with their stay's label and their subject's split."""
+    s = stays(spark, d).select("stay_id", "subject_id", "label").join(_subject_split(spark, d).select("subject_id", "split"), "subject_id")
+    return rows.join(s, "stay_id")
+
+
 def gbt_score(spark, d):
-    """Boosted trees on window means for the stay's label; the score of each stay's last window."""
-    w = features(spark, d).join(stays(spark, d).select("stay_id", "label"), "stay_id")
-    cols = [f"{v}_last" for v in VITALS]
-    return encode.scored(encode.tree_model(w, cols, rounds=5, depth=3), w).groupBy("stay_id").agg(F.max_by("p", "window_id").alias("p"), F.max("label").alias("label"))
+    """Boosted trees on the last values of train's windows for the stay's label, stopped early on validation; the score of the last window of each stay outside train."""
+    w, cols = _by_split(spark, d, features(spark, d)), [f"{v}_last" for v in VITALS]
+    model = encode.tree_model(w.where("split = 'train'"), cols, w.where("split = 'validation'"))
+    return encode.scored(model, w.where("split <> 'train'")).groupBy("stay_id").agg(F.max("split").alias("split"), F.max_by("p", "window_id").alias("p"), F.max("label").alias("label"))
 
 
 def sequence_score(spark, d):
-    x = sequences.summaries(sequences.tensors(sequences.histories(_imputed(spark, d).join(stays(spark, d).select("stay_id", "label"), "stay_id"), LENGTH), LENGTH, WIDTH), WIDTH)
-    names = [c for c in x.columns if c.startswith("f")]
-    return encode.scored(encode.linear_model(x, names), x).select("stay_id", "terminal_window_id", "label", "p")
+    """A linear model on summaries of train's sequences; the scores of all sequences outside train."""
+    x = _by_split(spark, d, sequences.summaries(sequences.tensors(sequences.histories(_imputed(spark, d), LENGTH), LENGTH, WIDTH), WIDTH).drop("label"))
+    names = [c for c in x.columns if c.startswith("f") and c[1].isdigit()]
+    return encode.scored(encode.linear_model(x.where("split = 'train'"), names), x.where("split <> 'train'")).select("stay_id", "terminal_window_id", "split", "label", "p")
 
 
 QUERIES = {

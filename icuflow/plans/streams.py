@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icuflow.plans.decisions import ALERT_SQL, _scores
 from icuflow.plans.features import DAY, features_sql, rounded
+from icuflow.sources.files import shared_folder
 from icuflow.sources.telemetry import VITALS, observations, stays
 from icuflow.streaming import streams
 
 SLICES = 3
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """In the shared folder that the cluster names in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="icuflow-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _ran(df: DataFrame, folder: str) -> DataFrame:
     query = streams.append_parquet(df, f"{folder}/out", f"{folder}/checkpoint", once=True)
     query.awaitTermination()
@@ -30,7 +22,7 @@ def _ran(df: DataFrame, folder: str) -> DataFrame:
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Final windows by each stay's own watermark."""
-    folder = _folder(spark, "windows")
+    folder = shared_folder(spark, "windows")
     readings = observations(spark, d).join(stays(spark, d).select("stay_id", "intime"), "stay_id")
     streams.in_slices(readings, "charttime", f"{folder}/in", SLICES)
     out = _ran(streams.final_windows(streams.replayed(readings, f"{folder}/in"), VITALS, DAY), folder)
@@ -39,7 +31,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     """The alert machine over orders' scores, window by window of arrival."""
-    folder = _folder(spark, "alerts")
+    folder = shared_folder(spark, "alerts")
     scores = _scores(spark, d).withColumn("at", F.timestamp_seconds("window_id"))
     streams.in_slices(scores, "at", f"{folder}/in", 2)
     made = streams.alert_stream(streams.replayed(scores, f"{folder}/in").select("stay_id", "window_id", "p"), threshold=0.6, cooldown=3, escalation=0.1, dead_band=0.05)
