@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from icuflow.llm import bpe, decontamination, jaccard, language_id, pii, pseudo_likelihood, token_counts, token_files, topk, toxicity
+from icuflow.llm import bpe, decontamination, fingerprints, jaccard, language_id, pii, pseudo_likelihood, token_counts, token_files, topk, toxicity
 from icuflow.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_pseudo_likelihood": op2_pseudo_likelihood,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
