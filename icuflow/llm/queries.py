@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from icuflow.llm import bpe, decontamination, fingerprints, jaccard, language_id, pii, pseudo_likelihood, token_counts, token_files, topk, toxicity
+from icuflow.llm import bpe, decontamination, fingerprints, jaccard, language_id, pii, prefix_trie, pseudo_likelihood, token_counts, token_files, topk, toxicity
 from icuflow.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_pseudo_likelihood": op2_pseudo_likelihood,
@@ -67,10 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
     "op11_fingerprints": op11_fingerprints,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontamination.ORACLE,
     "op7_jaccard": jaccard.ORACLE,
     "op8_topk": topk.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
