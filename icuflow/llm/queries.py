@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from icuflow.llm import bpe, decontamination, fingerprints, jaccard, language_id, pii, prefix_trie, pseudo_likelihood, token_counts, token_files, topk, toxicity
+from icuflow.llm import alignment, bpe, decontamination, fingerprints, jaccard, language_id, pii, prefix_trie, pseudo_likelihood, token_counts, token_files, topk, toxicity
 from icuflow.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_pseudo_likelihood": op2_pseudo_likelihood,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_fingerprints": op11_fingerprints,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {

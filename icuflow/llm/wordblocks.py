@@ -26,7 +26,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from icuflow.llm.common import scratch_dir
+from icuflow.llm.common import discard, scratch_dir
 
 BLOCK_CHARS = 32 << 20
 BUCKET_CHARS = 32 << 20
@@ -158,10 +158,17 @@ def kept_by_block(table: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{called}"
     table.write.format("parquet").bucketBy(_parts(spark), "block").option("path", path).saveAsTable(called)
     out = spark.table(called)
-    out.settled_at = path
+    out.settled_at, out.called = path, called
     return out
 
 
+def dropped(*kept: DataFrame) -> None:
+    """Forget tables of kept_by_block() that nothing reads any more, and delete their files."""
+    for table in kept:
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.called}")
+        discard(table)
+
+
 def ascending(packed: bytes) -> np.ndarray:
     """The numbers of a row of words."""
     return np.cumsum(unpack(packed), dtype=np.int64)
