@@ -32,6 +32,7 @@ MOST = 120
 RANGE_BYTES, RANGES = 64 << 20, 100_000
 PARAGRAPH = rf"[^.!?\n]{{1,{MOST}}}[.!?\n]*|[.!?\n]+"
 _BITS = 3  # of WIDTH, and of FAN
+_CELLS = f"array({', '.join(map(str, range(TABLES * WIDTH)))})"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -44,16 +45,21 @@ def digests(text: str) -> str:
     return f"array_distinct(transform({pieces}, p -> (xxhash64(p) & ~65535L) | least(char_length(p), 65535)))"
 
 
+def placed(items: str, level: int | str) -> str:
+    """Items (digest d, sign n) with what a level makes of their hash: at, a bit for each of its cells; child, its smaller sketch; chk, the check."""
+    bit = lambda t: f"shiftleft(1, {WIDTH * t} + cast(shiftright(e.h, {_BITS * t}) & {WIDTH - 1} as int))"
+    made = f"named_struct('d', e.d, 'n', e.n, 'at', {' | '.join(map(bit, range(TABLES)))}, 'child', shiftright(e.h, {_BITS * TABLES}) & {FAN - 1}, 'chk', shiftrightunsigned(e.h, 32))"
+    return f"transform(transform({items}, x -> named_struct('d', x.d, 'n', x.n, 'h', xxhash64(x.d, {level}))), e -> {made})"
+
+
 def hashed(own: str, level: int | str) -> str:
-    """Digests d with the hash h of a level: bits for the cells, then for the smaller sketch, the upper half as check."""
-    return f"transform({own}, d -> named_struct('d', d, 'h', xxhash64(d, {level})))"
+    return placed(f"transform({own}, d -> named_struct('d', d, 'n', 1))", level)
 
 
-def cells(own: str) -> str:
-    """The sketch of hashed digests: WIDTH cells of the first table, then of the next."""
-    members = f"filter({own}, e -> (shiftright(e.h, {_BITS} * cast(i div {WIDTH} as int)) & {WIDTH - 1}) = i % {WIDTH})"
-    one = "(a, e) -> named_struct('n', a.n + 1, 'key', a.key ^ e.d, 'chk', a.chk ^ shiftrightunsigned(e.h, 32))"
-    return f"transform(sequence(0, {TABLES * WIDTH - 1}), i -> aggregate({members}, named_struct('n', 0, 'key', 0L, 'chk', 0L), {one}))"
+def cells(items: str) -> str:
+    """The sketch of placed items: WIDTH cells of the first table, then of the next."""
+    one = "(a, e) -> named_struct('n', a.n + e.n, 'key', a.key ^ e.d, 'chk', a.chk ^ e.chk)"
+    return f"transform({_CELLS}, i -> aggregate(filter({items}, e -> getbit(e.at, i) = 1), named_struct('n', 0, 'key', 0L, 'chk', 0L), {one}))"
 
 
 def subtracted(left: str, right: str) -> str:
@@ -62,13 +68,13 @@ def subtracted(left: str, right: str) -> str:
 
 def peeled(difference: str, level: int | str) -> str:
     """cells: what is left of the difference; found: differing digests; more: whether the last round found any."""
-    single = f"filter(s.cells, c -> abs(c.n) = 1 AND shiftrightunsigned(xxhash64(c.key, {level}), 32) = c.chk)"
-    pure = f"array_distinct(transform({single}, c -> named_struct('d', c.key, 'n', c.n, 'h', xxhash64(c.key, {level}))))"
-    hit = f"filter(p, e -> (shiftright(e.h, {_BITS} * cast(i div {WIDTH} as int)) & {WIDTH - 1}) = i % {WIDTH})"
-    less = "(a, e) -> named_struct('n', a.n - e.n, 'key', a.key ^ e.d, 'chk', a.chk ^ shiftrightunsigned(e.h, 32))"
-    after = f"named_struct('cells', transform(s.cells, (c, i) -> aggregate({hit}, c, {less})), 'found', concat(s.found, transform(p, e -> e.d)), 'more', size(p) > 0)"
+    single = f"filter(s.cells, c -> (c.n = 1 OR c.n = -1) AND shiftrightunsigned(xxhash64(c.key, {level}), 32) = c.chk)"
+    pure = placed(f"array_distinct(transform({single}, c -> named_struct('d', c.key, 'n', c.n)))", level)
+    less = "(a, e) -> named_struct('n', a.n - e.n, 'key', a.key ^ e.d, 'chk', a.chk ^ e.chk)"
+    after = f"named_struct('cells', transform(s.cells, (c, i) -> aggregate(filter(p, e -> getbit(e.at, i) = 1), c, {less})), 'found', concat(s.found, transform(p, e -> e.d)), 'more', true)"
+    stop = "named_struct('cells', s.cells, 'found', s.found, 'more', false)"
     start = f"named_struct('cells', {difference}, 'found', cast(array() as array<bigint>), 'more', true)"
-    return f"aggregate(sequence(1, {TABLES * WIDTH}), {start}, (s, k) -> if(s.more, {_let(pure, 'p', after)}, s))"
+    return f"aggregate(sequence(1, {TABLES * WIDTH}), {start}, (s, k) -> if(s.more, {_let(pure, 'p', f'if(size(p) > 0, {after}, {stop})')}, s))"
 
 
 def _size(found: str) -> str:
@@ -78,15 +84,17 @@ def _size(found: str) -> str:
 def differing(todo: str) -> str:
     """Characters of the paragraphs that two versions don't share, by which (0 or 1).
 
-    todo: array of which, a, b (digests of both), diff (their sketches' difference at level 0)."""
-    tried = f"transform(t.todo, x -> {_let(peeled('x.diff', 'v'), 'r', 'struct(x.which, x.a, x.b, r.found, forall(r.cells, c -> c.n = 0 AND c.key = 0 AND c.chk = 0) AS ok)')})"
-    part = lambda x: f"filter(x.{x}, d -> (shiftright(xxhash64(d, v), {_BITS * TABLES}) & {FAN - 1}) = f)"
-    smaller = f"transform(sequence(0, {FAN - 1}), f -> struct(x.which, {part('a')} AS a, {part('b')} AS b))"
+    todo: array of which, items (placed digests of both, those of the second with sign -1), diff (their sketches' difference), all at level 0.
+    In larger sketches the second version's digests are taken from the first's cells one by one, which is the same difference."""
+    tried = f"transform(t.todo, x -> {_let(peeled('x.diff', 'v'), 'r', 'struct(x.which, x.items, r.found, forall(r.cells, c -> c.n = 0 AND c.key = 0 AND c.chk = 0) AS ok)')})"
+    smaller = f"transform(sequence(0, {FAN - 1}), f -> struct(x.which, {placed('filter(x.items, e -> e.child = f)', 'v + 1')} AS items))"
     again = f"flatten(transform(filter(done, x -> NOT x.ok), x -> {smaller}))"
-    larger = f"transform({again}, x -> struct(x.which, x.a, x.b, {subtracted(cells(hashed('x.a', 'v + 1')), cells(hashed('x.b', 'v + 1')))} AS diff))"
+    larger = f"transform({again}, x -> struct(x.which, x.items, {cells('x.items')} AS diff))"
     summed = lambda w: f"t.n{w} + aggregate(filter(done, x -> x.ok AND x.which = {w}), 0L, (n, x) -> n + {_size('x.found')})"
     after = _let(tried, "done", f"named_struct('todo', {larger}, 'n0', {summed(0)}, 'n1', {summed(1)})")
-    last = lambda w: f"t.n{w} + aggregate(filter(t.todo, x -> x.which = {w}), 0L, (n, x) -> n + {_size('array_except(x.a, x.b)')} + {_size('array_except(x.b, x.a)')})"
+    of = lambda sign: f"transform(filter(x.items, e -> e.n = {sign}), e -> e.d)"
+    apart = f"{_size(f'array_except({of(1)}, {of(-1)})')} + {_size(f'array_except({of(-1)}, {of(1)})')}"
+    last = lambda w: f"t.n{w} + aggregate(filter(t.todo, x -> x.which = {w}), 0L, (n, x) -> n + {apart})"
     return f"aggregate(sequence(0, {LEVELS - 1}), named_struct('todo', {todo}, 'n0', 0L, 'n1', 0L), (t, v) -> if(size(t.todo) > 0, {after}, t), t -> array({last(0)}, {last(1)}))"
 
 
@@ -109,7 +117,7 @@ def _bounds(docs: DataFrame, least: int) -> tuple[list[int], bool]:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, own (digests), and the next document's text and digests: next_text, next_own."""
+    """doc_id, text, own (hashed digests of level 0), own_cells (their sketch), and the same of the next document: next_text, next_own, next_own_cells."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -123,17 +131,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = place(F.col("part"), False)
     again = F.when(first, F.array(own, place(F.lit(max(len(bounds) - 1, 0)), True))).when((F.expr("bounds[part]") == F.col("doc_id")) & (F.col("part") > 0), F.array(own, place(F.col("part") - 1, True)))
     x = x.select("doc_id", "text", F.explode(F.coalesce(again, F.array(own))).alias("place")).select("doc_id", "text", "place.*")
-    x = x.repartition(parts, "part").withColumn("own", F.expr(digests("text")))
+    x = x.repartition(parts, "part").withColumn("own", F.expr(hashed(digests("text"), 0))).withColumn("own_cells", F.expr(cells("own")))
     order = Window.partitionBy("part").orderBy("copy", F.col("doc_id").asc_nulls_first(), F.char_length("text"), "text")
-    return x.select("doc_id", "text", "own", "copy", F.lead("text").over(order).alias("next_text"), F.lead("own").over(order).alias("next_own")).where("NOT copy").drop("copy")
+    after = [F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "own", "own_cells")]
+    return x.select("doc_id", "text", "own", "own_cells", "copy", *after).where("NOT copy").drop("copy")
 
 
 def fingerprinted(pairs: DataFrame) -> DataFrame:
-    """Fingerprints of the versions text and edited, and likenesses. pairs: doc_id, text, own, edited, next_own."""
-    x = pairs.withColumn("edited_own", F.expr(digests("edited")))
-    names = ("own", "edited_own", "next_own")
-    x = x.withColumns({f"{c}_size": F.expr(_size(c)) for c in names} | {f"{c}_cells": F.expr(cells(hashed(c, 0))) for c in names})
-    item = lambda w, c: f"named_struct('which', {w}, 'a', own, 'b', {c}, 'diff', {subtracted('own_cells', f'{c}_cells')})"
+    """Fingerprints of the versions text and edited, and likenesses. pairs: the columns of with_next(), and edited."""
+    x = pairs.withColumn("edited_own", F.expr(hashed(digests("edited"), 0))).withColumn("edited_own_cells", F.expr(cells("edited_own")))
+    x = x.withColumns({f"{c}_size": F.expr(f"aggregate({c}, 0L, (a, e) -> a + (e.d & 65535))") for c in ("own", "edited_own", "next_own")})
+    less = lambda c: f"transform({c}, e -> named_struct('d', e.d, 'n', -1, 'at', e.at, 'child', e.child, 'chk', e.chk))"
+    item = lambda w, c: f"named_struct('which', {w}, 'items', concat(own, {less(c)}), 'diff', {subtracted('own_cells', f'{c}_cells')})"
     x = x.withColumn("todo", F.expr(f"array({item(0, 'edited_own')}, {item(1, 'next_own')})")).withColumn("differ", F.expr(differing("todo")))
     return x.select(
         "doc_id",
