@@ -37,8 +37,9 @@ from icuflow.llm.bpe import gathered, piece_bytes, tokenizer, words_of
 from icuflow.llm.common import chars_in, discard, settle
 from icuflow.llm.wordblocks import ascending, pack, unpack
 
-BLOCK_CHARS = 16 << 20
-OUT_WORDS = 1 << 18
+BLOCK_CHARS = 8 << 20
+OUT_WORDS = 1 << 17
+SLICE = 1 << 15
 
 
 def shared_cuts(ends_a: Sequence[int], ends_b: Sequence[int]) -> list[tuple[int, int]]:
@@ -153,16 +154,24 @@ class BlockWords:
         self.texts = self._texts(a, b, values["groups_a"], values["groups_b"])
 
     def _texts(self, a: np.ndarray, b: np.ndarray, groups_a: np.ndarray, groups_b: np.ndarray) -> list[str]:
-        """The groups of each word, each with a semicolon behind it."""
-        spelled = np.array([str(k) for k in range(int(max(a.max(initial=0), b.max(initial=0))) + 1)], object)
-        upto_a, upto_b = np.cumsum(groups_a), np.cumsum(groups_b)
-        out = np.empty(a.size + b.size, object)
-        for ids, upto, other, own, mark in ((a, upto_a, upto_b - groups_b, groups_a, "|"), (b, upto_b, upto_a, groups_b, ";")):
-            last = np.zeros(ids.size, bool)
-            last[upto - 1] = True
-            out[np.arange(ids.size) + np.repeat(other, own)] = spelled[ids] + np.where(last, mark, ",").astype(object)
-        flat, ends = out.tolist(), np.cumsum(self.n_a + self.n_b).tolist()
-        return ["".join(flat[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
+        """The groups of each word, each with a semicolon behind it. Ids share their strings, and a slice of the words is joined at a time."""
+        known = range(int(max(a.max(initial=0), b.max(initial=0))) + 1)
+        inside, ends = np.array([f"{k}," for k in known], object), {m: np.array([f"{k}{m}" for k in known], object) for m in "|;"}
+        upto_a, upto_b, upto_groups = (np.concatenate([np.zeros(1, np.int64), np.cumsum(n)]) for n in (self.n_a, self.n_b, self.n_groups))
+        made: list[str] = []
+        for first in range(0, self.n_a.size, SLICE):
+            to = min(first + SLICE, self.n_a.size)
+            groups = slice(upto_groups[first], upto_groups[to])
+            sizes = groups_a[groups], groups_b[groups]
+            before = [np.cumsum(n) - n for n in sizes]
+            out = np.empty(sum(int(n.sum()) for n in sizes), object)
+            for ids, own, other, mark in ((a[upto_a[first] : upto_a[to]], 0, before[1], "|"), (b[upto_b[first] : upto_b[to]], 1, before[0] + sizes[0], ";")):
+                last = np.zeros(ids.size, bool)
+                last[before[own] + sizes[own] - 1] = True
+                out[np.arange(ids.size) + np.repeat(other, sizes[own])] = np.where(last, ends[mark][ids], inside[ids])
+            flat, stops = out.tolist(), (upto_a[first + 1 : to + 1] + upto_b[first + 1 : to + 1] - upto_a[first] - upto_b[first]).tolist()
+            made += ["".join(flat[s:e]) for s, e in zip([0, *stops], stops, strict=False)]
+        return made
 
 
 def _in_order(texts: list[tuple]) -> list[tuple]:
