@@ -156,5 +156,27 @@ def in_slices(df: DataFrame, order: str, path: str, n: int) -> None:
         part.coalesce(1).write.mode("append").parquet(path)
 
 
+def run_in_steps(messages: DataFrame, at: str, n: int, folder: str, made: Callable[[DataFrame], DataFrame], settings: dict[str, str] | None = None, start: Callable[[DataFrame, str], StreamingQuery] | None = None) -> DataFrame | None:
+    """The rows in n steps by the number at (about equal ones, ties together), each written in parallel and followed by a run of the stream to its end, from the checkpoint of the step before.
+
+    made: the stream of what to do with the messages; start: how to start it, by default into Parquet, which is returned."""
+    spark = messages.sparkSession
+    cuts = messages.select(F.percentile_approx(at, [k / n for k in range(1, n)], 10_000)).first()[0] or [] if n > 1 else []
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            part = messages.where((F.lit(True) if low is None else F.col(at) > low) & (F.lit(True) if high is None else F.col(at) <= high))
+            part.write.mode("append").parquet(f"{folder}/in")
+            stream = made(spark.readStream.schema(messages.schema).parquet(f"{folder}/in"))
+            query = start(stream, f"{folder}/checkpoint") if start else append_parquet(stream, f"{folder}/out", f"{folder}/checkpoint", once=True)
+            query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return None if start else spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def replayed(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
