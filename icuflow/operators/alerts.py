@@ -7,6 +7,7 @@ function in a stateful operator (streaming/state.py).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -56,6 +57,8 @@ class AlertState:
         self.last_window, self.last_p, self.pending, self.alert_window, self.alert_p = last_window, last_p, pending, alert_window, alert_p
 
     def step(self, window: int, p: float | None, threshold: float = THRESHOLD, cooldown: int = COOLDOWN, escalation: float = ESCALATION, dead_band: float = DEAD_BAND) -> dict:
+        if window is None or window != window:
+            return {"alert": False, "reason": "invalid", "direction": "unknown", "pending": self.pending, "cooldown": 0}
         if self.last_window is not None and window <= self.last_window:
             return {"alert": False, "reason": "duplicate_suppressed" if window == self.last_window else "stale_suppressed", "direction": "stale", "pending": self.pending, "cooldown": self._left(self.last_window, cooldown)}
         if p is None or p != p:  # a window without a score changes nothing
@@ -93,11 +96,6 @@ class AlertState:
 ALERTS = "stay_id long, window_id long, p double, alert boolean, reason string, direction string, pending boolean, cooldown int"
 
 
-def alert_rows(state: AlertState, stay: int, windows: Iterator[tuple[int, float]], **settings) -> pd.DataFrame:
-    rows = [{"stay_id": stay, "window_id": w, "p": p, **state.step(w, p, **settings)} for w, p in windows]
-    return pd.DataFrame(rows, columns=["stay_id", "window_id", "p", "alert", "reason", "direction", "pending", "cooldown"])
-
-
 def alert_machine(df: DataFrame, score: str = "p", **settings) -> DataFrame:
     """The machine over each stay's rows by window (repeats by score)."""
     rows = df.select("stay_id", F.col("window_id").cast("long").alias("window_id"), F.col(score).cast("double").alias("p"))
@@ -111,12 +109,14 @@ def alert_counts(alerts: DataFrame) -> DataFrame:
 
 
 class PatientState:
-    """Accepts or rejects a stay's windows, and keeps the newest HISTORY of them. The order of checks matters."""
+    """Accepts or rejects a stay's windows, and keeps the newest HISTORY of them. The order of checks matters; a window, time, content or static row that is missing or not finite is invalid before all of them."""
 
     def __init__(self, history: int = HISTORY):
         self.history, self.windows, self.last_time, self.static, self.discharged = history, {}, None, None, False
 
     def offer(self, window: int, time, content: str, static: str | None, discharged: bool = False) -> str:
+        if None in (window, time, content, static) or window < 0 or not math.isfinite(time):
+            return "invalid"
         content = (content, time, static)  # what a repeated window must agree in
         if window in self.windows:
             return "duplicate" if self.windows[window] == content else "conflicting_duplicate"

@@ -61,6 +61,8 @@ class LiveOrder:
         self.window, self.time, self.closed, self.refresh = None, None, None, refresh
 
     def offer(self, window: int, time: int, final: bool = False) -> str:
+        if window is None or time is None or window != window or time != time:
+            return "invalid"
         if self.closed is not None and window <= self.closed:
             return "closed"
         if self.window is not None and window < self.window:
@@ -71,9 +73,16 @@ class LiveOrder:
             return "out_of_order"
         self.window, self.time = window, time
         if final:
-            self.window, self.time, self.closed = None, None, window
+            self.close(window)
         return "accepted"
 
+    def close(self, window: int | None) -> bool:
+        """A final closes its window, and ends a live update of it or an older one; while one of a newer window stands, it changes nothing. Whether it did."""
+        if window is None or window != window or (self.closed is not None and window <= self.closed) or (self.window is not None and window < self.window):
+            return False
+        self.window, self.time, self.closed = None, None, window
+        return True
+
 
 def live_order(updates: DataFrame, refresh: bool = False) -> DataFrame:
     """updates: stay_id, seq, window_id, time, final. Adds what became of each. refresh: whether an update with the time of the last one counts."""

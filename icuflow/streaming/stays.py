@@ -200,12 +200,19 @@ def stay_schema(vitals: Sequence[str]) -> str:
     return f"stay_id long, at long, kind string, event_id long, window_id long, reason string, recovered boolean, {stats}, " + ", ".join(f"{v}_missing int" for v in vitals)
 
 
+def typed(rows: list[dict], schema: str) -> pd.DataFrame:
+    """Rows as a frame whose columns keep their nulls; columns that a row lacks are null."""
+    kinds = {"long": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean", "timestamp": "datetime64[ns]"}
+    fields = [f.split() for f in schema.split(", ")]
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=kinds.get(k, "object")) for c, k in fields})
+
+
 class StayProcessor(StatefulProcessor):
     """Loads a stay's state, feeds it with what has come or become due, and stores it with a timer for what is due next."""
 
     def __init__(self, settings: Settings, vitals: Sequence[str]):
         self.settings, self.vitals = settings, list(vitals)
-        self.fields = [(f.split()[0], f.split()[1]) for f in stay_schema(vitals).split(", ")]
+        self.schema = stay_schema(vitals)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -232,8 +239,7 @@ class StayProcessor(StatefulProcessor):
         self.waiting.put([(json.dumps(r),) for r in stay.waiting]) if stay.waiting else self.waiting.clear()
 
     def _frame(self, key: tuple, rows: list[dict]) -> pd.DataFrame:
-        kinds = {"long": "Int64", "int": "Int32", "double": "float64", "boolean": "boolean", "string": "object"}
-        return pd.DataFrame({c: pd.Series([key[0] if c == "stay_id" else r.get(c) for r in rows], dtype=kinds[k]) for c, k in self.fields})
+        return typed([{"stay_id": key[0], **r} for r in rows], self.schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         stay, made = self._load(), []

@@ -123,9 +123,11 @@ def alert_stream(scores: DataFrame, **settings) -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         machine = AlertState(*json.loads(state.get[0])) if state.exists else AlertState()
-        for frame in frames:
-            rows = [{"stay_id": key[0], "window_id": int(w), "p": float(p), **machine.step(int(w), float(p), **settings)} for w, p in frame.sort_values(["window_id", "p"])[["window_id", "p"]].itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in ALERTS.split(", ")])
+        number = lambda x, kind: None if pd.isna(x) else kind(x)
+        ordered = pd.concat(list(frames)).sort_values(["window_id", "p"])  # all of the batch: a stay's rows may come in several frames
+        rows = [{"stay_id": key[0], "window_id": number(w, int), "p": number(p, float), **machine.step(number(w, int), number(p, float), **settings)} for w, p in ordered[["window_id", "p"]].itertuples(index=False)]
+        out = pd.DataFrame(rows, columns=[f.split()[0] for f in ALERTS.split(", ")])
+        yield out.astype({"window_id": "Int64", "p": "Float64"})
         state.update((json.dumps([getattr(machine, f) for f in AlertState.FIELDS]),))
 
     return scores.groupBy("stay_id").applyInPandasWithState(run, ALERTS, "state string", "append", GroupStateTimeout.NoTimeout)
