@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from icuflow.operators.alerts import over_stays
+from icuflow.operators.live import LiveOrder
+
 
 def latest(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The row of each key that comes last by order (nulls before all values)."""
@@ -72,15 +76,56 @@ def retained(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_n") <= n).drop("_n")
 
 
-def risk_delta(df: DataFrame) -> DataFrame:
-    """Against the stay's live update before; a FINAL ends the live state, so what comes next is compared with that FINAL."""
-    before = Window.partitionBy("stay_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("risk_delta", F.col("p") - F.last("p", ignorenulls=True).over(before))
+class RiskDelta:
+    """One stay's live state and last final. An update is compared with the live state of its window, else with the final of the newest window."""
 
+    def __init__(self):
+        self.order, self.live, self.final, self.final_window = LiveOrder(), None, None, None
 
-def active_handovers(alerts: DataFrame, last_seen: DataFrame, now: Column, stale_after: Column) -> DataFrame:
-    """Alerts whose patient was seen within stale_after of now; those of patients not seen for longer, or never, are hidden.
+    def step(self, row: dict) -> dict:
+        window, p = row["window_id"], row["p"]
+        if row["status"] == "FINAL":
+            if self.order.close(window):
+                self.live = None
+            if window is not None and (self.final_window is None or window >= self.final_window):
+                self.final, self.final_window = p, window
+            return {"risk_delta": None}
+        same = self.order.window is not None and self.order.window == window
+        if self.order.offer(window, row["seq"]) != "accepted":
+            return {"risk_delta": None}
+        before, self.live = (self.live if same else self.final), p
+        return {"risk_delta": None if before is None or p is None else p - before}
 
-    alerts: stay_id; last_seen: stay_id, seen."""
-    seen = last_seen.groupBy("stay_id").agg(F.max("seen").alias("seen"))
-    return alerts.join(seen.where(now - F.col("seen") <= stale_after), "stay_id", "left_semi")
+
+def risk_delta(df: DataFrame) -> DataFrame:
+    """df: stay_id, seq, window_id, status, p. Adds an accepted update's difference; finals and refused updates have none, and a final of an older window leaves a newer live state alone."""
+    return over_stays(df.select("stay_id", "seq", "window_id", "status", "p"), ["seq"], RiskDelta, lambda s, r: s.step(r), "risk_delta double")
+
+
+def active_handovers(alerts: DataFrame, assignments: DataFrame, patients: DataFrame) -> DataFrame:
+    """Open alerts whose assignment is open and whose patient is active; the others are stale and hidden.
+
+    alerts: assignment_id, patient_id, status; assignments: assignment_id, closed_at; patients: patient_id, status."""
+    open_ = assignments.where("closed_at is null").select("assignment_id")
+    active = patients.where("status = 'ACTIVE'").select("patient_id")
+    return alerts.where("status = 'OPEN'").join(open_, "assignment_id", "left_semi").join(active, "patient_id", "left_semi")
+
+
+def guard_violations(stays: DataFrame, assignments: DataFrame, patients: DataFrame, branches: DataFrame, doctors: DataFrame) -> DataFrame:
+    """rule, id, n: whatever breaks a guard of the writes, and by how many rows.
+
+    stays: stay_id, patient_id, outtime; assignments: patient_id, doctor_id, closed_at; patients: patient_id, branch_id,
+    status; branches: branch_id, is_active; doctors: doctor_id, is_active. All are grouped with partial sums first."""
+    open_ = assignments.where("closed_at is null")
+    counted = lambda df, key: df.groupBy(F.col(key).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    several = lambda df, key: counted(df, key).where("n > 1")
+    off = lambda df, key: df.where("NOT is_active").select(F.col(key).cast("long").alias("id"))
+    found = {
+        "several_active_stays": several(stays.where("outtime is null"), "patient_id"),
+        "repeated_stay_id": several(stays, "stay_id"),
+        "several_open_assignments": several(open_, "patient_id"),
+        "active_patient_in_closed_branch": counted(patients.where("status = 'ACTIVE'"), "branch_id").join(off(branches, "branch_id"), "id", "left_semi"),
+        "open_assignment_of_inactive_doctor": counted(open_, "doctor_id").join(off(doctors, "doctor_id"), "id", "left_semi"),
+    }
+    tables = [df.select(F.lit(rule).alias("rule"), "id", "n") for rule, df in found.items()]
+    return functools.reduce(DataFrame.unionByName, tables)

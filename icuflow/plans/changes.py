@@ -43,10 +43,23 @@ def alert_log(spark, d):
 
 
 def active_handovers(spark, d):
-    """Open assignments as alerts; patients are seen when they order, and alerts hide 60 days after."""
-    a = _assignments(spark, d).where("closed_at is null").select("assignment_id", F.col("patient_id").alias("stay_id"))
-    seen = table(spark, d, "orders").select(F.col("o_custkey").alias("stay_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("seen"))
-    return serving.active_handovers(a, seen, F.unix_timestamp(F.lit("1998-08-02").cast("timestamp")), F.lit(60 * 86_400))
+    """Every assignment as an alert, one in five resolved; customers below zero are no longer active."""
+    a = _assignments(spark, d)
+    alerts_ = a.select("assignment_id", "patient_id", F.when(F.col("assignment_id") % 5 == 0, "RESOLVED").otherwise("OPEN").alias("status"))
+    return serving.active_handovers(alerts_, a, _patients(spark, d)).select("assignment_id", "patient_id")
+
+
+def _patients(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("patient_id"), F.col("c_nationkey").alias("branch_id"), F.when(F.col("c_acctbal") < 0, "DISCHARGED").otherwise("ACTIVE").alias("status"))
+
+
+def constraint_guards(spark, d):
+    """Orders as stays, two of which share an id; one branch in four is closed, one doctor in six inactive."""
+    o, n = table(spark, d, "orders"), table(spark, d, "nation")
+    stays = o.select(F.floor(F.col("o_orderkey") / 2).alias("stay_id"), F.col("o_custkey").alias("patient_id"), F.when(~((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 3 == 0)), F.col("o_orderdate")).alias("outtime"))
+    branches = n.select(F.col("n_nationkey").alias("branch_id"), (F.col("n_nationkey") % 4 != 0).alias("is_active"))
+    doctors = n.select(F.col("n_nationkey").alias("doctor_id"), (F.col("n_nationkey") % 6 != 0).alias("is_active"))
+    return serving.guard_violations(stays, _assignments(spark, d), _patients(spark, d), branches, doctors)
 
 
 def constraint_rules(spark, d):
@@ -57,7 +70,7 @@ def constraint_rules(spark, d):
     return changes.constraint_violations(x, rules)
 
 
-QUERIES = {f.__name__: f for f in (changed_features, attribution_by_step, attribution_trend, cohort_rates, data_quality, alert_log, active_handovers, constraint_rules)}
+QUERIES = {f.__name__: f for f in (changed_features, attribution_by_step, attribution_trend, cohort_rates, data_quality, alert_log, active_handovers, constraint_guards, constraint_rules)}
 
 _VALUES = " UNION ALL ".join(f"SELECT stay_id, window_id, {k} AS k, {c} AS value FROM features" for k, c in enumerate(MEANS))
 
@@ -72,6 +85,12 @@ SELECT stay_id, window_id, CAST(rank AS INTEGER) AS rank, feature, round(value,
     "cohort_rates": f"WITH {POSITIONS_SQL}, x AS (SELECT position, label FROM positions JOIN stays USING (stay_id)) SELECT 'overall' AS cohort, count(*) AS n, round(avg(label), 6) AS rate, 100.0::DOUBLE AS coverage FROM x UNION ALL SELECT 'full_length', count(*) FILTER (position >= {FULL}), round(coalesce(avg(label) FILTER (position >= {FULL}), 0), 6), round(100.0::DOUBLE * count(*) FILTER (position >= {FULL}) / count(*), 6) FROM x",
     "data_quality": f"WITH {features_sql(DAY)} SELECT stay_id, window_id, CASE WHEN row_number() OVER (PARTITION BY stay_id ORDER BY window_id) < {FULL} THEN 'INSUFFICIENT_HISTORY' ELSE 'OK' END AS status, CAST({' + '.join(f'CAST({c} IS NULL AS INTEGER)' for c in MEANS)} AS BIGINT) AS n_missing FROM features",
     "alert_log": f"WITH {ALERT_SQL} SELECT stay_id, window_id, round(p, 6) AS p, reason, alert, p >= 0.55 AND p < 0.6 AS mismatch FROM m WHERE alert OR (p >= 0.55 AND p < 0.6) OR reason = 'threshold_crossing_suppressed'",
-    "active_handovers": f"WITH {ASSIGN_SQL}, s AS (SELECT o_custkey AS c, max(o_orderdate) AS seen FROM orders GROUP BY 1) SELECT patient_id AS stay_id, assignment_id FROM asg JOIN s ON c = patient_id WHERE closed_at IS NULL AND epoch(TIMESTAMP '1998-08-02') - epoch(seen) <= 60 * 86400",
+    "active_handovers": f"WITH {ASSIGN_SQL} SELECT assignment_id, patient_id FROM asg JOIN customer ON c_custkey = patient_id WHERE closed_at IS NULL AND c_acctbal >= 0 AND assignment_id % 5 <> 0",
+    "constraint_guards": f"""WITH {ASSIGN_SQL}, st AS (SELECT o_orderkey // 2 AS stay_id, o_custkey AS patient_id, o_orderstatus = 'O' AND o_orderkey % 3 = 0 AS active FROM orders)
+SELECT 'several_active_stays' AS rule, patient_id AS id, count(*) AS n FROM st WHERE active GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'repeated_stay_id', stay_id, count(*) FROM st GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'several_open_assignments', patient_id, count(*) FROM asg WHERE closed_at IS NULL GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'active_patient_in_closed_branch', c_nationkey, count(*) FROM customer WHERE c_acctbal >= 0 AND c_nationkey % 4 = 0 GROUP BY 2
+UNION ALL SELECT 'open_assignment_of_inactive_doctor', doctor_id, count(*) FROM asg WHERE closed_at IS NULL AND doctor_id < 25 AND doctor_id % 6 = 0 GROUP BY 2""",
     "constraint_rules": "WITH x AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT 'has_patient' AS rule, count(*) FILTER (o_custkey IS NULL) AS n FROM x UNION ALL SELECT 'not_before_order', count(*) FILTER (l_shipdate < o_orderdate) FROM x UNION ALL SELECT 'small_quantity', count(*) FILTER (l_quantity > 45) FROM x UNION ALL SELECT 'discount_in_range', count(*) FILTER (NOT l_discount BETWEEN 0 AND 0.07) FROM x UNION ALL SELECT 'closed_is_final', count(*) FILTER (o_orderstatus = 'F' AND l_quantity <= 2) FROM x",
 }

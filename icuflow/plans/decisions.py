@@ -372,7 +372,12 @@ def retention(spark, d):
 
 
 def risk_delta(spark, d):
-    return rounded(serving.risk_delta(_events(spark, d)).select("stay_id", "seq", "risk_delta"))
+    """Readings as updates, four a window, every fifth a final of its window or, if its id is divisible by three, of the one before."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").withColumn("k", F.row_number().over(order)).withColumn("final", F.col("event_id") % 5 == 0)
+    w = F.floor(F.col("k") / 4) - F.when(F.col("final") & (F.col("event_id") % 3 == 0), 1).otherwise(0)
+    x = e.select(F.col("user_id").alias("stay_id"), F.col("k").cast("long").alias("seq"), w.cast("long").alias("window_id"), F.when(F.col("final"), "FINAL").otherwise("UPDATE").alias("status"), F.round(F.col("value") / 300, 6).alias("p"))
+    return rounded(serving.risk_delta(x).select("stay_id", "seq", "risk_delta"))
 
 
 def late_after_final(spark, d):
@@ -498,7 +503,15 @@ ORACLE_SQL = {
     "patient_search": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'machinery') AND c_acctbal < 0",
     "final_upsert": f"WITH {EVENTS_SQL} SELECT stay_id, window_id // 2 AS window_id, status, seq, p FROM ev QUALIFY row_number() OVER (PARTITION BY stay_id, window_id // 2 ORDER BY status = 'FINAL' DESC, seq DESC) = 1",
     "retention": f"WITH {EVENTS_SQL} SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY stay_id ORDER BY window_id DESC) <= 3",
-    "risk_delta": f"WITH {EVENTS_SQL} SELECT stay_id, seq, round(p - lag(p) OVER (PARTITION BY stay_id ORDER BY seq), 6) AS risk_delta FROM ev",
+    # the live state's window and score, the last closed window, and the newest final
+    "risk_delta": """WITH RECURSIVE e AS (SELECT user_id AS s, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+x AS MATERIALIZED (SELECT s, k, event_id % 5 = 0 AS fin, k // 4 - CASE WHEN event_id % 15 = 0 THEN 1 ELSE 0 END AS w, round(value / 300, 6) AS p FROM e),
+l AS (SELECT s, 0::BIGINT AS k, NULL::DOUBLE AS delta, NULL::BIGINT AS lw, NULL::DOUBLE AS lp, NULL::BIGINT AS closed, NULL::BIGINT AS fw, NULL::DOUBLE AS fp FROM (SELECT DISTINCT s FROM x)
+  UNION ALL
+  SELECT s, k, CASE WHEN ok AND NOT fin THEN p - CASE WHEN w = lw THEN lp ELSE fp END END, CASE WHEN NOT ok THEN lw WHEN NOT fin THEN w END, CASE WHEN NOT ok THEN lp WHEN NOT fin THEN p END,
+         CASE WHEN ok AND fin THEN w ELSE closed END, CASE WHEN fin AND (fw IS NULL OR w >= fw) THEN w ELSE fw END, CASE WHEN fin AND (fw IS NULL OR w >= fw) THEN p ELSE fp END
+  FROM (SELECT x.s, x.k, x.fin, x.w, x.p, l.lw, l.lp, l.closed, l.fw, l.fp, (l.closed IS NULL OR x.w > l.closed) AND (l.lw IS NULL OR x.w >= l.lw) AS ok FROM l JOIN x ON x.s = l.s AND x.k = l.k + 1))
+SELECT s AS stay_id, k AS seq, round(delta, 6) AS risk_delta FROM l WHERE k > 0""",
     "late_after_final": "WITH x AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CAST(floor(epoch(ts)) AS BIGINT) + CASE WHEN event_id % 9 = 0 THEN 200000 ELSE 0 END AS arrival FROM events), y AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400 AS w FROM x) SELECT user_id AS stay_id, event_id, coalesce((t // 86400 + 1) * 86400 <= w, false) AS late_after_final FROM y",
     "risk_series": f"WITH {EVENTS_SQL} SELECT stay_id, window_id, round(p * 100, 2) AS percent FROM ev",
     "parity_report": f"WITH {features_sql(1440)} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, CAST(0 AS BIGINT) AS n_failed, 0.0::DOUBLE AS p50, 0.0::DOUBLE AS p95, 0.0::DOUBLE AS p99, 0.0::DOUBLE AS p999, 0.0::DOUBLE AS max FROM features" for c in ("click_mean", "error_last", "view_missing")),
