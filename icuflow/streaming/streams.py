@@ -18,7 +18,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from icuflow.operators.alerts import ALERTS, AlertState
-from icuflow.operators.serving import final_upsert
 from icuflow.operators.validate import MESSAGE, parsed
 
 
@@ -34,15 +33,10 @@ def kafka_messages(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     return parsed(raw, MESSAGE)
 
 
-def keyed_json(df: DataFrame, key: str, topic: str | None = None) -> DataFrame:
-    """key and value as a sink for messages wants them; topic chooses the stream for sinks with several."""
-    out = df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
-    return out.withColumn("topic", F.lit(topic)) if topic else out
-
-
-def fan_out(results: DataFrame, explanations: DataFrame, rejects: DataFrame) -> DataFrame:
-    """One stream of (key, value, topic) for three topics."""
-    return keyed_json(results, "stay_id", "risk_scores").unionByName(keyed_json(explanations, "stay_id", "risk_explanations")).unionByName(keyed_json(rejects, "stay_id", "dead_letters"))
+def keyed_json(df: DataFrame, key: str) -> DataFrame:
+    """key and value as a sink for messages wants them; a column topic, which chooses the stream, stays a column."""
+    rest = [c for c in df.columns if c != "topic"]
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rest)).alias("value"), *(["topic"] if "topic" in df.columns else []))
 
 
 def append_parquet(df: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -133,22 +127,6 @@ def alert_stream(scores: DataFrame, **settings) -> DataFrame:
     return scores.groupBy("stay_id").applyInPandasWithState(run, ALERTS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def deduplicated_stream(df: DataFrame, time: str = "charttime", delay: str = "5 minutes") -> DataFrame:
-    """Repeats by event id, then by stay, vital and time, within the watermark."""
-    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(["event_id"]).dropDuplicatesWithinWatermark(["stay_id", "vital_sign", time])
-
-
-def upsert_into(path: str, keys: Sequence[str], sequence: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a table in versions path/v=n; a FINAL row is never replaced by an UPDATE. A repeated batch rewrites its own version."""
-
-    def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        merged = batch if n == 0 else spark.read.schema(batch.schema).parquet(f"{path}/v={n - 1}").unionByName(batch)
-        final_upsert(merged, keys, sequence).write.mode("overwrite").parquet(f"{path}/v={n}")
-
-    return write
-
-
 def in_slices(df: DataFrame, order: str, path: str, n: int) -> None:
     """The rows as n files in order of time, written one after another, for replay."""
     t = F.unix_micros(F.col(order).cast("timestamp"))
