@@ -41,6 +41,28 @@ def picked_stays(windows: DataFrame, gaps: DataFrame, long: int, very_long: int,
     return gaps.withColumn("kind", kind).withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= k)
 
 
-def keyed_rows(heavy: DataFrame, light: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Heavy columns of the light table's keys alone."""
-    return heavy.join(light.select(*keys).distinct(), list(keys), "left_semi")
+def sorted_for_keys(df: DataFrame, key: str, path: str, files: int, row_group_bytes: int = 8 << 20) -> None:
+    """df as Parquet files in ranges of the key, sorted inside, with bloom filters of it, so that few row groups hold any key."""
+    writer = df.repartitionByRange(files, key).sortWithinPartitions(key).write.mode("overwrite")
+    writer.option("parquet.block.size", row_group_bytes).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+
+
+def covering_ranges(keys: DataFrame, key: str, most: int = 64) -> list[tuple[int, int]]:
+    """At most so many ranges that hold all the keys: equal shares of them, each from its first to its last."""
+    cuts = keys.agg(F.percentile_approx(key, [k / most for k in range(1, most)], 100 * most)).first()[0] or []
+    share = F.lit(0)
+    for c in sorted(set(cuts)):
+        share = share + (F.col(key) > c).cast("int")
+    return sorted((r["low"], r["high"]) for r in keys.groupBy(share.alias("share")).agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low is not null").collect())
+
+
+def keyed_rows(heavy: DataFrame, keys: DataFrame, key: str, most: int = 64) -> DataFrame:
+    """The rows of the heavy table whose integer key is among keys.
+
+    The scan gets the keys' covering ranges, by which row groups and pages of a table written by sorted_for_keys() are left out;
+    the semi join then takes the keys alone. No key is lost, however many there are: ranges only grow."""
+    ranges = covering_ranges(keys.select(key), key, most)
+    within = F.lit(False)
+    for low, high in ranges:
+        within = within | F.col(key).between(low, high)
+    return heavy.where(within).join(keys.select(key).distinct(), key, "left_semi")

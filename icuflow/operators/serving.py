@@ -90,11 +90,13 @@ class RiskDelta:
             if window is not None and (self.final_window is None or window >= self.final_window):
                 self.final, self.final_window = p, window
             return {"risk_delta": None}
+        if p is None:  # without a score an update changes nothing
+            return {"risk_delta": None}
         same = self.order.window is not None and self.order.window == window
         if self.order.offer(window, row["seq"]) != "accepted":
             return {"risk_delta": None}
         before, self.live = (self.live if same else self.final), p
-        return {"risk_delta": None if before is None or p is None else p - before}
+        return {"risk_delta": None if before is None else p - before}
 
 
 def risk_delta(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from icuflow.functions import scalars
 from icuflow.operators import alerts, ensemble, metrics, parity, serving, splits, validate
 from icuflow.plans.features import H, _attributed, features, features_sql, rounded
+from icuflow.sources.files import shared_folder
 from icuflow.sources.telemetry import PREDS_SQL, VITALS, messages, predictions, table
 
 PLATT = {"p1": (-0.4, 0.3), "p2": (0.2, -0.5)}
@@ -434,6 +435,20 @@ def systematic_sample(spark, d):
     return splits.systematic(p, "stay_id", "window_id", 4, p.where("stay_id < 50"))
 
 
+def block_sample(spark, d):
+    """Every seventh block of a thousand lines, 64 evenly spaced ones of it, and all lines of the first fifty orders."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return splits.block_sample(li, 7, 1000, F.col("l_orderkey") < 50)
+
+
+def late_materialised(spark, d):
+    """All columns of the lines of the twenty dearest orders: their keys come from a scan of two columns, the lines from the row groups that hold them."""
+    path = shared_folder(spark, "lines")
+    parity.sorted_for_keys(table(spark, d, "lineitem"), "l_orderkey", path, files=4, row_group_bytes=64 << 10)
+    keys = table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select(F.col("o_orderkey").alias("l_orderkey"))
+    return rounded(parity.keyed_rows(spark.read.parquet(path), keys, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+
+
 def scalar_functions(spark, d):
     e = table(spark, d, "events")
     return e.select("event_id", scalars.stay_number(F.col("ts")).alias("stay_number"), scalars.composite_key(F.col("user_id"), F.floor(F.col("value"))).alias("composite"), F.upper(F.trim("event_type")).alias("name"), F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -446,7 +461,7 @@ QUERIES = {
         nearest_threshold, monotone_curve, platt_apply, platt_fit, calibration_invariance, blend_grid, blend_gain, bootstrap_replicates, bootstrap_ci, bootstrap_gain, risk_direction, alert_machine,
         alert_counts, state_reasons, validate_split, json_parse, late_rows, dedupe_first, mixed_modes, complete_batch, meaningful_change, intake_bounds, message_latency, latest_risk, history_topn,
         latest_with_explanation, doctor_load, worklist, open_handover, resolvable_alerts, membership_sync, snapshot_diff, constraint_audit, kpis, patient_search, final_upsert, retention, risk_delta,
-        late_after_final, risk_series, parity_report, nearest_decision, straddling, stay_pick, hash_sample, interleave, systematic_sample, scalar_functions,
+        late_after_final, risk_series, parity_report, nearest_decision, straddling, stay_pick, hash_sample, interleave, systematic_sample, block_sample, late_materialised, scalar_functions,
     )
 }
 
@@ -520,6 +535,7 @@ SELECT s AS stay_id, k AS seq, round(delta, 6) AS risk_delta FROM l WHERE k > 0"
     "stay_pick": f"WITH {PREDS_SQL}, w AS (SELECT stay_id, window_id FROM preds WHERE (stay_id + window_id) % 17 <> 0), g AS (SELECT stay_id, window_id - lag(window_id) OVER (PARTITION BY stay_id ORDER BY window_id) AS gap FROM w), s AS (SELECT stay_id, count(*) AS n_windows, coalesce(max(gap) > 1, false) AS has_gap FROM g GROUP BY 1), k AS (SELECT stay_id, n_windows, CASE WHEN has_gap THEN 'gapped' WHEN n_windows >= 8 THEN 'very_long' WHEN n_windows > 5 THEN 'long' ELSE 'short' END AS kind FROM s) SELECT *, row_number() OVER (PARTITION BY kind ORDER BY stay_id) AS pick FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY stay_id) <= 10",
     "hash_sample": f"WITH {PREDS_SQL}, n AS (SELECT stay_id, count(*) AS n FROM preds GROUP BY 1 HAVING count(*) >= 6) SELECT stay_id, n FROM (SELECT *, {H.format(key=chr(39) + '7:' + chr(39) + ' || stay_id')} AS h FROM n ORDER BY h, stay_id LIMIT 100)",
     "interleave": f"WITH {PREDS_SQL}, t AS (SELECT stay_id, window_id, row_number() OVER (PARTITION BY stay_id ORDER BY window_id) AS turn FROM preds) SELECT *, round({H.format(key=chr(39) + '3:' + chr(39) + ' || stay_id || ' + chr(39) + ':' + chr(39) + ' || turn')}, 6) AS shuffle FROM t",
+    "late_materialised": "WITH k AS (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity, 6) AS l_quantity, round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM k)",
     "systematic_sample": f"WITH {PREDS_SQL}, t AS (SELECT stay_id, window_id, row_number() OVER (PARTITION BY stay_id ORDER BY window_id) AS n FROM preds) SELECT stay_id, window_id FROM t WHERE n % 4 = 0 OR stay_id < 50",
     "scalar_functions": "SELECT event_id, CAST(strftime(ts, '%Y%m%d%H%M%S') || substr(strftime(ts, '%f'), 1, 3) AS BIGINT) AS stay_number, CASE WHEN floor(value) BETWEEN 0 AND 999999 THEN user_id * 1000000 + CAST(floor(value) AS BIGINT) END AS composite, upper(trim(event_type)) AS name, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 }

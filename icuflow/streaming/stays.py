@@ -73,7 +73,7 @@ class Stay:
     def due(self) -> tuple[int, str] | None:
         """The earliest thing to do, and when. At the same time a discharge comes first, and eviction last."""
         c, s = self.core, self.s
-        times = [(c["discharge_at"], "discharge"), (c["waiting_at"] and c["waiting_at"] + s.ttl, "expire")]
+        times = [(c["discharge_at"], "discharge"), (None if c["waiting_at"] is None else c["waiting_at"] + s.ttl, "expire")]
         if c["seen_at"] is not None:
             if c["open"]:
                 times.append((c["seen_at"] + s.idle, "idle"))

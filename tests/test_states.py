@@ -83,9 +83,11 @@ def test_live_order():
     assert told([(3, 100, True), (3, 200), (2, 300), (4, 50), (4, 50, True), (4, 60)]) == ["accepted", "closed", "closed", "accepted", "duplicate", "accepted"]
 
 
-def test_risk_delta_after_a_final(spark):
-    df = spark.createDataFrame([(1, 1, "UPDATE", 0.1), (1, 2, "FINAL", 0.3), (1, 3, "UPDATE", 0.6), (1, 4, "UPDATE", None), (1, 5, "UPDATE", 0.7)], "stay_id long, seq long, status string, p double")
-    assert [None if r["risk_delta"] is None else round(r["risk_delta"], 6) for r in serving.risk_delta(df).orderBy("seq").collect()] == [None, 0.2, 0.3, None, 0.1]
+def test_risk_delta_after_finals(spark):
+    rows = [(0, "UPDATE", 0.1), (0, "FINAL", 0.3), (1, "UPDATE", 0.6), (1, "UPDATE", None), (1, "UPDATE", 0.7), (0, "FINAL", 0.9), (1, "UPDATE", 0.8), (0, "UPDATE", 0.5), (2, "UPDATE", 0.9), (1, "FINAL", 0.4), (2, "UPDATE", 0.95), (2, "FINAL", 0.2), (3, "UPDATE", 0.1), (None, "UPDATE", 0.1)]
+    df = spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], "stay_id long, seq long, window_id long, status string, p double")
+    wanted = [None, None, 0.3, None, 0.1, None, 0.1, None, 0.0, None, 0.05, None, -0.1, None]
+    assert [None if r["risk_delta"] is None else round(r["risk_delta"], 6) for r in serving.risk_delta(df).orderBy("seq").collect()] == wanted
 
 
 def test_no_score_changes_nothing():

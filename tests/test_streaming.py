@@ -27,14 +27,6 @@ def test_windows_refuse_what_is_final():
     assert [r["window_id"] for r in s.closed(0, everything=True)] == [1, 2]
 
 
-def test_foreach_batch_upsert(spark, tmp_path):
-    write = streams.upsert_into(str(tmp_path / "t"), ["k"], "seq")
-    one = lambda *rows: spark.createDataFrame(rows, "k long, status string, seq long")
-    write(one((1, "FINAL", 1), (2, "UPDATE", 1)), 0)
-    write(one((1, "UPDATE", 2), (2, "FINAL", 2)), 1)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()} == {(1, "FINAL", 1), (2, "FINAL", 2)}
-
-
 def test_sinks(spark, tmp_path):
     df = spark.range(1000).select("id", (F.col("id") * 2).alias("x"))
     assert files.write_parquet(df, str(tmp_path / "p"), rows_per_file=100) == 1000
