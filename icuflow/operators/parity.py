@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from icuflow.operators.quantiles import exact_quantiles
+
 
 def parity_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], tolerances: Mapping[str, float]) -> DataFrame:
     """key, column_name, distance and ok for each compared value; rows that one side lacks aren't ok."""
@@ -20,9 +22,9 @@ def parity_rows(a: DataFrame, b: DataFrame, keys: Sequence[str], tolerances: Map
 
 def parity_report(rows: DataFrame) -> DataFrame:
     """Per column: rows, failures, and percentiles of the distance."""
-    q = F.percentile("distance", F.array(*[F.lit(p) for p in (0.5, 0.95, 0.99, 0.999)]))
-    x = rows.groupBy("column_name").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("n_failed"), F.max("distance").alias("max"), q.alias("q"))
-    return x.select("column_name", "n", "n_failed", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), F.col("q")[3].alias("p999"), "max")
+    x = rows.groupBy("column_name").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("n_failed"), F.max("distance").alias("max"))
+    q = exact_quantiles(rows.withColumnRenamed("column_name", "compared"), ["distance"], (0.5, 0.95, 0.99, 0.999), ["compared"]).select(F.col("compared").alias("column_name"), "q")
+    return x.join(q, "column_name", "left").select("column_name", "n", "n_failed", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), F.col("q")[3].alias("p999"), "max")
 
 
 def straddling(df: DataFrame, a: str, b: str, threshold: float) -> DataFrame:

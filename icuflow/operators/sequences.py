@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from icuflow.functions.scalars import missing, padded, padding_mask
+from icuflow.operators.quantiles import exact_quantiles
 
 
 def train_medians(df: DataFrame, columns: Sequence[str], exact: bool = False, accuracy: int = 1000) -> DataFrame:
-    """One row: each column's median, missing values left out, all in one aggregation."""
-    clean = lambda c: F.when(~missing(F.col(c)), F.col(c))
-    one = (lambda c: F.percentile(clean(c), F.lit(0.5))) if exact else (lambda c: F.percentile_approx(clean(c), 0.5, accuracy))
-    return df.agg(*[one(c).alias(c) for c in columns])
+    """One row: each column's median, missing values left out, of all columns together; null for a column without values."""
+    clean = [F.when(~missing(F.col(c)), F.col(c)).alias(c) for c in columns]
+    if not exact:
+        return df.select(*clean).agg(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in columns])
+    found = exact_quantiles(df.select(*clean), columns, [0.5])
+    return found.agg(*[F.max(F.when(F.col("column_name") == c, F.col("q")[0])).alias(c) for c in columns])
 
 
 def imputed(df: DataFrame, medians: DataFrame, columns: Sequence[str]) -> DataFrame:
