@@ -13,13 +13,14 @@ from icuflow.functions.scalars import missing
 LEAST_ATTRIBUTION, LEAST_VALUE = 1e-4, 1e-6
 
 
-def changed_features(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
-    """Of each window with one before it in its stay, the k features whose attribution changed most and whose change counts, with a record of the change.
+def changed_features(df: DataFrame, names: Sequence[str], k: int, max_gap: int | None = None) -> DataFrame:
+    """Of each window with one before it in its stay, the k features whose attribution changed most and whose change counts, with a record of the change. A window more than max_gap windows back isn't compared with.
 
     df: stay_id, window_id, the columns names and attributions (in that order). A change counts if the value changed, came or went, or the attribution changed by LEAST_ATTRIBUTION."""
     order = Window.partitionBy("stay_id").orderBy("window_id")
     x = df.select("stay_id", "window_id", F.array(*names).alias("now"), F.col("attributions").alias("now_a"))
-    x = x.select("*", F.lag("now").over(order).alias("was"), F.lag("now_a").over(order).alias("was_a")).where("was is not null")
+    near = _near(order, max_gap)
+    x = x.select("*", F.when(near, F.lag("now").over(order)).alias("was"), F.lag("now_a").over(order).alias("was_a")).where("was is not null")
     listed = F.array(*[F.lit(n) for n in names])
 
     def record(i: Column) -> Column:
@@ -37,6 +38,25 @@ def changed_features(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
     return y.select("stay_id", "window_id", (F.col("pos") + 1).alias("rank"), *[F.col(f"r.{c}").alias(c) for c in ("feature", "previous_value", "current_value", "value_delta", "attribution_delta", "value_changed")])
 
 
+def _near(order, max_gap: int | None) -> Column:
+    return F.lit(True) if max_gap is None else F.col("window_id") - F.lag("window_id").over(order) <= max_gap
+
+
+def changed_vitals(df: DataFrame, vitals: Sequence[str], max_gap: int | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """Of each window with one before it in its stay, at most max_gap windows back: the vitals that came, went or changed. delta is null unless both are there.
+
+    df: stay_id, window_id and the columns vitals (missing: null or NaN)."""
+    order = Window.partitionBy("stay_id").orderBy("window_id")
+    clean = [F.when(~missing(F.col(v)), F.col(v).cast("double")).alias(v) for v in vitals]
+    x = df.select("stay_id", "window_id", F.array(*clean).alias("now"))
+    x = x.select("*", F.when(_near(order, max_gap), F.lag("now").over(order)).alias("was")).where("was is not null")
+    listed = F.array(*[F.lit(v) for v in vitals])
+    y = x.select("stay_id", "window_id", F.posexplode(F.arrays_zip("was", "now")).alias("i", "r"))
+    delta = F.col("r.now") - F.col("r.was")
+    changed = F.coalesce(F.abs(delta) > tolerance, F.col("r.now").isNull() != F.col("r.was").isNull())
+    return y.where(changed).select("stay_id", "window_id", F.element_at(listed, F.col("i") + 1).alias("vital"), F.col("r.was").alias("previous_value"), F.col("r.now").alias("current_value"), delta.alias("delta"))
+
+
 def attribution_by_step(df: DataFrame) -> DataFrame:
     """timestep (the place in the stay), mean_abs and n: the mean absolute attribution over rows and features. df: stay_id, window_id, attributions."""
     step = F.row_number().over(Window.partitionBy("stay_id").orderBy("window_id"))
@@ -54,6 +74,13 @@ def attribution_trend(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
     return x.select("stay_id", "window_id", "rank", F.element_at(listed, F.col("i") + 1).alias("feature"), "attribution")
 
 
+def attribution_series(df: DataFrame, names: Sequence[str], k: int = 5) -> DataFrame:
+    """The same as one row a window: stay_id, window_id, and feature_1, attribution_1 and so on, by rank in the stay."""
+    x = attribution_trend(df, names, k)
+    columns = [F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}_{r}") for r in range(1, k + 1) for c in ("feature", "attribution")]
+    return x.groupBy("stay_id", "window_id").agg(*columns)
+
+
 def cohorts(df: DataFrame, full: int) -> DataFrame:
     """cohort, n, rate (share of label 1, 0 without rows) and coverage (percent of all rows): all rows, and those with a history of full windows. df: sequence_length, label."""
     whole = F.col("sequence_length") >= full

@@ -121,14 +121,5 @@ def rank_stability(ranked: DataFrame, run: str, feature: str, value: str, top: i
     return x.groupBy("run_a", "run_b").agg(F.corr("ra", "rb").alias("spearman"), (F.count_if(in_a & in_b) / F.count_if(in_a | in_b)).alias("top_jaccard"))
 
 
-def trend_table(df: DataFrame, names: Sequence[str], keys: Sequence[str], top: int) -> DataFrame:
-    """The top features of a history by mean absolute attribution, one column each."""
-    long = df.select(*keys, F.posexplode("attributions").alias("k", "v"))
-    best = long.groupBy("k").agg(F.avg(F.abs("v")).alias("m")).orderBy(F.desc("m"), "k").limit(top)
-    listed = F.array(*[F.lit(n) for n in names])
-    x = long.join(F.broadcast(best), "k").withColumn("feature", F.element_at(listed, F.col("k") + 1))
-    return x.groupBy(*keys).pivot("feature").agg(F.first("v"))
-
-
 def present(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)

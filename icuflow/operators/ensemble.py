@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from icuflow.functions.scalars import blend, clipped_logit, platt
-from icuflow.operators.metrics import probability_metrics, ranking_metrics
+from icuflow.operators.metrics import RANGES, probability_metrics, ranking_metrics
 from icuflow.operators.resampling import group_weights, hashed_weights, resampled_metrics
+from icuflow.sources.files import kept, removed
+
+PACKED_ROWS = 1 << 17
+_PACKED_NAMES = ["k", "part", "n", "pos", "square", "loss", "scores", "labels"]
+_PACKED = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
 
 
 def platt_fit(df: DataFrame, score: str) -> DataFrame:
@@ -26,17 +33,69 @@ def platt_apply(df: DataFrame, scores: Mapping[str, tuple[float, float]]) -> Dat
 
 
 def blend_grid(df: DataFrame, first: str, second: str, steps: int = 100) -> DataFrame:
-    """Metrics of w * first + (1 - w) * second for each w in steps, the best first. The weights are a small table, rows meet each of them."""
-    rows = df.groupBy(first, second, "label").agg(F.count("*").alias("n"))
-    x = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("weight", F.col("k") / steps)
-    # scores are grouped to 12 places: ties in exact arithmetic stay ties
-    x = x.withColumn("score", F.round(blend(F.col(first), F.col(second), F.col("weight")), 12))
-    ranks = ranking_metrics(x, "score", ["weight"], F.col("n"))
-    p = F.least(F.greatest("score", F.lit(1e-15)), F.lit(1 - 1e-15))
-    loss = -(F.col("label") * F.ln(p) + (1 - F.col("label")) * F.ln(1 - p))
-    total = F.sum("n")
-    other = x.groupBy("weight").agg((F.sum(F.col("n") * F.pow(F.col("score") - F.col("label"), F.lit(2))) / total).alias("brier"), (F.sum(F.col("n") * loss) / total).alias("log_loss"))
-    return ranks.join(other, "weight").orderBy(F.desc("average_precision"), F.desc("roc_auc"), "brier", "log_loss")
+    """Metrics of w * first + (1 - w) * second for each w in steps, the best first; exact, with ties (scores to 12 places).
+
+    A task deals its rows' scores of every weight into RANGES ranges and sends those of a range packed, so the shuffle has
+    a row for each weight, range and PACKED_ROWS rows. A range is sorted alone; what stands above it comes as two sums. Brier score and
+    log loss are sums of the same pass. Both scores must be in [0, 1]; rows with a missing score or label don't count."""
+
+    def packed_rows(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        made = []
+        for k in range(steps + 1):
+            w = k / steps
+            score = np.round(w * x + (1 - w) * y, 12)
+            p = np.clip(score, 1e-15, 1 - 1e-15)
+            loss = -(label * np.log(p) + (1 - label) * np.log(1 - p))
+            part = np.clip((score * RANGES).astype(np.int64), 0, RANGES - 1)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(RANGES + 1))
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
+                own = order[cuts[r] : cuts[r + 1]]
+                made.append((k, r, own.size, float(label[own].sum()), float(np.square(score[own] - label[own]).sum()), float(loss[own].sum()), score[own].tobytes(), label[own].astype(np.uint8).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(_PACKED)], names=_PACKED_NAMES)
+
+    def dealt(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append([b.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(3)])
+            n += b.num_rows
+            if n >= PACKED_ROWS:
+                yield packed_rows(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield packed_rows(*map(np.concatenate, zip(*held, strict=True)))
+
+    def ranked(table: pa.Table) -> pa.Table:
+        score = np.frombuffer(b"".join(table.column("scores").to_pylist()), np.float64)
+        label = np.frombuffer(b"".join(table.column("labels").to_pylist()), np.uint8).astype(np.float64)
+        value, group = np.unique(-score, return_inverse=True)  # from the highest down
+        pos, neg = np.bincount(group, label, value.size), np.bincount(group, 1 - label, value.size)
+        ctp, cfp = (table.column(c)[0].as_py() + np.cumsum(n) for c, n in (("above_pos", pos), ("above_neg", neg)))
+        return pa.table({"k": table.column("k").slice(0, 1), "pairs": [float((neg * (ctp - pos / 2)).sum())], "gains": [float((pos * ctp / (ctp + cfp)).sum())]})
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(first).cast("double"), F.col(second).cast("double"), F.col("label").cast("double")).dropna()
+    packed, path = kept(rows.mapInArrow(dealt, ", ".join(f"{n} {t}" for n, t in zip(_PACKED_NAMES, "int int long double double double binary binary".split(), strict=True))), "blends")
+    sums = packed.groupBy("k", "part").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("square").alias("square"), F.sum("loss").alias("loss"))
+    above = Window.partitionBy("k").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a weight
+    bases = sums.select("k", "part", F.coalesce(F.sum("pos").over(above), F.lit(0.0)).alias("above_pos"), F.coalesce(F.sum(F.col("n") - F.col("pos")).over(above), F.lit(0.0)).alias("above_neg"))
+    each = packed.join(bases, ["k", "part"]).repartition(parts, "k", "part").groupBy("k", "part").applyInArrow(ranked, "k int, pairs double, gains double")
+    total = sums.groupBy("k").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("square").alias("square"), F.sum("loss").alias("loss"))
+    x = total.join(each.groupBy("k").agg(F.sum("pairs").alias("pairs"), F.sum("gains").alias("gains")), "k")
+    out, _ = kept(x.select((F.col("k") / steps).alias("weight"), F.try_divide("pairs", F.col("pos") * (F.col("n") - F.col("pos"))).alias("roc_auc"), F.try_divide("gains", "pos").alias("average_precision"), (F.col("square") / F.col("n")).alias("brier"), (F.col("loss") / F.col("n")).alias("log_loss")), "blends")
+    removed(df.sparkSession, path)
+    return out.orderBy(F.desc("average_precision"), F.desc("roc_auc"), "brier", "log_loss")
+
+
+def blend_choice(tuning: DataFrame, held: DataFrame, first: str, second: str, steps: int = 100, top: int = 10) -> DataFrame:
+    """The weight that is best on tuning, its metrics there and on the rows held out, the gain there over the better single score, and how flat the best are.
+
+    One row: weight, tuned (average precision on tuning), flatness (difference to the top-th best weight there), and on the rows held out: average_precision, roc_auc, gain."""
+    grid = blend_grid(tuning, first, second, steps).limit(top).collect()  # as many rows as top
+    weight, tuned, last = grid[0]["weight"], grid[0]["average_precision"], grid[-1]["average_precision"]
+    x = single_and_blend(held, first, second, weight)
+    best, own = F.max(F.when(F.col("model") != "blend", F.col("average_precision"))), lambda c: F.max(F.when(F.col("model") == "blend", F.col(c)))
+    return x.agg(F.lit(weight).alias("weight"), F.lit(tuned).alias("tuned"), F.lit(tuned - last).alias("flatness"), own("average_precision").alias("average_precision"), own("roc_auc").alias("roc_auc"), (own("average_precision") - best).alias("gain"))
 
 
 def single_and_blend(df: DataFrame, first: str, second: str, weight: float) -> DataFrame:
@@ -81,4 +140,4 @@ def drift(artifact: DataFrame, expected: Mapping[str, float], tolerance: float =
     return artifact.selectExpr(f"stack({len(names)}, {stack}) AS (name, expected, actual)").withColumn("ok", F.coalesce(F.abs(F.col("expected") - F.col("actual")) <= tolerance, F.lit(False)))
 
 
-__all__ = ["bootstrap", "blend_grid", "confidence", "drift", "gain_probability", "improvement", "platt_apply", "platt_fit", "single_and_blend"]
+__all__ = ["bootstrap", "blend_choice", "blend_grid", "confidence", "drift", "gain_probability", "improvement", "platt_apply", "platt_fit", "single_and_blend"]

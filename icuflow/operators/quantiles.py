@@ -13,17 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from icuflow.sources.files import removed, shared_folder
+from icuflow.sources.files import kept, removed
 
 CUTS, MOST = 256, 1 << 15
 
 
-def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def _narrowed(values: DataFrame, targets: DataFrame) -> DataFrame:
     """targets with smaller brackets: g, rank, low, high, below (rows of g under the bracket) and m (rows in it)."""
     brackets = targets.select("g", "low", "high").distinct()
@@ -43,15 +37,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[floa
     """by..., column_name, n and q: the interpolated values at points, as an array. Columns without values give no row."""
     listed = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])
     x = df.select(*by, F.explode(listed).alias("e")).where("e.v is not null").select(F.struct(*by, "e.column_name").alias("g"), "e.v")
-    values, path = _kept(x, "quantiles")
+    values, path = kept(x, "quantiles")
     own = values.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     place = lambda p: F.lit(float(p)) * (F.col("n") - 1)
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(p)), F.ceil(place(p))) for p in points])))
-    targets, at = _kept(own.select("g", F.explode(ranks).alias("rank"), "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("m")), "ranks")
+    targets, at = kept(own.select("g", F.explode(ranks).alias("rank"), "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("m")), "ranks")
     todo = f"m > {MOST} and low < high"
     folders = [path, at]
     while not targets.where(todo).isEmpty():
-        targets, at = _kept(targets.where(f"not ({todo})").unionByName(_narrowed(values, targets.where(todo))), "ranks")
+        targets, at = kept(targets.where(f"not ({todo})").unionByName(_narrowed(values, targets.where(todo))), "ranks")
         folders.append(at)
     brackets = targets.where("low < high").select("g", "low", "high").distinct()
     rows = values.join(brackets, "g").where("v between low and high").groupBy("g", "low", "high").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # MOST at most
@@ -63,6 +57,6 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[floa
         low, high = F.col("at")[F.floor(place(p))], F.col("at")[F.ceil(place(p))]
         return low + (high - low) * (place(p) - F.floor(place(p)))
 
-    out, _ = _kept(y.select("g.*", "n", F.array(*[one(p) for p in points]).alias("q")), "quantiles")
+    out, _ = kept(y.select("g.*", "n", F.array(*[one(p) for p in points]).alias("q")), "quantiles")
     removed(df.sparkSession, *folders)
     return out

@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 from icuflow.operators import alerts, changes, serving
 from icuflow.plans.decisions import ALERT_SQL, ASSIGN_SQL, _assignments, _scores
 from icuflow.plans.features import ATTRIBUTED_SQL, DAY, MEANS, POSITIONS_SQL, _attributed, features, features_sql, rounded
-from icuflow.sources.telemetry import stays, table
+from icuflow.sources.telemetry import VITALS, stays, table
 
 FULL = 20
 
 
 def changed_features(spark, d):
-    return rounded(changes.changed_features(_attributed(spark, d), MEANS, 3).drop("previous_value"))
+    """Windows are days here; after two days without readings nothing is compared."""
+    return rounded(changes.changed_features(_attributed(spark, d), MEANS, 3, max_gap=2))
+
+
+def changed_vitals(spark, d):
+    """Days' last values against the day before, or the one before that."""
+    last = [f"{v}_last" for v in VITALS]
+    x = features(spark, d).select("stay_id", "window_id", *[F.when(F.col(f"{v}_missing") == 0, F.col(c)).alias(c) for v, c in zip(VITALS, last, strict=True)])
+    return rounded(changes.changed_vitals(x, last, max_gap=2))
+
+
+def attribution_series(spark, d):
+    return rounded(changes.attribution_series(_attributed(spark, d), MEANS, 5))
 
 
 def attribution_by_step(spark, d):
@@ -70,16 +82,18 @@ def constraint_rules(spark, d):
     return changes.constraint_violations(x, rules)
 
 
-QUERIES = {f.__name__: f for f in (changed_features, attribution_by_step, attribution_trend, cohort_rates, data_quality, alert_log, active_handovers, constraint_guards, constraint_rules)}
+QUERIES = {f.__name__: f for f in (changed_features, changed_vitals, attribution_by_step, attribution_trend, attribution_series, cohort_rates, data_quality, alert_log, active_handovers, constraint_guards, constraint_rules)}
 
 _VALUES = " UNION ALL ".join(f"SELECT stay_id, window_id, {k} AS k, {c} AS value FROM features" for k, c in enumerate(MEANS))
 
 ORACLE_SQL = {
     "changed_features": f"""WITH {ATTRIBUTED_SQL}, vals AS ({_VALUES}),
-j AS (SELECT stay_id, window_id, k, feature, value, v, lag(value) OVER w AS pv, lag(v) OVER w AS pa, row_number() OVER w AS n FROM long JOIN vals USING (stay_id, window_id, k) WINDOW w AS (PARTITION BY stay_id, k ORDER BY window_id)),
-c AS (SELECT *, v - pa AS shift, (pv IS NULL) <> (value IS NULL) OR coalesce(abs(value - pv) > 1e-6, false) AS changed FROM j WHERE n > 1),
+j AS (SELECT stay_id, window_id, k, feature, value, v, lag(value) OVER w AS pv, lag(v) OVER w AS pa, window_id - lag(window_id) OVER w AS gap FROM long JOIN vals USING (stay_id, window_id, k) WINDOW w AS (PARTITION BY stay_id, k ORDER BY window_id)),
+c AS (SELECT *, v - pa AS shift, (pv IS NULL) <> (value IS NULL) OR coalesce(abs(value - pv) > 1e-6, false) AS changed FROM j WHERE gap <= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY stay_id, window_id ORDER BY round(abs(shift), 12) DESC, k) AS rank FROM c WHERE changed OR abs(shift) >= 1e-4)
-SELECT stay_id, window_id, CAST(rank AS INTEGER) AS rank, feature, round(value, 6) AS current_value, round(value - pv, 6) AS value_delta, round(shift, 6) AS attribution_delta, changed AS value_changed FROM r WHERE rank <= 3""",
+SELECT stay_id, window_id, CAST(rank AS INTEGER) AS rank, feature, round(pv, 6) AS previous_value, round(value, 6) AS current_value, round(value - pv, 6) AS value_delta, round(shift, 6) AS attribution_delta, changed AS value_changed FROM r WHERE rank <= 3""",
+    "changed_vitals": f"WITH {features_sql(DAY)}, x AS (" + " UNION ALL ".join(f"SELECT stay_id, window_id, '{v}_last' AS vital, CASE WHEN {v}_missing = 0 THEN {v}_last END AS v FROM features" for v in VITALS) + "), y AS (SELECT *, lag(v) OVER w AS pv, window_id - lag(window_id) OVER w AS gap FROM x WINDOW w AS (PARTITION BY stay_id, vital ORDER BY window_id)) SELECT stay_id, window_id, vital, round(pv, 6) AS previous_value, round(v, 6) AS current_value, round(v - pv, 6) AS delta FROM y WHERE gap <= 2 AND coalesce(abs(v - pv) > 1e-9, (v IS NULL) <> (pv IS NULL))",
+    "attribution_series": f"WITH {ATTRIBUTED_SQL}, m AS (SELECT stay_id, k, avg(abs(v)) AS m FROM long GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY m DESC, k) AS rank FROM m), x AS (SELECT stay_id, window_id, rank, feature, v FROM long JOIN b USING (stay_id, k)) SELECT stay_id, window_id, " + ", ".join(f"max(feature) FILTER (rank = {r}) AS feature_{r}, round(max(v) FILTER (rank = {r}), 6) AS attribution_{r}" for r in range(1, 6)) + " FROM x GROUP BY 1, 2",
     "attribution_by_step": f"WITH {ATTRIBUTED_SQL}, p AS (SELECT *, dense_rank() OVER (PARTITION BY stay_id ORDER BY window_id) AS timestep FROM long) SELECT CAST(timestep AS INTEGER) AS timestep, round(avg(abs(v)), 6) AS mean_abs, count(*) AS n FROM p GROUP BY 1",
     "attribution_trend": f"WITH {ATTRIBUTED_SQL}, m AS (SELECT stay_id, k, avg(abs(v)) AS m FROM long GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY m DESC, k) AS rank FROM m) SELECT stay_id, window_id, CAST(rank AS INTEGER) AS rank, feature, round(v, 6) AS attribution FROM long JOIN b USING (stay_id, k) WHERE rank <= 2",
     "cohort_rates": f"WITH {POSITIONS_SQL}, x AS (SELECT position, label FROM positions JOIN stays USING (stay_id)) SELECT 'overall' AS cohort, count(*) AS n, round(avg(label), 6) AS rate, 100.0::DOUBLE AS coverage FROM x UNION ALL SELECT 'full_length', count(*) FILTER (position >= {FULL}), round(coalesce(avg(label) FILTER (position >= {FULL}), 0), 6), round(100.0::DOUBLE * count(*) FILTER (position >= {FULL}) / count(*), 6) FROM x",

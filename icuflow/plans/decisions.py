@@ -126,6 +126,12 @@ def blend_grid(spark, d):
     return rounded(ensemble.blend_grid(predictions(spark, d), "p1", "p2", 100))
 
 
+def blend_choice(spark, d):
+    """Chosen on two thirds of the orders, judged on the others."""
+    x = predictions(spark, d)
+    return rounded(ensemble.blend_choice(x.where("stay_id % 3 <> 0"), x.where("stay_id % 3 = 0"), "p1", "p2"))
+
+
 def blend_gain(spark, d):
     m = ensemble.single_and_blend(predictions(spark, d), "p1", "p2", WEIGHT)
     return rounded(ensemble.improvement(m, "roc_auc"), 5)
@@ -160,6 +166,15 @@ def artifact_drift(spark, d):
     return ensemble.drift(a, {"weight": 0.48, "threshold": 0.11, "intercept": -0.4})
 
 
+def _grid_sql(rows: str, weights: str, x: str) -> str:
+    """{x}m: weight and metrics of the blends of rows by weights (in hundredths)."""
+    clip = "least(greatest(score, 1e-15), 1 - 1e-15)"
+    return f"""{x}b AS (SELECT k / 100.0::DOUBLE AS weight, label, round(k / 100.0::DOUBLE * p1 + (1 - k / 100.0::DOUBLE) * p2, 12) AS score FROM {rows}, {weights}),
+{x}g AS (SELECT weight, score, sum(label) AS pos, sum(1 - label) AS neg FROM {x}b GROUP BY 1, 2), {x}c AS (SELECT *, sum(pos) OVER o AS ctp, sum(neg) OVER o AS cfp FROM {x}g WINDOW o AS (PARTITION BY weight ORDER BY score DESC)),
+{x}r AS (SELECT weight, sum(neg * (ctp - pos / 2)) / (sum(pos) * sum(neg)) AS auc, sum(pos * ctp / (ctp + cfp)) / sum(pos) AS ap FROM {x}c GROUP BY 1),
+{x}q AS (SELECT weight, avg(pow(score - label, 2)) AS brier, avg(-(label * ln({clip}) + (1 - label) * ln(1 - {clip}))) AS loss FROM {x}b GROUP BY 1), {x}m AS (SELECT * FROM {x}r JOIN {x}q USING (weight))"""
+
+
 # alerts and state
 
 
@@ -458,7 +473,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         roc_auc, avg_precision, brier_logloss, class_weight, score_describe, score_correlation, probability_checks, decisions, align_indicator, threshold_grid, recall_floor_pick, sens85_pick, criteria_table,
-        nearest_threshold, monotone_curve, platt_apply, platt_fit, calibration_invariance, blend_grid, blend_gain, bootstrap_replicates, bootstrap_ci, bootstrap_gain, risk_direction, alert_machine,
+        nearest_threshold, monotone_curve, platt_apply, platt_fit, calibration_invariance, blend_grid, blend_choice, blend_gain, bootstrap_replicates, bootstrap_ci, bootstrap_gain, risk_direction, alert_machine,
         alert_counts, state_reasons, validate_split, json_parse, late_rows, dedupe_first, mixed_modes, complete_batch, meaningful_change, intake_bounds, message_latency, latest_risk, history_topn,
         latest_with_explanation, doctor_load, worklist, open_handover, resolvable_alerts, membership_sync, snapshot_diff, constraint_audit, kpis, patient_search, final_upsert, retention, risk_delta,
         late_after_final, risk_series, parity_report, nearest_decision, straddling, stay_pick, hash_sample, interleave, systematic_sample, block_sample, late_materialised, scalar_functions,
@@ -491,6 +506,11 @@ ORACLE_SQL = {
     "platt_apply": f"WITH {PREDS_SQL} SELECT stay_id, window_id, round({_PLATT('p1', *PLATT['p1'])}, 6) AS p1_calibrated, round({_PLATT('p2', *PLATT['p2'])}, 6) AS p2_calibrated FROM preds",
     "calibration_invariance": "SELECT true AS roc_auc_kept, true AS average_precision_kept",
     "blend_grid": f"WITH {PREDS_SQL}, b AS (SELECT k / 100.0::DOUBLE AS weight, label, round(k / 100.0::DOUBLE * p1 + (1 - k / 100.0::DOUBLE) * p2, 12) AS score FROM preds, range(0, 101) r(k)), g AS (SELECT weight, score, sum(label) AS pos, sum(1 - label) AS neg FROM b GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER o AS ctp, sum(neg) OVER o AS cfp FROM g WINDOW o AS (PARTITION BY weight ORDER BY score DESC)), r AS (SELECT weight, round(sum(neg * (ctp - pos / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * ctp / (ctp + cfp)) / sum(pos), 6) AS average_precision FROM c GROUP BY 1), q AS (SELECT weight, round(avg(pow(score - label, 2)), 6) AS brier, round(avg(-(label * ln({_CLIP}) + (1 - label) * ln(1 - {_CLIP}))), 6) AS log_loss FROM b GROUP BY 1) SELECT * FROM r JOIN q USING (weight)",
+    "blend_choice": f"WITH {PREDS_SQL}, tun AS (SELECT * FROM preds WHERE stay_id % 3 <> 0), "
+    + _grid_sql("tun", "range(0, 101) r(k)", "t")
+    + ", best AS (SELECT * FROM tm ORDER BY ap DESC, auc DESC, brier, loss LIMIT 10), one AS (SELECT arg_max(weight, (ap, auc)) AS weight, max(ap) AS tuned, max(ap) - min(ap) AS flatness FROM best), held AS (SELECT * FROM preds WHERE stay_id % 3 = 0), "
+    + _grid_sql("held", "(SELECT 0::DOUBLE AS k UNION ALL SELECT 100 UNION ALL SELECT 100 * weight FROM one) r(k)", "h")
+    + " SELECT weight, round(tuned, 6) AS tuned, round(flatness, 6) AS flatness, round((SELECT max(ap) FROM hm WHERE hm.weight = one.weight), 6) AS average_precision, round((SELECT max(auc) FROM hm WHERE hm.weight = one.weight), 6) AS roc_auc, round((SELECT max(ap) FROM hm WHERE hm.weight = one.weight) - (SELECT max(ap) FROM hm WHERE hm.weight IN (0, 1)), 6) AS gain FROM one",
     "blend_gain": f"WITH {PREDS_SQL}, long AS (SELECT label, 'p1' AS model, p1 AS score FROM preds UNION ALL SELECT label, 'p2', p2 FROM preds UNION ALL SELECT label, 'blend', {WEIGHT} * p1 + (1 - {WEIGHT}) * p2 FROM preds), g AS (SELECT model, score, sum(label) AS pos, sum(1 - label) AS neg FROM long GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY score DESC) AS ctp FROM g), r AS (SELECT model, sum(neg * (ctp - pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY 1), m AS (SELECT max(auc) FILTER (model = 'blend') AS b, max(auc) FILTER (model <> 'blend') AS s FROM r) SELECT round(b, 5) AS blend, round(s, 5) AS best_single, round(b - s, 5) AS gain, round(100 * (b - s) / s, 5) AS gain_percent FROM m",
     "bootstrap_replicates": f"WITH {boot_sql(REPEATED)} SELECT CAST(replicate AS INTEGER) AS replicate, score, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM boot",
     "risk_direction": f"WITH {SCORES_SQL}, l AS (SELECT *, CASE WHEN window_id - lag(window_id) OVER o <= 1 THEN lag(p) OVER o END AS b FROM scores WINDOW o AS (PARTITION BY stay_id ORDER BY window_id)) SELECT stay_id, window_id, round(p, 6) AS p, round(p - b, 6) AS delta, CASE WHEN b IS NULL THEN 'initial' WHEN p - b > 0.05 THEN 'rising' WHEN p - b < -0.05 THEN 'falling' ELSE 'stable' END AS direction, coalesce(b < 0.5 AND p >= 0.5, false) AS crossed FROM l",

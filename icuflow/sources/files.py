@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written once to a new shared folder and read from there, and the folder."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def removed(spark: SparkSession, *folders: str) -> None:
     """Delete folders that nothing reads any more."""
     for folder in folders:
