@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,14 @@ def unused(columns: Iterable[str], name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system: workers are used again, stage after stage, and keep it otherwise."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chars_in(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
 
