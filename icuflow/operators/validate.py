@@ -81,16 +81,18 @@ def mixed_modes(df: DataFrame) -> DataFrame:
     return df.groupBy("stay_id").agg(F.count_distinct("source_mode").alias("n_modes")).where("n_modes > 1")
 
 
-def meaningful_changes(df: DataFrame, values: Sequence[str], score: str, tolerance: float = 1e-9, least: float = 1e-6) -> DataFrame:
-    """Why a row is news: first of its stay, a new window, a changed value (or one that came or went), or a changed score."""
+def meaningful_changes(df: DataFrame, values: Sequence[str], scores: Sequence[str], tolerance: float = 1e-9, least: float = 1e-6) -> DataFrame:
+    """Why a row is news: first of its stay, a new window, a changed value, or a changed score (of several); what came or went counts as changed."""
     order = Window.partitionBy("stay_id").orderBy("window_id", "seq")
     before = lambda c: F.lag(c).over(order)
-    changed: Column = F.lit(False)
-    for v in values:
-        changed = changed | F.coalesce(F.abs(F.col(v) - before(v)) > tolerance, F.col(v).isNull() != before(v).isNull())
-    reason = (
-        F.when(F.row_number().over(order) == 1, "first").when(F.col("window_id") != before("window_id"), "new_window").when(changed, "value_changed").when(F.abs(F.col(score) - before(score)) > least, "score_changed")
-    )
+
+    def changed(columns: Sequence[str], by: float) -> Column:
+        found: Column = F.lit(False)
+        for c in columns:
+            found = found | F.coalesce(F.abs(F.col(c) - before(c)) > by, F.col(c).isNull() != before(c).isNull())
+        return found
+
+    reason = F.when(F.row_number().over(order) == 1, "first").when(F.col("window_id") != before("window_id"), "new_window").when(changed(values, tolerance), "value_changed").when(changed(scores, least), "score_changed")
     return df.withColumn("update_reason", F.coalesce(reason, F.lit("none")))
 
 

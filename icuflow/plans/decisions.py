@@ -162,8 +162,10 @@ boot AS (SELECT replicate, score, sum(neg * (ctp - pos / 2)) / (sum(pos) * sum(n
 
 
 def artifact_drift(spark, d):
-    a = spark.createDataFrame([(0.48, 0.108, -0.4)], "weight double, threshold double, intercept double")
-    return ensemble.drift(a, {"weight": 0.48, "threshold": 0.11, "intercept": -0.4})
+    """Numbers of the scores as they are now against locked ones: the best blend weight's neighbours, the class weight, the mean score."""
+    x = predictions(spark, d)
+    a = x.agg(F.round(F.avg("p1"), 6).alias("mean_p1"), F.round(F.sum(1 - F.col("label")) / F.sum("label"), 6).alias("class_weight"), F.count("*").cast("double").alias("n_rows"))
+    return ensemble.drift(a, {"mean_p1": 0.49, "class_weight": 1.0, "n_rows": 6000.0}, tolerance=0.05)
 
 
 def _grid_sql(rows: str, weights: str, x: str) -> str:
@@ -280,8 +282,12 @@ def complete_batch(spark, d):
 
 
 def meaningful_change(spark, d):
-    x = _attributed(spark, d).select("stay_id", (F.floor(F.col("window_id") / 2)).alias("window_id"), F.col("window_id").alias("seq"), F.round("click_mean", 6).alias("click_mean"), F.round("margin", 6).alias("margin"))
-    return validate.meaningful_changes(x, ["click_mean"], "margin").select("stay_id", "seq", "update_reason")
+    """Readings in order, four a window, with few different values and three scores, one of them sometimes missing."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").withColumn("k", F.row_number().over(order))
+    score = lambda n: F.floor(F.col("value") / n) / 10
+    x = e.select(F.col("user_id").alias("stay_id"), F.floor(F.col("k") / 4).cast("long").alias("window_id"), F.col("k").cast("long").alias("seq"), F.floor(F.col("value") / 150).alias("level"), score(100).alias("p"), score(60).alias("p1"), F.when(F.col("event_id") % 9 > 0, 0.5).alias("p2"))
+    return validate.meaningful_changes(x, ["level"], ["p", "p1", "p2"]).select("stay_id", "seq", "update_reason")
 
 
 def intake_bounds(spark, d):
@@ -473,7 +479,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         roc_auc, avg_precision, brier_logloss, class_weight, score_describe, score_correlation, probability_checks, decisions, align_indicator, threshold_grid, recall_floor_pick, sens85_pick, criteria_table,
-        nearest_threshold, monotone_curve, platt_apply, platt_fit, calibration_invariance, blend_grid, blend_choice, blend_gain, bootstrap_replicates, bootstrap_ci, bootstrap_gain, risk_direction, alert_machine,
+        nearest_threshold, monotone_curve, platt_apply, platt_fit, calibration_invariance, blend_grid, blend_choice, artifact_drift, blend_gain, bootstrap_replicates, bootstrap_ci, bootstrap_gain, risk_direction, alert_machine,
         alert_counts, state_reasons, validate_split, json_parse, late_rows, dedupe_first, mixed_modes, complete_batch, meaningful_change, intake_bounds, message_latency, latest_risk, history_topn,
         latest_with_explanation, doctor_load, worklist, open_handover, resolvable_alerts, membership_sync, snapshot_diff, constraint_audit, kpis, patient_search, final_upsert, retention, risk_delta,
         late_after_final, risk_series, parity_report, nearest_decision, straddling, stay_pick, hash_sample, interleave, systematic_sample, block_sample, late_materialised, scalar_functions,
@@ -519,6 +525,21 @@ ORACLE_SQL = {
     "validate_split": f"WITH {MESSAGES_SQL} SELECT reason, count(*) AS n FROM m GROUP BY 1",
     "json_parse": f"WITH {MESSAGES_SQL} SELECT event_id, charttime, CAST(epoch(charttime) AS BIGINT) + lag AS ingested, round(abs(value), 6) AS value FROM one",
     "late_rows": f"WITH {_OK} SELECT source_mode, source_mode = 'realtime' AND lag > 60 AS is_late, count(*) AS n FROM ok GROUP BY 1, 2",
+    "meaningful_change": "WITH e AS (SELECT user_id AS stay_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events), x AS (SELECT stay_id, seq, seq // 4 AS w, floor(value / 150) AS v, floor(value / 100) / 10 AS p, floor(value / 60) / 10 AS p1, CASE WHEN event_id % 9 > 0 THEN 0.5 END AS p2 FROM e), y AS (SELECT *, lag(w) OVER o AS bw, lag(v) OVER o AS bv, lag(p) OVER o AS bp, lag(p1) OVER o AS bp1, lag(p2) OVER o AS bp2 FROM x WINDOW o AS (PARTITION BY stay_id ORDER BY seq)) SELECT stay_id, seq, CASE WHEN seq = 1 THEN 'first' WHEN w <> bw THEN 'new_window' WHEN v IS DISTINCT FROM bv THEN 'value_changed' WHEN p IS DISTINCT FROM bp OR p1 IS DISTINCT FROM bp1 OR p2 IS DISTINCT FROM bp2 THEN 'score_changed' ELSE 'none' END AS update_reason FROM y",
+    "artifact_drift": f"WITH {PREDS_SQL}, a AS (SELECT round(avg(p1), 6) AS m, round(sum(1 - label) / sum(label), 6) AS c, count(*)::DOUBLE AS n FROM preds), l AS (SELECT 'mean_p1' AS name, 0.49::DOUBLE AS expected, m AS actual FROM a UNION ALL SELECT 'class_weight', 1.0, c FROM a UNION ALL SELECT 'n_rows', 6000.0, n FROM a) SELECT *, abs(expected - actual) <= 0.05 AS ok FROM l",
+    # each offer against what was kept before it
+    "state_reasons": f"""WITH RECURSIVE {SCORES_SQL},
+f AS (SELECT stay_id, stay_id % 4 AS h, window_id AS w, CAST(round(p, 6) AS VARCHAR) AS content, 's' AS st, window_id * 10 AS seq FROM scores),
+u AS (SELECT * REPLACE (CASE WHEN h = 3 AND w = 2 THEN 't' ELSE st END AS st) FROM f UNION ALL SELECT * REPLACE (seq + 1 AS seq) FROM f WHERE h = 1 UNION ALL SELECT * REPLACE (seq + 25 AS seq, 'changed' AS content) FROM f WHERE h = 2),
+x AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY seq, content) AS k FROM u),
+l AS (SELECT stay_id, 0::BIGINT AS k, '' AS reason, MAP([]::BIGINT[], []::VARCHAR[]) AS kept, NULL::BIGINT AS last, NULL::VARCHAR AS st FROM (SELECT DISTINCT stay_id FROM x)
+  UNION ALL
+  SELECT stay_id, k, reason, CASE WHEN reason = 'accepted' THEN map_concat(kept, MAP([w], [content || ' ' || nst])) ELSE kept END, CASE WHEN reason = 'accepted' THEN w ELSE last END, CASE WHEN reason = 'accepted' THEN nst ELSE st END
+  FROM (SELECT x.stay_id, x.k, x.w, x.content, x.st AS nst, l.kept, l.last, l.st,
+    CASE WHEN map_contains(l.kept, x.w) THEN CASE WHEN l.kept[x.w] = x.content || ' ' || x.st THEN 'duplicate' ELSE 'conflicting_duplicate' END
+         WHEN x.w < l.last THEN 'stale' WHEN x.w <= l.last THEN 'timestamp_order' WHEN x.st <> l.st THEN 'static_changed' ELSE 'accepted' END AS reason
+    FROM l JOIN x ON x.stay_id = l.stay_id AND x.k = l.k + 1))
+SELECT reason, count(*) AS n FROM l WHERE k > 0 GROUP BY reason""",
     "dedupe_first": f"WITH {_OK}, f AS (SELECT DISTINCT event_id, user_id, event_type, value, charttime, lag FROM ok WHERE NOT (source_mode = 'realtime' AND lag > 60)), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, charttime ORDER BY lag, CAST(event_id AS VARCHAR)) AS rn FROM f) SELECT event_id, user_id AS stay_id, event_type AS vital_sign, round(value, 6) AS value FROM n WHERE rn = 1",
     "mixed_modes": f"WITH {_OK} SELECT user_id AS stay_id, count(DISTINCT source_mode) AS n_modes FROM ok GROUP BY 1 HAVING count(DISTINCT source_mode) > 1",
     "complete_batch": f"WITH {_OK} SELECT user_id AS stay_id, date_trunc('day', charttime) AS charttime, count(DISTINCT event_type) AS n_vitals, count(DISTINCT event_type) = 5 AS complete FROM ok GROUP BY 1, 2",

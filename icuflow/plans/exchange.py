@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from icuflow.functions import scalars
 from icuflow.operators import encode, exchange, sequences
-from icuflow.plans.features import ATTRIBUTED_SQL, DAY, LENGTH, MEANS, SPLIT_SQL, WIDTH, _attributed, _imputed, _subject_split, features, features_sql, rounded
-from icuflow.sources.files import shared_folder
+from icuflow.plans.features import ATTRIBUTED_SQL, DAY, IMPUTED_SQL, LENGTH, MEANS, SPLIT_SQL, WIDTH, _attributed, _imputed, _subject_split, features, features_sql, rounded
+from icuflow.sources.files import catalog_of, shared_folder
 from icuflow.sources.telemetry import stays, table
 
 ZONE = "Asia/Kolkata"
@@ -65,7 +66,29 @@ def pipeline_splits(spark, d):
     return made.groupBy("split").agg(F.count("*").alias("n_rows"), F.max(n_dims).cast("long").alias("n_dims"), F.lit(len(encode.feature_names(made))).cast("long").alias("n_names"), F.count_if(unseen).alias("n_unseen"))
 
 
-QUERIES = {f.__name__: f for f in (local_times, json_guard, explanation_layouts, causal_parity, pipeline_splits)}
+CATALOG = ("customer", "events", "lineitem", "orders")
+
+
+def table_catalog(spark, d):
+    """Rows and columns of the tables that the others are derived from."""
+    x = catalog_of({t: table(spark, d, t) for t in CATALOG})
+    return x.groupBy("table_name").agg(F.count("*").alias("n_columns"), F.max("n_rows").alias("n_rows"))
+
+
+def content_hashes(spark, d):
+    """A digest of each event's content, by which repeats are found."""
+    return table(spark, d, "events").select("event_id", scalars.content_hash(F.col("user_id"), F.col("event_type"), F.col("props")).alias("digest"))
+
+
+def standardised(spark, d):
+    """Windows' values in deviations from the mean of all windows; what can't be divided is 0."""
+    x = _imputed(spark, d)
+    s = sequences.norm_statistics(x).agg(F.array_sort(F.collect_list(F.struct("feature", "mean", "deviation"))).alias("s"))  # a row a feature
+    y = x.join(F.broadcast(s), F.lit(True)).select("stay_id", "window_id", scalars.standardized(F.col("temporal_row"), F.col("s.mean"), F.col("s.deviation")).alias("z"))
+    return rounded(y.select("stay_id", "window_id", *[F.col("z")[k].alias(c) for k, c in enumerate(MEANS)]), 5)
+
+
+QUERIES = {f.__name__: f for f in (local_times, json_guard, explanation_layouts, causal_parity, pipeline_splits, table_catalog, content_hashes, standardised)}
 
 _KNOWN = " + ".join(f"count(DISTINCT {c}) FILTER (split = 'train') + 1" for c in CATEGORIES)
 _UNSEEN = " OR ".join(f"{c} NOT IN (SELECT {c} FROM x WHERE split = 'train')" for c in CATEGORIES)
@@ -75,5 +98,8 @@ ORACLE_SQL = {
     "json_guard": "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'duplicate_key' END AS problem, event_id % 7 <> 0 AND value IS NOT NULL AS has_value FROM events WHERE event_id % 9 = 0 OR event_id % 11 <> 0",
     "explanation_layouts": f"WITH {ATTRIBUTED_SQL} SELECT stay_id, window_id, round(max(base), 6) AS base, round(sum(v), 6) AS total FROM long WHERE stay_id % 5 <> 0 GROUP BY 1, 2",
     "causal_parity": f"WITH {features_sql(DAY)} SELECT stay_id, window_id AS terminal_window_id, window_id % 4 <> 0 AS same FROM features",
+    "table_catalog": " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, count(*) AS n_rows FROM {t}" for t in CATALOG),
+    "content_hashes": """SELECT event_id, sha256('{"user_id":' || user_id || ',"event_type":"' || event_type || '","props":"' || replace(props, '"', '\\"') || '"}') AS digest FROM events""",
+    "standardised": f"WITH {IMPUTED_SQL}, s AS (SELECT {', '.join(f'avg({c}) AS a_{c}, CASE WHEN stddev_pop({c}) < 1e-8 THEN 1 ELSE stddev_pop({c}) END AS d_{c}' for c in MEANS)} FROM imputed) SELECT stay_id, window_id, {', '.join(f'round(({c} - a_{c}) / d_{c}, 5) AS {c}' for c in MEANS)} FROM imputed, s",
     "pipeline_splits": f"WITH {SPLIT_SQL}, x AS (SELECT s.*, split FROM stays s JOIN splits USING (subject_id)), w AS (SELECT 1 + {_KNOWN} AS n FROM x) SELECT split, count(*) AS n_rows, max(n) AS n_dims, max(n) AS n_names, count(*) FILTER ({_UNSEEN}) AS n_unseen FROM x, w GROUP BY 1",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import tempfile
 import uuid
@@ -78,7 +79,9 @@ def gated_write(df: DataFrame, checks: DataFrame, path: str) -> bool:
 
 
 def catalog_of(tables: dict[str, DataFrame]) -> DataFrame:
-    """table, column, type for every column of the tables."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = [(t, c, k) for t, df in tables.items() for c, k in df.dtypes]
-    return spark.createDataFrame(rows, "table_name string, column_name string, column_type string")
+    """table_name, column_name, column_type and n_rows for every column of the tables; a scan of no column counts the rows."""
+    found = []
+    for name, df in tables.items():
+        listed = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("column_type")) for c, k in df.dtypes])
+        found.append(df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), F.explode(listed).alias("c"), "n_rows").select("table_name", "c.*", "n_rows"))
+    return functools.reduce(DataFrame.unionByName, found)
