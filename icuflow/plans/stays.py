@@ -95,7 +95,7 @@ fin AS (SELECT wins.*, least(wm, idle, due) AS ta, CASE WHEN due <= coalesce(lea
 full_rows AS (SELECT s, life, w, ta, reason, {carried}, {flags} FROM fin),
 ref AS (SELECT a.s, a.life, a.w, a.t + d AS ta, a.t, a.event_id FROM acc a, (VALUES (300), (600)) x(d) WHERE (a.nt IS NULL OR a.nt >= a.t + d) AND (a.due IS NULL OR a.t + d < a.due)),
 part AS (SELECT s, w, ta, {own} FROM (SELECT ref.s, ref.w, ref.ta, x.v, x.value, x.t, x.event_id FROM ref JOIN acc x ON x.s = ref.s AND x.w = ref.w AND x.life = ref.life AND (x.t, x.event_id) <= (ref.t, ref.event_id)) GROUP BY s, w, ta),
-held AS (SELECT ref.s, ref.w, ref.ta, {before} FROM ref JOIN fin f ON f.s = ref.s AND f.life = ref.life AND f.ta <= ref.ta AND f.w < ref.w GROUP BY ref.s, ref.w, ref.ta),
+held AS (SELECT ref.s, ref.w, ref.ta, {before} FROM ref JOIN fin f ON f.s = ref.s AND f.life = ref.life AND f.ta < ref.ta AND f.w < ref.w GROUP BY ref.s, ref.w, ref.ta),
 part_rows AS (SELECT p.s, p.w, p.ta, {", ".join(f"round(CASE WHEN p.{c.rsplit('_', 1)[0]}_last IS NULL THEN h.{c} ELSE p.{c} END, 6) AS {c}" for c in columns)}, {", ".join(f"CAST(p.{v}_last IS NULL AS INTEGER) AS {v}_missing" for v in VITALS)} FROM part p LEFT JOIN held h USING (s, w, ta))
 SELECT s AS stay_id, t AS "at", 'reading' AS kind, event_id, w AS window_id, 'accepted' AS reason, coalesce(gap >= 21600, false) AS recovered, {", ".join(f"NULL::DOUBLE AS {c}" for c in columns)}, {", ".join(f"NULL::INTEGER AS {v}_missing" for v in VITALS)} FROM acc
 UNION ALL SELECT s, t, 'reading', event_id, CASE WHEN due IS NULL OR t < due THEN w END, CASE WHEN due IS NULL OR t < due THEN 'duplicate' ELSE 'discharged' END, NULL, {none} FROM m WHERE k > 1 OR t >= due
