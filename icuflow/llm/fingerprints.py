@@ -108,12 +108,29 @@ def printed(sketch: str, own: str, text: str) -> str:
     return f"concat_ws('.', size({own}), hex(xxhash64({text})), array_join(transform({sketch}, c -> {row}), ','))"
 
 
+def _part(bounds: list[int]) -> str:
+    """The number of the last bound that isn't above doc_id, found by bisection; 0 for a null id."""
+    steps = max(len(bounds) - 1, 0).bit_length()
+    at = f"a + shiftleft(1, {steps} - k)"
+    search = f"aggregate(sequence(1, {steps}), 0, (a, k) -> if({at} < {len(bounds)} AND bounds[{at}] <= doc_id, {at}, a))" if steps else "0"
+    return f"if(doc_id is null, 0, {search})"
+
+
+def _with_bounds(docs: DataFrame, bounds: list[int]) -> DataFrame:
+    known = f"array({', '.join(f'{b}L' if b > -(1 << 63) else 'bigint(-9223372036854775807L - 1)' for b in bounds) or '0L'})"
+    return docs.withColumn("bounds", F.expr(known)).withColumn("part", F.expr(_part(bounds)))
+
+
 def _bounds(docs: DataFrame, least: int) -> tuple[list[int], bool]:
-    """First ids of about equal ranges, in order, and whether an id is null."""
+    """First ids of about equal ranges, in order, and whether an id is null. Quantiles are approximate, and as doubles; so each range's own least id is looked up."""
     n, size, low, none = docs.agg(F.count("doc_id"), F.sum(F.octet_length("text")), F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     ranges = min(max(least, (size or 0) // RANGE_BYTES), RANGES, n)
     cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * max(ranges, 500))).first()[0] if ranges > 1 else []
-    return sorted({*([] if low is None else [low]), *(cuts or [])}), none > 0
+    rough = sorted({*([] if low is None else [low]), *(c for c in cuts or [] if c > low)})
+    if len(rough) < 2:
+        return rough, none > 0
+    first = _with_bounds(docs.where("doc_id is not null").select("doc_id"), rough).groupBy("part").agg(F.min("doc_id")).collect()  # a row a range
+    return sorted(r[1] for r in first), none > 0
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -122,10 +139,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bounds, none = _bounds(docs, 4 * parts)
-    known, steps = f"array({', '.join(f'{b}L' for b in bounds) or '0L'})", max(len(bounds) - 1, 0).bit_length()
-    at = f"a + shiftleft(1, {steps} - k)"
-    search = f"aggregate(sequence(1, {steps}), 0, (a, k) -> if({at} < {len(bounds)} AND bounds[{at}] <= doc_id, {at}, a))" if steps else "0"
-    x = docs.withColumn("bounds", F.expr(known)).withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(F.expr(search)))
+    x = _with_bounds(docs, bounds)
     first = F.col("doc_id").isNull() if none else F.col("doc_id") == F.expr("bounds[0]")
     place = lambda part, copy: F.struct(part.alias("part"), F.lit(copy).alias("copy"))
     own = place(F.col("part"), False)
