@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.llm.common import settle
+from icuflow.llm.common import settle, thrifty
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -137,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     [b.column("doc_id"), b.column("text"), pa.array([x[0] for x in found], pa.int64()), pa.array([[{"start": s, "end": e} for s, e in r] for r in runs], _RUNS), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "hits", "item_ids"]
                 )
 
-        out = out.mapInArrow(search, out.schema)
+        out = out.mapInArrow(thrifty(search), out.schema)
         if not last:
             out = settle(out, "hits")
             shared.destroy()
@@ -154,7 +154,7 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
             for b in batches:
                 yield b.filter(pa.array([not find(t)[2] for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(thrifty(keep), docs.schema)
         if not last:
             docs = settle(docs, "clean")
             shared.destroy()

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from icuflow.llm.common import Members, discard, settle, unused
+from icuflow.llm.common import Members, discard, settle, thrifty, unused
 from icuflow.llm.components import connected
 
 WORDS = 3
@@ -122,7 +122,7 @@ def surveyed(docs: DataFrame, words: int) -> DataFrame:
                 if piece.any():
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([c], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["doc_id", "n", "cls", "bins", "chunk", "counts"])
 
-    return docs.mapInArrow(survey, schema)
+    return docs.mapInArrow(thrifty(survey), schema)
 
 
 def sketch_of(survey: DataFrame) -> np.ndarray:
@@ -136,7 +136,7 @@ def sketch_of(survey: DataFrame) -> np.ndarray:
         for c, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["chunk", "counts"])
 
-    rows = survey.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").collect()
+    rows = survey.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(thrifty(add), "chunk int, counts binary").collect()
     out = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint32)
     for r in rows:
         out[r["chunk"]] = np.frombuffer(r["counts"], np.uint32)
@@ -198,7 +198,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int, hot:
                 salts = (np.concatenate(often) // np.uint32(hot) + 1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(salts), cls, pa.array(n), pa.array(place)], names=["gram", "salts", "cls", "n", "place"])
 
-    return docs.select("text").mapInArrow(cut, "gram long, salts int, cls binary, n int, place int")
+    return docs.select("text").mapInArrow(thrifty(cut), "gram long, salts int, cls binary, n int, place int")
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def shared_grams(rows: DataFrame) -> DataFrame:
             last = (gram[-1], salt[-1], cls[-1].tobytes())
 
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
-    return salted.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "cls").mapInArrow(scan, salted.schema)
+    return salted.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "cls").mapInArrow(thrifty(scan), salted.schema)
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 may = most_common(b.column("bu").to_pylist(), b.column("bv").to_pylist()) >= needed(m, n, percent)
                 yield b.select(["u", "v", "n"]).filter(pa.array(may))
 
-    return both.mapInArrow(keep, "u binary, v binary, n int")
+    return both.mapInArrow(thrifty(keep), "u binary, v binary, n int")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -290,7 +290,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.binary()), pa.array(list(made.values()), pa.binary())], names=["cls", "grams"])
 
-    return docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(make, "cls binary, grams binary")
+    return docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(thrifty(make), "cls binary, grams binary")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, part_grams: int = PART_GRAMS) -> DataFrame:
@@ -324,7 +324,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary()), pa.array(list(out.values()), pa.bool_())], names=["u", "v", "linked"])
 
-    done = settle(moved.repartition(parts, "u", "part").sortWithinPartitions("u", "part", "turn").mapInArrow(check, "u binary, v binary, linked boolean"), "verdicts")
+    done = settle(moved.repartition(parts, "u", "part").sortWithinPartitions("u", "part", "turn").mapInArrow(thrifty(check), "u binary, v binary, linked boolean"), "verdicts")
     discard(hubs)
     return done
 
@@ -419,7 +419,7 @@ def deduplicated_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
                 cls = pa.array([class_of(s) if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], cls], names=[*names, column])
 
-    found = docs.where(own.isNotNull()).withColumn(hashed, F.xxhash64(own)).mapInArrow(classed, StructType([*docs.schema, StructField(column, BinaryType())]))
+    found = docs.where(own.isNotNull()).withColumn(hashed, F.xxhash64(own)).mapInArrow(thrifty(classed), StructType([*docs.schema, StructField(column, BinaryType())]))
     found = settle(found.join(repeated.select(F.col("d").alias(key)), F.col("doc_id").cast("long") == F.col(key), "left_semi"), "repeated")
     wanted = kept.select(F.col("doc_id").alias(key), F.col("cls").alias(hashed))
     chosen = found.where(F.col(column).isNotNull()).join(wanted, (F.col("doc_id").cast("long") == F.col(key)) & (F.col(column) == F.col(hashed)), "left_semi").dropDuplicates(["doc_id", column])

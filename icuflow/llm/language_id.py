@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.llm.common import hash_share, id_remainder
+from icuflow.llm.common import hash_share, id_remainder, thrifty
 
 BUCKETS = 1 << 12
 WIDTH = 16
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(predict, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, accepted boolean")
+    return rows.mapInArrow(thrifty(predict), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def accepted_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -179,4 +179,4 @@ def accepted_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             names, scores = shared.value.predict(b.column(at).cast(pa.string()).to_pylist())
             yield b.filter(pa.array([n != UNDETERMINED and s >= shared.value.least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(thrifty(keep), docs.schema)
