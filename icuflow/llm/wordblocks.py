@@ -26,7 +26,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from icuflow.llm.common import discard, scratch_dir
+from icuflow.llm.common import discard, give_back, scratch_dir
 
 BLOCK_CHARS = 32 << 20
 BUCKET_CHARS = 32 << 20
@@ -61,10 +61,7 @@ def unpack_words(data: bytes) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def release() -> None:
-    """Give freed memory back to the system, as workers live on after a block."""
-    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
-        pool.release_unused()
+release = give_back  # after each block, as workers live on
 
 
 class Numbering(dict):
