@@ -16,7 +16,8 @@ LEAST_ATTRIBUTION, LEAST_VALUE = 1e-4, 1e-6
 def changed_features(df: DataFrame, names: Sequence[str], k: int, max_gap: int | None = None) -> DataFrame:
     """Of each window with one before it in its stay, the k features whose attribution changed most and whose change counts, with a record of the change. A window more than max_gap windows back isn't compared with.
 
-    df: stay_id, window_id, the columns names and attributions (in that order). A change counts if the value changed, came or went, or the attribution changed by LEAST_ATTRIBUTION."""
+    df: stay_id, window_id, the columns names and attributions (in that order). A change counts if the value changed, came or went, or the attribution changed by LEAST_ATTRIBUTION.
+    Attributions' changes are taken to 12 places, so that equal ones stand in the order of names whatever the last bits of a mean."""
     order = Window.partitionBy("stay_id").orderBy("window_id")
     x = df.select("stay_id", "window_id", F.array(*names).alias("now"), F.col("attributions").alias("now_a"))
     near = _near(order, max_gap)
@@ -28,7 +29,7 @@ def changed_features(df: DataFrame, names: Sequence[str], k: int, max_gap: int |
         gone = missing(at("was")) != missing(at("now"))
         both = ~missing(at("was")) & ~missing(at("now"))
         delta = F.when(both, at("now") - at("was"))
-        shift = at("now_a") - at("was_a")
+        shift = F.round(at("now_a") - at("was_a"), 12)
         changed = gone | F.coalesce(F.abs(delta) > LEAST_VALUE, F.lit(False))
         return F.struct((-F.abs(shift)).alias("order"), i.alias("i"), F.element_at(listed, i + 1).alias("feature"), at("was").alias("previous_value"), at("now").alias("current_value"), delta.alias("value_delta"), shift.alias("attribution_delta"), changed.alias("value_changed"))
 
