@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from icuflow.functions import scalars
 from icuflow.operators import encode, exchange, sequences
 from icuflow.plans.features import ATTRIBUTED_SQL, DAY, IMPUTED_SQL, LENGTH, MEANS, SPLIT_SQL, WIDTH, _attributed, _imputed, _subject_split, features, features_sql, rounded
-from icuflow.sources.files import catalog_of, shared_folder
+from icuflow.sources.files import catalog_of, kept, removed, shared_folder
 from icuflow.sources.telemetry import stays, table
 
 ZONE = "Asia/Kolkata"
@@ -44,11 +44,15 @@ def explanation_layouts(spark, d):
 
 
 def causal_parity(spark, d):
-    """Every fourth window's own vector is changed after its sequence was made, so those must differ."""
-    f = features(spark, d).select("stay_id", "window_id", *MEANS)
-    t = sequences.tensors(sequences.histories(_imputed(spark, d), LENGTH), LENGTH, WIDTH)
+    """Every fourth window's own vector is changed after its sequence was made, so those must differ.
+
+    Both sides read windows that were made once: a mean's last bits depend on the order in which a shuffle brings its rows."""
+    f, path = kept(features(spark, d).select("stay_id", "window_id", *MEANS), "windows")
+    t = sequences.tensors(sequences.histories(_imputed(spark, d, f), LENGTH), LENGTH, WIDTH)
     later = f.withColumn(MEANS[0], F.when(F.pmod("window_id", F.lit(4)) == 0, F.coalesce(F.col(MEANS[0]), F.lit(0.0)) + 1).otherwise(F.col(MEANS[0])))
-    return exchange.causal_parity(t, later, MEANS)
+    out, _ = kept(exchange.causal_parity(t, later, MEANS), "parity")
+    removed(spark, path)
+    return out
 
 
 def pipeline_splits(spark, d):

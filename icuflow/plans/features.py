@@ -179,8 +179,8 @@ def schema_check(spark, d):
     return audits.schema_check(table(spark, d, "events"), {"event_id": "bigint", "user_id": "bigint", "value": "double", "charttime": "timestamp"})
 
 
-def _imputed(spark, d):
-    w = features(spark, d)
+def _imputed(spark, d, windows_=None):
+    w = features(spark, d) if windows_ is None else windows_
     train = w.join(splits.assigned(stays(spark, d), _subject_split(spark, d), "subject_id").where("split = 'train'").select("stay_id"), "stay_id", "left_semi")
     return sequences.imputed(w.select("stay_id", "window_id", *MEANS), sequences.train_medians(train, MEANS, exact=True), MEANS)
 

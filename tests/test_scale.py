@@ -1,9 +1,25 @@
 """What shows only on larger tables: last bits of means, and how much a job writes."""
 
+from helpers import DATA
+from pyspark.sql import functions as F
+
 from icuflow.operators import changes
+from icuflow.plans import catalog, exchange, features
 
 
 def test_changes_that_differ_in_the_last_bit_stand_in_the_order_of_names(spark):
     rows = [(1, 0, 1.0, 1.0, [0.0, 0.0]), (1, 1, 2.0, 2.0, [0.3, 0.1 + 0.2])]
     df = spark.createDataFrame(rows, "stay_id long, window_id long, a double, b double, attributions array<double>")
     assert [r["feature"] for r in changes.changed_features(df, ["a", "b"], 2).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_causal_parity_reads_windows_that_were_made_once(spark, monkeypatch):
+    made = features.features
+
+    def trembling(*args, **kwargs):
+        return made(*args, **kwargs).withColumns({c: F.col(c) + F.rand() * 1e-9 for c in features.MEANS})
+
+    monkeypatch.setattr(features, "features", trembling)
+    monkeypatch.setattr(exchange, "features", trembling)
+    got = catalog.QUERIES["causal_parity"](spark, DATA)
+    assert got.where(F.col("same") != (F.col("terminal_window_id") % 4 != 0)).isEmpty()
