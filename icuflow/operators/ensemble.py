@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from icuflow.functions.scalars import blend, clipped_logit, platt
 from icuflow.operators.metrics import RANGES, probability_metrics, ranking_metrics
-from icuflow.operators.resampling import group_weights, hashed_weights, resampled_metrics
+from icuflow.operators.resampling import draws, hashed_weights, resampled_metrics
 from icuflow.sources.files import kept, removed
 
 PACKED_ROWS = 1 << 17
@@ -115,8 +115,8 @@ def bootstrap(df: DataFrame, key: str, scores: Sequence[str], replicates: int =
     """replicate, score, roc_auc, average_precision of each resample of whole groups; replicates without both classes go.
 
     hashed draws come from md5 and can be repeated by another engine; they cost a row for each draw and suit few replicates."""
-    weights = (hashed_weights if hashed else group_weights)(df, key, replicates, seed)
-    return resampled_metrics(df, key, scores, weights, replicates)
+    weights = (hashed_weights if hashed else draws)(df, key, replicates, seed)
+    return resampled_metrics(df, key, scores, weights, replicates, seed)
 
 
 def confidence(replicates: DataFrame, metric: str) -> DataFrame:

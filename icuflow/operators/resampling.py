@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A group's counts travel as the bytes of such numbers, one for each replicate.
 COUNT = np.dtype("<u2")
-#: Rows whose counts are turned into numbers at a time.
-ROWS = 256
+#: Counts that are turned into numbers at a time, so that they stay in a core's cache.
+CELLS = 1 << 15
 #: Groups drawn together in one task, on average.
-BUCKET = 4096
-#: Replicates whose draws are held at a time.
+BUCKET = 1 << 16
+#: Replicates whose draws are held at a time, divisible by 4.
 BLOCK = 100
 #: Ranges of scores (and of keys) that are handled apart.
 RANGES = 64
@@ -56,82 +54,164 @@ def hashed_weights(groups: DataFrame, key: str, replicates: int, seed: int = 1)
     return by_group.join(dense_index(keys, key), "index").select(key, weights.alias("weights"))
 
 
-def _drawn(sizes: np.ndarray, bucket: int, replicates: int, seed: int) -> np.ndarray:
-    """How many draws of each replicate fall into a bucket: binomial halvings from all buckets down to this one.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Splitmix's finish: 64 bits that look random for each number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Every step is seeded by its span, so all buckets see the same split and the counts add up to the number of groups."""
-    upto = np.concatenate([[0], np.cumsum(sizes)])
-    low, high, left = 0, len(sizes), np.full(replicates, upto[-1])
-    while high - low > 1:
-        middle = (low + high) // 2
-        share = (upto[middle] - upto[low]) / max(upto[high] - upto[low], 1)
-        first = np.random.default_rng([seed, low, high]).binomial(left, share)
-        low, high, left = (low, middle, first) if bucket < middle else (middle, high, left - first)
-    return left
 
+def _poisson_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The count of mean 1 for each 16 bits, DOUBTFUL where a step of the distribution lies within; and the steps, in 48 bits."""
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(17)]) * float(1 << 48)
+    cells = np.arange(1 << 16, dtype=np.float64) * float(1 << 32)
+    first, last = np.searchsorted(steps, cells, "right"), np.searchsorted(steps, cells + float((1 << 32) - 1), "right")
+    return np.where(first == last, first, DOUBTFUL).astype(np.uint8), steps
 
-def group_weights(groups: DataFrame, key: str, replicates: int, seed: int = 1) -> DataFrame:
-    """key, weights: how often each replicate draws the group, as bytes with one COUNT a replicate.
 
-    A replicate draws with replacement, as many groups as there are. Draws are split over buckets of groups and then made
-    inside each bucket, which has the same law; only the distinct keys are shuffled. The driver holds a count for every
-    BUCKET keys."""
+DOUBTFUL = 255
+COUNTS, STEPS = _poisson_tables()
+
+
+def poisson_counts(hashes: np.ndarray, low: int, high: int, seed: int) -> np.ndarray:
+    """A count of mean 1 for each hash (64 bits) and each replicate from low (divisible by 4) up to high: the same wherever it is asked for."""
+    blocks = np.arange(low // 4, -(-high // 4), dtype=np.uint64) + np.uint64((seed << 32) + 1)
+    mixed = _mixed(hashes.astype(np.uint64)[:, None] + _mixed(blocks * np.uint64(0x9E3779B97F4A7C15))[None])
+    cells = mixed.view("<u2").reshape(len(hashes), -1)
+    counts = COUNTS.take(cells)
+    doubtful = np.flatnonzero(counts.reshape(-1) == DOUBTFUL)
+    if len(doubtful):
+        row, column = np.divmod(doubtful, counts.shape[1])
+        more = _mixed(mixed[row, column // 4] + (column % 4 + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)
+        counts[row, column] = np.searchsorted(STEPS, cells[row, column].astype(np.float64) * float(1 << 32) + more.astype(np.float64), "right")
+    return counts[:, : high - low]
+
+
+def draws(groups: DataFrame, key: str, replicates: int, seed: int = 1) -> DataFrame:
+    """key, hash, fixes: how often each replicate draws the group, as what any task can work out from the hash, and the few draws that differ from it.
+
+    A replicate draws with replacement, as many groups as there are. Independent counts of mean 1 have that law once their
+    total is right, so draws are taken back at random (or added) until it is: about the square root of the number of groups
+    for each replicate. fixes: 2 * replicate for a draw more, 2 * replicate + 1 for one less. Only distinct keys are
+    shuffled; the driver holds a number for each replicate and BUCKET keys."""
     keys = groups.select(key).where(F.col(key).isNotNull()).distinct()
-    buckets = max(1, -(-keys.count() // BUCKET))
-    dealt = keys.select(key, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"))
-    sizes = np.zeros(buckets, dtype=np.int64)
-    for b, n in dealt.groupBy("bucket").count().collect():
-        sizes[b] = n
-
-    def draw(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key)
-        bucket, n = int(frame["bucket"].iloc[0]), len(frame)
-        drawn, rng = _drawn(sizes, bucket, replicates, seed), np.random.default_rng([seed, bucket])
-        weights = np.empty((n, replicates), dtype=COUNT)
-        for start in range(0, replicates, BLOCK):
-            m = drawn[start : start + BLOCK]
-            cells = np.repeat(np.arange(len(m)) * n, m) + rng.integers(0, n, m.sum())
-            weights[:, start : start + len(m)] = np.bincount(cells, minlength=len(m) * n).reshape(len(m), n).T
-        return pd.DataFrame({key: frame[key], "weights": [w.tobytes() for w in weights]})
-
-    return dealt.groupBy("bucket").applyInPandas(draw, f"`{key}` {keys.schema[key].dataType.simpleString()}, weights binary")
-
-
-def resampled_metrics(df: DataFrame, key: str, scores: Sequence[str], weights: DataFrame, replicates: int) -> DataFrame:
+    n = keys.count()
+    buckets = max(1, -(-n // BUCKET))
+    dealt = keys.select(key, F.xxhash64(key).alias("hash"), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(buckets)).cast("int").alias("bucket")).repartition(buckets, "bucket")
+    blocks = [(low, min(low + BLOCK, replicates)) for low in range(0, replicates, BLOCK)]
+
+    def hashes(frame: pa.Table) -> np.ndarray:
+        return frame.column("hash").to_numpy().view(np.uint64)
+
+    def total(frame: pa.Table) -> pa.Table:
+        found = np.zeros(replicates, dtype=np.int64)
+        for at in range(0, frame.num_rows, CELLS // BLOCK):
+            own = hashes(frame.slice(at, CELLS // BLOCK))
+            for low, high in blocks:
+                found[low:high] += poisson_counts(own, low, high, seed).sum(0, dtype=np.int64)
+        return pa.table({"bucket": frame.column("bucket").slice(0, 1), "n": [frame.num_rows], "totals": pa.array([found])})
+
+    sizes, totals = np.zeros(buckets, dtype=np.int64), np.zeros((buckets, replicates), dtype=np.int64)
+    for r in dealt.groupBy("bucket").applyInArrow(total, "bucket int, n long, totals array<long>").toLocalIterator():
+        sizes[r["bucket"]], totals[r["bucket"]] = r["n"], r["totals"]
+    surplus, change = totals.sum(0) - n, np.zeros((buckets, replicates), dtype=np.int32)
+    for k in range(replicates if n else 0):
+        rng = np.random.default_rng([seed, k])
+        change[:, k] = -rng.multivariate_hypergeometric(totals[:, k], surplus[k], method="marginals") if surplus[k] > 0 else rng.multinomial(-surplus[k], sizes / n)
+    shared = groups.sparkSession.sparkContext.broadcast(change)
+
+    def fixed(frame: pa.Table) -> pa.Table:
+        frame = frame.sort_by(key)
+        own, bucket = hashes(frame), frame.column("bucket")[0].as_py()
+        wanted, rows, codes = shared.value[bucket], [], []
+        for low in range(0, replicates, 4):  # as many as share their bits
+            high = min(low + 4, replicates)
+            if not (wanted[low:high] < 0).any() and not (wanted[low:high] > 0).any():
+                continue
+            counts = poisson_counts(own, low, high, seed)
+            for k in range(low, high):
+                c, rng = int(wanted[k]), np.random.default_rng([seed, k, bucket])
+                if c > 0:
+                    rows.append(rng.integers(0, len(own), c))
+                elif c < 0:
+                    upto = np.cumsum(counts[:, k - low], dtype=np.int64)
+                    rows.append(np.searchsorted(upto, rng.choice(upto[-1], -c, replace=False), "right"))
+                if c:
+                    codes.append(np.full(abs(c), 2 * k + (c < 0), dtype=np.int32))
+        row, code = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, codes))
+        order = np.argsort(row, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(own)))]).astype(np.int32)
+        return pa.table({key: frame.column(key), "hash": frame.column("hash"), "fixes": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(code[order].astype(np.int32)))})
+
+    return dealt.groupBy("bucket").applyInArrow(fixed, f"`{key}` {keys.schema[key].dataType.simpleString()}, hash long, fixes array<int>")
+
+
+def drawn_counts(x: pa.RecordBatch, replicates: int, seed: int) -> np.ndarray:
+    """The counts of a few rows of draws(), a row each."""
+    counts = poisson_counts(x.column("hash").to_numpy().view(np.uint64), 0, replicates, seed).astype(np.float64)
+    fixes = x.column("fixes")
+    code = fixes.flatten().to_numpy()
+    if len(code):
+        row = np.repeat(np.arange(x.num_rows), np.diff(fixes.offsets.to_numpy()))
+        np.add.at(counts, (row, code // 2), 1 - 2 * (code % 2))
+    return counts
+
+
+def group_weights(groups: DataFrame, key: str, replicates: int, seed: int = 1) -> DataFrame:
+    """key, weights: the counts of draws() as bytes, one COUNT a replicate. Large: resampled_metrics() takes draws() instead."""
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = max(1, CELLS // max(1, replicates))
+            for start in range(0, batch.num_rows, size):
+                x = batch.slice(start, size)
+                yield pa.RecordBatch.from_arrays([x.column(key), pa.array([w.tobytes() for w in drawn_counts(x, replicates, seed).astype(COUNT)], pa.binary())], names=[key, "weights"])
+
+    found = draws(groups, key, replicates, seed)
+    return found.mapInArrow(written, f"`{key}` {found.schema[key].dataType.simpleString()}, weights binary")
+
+
+def resampled_metrics(df: DataFrame, key: str, scores: Sequence[str], weights: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
     """replicate, score, roc_auc, average_precision of each replicate, ties and all; replicates without both classes go.
 
-    Rows without a score or label take no part. Rows meet their group's array of weights once, are dealt to ranges of
-    scores and stream through their range in order: a task holds a block of rows and the sums of its ranges, whatever the number of rows. What lies above
-    a range is known from the sums of ranges (4 arrays for each of RANGES ranges, the only thing the driver holds)."""
+    weights: as made by draws() (with the same seed), or key and the counts' bytes. Rows without a score or label take no
+    part. Rows meet their group's draws once, are dealt to ranges of scores and stream through their range in order: a task
+    holds a block of rows and the sums of its ranges, whatever the number of rows. Counts are worked out there from the
+    group's hash, so they are never shuffled. What lies above a range is known from the sums of ranges (4 arrays for each
+    of RANGES ranges, the only thing the driver holds)."""
+    carried_columns = [c for c in weights.columns if c != key]
     long = df.select(key, "label", F.explode(F.create_map(*[x for s in scores for x in (F.lit(s), F.col(s).cast("double"))])).alias("score", "p"))
     small = long.where("p is not null and label is not null").groupBy(key, "score", "p").agg(F.sum("label").cast("double").alias("n1"), F.sum(1 - F.col("label")).cast("double").alias("n0"))
-    rows = small.join(weights, key).select("score", range_of(small, "p").alias("r"), "p", "n1", "n0", "weights")
-    ranged = rows.repartition("score", "r")
+    rows = small.join(weights, key).select("score", range_of(small, "p").alias("r"), "p", "n1", "n0", *carried_columns)
+    ranged = rows.repartition(RANGES * len(scores), "score", "r")  # few bytes a row, but much to work out
     zero = np.zeros(replicates)
+    size = max(1, CELLS // max(1, replicates))
 
     def blocks(batches: Iterator[pa.RecordBatch]):
-        """Rows in small blocks: score and range of each, p, n1, n0, and a matrix of counts."""
+        """Rows in small blocks, those of one score and range at a time: these two, p, n1, n0, and a matrix of counts."""
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                x = batch.slice(start, ROWS)
-                counts = np.frombuffer(b"".join(x.column("weights").to_pylist()), COUNT).reshape(-1, replicates).astype(float)
-                yield list(zip(x.column("score").to_pylist(), x.column("r").to_pylist(), strict=True)), *(x.column(c).to_numpy() for c in ("p", "n1", "n0")), counts
+            for start in range(0, batch.num_rows, size):
+                x = batch.slice(start, size)
+                counts = drawn_counts(x, replicates, seed) if "fixes" in carried_columns else np.frombuffer(b"".join(x.column("weights").to_pylist()), COUNT).reshape(-1, replicates).astype(float)
+                name, r = x.column("score").to_pylist(), x.column("r").to_numpy()
+                p, n1, n0 = (x.column(c).to_numpy() for c in ("p", "n1", "n0"))
+                cuts = [0, *(i for i in range(1, len(name)) if name[i] != name[i - 1] or r[i] != r[i - 1]), len(name)]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    yield (name[i], int(r[i])), p[i:j], n1[i:j], n0[i:j], counts[i:j]
 
     def batch_of(score: str, r: int, **arrays: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"score": [score], "r": pa.array([r], pa.int32()), **{k: pa.array([v]) for k, v in arrays.items()}})
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], list[np.ndarray]] = {}
-        for where, _, n1, n0, counts in blocks(batches):
-            for key in set(where):
-                here = np.array([w == key for w in where])
-                both = sums.setdefault(key, [zero.copy(), zero.copy()])
-                both[0] += (n1 * here) @ counts
-                both[1] += (n0 * here) @ counts
-        for key, (pos, neg) in sums.items():
-            yield batch_of(*key, pos=pos, neg=neg)
-
-    found = ranged.mapInArrow(totals, "score string, r int, pos array<double>, neg array<double>").collect()
+        for at, _, n1, n0, counts in blocks(batches):
+            both = sums.setdefault(at, [zero.copy(), zero.copy()])
+            both[0] += n1 @ counts
+            both[1] += n0 @ counts
+        for at, (pos, neg) in sums.items():
+            yield batch_of(*at, pos=pos, neg=neg)
+
+    found = ranged.sortWithinPartitions("score", "r").mapInArrow(totals, "score string, r int, pos array<double>, neg array<double>").collect()
     above, carried = {}, {}
     for row in sorted(found, key=lambda x: -x["r"]):
         tp, fp = carried.get(row["score"], (zero, zero))
@@ -139,28 +219,52 @@ def resampled_metrics(df: DataFrame, key: str, scores: Sequence[str], weights: D
         carried[row["score"]] = tp + np.array(row["pos"]), fp + np.array(row["neg"])
     shared = df.sparkSession.sparkContext.broadcast(above)
 
-    def rows_of(batches: Iterator[pa.RecordBatch]):
-        for where, p, n1, n0, counts in blocks(batches):
-            yield from zip(where, p, n1, n0, counts, strict=True)
+    class Range:
+        """Running sums of one range from its highest score down; rows of the last score so far wait, as more of it may come."""
+
+        def __init__(self, at: tuple[str, int]):
+            self.at, (self.tp, self.fp) = at, shared.value[at]
+            self.before, self.pairs, self.steps, self.last = (self.tp, self.fp), zero.copy(), zero.copy(), None
+
+        def take(self, p: np.ndarray, n1: np.ndarray, n0: np.ndarray, counts: np.ndarray) -> None:
+            ends = np.flatnonzero(np.concatenate([p[1:] != p[:-1], [True]]))
+            tp, fp = np.cumsum(n1[:, None] * counts, 0), np.cumsum(n0[:, None] * counts, 0)
+            if len(ends) < len(p):
+                tp, fp = tp[ends], fp[ends]
+            if self.last and self.last[0] == p[0]:
+                tp += self.last[1]
+                fp += self.last[2]
+            elif self.last:
+                self.step(self.last[1][None], self.last[2][None])
+            pos, neg = (tp[-1] - tp[-2], fp[-1] - fp[-2]) if len(ends) > 1 else (tp[-1], fp[-1])
+            self.step(tp[:-1], fp[:-1])
+            self.last = p[-1], pos, neg
+
+        def step(self, tp: np.ndarray, fp: np.ndarray) -> None:
+            """Scores from the highest down, as running sums from where the last step ended."""
+            if len(tp):
+                pos, neg = np.diff(tp, axis=0, prepend=0), np.diff(fp, axis=0, prepend=0)
+                tp, fp = tp + self.tp, fp + self.fp
+                some = np.flatnonzero(neg.any(1))
+                self.pairs += (neg[some] * (tp[some] - pos[some] / 2)).sum(0)
+                some = np.flatnonzero(pos.any(1))
+                self.steps += (pos[some] * tp[some] / np.maximum(tp[some] + fp[some], 1)).sum(0)
+                self.tp, self.fp = tp[-1], fp[-1]
+
+        def done(self) -> pa.RecordBatch:
+            self.step(self.last[1][None], self.last[2][None])
+            return batch_of(*self.at, pairs=self.pairs, steps=self.steps, pos=self.tp - self.before[0], neg=self.fp - self.before[1])
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, part in groupby(rows_of(batches), itemgetter(0)):
-            tp, fp = (x.copy() for x in shared.value[key])
-            before, pairs, steps = (tp.copy(), fp.copy()), zero.copy(), zero.copy()
-            for _, tied in groupby(part, itemgetter(1)):
-                pos, neg = None, None
-                for *_, n1, n0, counts in tied:
-                    if n1:
-                        pos = n1 * counts if pos is None else pos + n1 * counts
-                    if n0:
-                        neg = n0 * counts if neg is None else neg + n0 * counts
-                if neg is not None:
-                    pairs += neg * (tp if pos is None else tp + pos / 2)
-                    fp += neg
-                if pos is not None:
-                    tp += pos
-                    steps += pos * tp / np.maximum(tp + fp, 1)
-            yield batch_of(*key, pairs=pairs, steps=steps, pos=tp - before[0], neg=fp - before[1])
+        now = None
+        for at, *block in blocks(batches):
+            if now and now.at != at:
+                yield now.done()
+                now = None
+            now = now or Range(at)
+            now.take(*block)
+        if now:
+            yield now.done()
 
     names = ["pairs", "steps", "pos", "neg"]
     parts = ranged.sortWithinPartitions("score", "r", F.desc("p")).mapInArrow(ranked, "score string, r int, " + ", ".join(f"{c} array<double>" for c in names))

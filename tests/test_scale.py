@@ -3,7 +3,7 @@
 from helpers import DATA
 from pyspark.sql import functions as F
 
-from icuflow.operators import changes
+from icuflow.operators import changes, resampling
 from icuflow.plans import catalog, exchange, features
 
 
@@ -23,3 +23,10 @@ def test_causal_parity_reads_windows_that_were_made_once(spark, monkeypatch):
     monkeypatch.setattr(exchange, "features", trembling)
     got = catalog.QUERIES["causal_parity"](spark, DATA)
     assert got.where(F.col("same") != (F.col("terminal_window_id") % 4 != 0)).isEmpty()
+
+
+def test_draws_travel_as_hashes_and_few_fixes(spark):
+    g = spark.range(3000).select(F.col("id").alias("stay_id"))
+    r = resampling.draws(g, "stay_id", 200).agg(F.count("*").alias("n"), F.sum(F.size("fixes")).alias("fixes")).first()
+    # one count a group and replicate would be 600,000 numbers
+    assert r["n"] == 3000 and r["fixes"] < 20_000
