@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from icuflow.functions.scalars import blend, clipped_logit, platt
@@ -17,8 +17,10 @@ from icuflow.operators.resampling import draws, hashed_weights, resampled_metric
 from icuflow.sources.files import kept, removed
 
 PACKED_ROWS = 1 << 17
-_PACKED_NAMES = ["k", "part", "n", "pos", "square", "loss", "scores", "labels"]
-_PACKED = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+#: Scores that are shuffled at a time.
+PASS_SCORES = 1 << 27
+_PACKED_NAMES = ["k", "part", "scores", "pos", "neg"]
+_PACKED = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def platt_fit(df: DataFrame, score: str) -> DataFrame:
@@ -35,55 +37,89 @@ def platt_apply(df: DataFrame, scores: Mapping[str, tuple[float, float]]) -> Dat
 def blend_grid(df: DataFrame, first: str, second: str, steps: int = 100) -> DataFrame:
     """Metrics of w * first + (1 - w) * second for each w in steps, the best first; exact, with ties (scores to 12 places).
 
-    A task deals its rows' scores of every weight into RANGES ranges and sends those of a range packed, so the shuffle has
-    a row for each weight, range and PACKED_ROWS rows. A range is sorted alone; what stands above it comes as two sums. Brier score and
-    log loss are sums of the same pass. Both scores must be in [0, 1]; rows with a missing score or label don't count."""
-
-    def packed_rows(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
-        made = []
-        for k in range(steps + 1):
-            w = k / steps
-            score = np.round(w * x + (1 - w) * y, 12)
-            p = np.clip(score, 1e-15, 1 - 1e-15)
-            loss = -(label * np.log(p) + (1 - label) * np.log(1 - p))
-            part = np.clip((score * RANGES).astype(np.int64), 0, RANGES - 1)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(RANGES + 1))
-            for r in np.flatnonzero(np.diff(cuts)).tolist():
-                own = order[cuts[r] : cuts[r + 1]]
-                made.append((k, r, own.size, float(label[own].sum()), float(np.square(score[own] - label[own]).sum()), float(loss[own].sum()), score[own].tobytes(), label[own].astype(np.uint8).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(_PACKED)], names=_PACKED_NAMES)
-
-    def dealt(batches):
+    Rows are counted by distinct pair of scores once. One pass over the pairs gives each weight's sums by range of blended
+    scores: what stands above a range, Brier score and log loss. Then as many weights at a time as make PASS_SCORES scores
+    (one at least) are dealt to their ranges, packed, and each range is sorted alone; what a pass shuffled is freed before
+    the next one, so disk doesn't grow with the number of weights. The driver holds RANGES sums a weight. Both scores must be in [0, 1];
+    rows with a missing score or label don't count."""
+    spark = df.sparkSession
+
+    def blended(k: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score = np.round(k / steps * x + (1 - k / steps) * y, 12)
+        return score, np.clip((score * RANGES).astype(np.int64), 0, RANGES - 1)
+
+    def gathered(batches):
         held, n = [], 0
         for b in batches:
-            held.append([b.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(3)])
+            held.append([b.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(4)])
             n += b.num_rows
             if n >= PACKED_ROWS:
-                yield packed_rows(*map(np.concatenate, zip(*held, strict=True)))
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
                 held, n = [], 0
         if n:
-            yield packed_rows(*map(np.concatenate, zip(*held, strict=True)))
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+    def summed(batches):
+        found = np.zeros((4, steps + 1, RANGES))
+        for x, y, pos, neg in gathered(batches):
+            for k in range(steps + 1):
+                score, part = blended(k, x, y)
+                p = np.clip(score, 1e-15, 1 - 1e-15)
+                for i, v in enumerate((pos, neg, pos * np.square(score - 1) + neg * np.square(score), -(pos * np.log(p) + neg * np.log(1 - p)))):
+                    found[i, k] += np.bincount(part, v, RANGES)
+        k, part = np.nonzero(found[0] + found[1])
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(part, pa.int32()), *(pa.array(v[k, part]) for v in found)], names=["k", "part", "pos", "neg", "square", "loss"])
+
+    def packed(v: np.ndarray) -> bytes:
+        return v.astype(np.min_scalar_type(int(v.max()))).tobytes()
+
+    def dealt(low: int, high: int):
+        def run(batches):
+            for x, y, pos, neg in gathered(batches):
+                made = []
+                for k in range(low, high):
+                    score, part = blended(k, x, y)
+                    order = np.argsort(part.astype(np.uint8), kind="stable")
+                    cuts = np.searchsorted(part[order], np.arange(RANGES + 1))
+                    for r in np.flatnonzero(np.diff(cuts)).tolist():
+                        own = order[cuts[r] : cuts[r + 1]]
+                        made.append((k, r, score[own].tobytes(), packed(pos[own]), packed(neg[own])))
+                yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(_PACKED)], names=_PACKED_NAMES)
+
+        return run
 
     def ranked(table: pa.Table) -> pa.Table:
-        score = np.frombuffer(b"".join(table.column("scores").to_pylist()), np.float64)
-        label = np.frombuffer(b"".join(table.column("labels").to_pylist()), np.uint8).astype(np.float64)
-        value, group = np.unique(-score, return_inverse=True)  # from the highest down
-        pos, neg = np.bincount(group, label, value.size), np.bincount(group, 1 - label, value.size)
-        ctp, cfp = (table.column(c)[0].as_py() + np.cumsum(n) for c, n in (("above_pos", pos), ("above_neg", neg)))
+        k, r = table.column("k")[0].as_py(), table.column("part")[0].as_py()
+        scores = table.column("scores").to_pylist()
+        counts = lambda c: np.concatenate([np.frombuffer(b, f"u{len(b) * 8 // len(s)}").astype(np.float64) for b, s in zip(table.column(c).to_pylist(), scores, strict=True)])
+        value, group = np.unique(-np.frombuffer(b"".join(scores), np.float64), return_inverse=True)  # from the highest down
+        pos, neg = np.bincount(group, counts("pos"), value.size), np.bincount(group, counts("neg"), value.size)
+        ctp, cfp = above.value[0][k, r] + np.cumsum(pos), above.value[1][k, r] + np.cumsum(neg)
         return pa.table({"k": table.column("k").slice(0, 1), "pairs": [float((neg * (ctp - pos / 2)).sum())], "gains": [float((pos * ctp / (ctp + cfp)).sum())]})
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(first).cast("double"), F.col(second).cast("double"), F.col("label").cast("double")).dropna()
-    packed, path = kept(rows.mapInArrow(dealt, ", ".join(f"{n} {t}" for n, t in zip(_PACKED_NAMES, "int int long double double double binary binary".split(), strict=True))), "blends")
-    sums = packed.groupBy("k", "part").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("square").alias("square"), F.sum("loss").alias("loss"))
-    above = Window.partitionBy("k").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a weight
-    bases = sums.select("k", "part", F.coalesce(F.sum("pos").over(above), F.lit(0.0)).alias("above_pos"), F.coalesce(F.sum(F.col("n") - F.col("pos")).over(above), F.lit(0.0)).alias("above_neg"))
-    each = packed.join(bases, ["k", "part"]).repartition(parts, "k", "part").groupBy("k", "part").applyInArrow(ranked, "k int, pairs double, gains double")
-    total = sums.groupBy("k").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("square").alias("square"), F.sum("loss").alias("loss"))
-    x = total.join(each.groupBy("k").agg(F.sum("pairs").alias("pairs"), F.sum("gains").alias("gains")), "k")
-    out, _ = kept(x.select((F.col("k") / steps).alias("weight"), F.try_divide("pairs", F.col("pos") * (F.col("n") - F.col("pos"))).alias("roc_auc"), F.try_divide("gains", "pos").alias("average_precision"), (F.col("square") / F.col("n")).alias("brier"), (F.col("loss") / F.col("n")).alias("log_loss")), "blends")
-    removed(df.sparkSession, path)
+    label = F.col("label").cast("double")
+    rows = df.select(F.col(first).cast("double").alias("x"), F.col(second).cast("double").alias("y"), label.alias("label")).dropna()
+    pairs, path = kept(rows.groupBy("x", "y").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")), "blends")
+    sums = np.zeros((4, steps + 1, RANGES))
+    for s in pairs.mapInArrow(summed, "k int, part int, pos double, neg double, square double, loss double").groupBy("k", "part").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "square", "loss")]).collect():
+        sums[:, s["k"], s["part"]] = s["pos"], s["neg"], s["square"], s["loss"]
+    upto = np.cumsum(sums[:2, :, ::-1], axis=2)[:, :, ::-1] - sums[:2]
+    above = spark.sparkContext.broadcast(upto)
+    at_once = max(1, PASS_SCORES // max(1, pairs.count()))
+    parts = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranks = {}
+    for low in range(0, steps + 1, at_once):
+        each = pairs.mapInArrow(dealt(low, min(low + at_once, steps + 1)), ", ".join(f"{n} {t}" for n, t in zip(_PACKED_NAMES, "int int binary binary binary".split(), strict=True)))
+        each = each.repartition(parts, "k", "part").groupBy("k", "part").applyInArrow(ranked, "k int, pairs double, gains double")
+        ranks |= {r["k"]: (r["pairs"], r["gains"]) for r in each.groupBy("k").agg(F.sum("pairs").alias("pairs"), F.sum("gains").alias("gains")).collect()}
+        del each
+        if low + at_once <= steps:
+            spark._jvm.System.gc()  # Spark deletes a shuffle's files once its plan is collected
+    removed(spark, path)
+    found = [(k, *ranks[k], *map(float, sums[:, k].sum(1))) for k in sorted(ranks)]
+    x = spark.createDataFrame(found, "k int, pairs double, gains double, pos double, neg double, square double, loss double")
+    n = F.col("pos") + F.col("neg")
+    out = x.select((F.col("k") / steps).alias("weight"), F.try_divide("pairs", F.col("pos") * F.col("neg")).alias("roc_auc"), F.try_divide("gains", "pos").alias("average_precision"), (F.col("square") / n).alias("brier"), (F.col("loss") / n).alias("log_loss"))
     return out.orderBy(F.desc("average_precision"), F.desc("roc_auc"), "brier", "log_loss")
 
 

@@ -1,9 +1,10 @@
 """What shows only on larger tables: last bits of means, and how much a job writes."""
 
+import pytest
 from helpers import DATA
 from pyspark.sql import functions as F
 
-from icuflow.operators import changes, resampling
+from icuflow.operators import changes, ensemble, metrics, resampling
 from icuflow.plans import catalog, exchange, features
 
 
@@ -30,3 +31,20 @@ def test_draws_travel_as_hashes_and_few_fixes(spark):
     r = resampling.draws(g, "stay_id", 200).agg(F.count("*").alias("n"), F.sum(F.size("fixes")).alias("fixes")).first()
     # one count a group and replicate would be 600,000 numbers
     assert r["n"] == 3000 and r["fixes"] < 20_000
+
+
+@pytest.mark.parametrize("at_once", [1 << 27, 1])
+def test_blends_in_one_pass_and_in_many_count_repeated_pairs(spark, monkeypatch, at_once):
+    monkeypatch.setattr(ensemble, "PASS_SCORES", at_once)
+    rows = [(i % 7 / 7, i * i % 11 / 11, int(i * 5 % 17 < 6)) for i in range(300)] + [(None, 0.5, 1), (0.5, None, 0), (0.2, 0.3, None)]
+    df = spark.createDataFrame(rows, "p1 double, p2 double, label int")
+    got = {round(r["weight"] * 4): r for r in ensemble.blend_grid(df, "p1", "p2", 4).collect()}
+    for k in range(5):
+        x = df.dropna().select("label", F.round(k / 4 * F.col("p1") + (1 - k / 4) * F.col("p2"), 12).alias("p"))
+        a, b = metrics.ranking_metrics(x, "p").first(), metrics.probability_metrics(x, "p").first()
+        for c, r in (("roc_auc", a), ("average_precision", a), ("brier", b), ("log_loss", b)):
+            assert got[k][c] == pytest.approx(r[c], abs=1e-9)
+
+
+def test_blends_of_no_rows(spark):
+    assert ensemble.blend_grid(spark.createDataFrame([], "p1 double, p2 double, label int"), "p1", "p2", 4).count() == 0
