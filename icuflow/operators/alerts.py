@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 THRESHOLD, COOLDOWN, ESCALATION, DEAD_BAND, MAX_GAP, HISTORY = 0.108, 3, 0.10, 0.01, 6, 120
 
 
-def over_stays(df: DataFrame, order: Sequence[str], start: Callable, step: Callable, schema: str) -> DataFrame:
-    """step(state, row) gives the columns that follow df's own; start() makes the state of a stay. Rows stream by in order."""
+def over_stays(df: DataFrame, order: Sequence[str], start: Callable, step: Callable, schema: str, partitions: int | None = None) -> DataFrame:
+    """step(state, row) gives the columns that follow df's own; start() makes the state of a stay. Rows stream by in order, in as many partitions as are given, or the session's number."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
     def run(batches):
@@ -33,7 +33,7 @@ def over_stays(df: DataFrame, order: Sequence[str], start: Callable, step: Calla
                 out.append(step(state, row))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([r[c] for r in out]) for c in names)], names=[*b.schema.names, *names])
 
-    ordered = df.repartition("stay_id").sortWithinPartitions("stay_id", *order)
+    ordered = (df.repartition(partitions, "stay_id") if partitions else df.repartition("stay_id")).sortWithinPartitions("stay_id", *order)
     return ordered.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in df.dtypes), schema]))
 
 
@@ -96,11 +96,11 @@ class AlertState:
 ALERTS = "stay_id long, window_id long, p double, alert boolean, reason string, direction string, pending boolean, cooldown int"
 
 
-def alert_machine(df: DataFrame, score: str = "p", **settings) -> DataFrame:
+def alert_machine(df: DataFrame, score: str = "p", partitions: int | None = None, **settings) -> DataFrame:
     """The machine over each stay's rows by window (repeats by score)."""
     rows = df.select("stay_id", F.col("window_id").cast("long").alias("window_id"), F.col(score).cast("double").alias("p"))
     step = lambda state, r: state.step(r["window_id"], r["p"], **settings)
-    made = over_stays(rows, ["window_id", "p"], AlertState, step, "alert boolean, reason string, direction string, pending boolean, cooldown long")
+    made = over_stays(rows, ["window_id", "p"], AlertState, step, "alert boolean, reason string, direction string, pending boolean, cooldown long", partitions)
     return made.withColumn("cooldown", F.col("cooldown").cast("int"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from icuflow.operators import alerts, changes, serving
 from icuflow.plans.decisions import ALERT_SQL, ASSIGN_SQL, _assignments, _scores
 from icuflow.plans.features import ATTRIBUTED_SQL, DAY, MEANS, POSITIONS_SQL, _attributed, features, features_sql, rounded
-from icuflow.sources.telemetry import VITALS, stays, table
+from icuflow.sources.telemetry import VITALS, partitions_for, stays, table
 
 FULL = 20
 
@@ -50,7 +50,7 @@ def data_quality(spark, d):
 
 def alert_log(spark, d):
     """The machine's rows with a class from a lower threshold, so that some don't agree with their scores."""
-    x = alerts.alert_machine(_scores(spark, d), threshold=0.6, cooldown=3, escalation=0.1, dead_band=0.05).withColumn("given", (F.col("p") >= 0.55).cast("int"))
+    x = alerts.alert_machine(_scores(spark, d), partitions=partitions_for(spark, d, "lineitem"), threshold=0.6, cooldown=3, escalation=0.1, dead_band=0.05).withColumn("given", (F.col("p") >= 0.55).cast("int"))
     return rounded(changes.alert_log(x, "given", 0.6).select("stay_id", "window_id", "p", "reason", "alert", "mismatch"))
 
 

@@ -9,7 +9,7 @@ from icuflow.functions import scalars
 from icuflow.operators import alerts, ensemble, metrics, parity, serving, splits, validate
 from icuflow.plans.features import H, _attributed, features, features_sql, rounded
 from icuflow.sources.files import shared_folder
-from icuflow.sources.telemetry import PREDS_SQL, VITALS, messages, predictions, table
+from icuflow.sources.telemetry import PREDS_SQL, VITALS, messages, partitions_for, predictions, table
 
 PLATT = {"p1": (-0.4, 0.3), "p2": (0.2, -0.5)}
 WEIGHT, REPLICATES, REPEATED = 0.48, 2000, 20
@@ -192,7 +192,7 @@ def risk_direction(spark, d):
 
 
 def alert_machine(spark, d):
-    return rounded(alerts.alert_machine(_scores(spark, d), threshold=0.6, cooldown=3, escalation=0.1, dead_band=0.05))
+    return rounded(alerts.alert_machine(_scores(spark, d), partitions=partitions_for(spark, d, "lineitem"), threshold=0.6, cooldown=3, escalation=0.1, dead_band=0.05))
 
 
 ALERT_SQL = f"""{SCORES_SQL},
@@ -219,7 +219,7 @@ m AS (
 
 
 def alert_counts(spark, d):
-    return alerts.alert_counts(alerts.alert_machine(_scores(spark, d), threshold=0.6, cooldown=3, escalation=0.1, dead_band=0.05))
+    return alerts.alert_counts(alerts.alert_machine(_scores(spark, d), partitions=partitions_for(spark, d, "lineitem"), threshold=0.6, cooldown=3, escalation=0.1, dead_band=0.05))
 
 
 def state_reasons(spark, d):

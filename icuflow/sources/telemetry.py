@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The measured kinds, in column order.
 VITALS = ("click", "error", "purchase", "signup", "view")
+#: Rows of a table that one task sorts, about.
+ROWS_A_TASK = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +38,19 @@ def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def partitions_for(spark: SparkSession, sf_dir: str, name: str) -> int | None:
+    """As many partitions as keep a task of the table at ROWS_A_TASK rows; None if the session's number is enough. Rows are counted from the files' footers."""
+    n = -(-table(spark, sf_dir, name).count() // ROWS_A_TASK)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stay_id, window_id, label, p1, p2: two scores a window. Line numbers repeat within an order, so windows are numbered anew."""
+    """stay_id, window_id, label, p1, p2: two scores a window. Line numbers repeat within an order, so windows are numbered anew.
+
+    What follows by stay keeps the partitions of the join, whose number grows with the table."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if n := partitions_for(spark, sf_dir, "lineitem"):
+        li, o = li.repartition(n, "l_orderkey"), o.repartition(n, "o_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     x = li.join(o, li.l_orderkey == o.o_orderkey)
     return x.select(

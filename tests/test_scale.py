@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from icuflow.operators import changes, ensemble, metrics, resampling
 from icuflow.plans import catalog, exchange, features
+from icuflow.sources import telemetry
 
 
 def test_changes_that_differ_in_the_last_bit_stand_in_the_order_of_names(spark):
@@ -48,3 +49,12 @@ def test_blends_in_one_pass_and_in_many_count_repeated_pairs(spark, monkeypatch,
 
 def test_blends_of_no_rows(spark):
     assert ensemble.blend_grid(spark.createDataFrame([], "p1 double, p2 double, label int"), "p1", "p2", 4).count() == 0
+
+
+@pytest.mark.parametrize("name", ["alert_machine", "history_topn"])
+def test_partitions_grow_with_the_table(spark, monkeypatch, name):
+    rows = lambda: sorted(map(str, catalog.QUERIES[name](spark, DATA).collect()))
+    before = rows()
+    monkeypatch.setattr(telemetry, "ROWS_A_TASK", 300)
+    assert rows() == before
+    assert catalog.QUERIES[name](spark, DATA).groupBy(F.spark_partition_id()).count().count() > 12  # the session has 4
