@@ -67,13 +67,13 @@ def block_sample(scan: DataFrame, step: int, block_rows: int, forced: Column | N
     """Of every step-th block of a Parquet scan up to so many evenly spaced rows, the first and the last among them, and all forced rows.
 
     A block is a run of block_rows rows of a file, by place in the file (_metadata.row_index); blocks are numbered over the
-    files by path. Only one row a file is numbered in one task. scan: the columns wanted, straight from files."""
+    files by path. Only one row a file is numbered in one task, and goes to all others; a file's rows stay where they are read. scan: the columns wanted, straight from files."""
     names = scan.columns
     x = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     sizes = x.groupBy("_file").agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / block_rows))
     before = F.sum("_blocks").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
     files = sizes.select("_file", "_n", F.coalesce(before, F.lit(0)).alias("_before"))
-    y = x.join(files, "_file").withColumn("_block", F.floor(F.col("_row") / block_rows)).withColumn("_at", F.col("_row") % block_rows)
+    y = x.join(F.broadcast(files), "_file").withColumn("_block", F.floor(F.col("_row") / block_rows)).withColumn("_at", F.col("_row") % block_rows)
     n = F.least(F.lit(block_rows), F.col("_n") - F.col("_block") * block_rows)
     # place k of m is at floor(k * (n - 1) / (m - 1)): a row is one of them if some k falls between it and the next
     at, last = F.col("_at"), most - 1
