@@ -9,7 +9,7 @@ from icuflow.functions import scalars
 from icuflow.operators import alerts, ensemble, metrics, parity, serving, splits, validate
 from icuflow.plans.features import H, _attributed, features, features_sql, rounded
 from icuflow.sources.files import shared_folder
-from icuflow.sources.telemetry import PREDS_SQL, VITALS, messages, partitions_for, predictions, table
+from icuflow.sources.telemetry import PREDS_SQL, VITALS, messages, partitions_for, predictions, table, tasks_for
 
 PLATT = {"p1": (-0.4, 0.3), "p2": (0.2, -0.5)}
 WEIGHT, REPLICATES, REPEATED = 0.48, 2000, 20
@@ -465,7 +465,7 @@ def block_sample(spark, d):
 def late_materialised(spark, d):
     """All columns of the lines of the twenty dearest orders: their keys come from a scan of two columns, the lines from the row groups that hold them."""
     path = shared_folder(spark, "lines")
-    parity.sorted_for_keys(table(spark, d, "lineitem"), "l_orderkey", path, files=4, row_group_bytes=64 << 10)
+    parity.sorted_for_keys(table(spark, d, "lineitem"), "l_orderkey", path, files=max(4, tasks_for(spark, d, "lineitem")), row_group_bytes=64 << 10)
     keys = table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select(F.col("o_orderkey").alias("l_orderkey"))
     return rounded(parity.keyed_rows(spark.read.parquet(path), keys, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 

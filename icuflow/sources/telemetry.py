@@ -38,9 +38,14 @@ def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tasks_for(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """As many tasks as have about ROWS_A_TASK rows of the table each. Rows are counted from the files' footers."""
+    return -(-table(spark, sf_dir, name).count() // ROWS_A_TASK)
+
+
 def partitions_for(spark: SparkSession, sf_dir: str, name: str) -> int | None:
-    """As many partitions as keep a task of the table at ROWS_A_TASK rows; None if the session's number is enough. Rows are counted from the files' footers."""
-    n = -(-table(spark, sf_dir, name).count() // ROWS_A_TASK)
+    """The same; None if the session's number of partitions is enough."""
+    n = tasks_for(spark, sf_dir, name)
     return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
 
 

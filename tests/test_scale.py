@@ -4,7 +4,7 @@ import pytest
 from helpers import DATA
 from pyspark.sql import functions as F
 
-from icuflow.operators import changes, ensemble, metrics, resampling
+from icuflow.operators import changes, ensemble, metrics, parity, resampling
 from icuflow.plans import catalog, exchange, features
 from icuflow.sources import telemetry
 
@@ -58,3 +58,20 @@ def test_partitions_grow_with_the_table(spark, monkeypatch, name):
     monkeypatch.setattr(telemetry, "ROWS_A_TASK", 300)
     assert rows() == before
     assert catalog.QUERIES[name](spark, DATA).groupBy(F.spark_partition_id()).count().count() > 12  # the session has 4
+
+
+def test_block_sample_leaves_rows_where_they_are_read(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["block_sample"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_sorted_files_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(telemetry, "ROWS_A_TASK", 500)
+    asked, made = [], parity.sorted_for_keys
+    monkeypatch.setattr(parity, "sorted_for_keys", lambda *args, **kwargs: (asked.append(kwargs["files"]), made(*args, **kwargs)))
+    assert catalog.QUERIES["late_materialised"](spark, DATA).count() > 0 and asked[0] > 10
