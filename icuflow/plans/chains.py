@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from icuflow.plans.decisions import ALERT_SQL
 from icuflow.plans.features import rounded
 from icuflow.sources.files import shared_folder
-from icuflow.sources.telemetry import VITALS, table
+from icuflow.sources.telemetry import VITALS, buckets_for, table
 from icuflow.streaming import chains, streams
 from icuflow.streaming.stays import ROCKS
 
@@ -46,7 +46,8 @@ def _offers(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_sequences(spark: SparkSession, d: str) -> DataFrame:
     """What becomes of windows, the sequences of 120 that accepted ones make, and the alerts that their scores raise."""
-    out = streams.run_in_steps(_offers(spark, d), "seq", 3, shared_folder(spark, "sequences"), lambda w: chains.processed_windows(w, recent_level, 2, **ALERT), dict([ROCKS]))
+    n = buckets_for(spark, d, "events")
+    out = streams.run_in_steps(_offers(spark, d), "seq", 3, shared_folder(spark, "sequences"), lambda w: chains.processed_windows(w, recent_level, 2, buckets=n, **ALERT), dict([ROCKS]))
     return rounded(out.drop("latency_ms"))
 
 
@@ -65,7 +66,8 @@ def _readings(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_live_updates(spark: SparkSession, d: str) -> DataFrame:
     """Complete times as live updates, ordered, judged and compared, with finals between them."""
-    out = streams.run_in_steps(_readings(spark, d), "seq", 3, shared_folder(spark, "updates"), lambda r: chains.live_updates(r, NEEDED, SPAN), dict([ROCKS]))
+    n = buckets_for(spark, d, "events")
+    out = streams.run_in_steps(_readings(spark, d), "seq", 3, shared_folder(spark, "updates"), lambda r: chains.live_updates(r, NEEDED, SPAN, buckets=n), dict([ROCKS]))
     return rounded(out.withColumn("changed", F.array_join("changed", "+")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from icuflow.operators import validate
 from icuflow.plans.decisions import ALIASES, EVENTS_SQL, MESSAGES_SQL, RANGES, _events
 from icuflow.sources.files import shared_folder
-from icuflow.sources.telemetry import messages
+from icuflow.sources.telemetry import buckets_for, messages
 from icuflow.streaming import sinks, streams
 from icuflow.streaming.stays import ROCKS
 
@@ -31,7 +31,8 @@ def _judged(raw: DataFrame) -> DataFrame:
 def _routed(spark: SparkSession, d: str, listener: sinks.Counters) -> str:
     folder = shared_folder(spark, "topics")
     n = [F.count("*").alias("all"), F.count_if(F.col("reason").isNull()).alias("accepted"), *(F.count_if(F.col("reason") == r).alias(r) for r in REASONS)]
-    made = lambda raw: sinks.routed(sinks.clean_and_rejected(_judged(raw)).observe(listener.name, *n))
+    buckets = buckets_for(spark, d, "events")
+    made = lambda raw: sinks.routed(sinks.clean_and_rejected(_judged(raw), buckets=buckets).observe(listener.name, *n))
     spark.streams.addListener(listener)
     try:
         streams.run_in_steps(_steps(spark, d), "at", STEPS, folder, made, dict([ROCKS]), sinks.for_each(sinks.to_topics(f"{folder}/topics")))

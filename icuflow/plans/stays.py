@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from icuflow.sources.files import shared_folder
-from icuflow.sources.telemetry import VITALS, table
+from icuflow.sources.telemetry import VITALS, buckets_for, table
 from icuflow.streaming import streams
 from icuflow.streaming.stays import MESSAGES, ROCKS, Settings, live_stays
 
@@ -29,7 +29,7 @@ def _static(readings: DataFrame, at, kept=None) -> DataFrame:
     return first.select("stay_id", F.lit(-1).cast("long").alias("seq"), at.alias("at"), F.lit("static").alias("kind"), "intime")
 
 
-def _replayed(spark: SparkSession, name: str, settings: Settings, *messages: DataFrame) -> DataFrame:
+def _replayed(spark: SparkSession, d: str, name: str, settings: Settings, *messages: DataFrame) -> DataFrame:
     """The messages in order of arrival, and at last one that lets all timers run out."""
     all_rows = messages[0]
     for m in messages[1:]:
@@ -37,7 +37,8 @@ def _replayed(spark: SparkSession, name: str, settings: Settings, *messages: Dat
     last = all_rows.select(F.lit(-1).cast("long").alias("stay_id"), (F.max("at") + 36_000).alias("at"), F.lit("clock").alias("kind"))
     names = [f.split()[0] for f in MESSAGES.split(", ")]
     rows = all_rows.unionByName(last, allowMissingColumns=True).select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in MESSAGES.split(", ")))
-    return streams.run_in_steps(rows.select(*names), "at", STEPS, shared_folder(spark, name), lambda m: live_stays(m, VITALS, settings), dict([ROCKS]))
+    n = buckets_for(spark, d, "events")
+    return streams.run_in_steps(rows.select(*names), "at", STEPS, shared_folder(spark, name), lambda m: live_stays(m, VITALS, settings, buckets=n), dict([ROCKS]))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 def stream_timers(spark: SparkSession, d: str) -> DataFrame:
     """Windows final by watermark or idle time, refreshes, eviction and return."""
     r = _readings(spark, d)
-    return _rounded(_replayed(spark, "timers", Settings(), r, _static(r, F.col("intime"))))
+    return _rounded(_replayed(spark, d, "timers", Settings(), r, _static(r, F.col("intime"))))
 
 
 def stream_discharge(spark: SparkSession, d: str) -> DataFrame:
@@ -56,14 +57,14 @@ def stream_discharge(spark: SparkSession, d: str) -> DataFrame:
     middle = r.where("stay_id % 3 = 0").groupBy("stay_id").agg(F.sort_array(F.collect_list("at")).alias("ats"))
     out = middle.select("stay_id", F.expr("ats[size(ats) div 2] + 10").alias("at"))
     gone = [out.select("stay_id", F.lit(10**9 + k).cast("long").alias("seq"), (F.col("at") + 20 * k).alias("at"), F.lit("discharge").alias("kind")) for k in (0, 1)]
-    return _rounded(_replayed(spark, "discharge", Settings(), r, _static(r, F.col("intime")), *gone))
+    return _rounded(_replayed(spark, d, "discharge", Settings(), r, _static(r, F.col("intime")), *gone))
 
 
 def stream_waiting(spark: SparkSession, d: str) -> DataFrame:
     """Static rows come up to 4,000 seconds after a stay's first reading, or never; four readings may wait (1,000 in production)."""
     r = _readings(spark, d).withColumn("source_mode", F.lit("replay"))
     static = _static(r, F.col("first") + F.pmod("stay_id", F.lit(5)) * 1000, F.expr("stay_id % 7 <> 0"))
-    out = _replayed(spark, "waiting", Settings(cap=4), r, static)
+    out = _replayed(spark, d, "waiting", Settings(cap=4), r, static)
     return out.where("kind = 'reading'").select("stay_id", "event_id", "at", F.when(F.col("reason") == "duplicate", "released or accepted").when(F.col("reason").isin("released", "accepted"), "released or accepted").otherwise(F.col("reason")).alias("reason"))
 
 

@@ -8,34 +8,22 @@ from pyspark.sql import functions as F
 from icuflow.plans.decisions import ALERT_SQL, _scores
 from icuflow.plans.features import DAY, features_sql, rounded
 from icuflow.sources.files import shared_folder
-from icuflow.sources.telemetry import VITALS, observations, stays
+from icuflow.sources.telemetry import VITALS, buckets_for, observations, stays
 from icuflow.streaming import streams
-
-SLICES = 3
-
-
-def _ran(df: DataFrame, folder: str) -> DataFrame:
-    query = streams.append_parquet(df, f"{folder}/out", f"{folder}/checkpoint", once=True)
-    query.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
-
+from icuflow.streaming.stays import ROCKS
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Final windows by each stay's own watermark."""
-    folder = shared_folder(spark, "windows")
-    readings = observations(spark, d).join(stays(spark, d).select("stay_id", "intime"), "stay_id")
-    streams.in_slices(readings, "charttime", f"{folder}/in", SLICES)
-    out = _ran(streams.final_windows(streams.replayed(readings, f"{folder}/in"), VITALS, DAY), folder)
+    readings, n = observations(spark, d).join(stays(spark, d).select("stay_id", "intime"), "stay_id").withColumn("at", F.unix_micros(F.col("charttime").cast("timestamp"))), buckets_for(spark, d, "events")
+    out = streams.run_in_steps(readings, "at", 3, shared_folder(spark, "windows"), lambda r: streams.final_windows(r, VITALS, DAY, buckets=n), dict([ROCKS]))
     return rounded(out.where("status = 'FINAL'").drop("status"))
 
 
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     """The alert machine over orders' scores, window by window of arrival."""
-    folder = shared_folder(spark, "alerts")
-    scores = _scores(spark, d).withColumn("at", F.timestamp_seconds("window_id"))
-    streams.in_slices(scores, "at", f"{folder}/in", 2)
-    made = streams.alert_stream(streams.replayed(scores, f"{folder}/in").select("stay_id", "window_id", "p"), threshold=0.6, cooldown=3, escalation=0.1, dead_band=0.05)
-    return rounded(_ran(made, folder))
+    n = buckets_for(spark, d, "lineitem")
+    made = lambda scores: streams.alert_stream(scores, n, threshold=0.6, cooldown=3, escalation=0.1, dead_band=0.05)
+    return rounded(streams.run_in_steps(_scores(spark, d), "window_id", 2, shared_folder(spark, "alerts"), made, dict([ROCKS])))
 
 
 QUERIES = {"stream_windows": stream_windows, "stream_alerts": stream_alerts}

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 VITALS = ("click", "error", "purchase", "signup", "view")
 #: Rows of a table that one task sorts, about.
 ROWS_A_TASK = 1 << 20
+#: Rows of a table for each bucket of stays that a stream keeps state for, about.
+ROWS_A_BUCKET = 1 << 13
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,11 @@ def tasks_for(spark: SparkSession, sf_dir: str, name: str) -> int:
     return -(-table(spark, sf_dir, name).count() // ROWS_A_TASK)
 
 
+def buckets_for(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Buckets of stays for a stream over the table: some 100 stays each, and enough to deal evenly."""
+    return max(64, table(spark, sf_dir, name).count() // ROWS_A_BUCKET)
+
+
 def partitions_for(spark: SparkSession, sf_dir: str, name: str) -> int | None:
     """The same; None if the session's number of partitions is enough."""
     n = tasks_for(spark, sf_dir, name)

@@ -8,36 +8,33 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from icuflow.operators.alerts import HISTORY, AlertState, PatientState
 from icuflow.operators.live import LiveOrder
-from icuflow.streaming.stays import typed
-
-
-def _taken(rows: Iterator[pd.DataFrame], *order: str) -> list[dict]:
-    frame = pd.concat(list(rows)).sort_values(list(order), kind="stable")
-    return frame.astype(object).where(frame.notna(), None).to_dict("records")
+from icuflow.streaming.buckets import OfStays, over_messages
 
 
 SEQUENCES = "stay_id long, seq long, window_id long, time double, reason string, n_kept long, sequence array<array<double>>, padding array<int>, score double, arrived timestamp"
 
 
-class SequenceProcessor(StatefulProcessor):
+class SequenceProcessor(OfStays):
     """A ring of a stay's newest windows: each offer's reason, and for an accepted one the padded sequence and its score."""
 
+    schema = SEQUENCES
+
     def __init__(self, score: Callable[[np.ndarray], float], width: int, history: int = HISTORY):
         self.score, self.width, self.history = score, width, history
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ring, self.meta = handle.getMapState("ring", "window long", "json string"), handle.getValueState("meta", "json string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def step(self, messages: list[dict]) -> list[dict]:
         state, values, out = PatientState(self.history), {}, []
         if self.meta.exists():
             state.last_time, state.static, state.discharged = json.loads(self.meta.get()[0])
@@ -45,11 +42,11 @@ class SequenceProcessor(StatefulProcessor):
             content, time, static, values[w] = json.loads(kept)
             state.windows[w] = (content, time, static)
         before = set(state.windows)
-        for m in _taken(rows, "seq"):
+        for m in messages:
             own = None if m["values"] is None or len(m["values"]) != self.width else [float("nan") if v is None else float(v) for v in m["values"]]
             content = json.dumps(own) if own is not None and all(map(math.isfinite, own)) else None
             reason = state.offer(None if m["window_id"] is None else int(m["window_id"]), m["time"], content, m["static"], bool(m["discharged"]))
-            row = {"stay_id": key[0], "reason": reason, **{c: m[c] for c in ("seq", "window_id", "time", "arrived")}}
+            row = {"reason": reason, **{c: m[c] for c in ("seq", "window_id", "time", "arrived")}}
             if reason == "accepted":
                 values[int(m["window_id"])] = own
                 kept = np.array([values[w] for w in sorted(state.windows)])
@@ -62,50 +59,45 @@ class SequenceProcessor(StatefulProcessor):
         for w in set(state.windows) - before:
             self.ring.updateValue((w,), (json.dumps([*state.windows[w], values[w]]),))
         self.meta.update((json.dumps([state.last_time, state.static, state.discharged]),))
-        yield typed(out, SEQUENCES)
-
-    def close(self) -> None:
-        pass
+        return out
 
 
 PROCESSED = "stay_id long, seq long, window_id long, reason string, n_kept long, n_padded long, total double, score double, alert boolean, alert_reason string, latency_ms long"
 
 
-class AlertProcessor(StatefulProcessor):
+class AlertProcessor(OfStays):
     """The alert machine over scored windows; others pass with their reason. latency_ms: from the window's arrival to now."""
 
+    schema = PROCESSED
+
     def __init__(self, settings: Mapping[str, float]):
         self.settings = dict(settings)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.machine = handle.getValueState("machine", "json string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def step(self, messages: list[dict]) -> list[dict]:
         machine, out = AlertState(*json.loads(self.machine.get()[0])) if self.machine.exists() else AlertState(), []
-        for m in _taken(rows, "seq"):
-            row = {"stay_id": key[0], **{c: m[c] for c in ("seq", "window_id", "reason", "n_kept", "score")}}
+        for m in messages:
+            row = {c: m[c] for c in ("seq", "window_id", "reason", "n_kept", "score")}
             if m["reason"] == "accepted":
                 step = machine.step(int(m["window_id"]), m["score"], **self.settings)
                 row |= {"alert": step["alert"], "alert_reason": step["reason"], "n_padded": int(sum(m["padding"])), "total": float(sum(sum(r) for r in m["sequence"]))}
             out.append(row | {"latency_ms": max(0, int((pd.Timestamp.now() - m["arrived"]).total_seconds() * 1000))})
         self.machine.update((json.dumps([getattr(machine, f) for f in AlertState.FIELDS]),))
-        yield typed(out, PROCESSED)
-
-    def close(self) -> None:
-        pass
+        return out
 
 
-def processed_windows(windows: DataFrame, score: Callable[[np.ndarray], float], width: int, history: int = HISTORY, **settings: float) -> DataFrame:
+def processed_windows(windows: DataFrame, score: Callable[[np.ndarray], float], width: int, history: int = HISTORY, buckets: int | None = None, **settings: float) -> DataFrame:
     """windows: stay_id, seq, window_id, time, values, static, discharged, arrived (timestamp), as a stream. What became of each, its sequence's size and score, and the alert it raised."""
-    made = windows.withWatermark("arrived", "1 minute").groupBy("stay_id").transformWithStateInPandas(SequenceProcessor(score, width, history), SEQUENCES, "Append", "None")
-    return made.groupBy("stay_id").transformWithStateInPandas(AlertProcessor(settings), PROCESSED, "Append", "None")
+    return over_messages(windows.withWatermark("arrived", "1 minute"), [SequenceProcessor(score, width, history), AlertProcessor(settings)], buckets)
 
 
 UPDATES = "stay_id long, seq long, window_id long, time long, final boolean, reason string, p double, p_previous double, risk_delta double, changed array<string>"
 PROBABILITIES = ("p", "p1", "p2")
 
 
-class LiveUpdates(StatefulProcessor):
+class LiveUpdates(OfStays):
     """Readings to live updates. A time is complete once all needed vitals were read at it; then the update is ordered, judged and compared.
 
     reason: incomplete; or why the order refused it (closed, stale, duplicate, out_of_order, invalid); initial, if its window
@@ -113,6 +105,8 @@ class LiveUpdates(StatefulProcessor):
     final. A final closes its window, but leaves a live state of a newer window alone. risk_delta is against the window's
     live state, without one against the final of the newest window; a final has none."""
 
+    schema = UPDATES
+
     def __init__(self, needed: Sequence[str], window: int, tolerance: float = 1e-9, least: float = 1e-6):
         self.needed, self.window, self.tolerance, self.least = sorted(needed), window, tolerance, least
 
@@ -139,13 +133,13 @@ class LiveUpdates(StatefulProcessor):
         self.batches.updateValue((t,), (json.dumps(sorted(got)),))
         return False
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def step(self, messages: list[dict]) -> list[dict]:
         s = json.loads(self.state.get()[0]) if self.state.exists() else {"order": [None, None, None], "live": None, "final": None, "vitals": {}, "times": {}}
         order = LiveOrder()
         order.window, order.time, order.closed = s["order"]
         out = []
-        for m in _taken(rows, "seq"):
-            row = {"stay_id": key[0], "seq": m["seq"], "time": m["time"], "window_id": m["window_id"], "final": bool(m["final"]), "p": m["p"]}
+        for m in messages:
+            row = {"seq": m["seq"], "time": m["time"], "window_id": m["window_id"], "final": bool(m["final"]), "p": m["p"]}
             if m["final"]:
                 w = m["window_id"]
                 row["reason"] = "final" if w is not None else "invalid"
@@ -168,12 +162,9 @@ class LiveUpdates(StatefulProcessor):
             out.append(row)
         s["order"] = [order.window, order.time, order.closed]
         self.state.update((json.dumps(s),))
-        yield typed(out, UPDATES)
-
-    def close(self) -> None:
-        pass
+        return out
 
 
-def live_updates(readings: DataFrame, needed: Sequence[str], window: int) -> DataFrame:
+def live_updates(readings: DataFrame, needed: Sequence[str], window: int, buckets: int | None = None) -> DataFrame:
     """readings: stay_id, seq, time (seconds), vital_sign, value, p, p1, p2, final, window_id (of finals), as a stream."""
-    return readings.groupBy("stay_id").transformWithStateInPandas(LiveUpdates(needed, window), UPDATES, "Append", "None")
+    return over_messages(readings, [LiveUpdates(needed, window)], buckets)

@@ -7,17 +7,17 @@ from __future__ import annotations
 
 import json
 import threading
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from icuflow.operators.serving import merged_into
 from icuflow.operators.validate import REMEMBERED
-from icuflow.streaming.stays import Keys, typed
+from icuflow.streaming.buckets import OfStays, over_messages
+from icuflow.streaming.stays import Keys
 from icuflow.streaming.streams import keyed_json
 
 
@@ -150,20 +150,22 @@ class Counters(StreamingQueryListener):
 JUDGED = "stay_id long, seq long, event_id string, vital_sign string, value double, reason string"
 
 
-class Hygiene(StatefulProcessor):
+class Hygiene(OfStays):
     """Of valid messages of a stay: its source mode must not change, realtime ones must not be late, and neither an event id nor a (vital, time) comes twice."""
 
+    schema, order = JUDGED, ("ingested", "seq")
+
     def __init__(self, lateness: int, remembered: int):
         self.lateness, self.remembered = lateness, remembered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.core = handle.getValueState("core", "json string")
-        self.seen, self.order = handle.getMapState("seen", "key string", "n long"), handle.getMapState("order", "n long", "key string")
+        self.seen, self.places = handle.getMapState("seen", "key string", "n long"), handle.getMapState("order", "n long", "key string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def step(self, messages: list[dict]) -> list[dict]:
         core = json.loads(self.core.get()[0]) if self.core.exists() else {"mode": None, "first": 0, "next": 0}
-        keys, out = Keys(self.seen, self.order, core, self.remembered), []
-        for m in pd.concat(list(rows)).sort_values(["ingested", "seq"], kind="stable").to_dict("records"):
+        keys, out = Keys(self.seen, self.places, core, self.remembered), []
+        for m in messages:
             names = (f"i:{m['event_id']}", f"p:{m['vital_sign']}:{m['charted']}")
             reason = None
             if core["mode"] not in (None, m["source_mode"]):
@@ -176,19 +178,16 @@ class Hygiene(StatefulProcessor):
                     reason = "duplicate"
                 else:
                     keys.take(*names)
-            out.append({"stay_id": key[0], "reason": reason, **{c: m[c] for c in ("seq", "event_id", "vital_sign", "value")}})
+            out.append({"reason": reason, **{c: m[c] for c in ("seq", "event_id", "vital_sign", "value")}})
         self.core.update((json.dumps(core),))
-        yield typed(out, JUDGED)
-
-    def close(self) -> None:
-        pass
+        return out
 
 
-def clean_and_rejected(judged: DataFrame, lateness: int = 60, remembered: int = REMEMBERED) -> DataFrame:
+def clean_and_rejected(judged: DataFrame, lateness: int = 60, remembered: int = REMEMBERED, buckets: int | None = None) -> DataFrame:
     """judged: messages with the reason of operators/validate.py, and seq, as a stream. Every message once, with the reason that refused it, or null."""
     names = [f.split()[0] for f in JUDGED.split(", ")]
     valid = judged.where("reason is null").withColumns({"charted": F.unix_timestamp("charttime"), "ingested": F.unix_timestamp("ingestion_time")})
-    kept = valid.select("stay_id", "seq", "event_id", "vital_sign", "value", "source_mode", "charted", "ingested").groupBy("stay_id").transformWithStateInPandas(Hygiene(lateness, remembered), JUDGED, "Append", "None")
+    kept = over_messages(valid.select("stay_id", "seq", "event_id", "vital_sign", "value", "source_mode", "charted", "ingested"), [Hygiene(lateness, remembered)], buckets)
     return kept.unionByName(judged.where("reason is not null").select(*names))
 
 

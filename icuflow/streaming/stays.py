@@ -15,10 +15,11 @@ import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
+
+from icuflow.streaming.buckets import OfStays, over_messages, typed  # noqa: F401  (typed is used from here, too)
 
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -200,30 +201,23 @@ def stay_schema(vitals: Sequence[str]) -> str:
     return f"stay_id long, at long, kind string, event_id long, window_id long, reason string, recovered boolean, {stats}, " + ", ".join(f"{v}_missing int" for v in vitals)
 
 
-def typed(rows: list[dict], schema: str) -> pd.DataFrame:
-    """Rows as a frame whose columns keep their nulls; columns that a row lacks are null."""
-    kinds = {"long": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean", "timestamp": "datetime64[ns]"}
-    fields = [f.split() for f in schema.split(", ")]
-    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=kinds.get(k, "object")) for c, k in fields})
-
-
-class StayProcessor(StatefulProcessor):
+class StayProcessor(OfStays):
     """Loads a stay's state, feeds it with what has come or become due, and stores it with a timer for what is due next."""
 
     def __init__(self, settings: Settings, vitals: Sequence[str]):
         self.settings, self.vitals = settings, list(vitals)
-        self.schema = stay_schema(vitals)
+        self.schema, self.order = stay_schema(vitals), ("at", "seq")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.static, self.core = handle.getValueState("static", "intime long"), handle.getValueState("core", "json string")
         self.waiting = handle.getListState("waiting", "json string")
-        self.seen, self.order = handle.getMapState("seen", "key string", "n long"), handle.getMapState("order", "n long", "key string")
+        self.seen, self.places = handle.getMapState("seen", "key string", "n long"), handle.getMapState("order", "n long", "key string")
 
     def _load(self) -> Stay:
         core = json.loads(json.dumps(EMPTY)) | (json.loads(self.core.get()[0]) if self.core.exists() else {})
         waiting = [json.loads(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
-        return Stay(core, self.static.get()[0] if self.static.exists() else None, waiting, Keys(self.seen, self.order, core, self.settings.remembered), self.settings, self.vitals)
+        return Stay(core, self.static.get()[0] if self.static.exists() else None, waiting, Keys(self.seen, self.places, core, self.settings.remembered), self.settings, self.vitals)
 
     def _store(self, stay: Stay) -> None:
         due, before = stay.due(), stay.core["timer"]
@@ -238,30 +232,23 @@ class StayProcessor(StatefulProcessor):
         self.static.update((stay.intime,)) if stay.intime is not None else self.static.clear()
         self.waiting.put([(json.dumps(r),) for r in stay.waiting]) if stay.waiting else self.waiting.clear()
 
-    def _frame(self, key: tuple, rows: list[dict]) -> pd.DataFrame:
-        return typed([{"stay_id": key[0], **r} for r in rows], self.schema)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def step(self, messages: list[dict]) -> list[dict]:
         stay, made = self._load(), []
-        frame = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
-        for m in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-            made += stay.offer({k: int(v) if k in ("at", "seq", "intime", "event_id", "charttime", "ingested") and v is not None else v for k, v in m.items() if k not in ("stay_id", "arrived")})
+        for m in messages:
+            made += stay.offer({k: int(v) if k in ("at", "seq", "intime", "event_id", "charttime", "ingested") and v is not None else v for k, v in m.items() if k not in ("stay_id", "arrived", "bucket")})
         self._store(stay)
-        yield self._frame(key, made)
+        return made
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def expired(self, rang: int, watermark: int) -> list[dict]:
         stay = self._load()
-        if stay.core["timer"] == expiredTimerInfo.getExpiryTimeInMs() // 1000:
+        if stay.core["timer"] == rang // 1000:
             stay.core["timer"] = None  # the timer that rang is gone by itself
-        made = list(stay.advance(timerValues.getCurrentWatermarkInMs() // 1000))  # and what this makes due before the watermark, as no message can come before it
+        made = list(stay.advance(watermark // 1000))  # and what this makes due before the watermark, as no message can come before it
         self._store(stay)
-        yield self._frame(key, made)
-
-    def close(self) -> None:
-        pass
+        return made
 
 
-def live_stays(messages: DataFrame, vitals: Sequence[str], settings: Settings = Settings(), delay: str = "60 seconds") -> DataFrame:  # noqa: B008
+def live_stays(messages: DataFrame, vitals: Sequence[str], settings: Settings = Settings(), delay: str = "60 seconds", buckets: int | None = None) -> DataFrame:  # noqa: B008
     """messages: the columns of MESSAGES, as a stream. Rows of what became of readings, windows and stays. Needs RocksDB as the session's state store (ROCKS)."""
     x = messages.withColumn("arrived", F.timestamp_seconds("at")).withWatermark("arrived", delay)
-    return x.groupBy("stay_id").transformWithStateInPandas(StayProcessor(settings, vitals), stay_schema(vitals), "Append", "EventTime")
+    return over_messages(x, [StayProcessor(settings, vitals)], buckets, "EventTime")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from icuflow.operators.alerts import ALERTS, AlertState
 from icuflow.operators.validate import MESSAGE, parsed
+from icuflow.streaming.buckets import in_buckets
 
 
 def file_messages(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -91,44 +93,55 @@ def window_schema(vitals: Sequence[str]) -> str:
     return f"stay_id long, window_id long, status string, {stats}, " + ", ".join(f"{v}_missing int" for v in vitals)
 
 
-def final_windows(readings: DataFrame, vitals: Sequence[str], minutes: int, delay_seconds: int = 300) -> DataFrame:
-    """readings: stay_id, intime, charttime, event_id, vital_sign, value. Emits FINAL rows, and a LATE row for each refused reading."""
+def final_windows(readings: DataFrame, vitals: Sequence[str], minutes: int, delay_seconds: int = 300, buckets: int | None = None) -> DataFrame:
+    """readings: stay_id, intime, charttime, event_id, vital_sign, value. Emits FINAL rows, and a LATE row for each refused reading. State is kept by stay, or for all stays of a bucket together."""
     names = [f.split()[0] for f in window_schema(vitals).split(", ")]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stay, rows, start = StayWindows(json.loads(state.get[0]) if state.exists else None, vitals, minutes, delay_seconds), [], 0
-        for frame in frames:
-            for r in frame.sort_values(["t", "event_id"]).itertuples(index=False):
+        stays, rows = dict(json.loads(state.get[0])) if state.exists else {}, []
+        ordered = pd.concat(list(frames)).sort_values(["stay_id", "t", "event_id"])  # all of the batch: a stay's rows may come in several frames
+        for stay_id, own in groupby(ordered.itertuples(index=False), key=lambda r: int(r.stay_id)):
+            stay, start = StayWindows(stays.get(stay_id), vitals, minutes, delay_seconds), 0
+            for r in own:
                 start = int(r.start)
                 if stay.add(start, float(r.t), int(r.event_id), r.vital_sign, None if pd.isna(r.value) else float(r.value)):
-                    rows.append({"stay_id": key[0], "window_id": (math.floor(r.t) - start) // (minutes * 60), "status": "LATE"})
-        if stay.seen is not None:
-            rows += [{"stay_id": key[0], "status": "FINAL", **row} for row in stay.closed(start)]
-        state.update((json.dumps(stay.state()),))
+                    rows.append({"stay_id": stay_id, "window_id": (math.floor(r.t) - start) // (minutes * 60), "status": "LATE"})
+            if stay.seen is not None:
+                rows += [{"stay_id": stay_id, "status": "FINAL", **row} for row in stay.closed(start)]
+            stays[stay_id] = stay.state()
+        state.update((json.dumps(list(stays.items())),))
         out = pd.DataFrame(rows, columns=names)
         yield out.astype({c: "Int32" for c in names if c.endswith("_missing")})
 
     x = readings.select("stay_id", F.unix_timestamp("intime").alias("start"), (F.unix_micros(F.col("charttime").cast("timestamp")) / 1_000_000).alias("t"), "event_id", "vital_sign", "value")
-    return x.groupBy("stay_id").applyInPandasWithState(run, window_schema(vitals), "state string", "append", GroupStateTimeout.NoTimeout)
+    grouped = in_buckets(x, buckets) if buckets else x.groupBy("stay_id")
+    return grouped.applyInPandasWithState(run, window_schema(vitals), "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def alert_stream(scores: DataFrame, **settings) -> DataFrame:
-    """scores: stay_id, window_id, p. The machine of operators/alerts.py, its state kept for each stay."""
+def alert_stream(scores: DataFrame, buckets: int | None = None, **settings) -> DataFrame:
+    """scores: stay_id, window_id, p. The machine of operators/alerts.py, its state kept for each stay, or for all stays of a bucket together."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = AlertState(*json.loads(state.get[0])) if state.exists else AlertState()
+        stays, rows = dict(json.loads(state.get[0])) if state.exists else {}, []
         number = lambda x, kind: None if pd.isna(x) else kind(x)
-        ordered = pd.concat(list(frames)).sort_values(["window_id", "p"])  # all of the batch: a stay's rows may come in several frames
-        rows = [{"stay_id": key[0], "window_id": number(w, int), "p": number(p, float), **machine.step(number(w, int), number(p, float), **settings)} for w, p in ordered[["window_id", "p"]].itertuples(index=False)]
+        ordered = pd.concat(list(frames)).sort_values(["stay_id", "window_id", "p"])  # all of the batch: a stay's rows may come in several frames
+        for stay, own in groupby(zip(*(ordered[c].tolist() for c in ("stay_id", "window_id", "p")), strict=True), key=lambda r: number(r[0], int)):
+            machine = AlertState(*stays.get(stay, ()))
+            for _, w, p in own:
+                w, p = number(w, int), number(p, float)
+                rows.append({"stay_id": stay, "window_id": w, "p": p, **machine.step(w, p, **settings)})
+            stays[stay] = [getattr(machine, f) for f in AlertState.FIELDS]
         out = pd.DataFrame(rows, columns=[f.split()[0] for f in ALERTS.split(", ")])
         yield out.astype({"window_id": "Int64", "p": "Float64"})
-        state.update((json.dumps([getattr(machine, f) for f in AlertState.FIELDS]),))
+        state.update((json.dumps(list(stays.items())),))
 
-    return scores.groupBy("stay_id").applyInPandasWithState(run, ALERTS, "state string", "append", GroupStateTimeout.NoTimeout)
+    x = scores.select("stay_id", "window_id", "p")
+    grouped = in_buckets(x, buckets) if buckets else x.groupBy("stay_id")
+    return grouped.applyInPandasWithState(run, ALERTS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def in_slices(df: DataFrame, order: str, path: str, n: int) -> None:
-    """The rows as n files in order of time, written one after another, for replay."""
+    """The rows as n files in order of time, each written by one task, for the replay of small tables; run_in_steps takes any."""
     t = F.unix_micros(F.col(order).cast("timestamp"))
     cuts = df.select(F.percentile_approx(t, [k / n for k in range(1, n)], 10_000)).first()[0] or []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
@@ -141,6 +154,8 @@ def run_in_steps(messages: DataFrame, at: str, n: int, folder: str, made: Callab
 
     made: the stream of what to do with the messages; start: how to start it, by default into Parquet, which is returned."""
     spark = messages.sparkSession
+    messages.write.parquet(f"{folder}/all")  # made once: the cuts and all steps read it
+    messages = spark.read.schema(messages.schema).parquet(f"{folder}/all")
     cuts = messages.select(F.percentile_approx(at, [k / n for k in range(1, n)], 10_000)).first()[0] or [] if n > 1 else []
     before = {k: spark.conf.get(k, None) for k in settings or {}}
     for k, v in (settings or {}).items():
