@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from icuflow.operators.quantiles import exact_quantiles
+from icuflow.sources.files import kept, removed
 
 RANGES = 64
 
@@ -122,9 +123,11 @@ def monotone_violations(grid: DataFrame, tolerance: float = 1e-12) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str, by: Sequence[str] = (), points: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Count, mean, deviation, extremes and exact percentiles (interpolated)."""
-    x = (df.groupBy(*by) if by else df).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("deviation"), F.min(column).alias("low"), F.max(column).alias("high"))
-    q = exact_quantiles(df, [column], points, by).drop("n", "column_name")
+    """Count, mean, deviation, extremes and exact percentiles (interpolated). Rows are made once, and both read them."""
+    rows, path = kept(df.select(*by, column), "described")
+    x, _ = kept((rows.groupBy(*by) if by else rows).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("deviation"), F.min(column).alias("low"), F.max(column).alias("high")), "described")
+    q = exact_quantiles(rows, [column], points, by).drop("n", "column_name")
+    removed(df.sparkSession, path)
     same = [x[c].eqNullSafe(q[c]) for c in by]
     y = x.join(q, same or F.lit(True), "left")
     return y.select(*[x[c] for c in by], "n", "mean", "deviation", "low", "high", *[F.col("q")[k].alias(f"p{round(p * 100)}") for k, p in enumerate(points)])

@@ -16,17 +16,19 @@ from pyspark.sql import functions as F
 from icuflow.sources.files import kept, removed
 
 CUTS, MOST = 256, 1 << 15
+#: So many ranks' cuts (2 KB each) go to every task; with more, the brackets are many enough to deal rows by.
+FEW = 4096
 
 
-def _narrowed(values: DataFrame, targets: DataFrame) -> DataFrame:
-    """targets with smaller brackets: g, rank, low, high, below (rows of g under the bracket) and m (rows in it)."""
+def _narrowed(values: DataFrame, targets: DataFrame, few: bool) -> DataFrame:
+    """targets with smaller brackets: g, rank, low, high, below (rows of g under the bracket) and m (rows in it). few: rows stay where they are, as a shuffle by bracket would put each bracket's into one task."""
     brackets = targets.select("g", "low", "high").distinct()
     inside = values.join(brackets, "g").where("v between low and high")
     cuts = inside.groupBy("g", "low", "high").agg(F.array_distinct(F.percentile_approx("v", [k / CUTS for k in range(1, CUTS)], 20 * CUTS)).alias("cuts"))
     steps = CUTS.bit_length()
     at = f"a + shiftleft(1, {steps - 1} - k)"
     part = F.expr(f"aggregate(sequence(0, {steps - 1}), 0, (a, k) -> if({at} <= size(cuts) AND cuts[{at} - 1] < v, {at}, a))")  # how many cuts are below v
-    counts = inside.join(cuts, ["g", "low", "high"]).groupBy("g", "low", "high", part.alias("part")).agg(F.count("*").alias("c"), F.min("v").alias("from"), F.max("v").alias("to"))
+    counts = inside.join(F.broadcast(cuts) if few else cuts, ["g", "low", "high"]).groupBy("g", "low", "high", part.alias("part")).agg(F.count("*").alias("c"), F.min("v").alias("from"), F.max("v").alias("to"))
     upto = Window.partitionBy("g", "low", "high").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # CUTS rows at most
     counts = counts.withColumn("under", F.coalesce(F.sum("c").over(upto), F.lit(0)))
     x = targets.drop("m").join(counts, ["g", "low", "high"]).where("rank - below >= under and rank - below < under + c")
@@ -44,8 +46,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[floa
     targets, at = kept(own.select("g", F.explode(ranks).alias("rank"), "low", "high", F.lit(0).cast("long").alias("below"), F.col("n").alias("m")), "ranks")
     todo = f"m > {MOST} and low < high"
     folders = [path, at]
-    while not targets.where(todo).isEmpty():
-        targets, at = kept(targets.where(f"not ({todo})").unionByName(_narrowed(values, targets.where(todo))), "ranks")
+    while n := targets.where(todo).count():
+        targets, at = kept(targets.where(f"not ({todo})").unionByName(_narrowed(values, targets.where(todo), n <= FEW)), "ranks")
         folders.append(at)
     brackets = targets.where("low < high").select("g", "low", "high").distinct()
     rows = values.join(brackets, "g").where("v between low and high").groupBy("g", "low", "high").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # MOST at most

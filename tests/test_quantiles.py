@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from icuflow.operators import quantiles
 
@@ -30,3 +31,19 @@ def test_against_numpy(spark, monkeypatch, most):
 def test_no_values(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert quantiles.exact_quantiles(df, ["x"], [0.5]).collect() == [] == quantiles.exact_quantiles(df.limit(0), ["x"], [0.5]).collect()
+
+
+def test_rows_of_few_brackets_are_not_dealt_by_bracket(spark):
+    from icuflow.operators.quantiles import _narrowed
+
+    values = spark.range(1000).select(F.struct(F.lit("x").alias("column_name")).alias("g"), F.col("id").cast("double").alias("v"))
+    targets = values.groupBy("g").agg(F.lit(500).cast("long").alias("rank"), F.min("v").alias("low"), F.max("v").alias("high"), F.lit(0).cast("long").alias("below"), F.count("*").alias("m"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if cuts were thought large
+    try:
+        out = _narrowed(values, targets, True)
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        (row,) = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert row.low <= 500 <= row.high and row.m < 1000 and row.below <= 500 < row.below + row.m
