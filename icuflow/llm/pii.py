@@ -7,11 +7,16 @@ by format and context, a logistic curve fitted on held-out candidates turns scor
 has a threshold, the least probability at which PRECISION of its held-out candidates were right; of overlapping spans
 the best is taken, and none that touches a base span.
 
-The trees learn from a sample of at most about SAMPLE rows, which depends on the rows alone: base spans found there,
-rewritten REWRITES times into the freer formats in their own context, are right; the same formats with broken checks
-are wrong, and so is prose that the generators propose elsewhere in those texts. What they propose there in a format
-that nobody writes by chance, or with its checks fulfilled, is not used: it may well be personal data. A sample without
-base spans gives no trees and no added spans.
+The trees learn from all texts: base spans found there, rewritten REWRITES times into the freer formats in their own
+context, are right; the same formats with broken checks are wrong, and so is prose that the generators propose
+elsewhere in those texts. What they propose there in a format that nobody writes by chance, or with its checks
+fulfilled, is not used: it may well be personal data. Draws depend on the text alone. Texts without base spans give no
+trees and no added spans.
+
+Features fall into the fixed bins of GRID, and Spark counts how often each row of bins was right and wrong. Each level
+of a tree is grown from sums by node, feature and bin, which tasks make of their rows and the driver adds up: numbers
+of fixed size, whatever the number of texts. Sums are of integers, so the layout of docs doesn't change the model. The
+curve and the thresholds come from counts by kind and 1/CELLS of a score.
 
 Offsets count code points, ends are exclusive. Null text counts as empty. Texts are read whole, whatever their length;
 no pattern takes more than linear time. Repeated rows give repeated results. Columns of docs other than doc_id and text
@@ -21,21 +26,26 @@ aren't read by find_pii, and redacted_rows returns all of them, whatever their n
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icuflow.llm.common import hash_share, thrifty
+from icuflow.llm.common import discard, settle, thrifty
 from icuflow.llm.wordblocks import runs
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 3000
 PRECISION = 0.95
 REWRITES = 8
 ROUNDS, DEPTH, RATE = 40, 3, 0.3
+FEATURES = 21
+GRID = np.array([*range(16), 17, 19, 23, 27, 31, 39, 47, 55, 63, 95, 127, 191, np.inf])  # the greatest value of each bin
+UNIT = 1 << 20  # slopes are summed as integers of this unit
+CELLS, HIGHEST = 64, 16  # cells a unit of score, from -HIGHEST to HIGHEST
+EXAMPLES = 1 << 16
 
 Span = tuple[str, int, int]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -171,40 +181,76 @@ def described(span: Span, text: str) -> list[float]:
 
 
 class Boosted:
-    """Gradient-boosted regression trees for log loss."""
+    """Gradient-boosted regression trees for log loss, grown level by level from sums over binned rows."""
 
     def __init__(self, rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE):
         self.rounds, self.depth, self.rate, self.trees, self.start = rounds, depth, rate, [], 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        cuts = [np.unique(np.quantile(v, np.linspace(0, 1, 17)[1:-1])) for v in x.T]
-        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    def fit(self, right: int, wrong: int, total: Callable[[Boosted, dict, int], np.ndarray]) -> Boosted:
+        """right, wrong: how many rows there are; total: the sum of sums() over all of them."""
+        rate = np.clip(right / (right + wrong), 1e-3, 1 - 1e-3)
         self.start = float(np.log(rate / (1 - rate)))
-        score = np.full(len(y), self.start)
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-score))
-            tree = self._grow(x, y - p, p * (1 - p), cuts, np.arange(len(y)), self.depth)
-            self.trees.append(tree)
-            score += np.array([self._value(tree, row) for row in x])
+            self.trees.append(self._grown(total))
         return self
 
-    def _grow(self, x, slope, curve, cuts, rows, depth):
-        g, h = slope[rows].sum(), curve[rows].sum()
-        best = (1e-3, None, None)
-        if depth and len(rows) >= 10:
-            for f, own in enumerate(cuts):
-                v = x[rows, f]
-                for c in own:
-                    left = v <= c
-                    if 3 <= left.sum() <= len(rows) - 3:
-                        gl, hl = slope[rows][left].sum(), curve[rows][left].sum()
-                        gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
-                        if gain > best[0]:
-                            best = (gain, f, c)
-        if best[1] is None:
-            return self.rate * g / (h + 1)
-        left = x[rows, best[1]] <= best[2]
-        return best[1], best[2], self._grow(x, slope, curve, cuts, rows[left], depth - 1), self._grow(x, slope, curve, cuts, rows[~left], depth - 1)
+    def _grown(self, total):
+        splits: dict[int, tuple[int, int]] = {}
+        leaves: dict[int, float] = {1: 0.0}
+        for level in range(self.depth):
+            opened = [k for k in leaves if k >> level == 1]
+            if not opened:
+                break
+            sums = total(self, splits, level)
+            for node in opened:
+                own = sums[:, node - (1 << level)]
+                (g, h), n = own[:2, 0].sum(axis=1) / UNIT, own[2, 0].sum()
+                leaves[node] = float(self.rate * g / (h + 1))
+                if n < 10:
+                    continue
+                left = np.cumsum(own, axis=2)
+                gl, hl = left[:2] / UNIT
+                gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+                gain[(left[2] < 3) | (left[2] > n - 3)] = 0
+                f, k = np.unravel_index(int(gain.argmax()), gain.shape)
+                if gain[f, k] > 1e-3:
+                    del leaves[node]
+                    splits[node] = int(f), int(k)
+                    leaves[2 * node] = float(self.rate * gl[f, k] / (hl[f, k] + 1))
+                    leaves[2 * node + 1] = float(self.rate * (g - gl[f, k]) / (h - hl[f, k] + 1))
+
+        def tree(node):
+            return leaves[node] if node in leaves else (splits[node][0], float(GRID[splits[node][1]]), tree(2 * node), tree(2 * node + 1))
+
+        return tree(1)
+
+    def scores(self, bins: np.ndarray) -> np.ndarray:
+        x, total = GRID[bins], np.zeros(len(bins))
+        for t in self.trees:
+            total = total + self._values(t, x)
+        return self.start + total
+
+    def sums(self, bins: np.ndarray, right: np.ndarray, wrong: np.ndarray, splits: dict, level: int) -> np.ndarray:
+        """Slope, curvature (in UNITs) and rows by node of the level, feature and bin; splits: those of the tree that grows."""
+        p, n = 1 / (1 + np.exp(-self.scores(bins))), right + wrong
+        slope = right * UNIT - n * np.rint(p * UNIT).astype(np.int64)
+        curve = n * np.rint(p * (1 - p) * UNIT).astype(np.int64)
+        node = np.ones(len(bins), np.int64)
+        for k in sorted(splits):
+            at = node == k
+            node[at] = 2 * k + (bins[at, splits[k][0]] > splits[k][1])
+        live, width = node >= 1 << level, len(GRID)
+        at, out = (node[live] - (1 << level)) * width, np.zeros((3, 1 << level, FEATURES, width), np.int64)
+        for c, own in enumerate((slope, curve, n)):
+            for f in range(FEATURES):
+                out[c, :, f] = np.bincount(at + bins[live, f], own[live], width << level).astype(np.int64).reshape(-1, width)
+        return out
+
+    @staticmethod
+    def _values(tree, x: np.ndarray):
+        if not isinstance(tree, tuple):
+            return tree
+        return np.where(x[:, tree[0]] <= tree[1], Boosted._values(tree[2], x), Boosted._values(tree[3], x))
 
     @staticmethod
     def _value(tree, row) -> float:
@@ -250,8 +296,11 @@ class PiiModel:
     def __init__(self, trees: Boosted | None, thresholds: dict[str, float], curve: tuple[float, float] = (1.0, 0.0)):
         self.trees, self.thresholds, self.curve = trees, thresholds, curve
 
+    def curved(self, score: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.curve[0] * score + self.curve[1], -30, 30))))
+
     def probability(self, row: list[float]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.curve[0] * self.trees.score(row) + self.curve[1], -30, 30))))
+        return self.curved(self.trees.score(row))
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         if self.trees is None:
@@ -269,23 +318,23 @@ class PiiModel:
         return base, sorted([*base, *self.added(text or "", base)], key=lambda x: (KINDS.index(x[0]), x[1:]))
 
 
-def platt(scores: list[float], right: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the logistic curve from scores to the share that is right, by Newton's method; shares keep off 0 and 1."""
-    right = np.where(right == 1, (right.sum() + 1) / (right.sum() + 2), 1 / (len(right) - right.sum() + 2))
-    x, b = np.stack([np.array(scores), np.ones(len(scores))], axis=1), np.array([1.0, 0.0])
+def platt(scores: np.ndarray, right: np.ndarray, wrong: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve from scores to the share that is right, by Newton's method; shares keep off 0 and 1. right, wrong: rows of each score."""
+    n, high, low = right + wrong, (right.sum() + 1) / (right.sum() + 2), 1 / (wrong.sum() + 2)
+    hits = right * high + wrong * low
+    x, b = np.stack([scores, np.ones(len(scores))], axis=1), np.array([1.0, 0.0])
     for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        b = b + np.linalg.solve(curve, x.T @ (right - p) - 1e-3 * (b - [1.0, 0.0]))
+        curve = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        b = b + np.linalg.solve(curve, x.T @ (hits - n * p) - 1e-3 * (b - [1.0, 0.0]))
     return (float(b[0]), float(b[1])) if np.isfinite(b).all() and b[0] > 0 else (1.0, 0.0)
 
 
-def fit(texts: list[str], seed: int = 11) -> PiiModel:
-    rng = np.random.default_rng(seed)
-    rows: list[list[float]] = []
-    right: list[int] = []
-    for text in sorted(texts):
-        base = base_spans(text)
+def examples(text: str, seed: int = 11) -> Iterator[tuple[list[float], bool]]:
+    """What a text teaches: described candidates, and whether they are right. Draws of rewrites depend on text and seed."""
+    base = base_spans(text)
+    if base:
+        rng = np.random.default_rng([seed, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))])
         for kind, s, e in base * REWRITES:
             for label, own in zip((1, 0), rewritten(kind, text[s:e], rng), strict=True):
                 cue = sorted(CUES[kind])[int(rng.integers(len(CUES[kind])))] + ": " if rng.random() < 0.3 and label else ""
@@ -293,41 +342,95 @@ def fit(texts: list[str], seed: int = 11) -> PiiModel:
                 at = len(text[max(0, s - 40) : s] + cue)
                 for c in candidates(made, []):
                     if c[1] < at + len(own) and at < c[2]:
-                        rows.append(described(c, made))
-                        right.append(int(label and c[0] == kind and abs(c[1] - at) <= 1 and abs(c[2] - at - len(own)) <= 1))
-        for c in candidates(text, base):
-            if not _may_be_right(c, text):
-                rows.append(described(c, text))
-                right.append(0)
-    y = np.array(right)
-    if not y.any() or y.all() or len(y) < 50:
+                        yield described(c, made), bool(label and c[0] == kind and abs(c[1] - at) <= 1 and abs(c[2] - at - len(own)) <= 1)
+    for c in candidates(text, base):
+        if not _may_be_right(c, text):
+            yield described(c, text), False
+
+
+def counted(texts: Iterable[str], most: int = EXAMPLES) -> Iterator[dict[bytes, np.ndarray]]:
+    """Rows of bins with the numbers of examples: right and wrong to learn from, right and wrong kept out (a third). A new dictionary once one has most rows."""
+    found: dict[bytes, np.ndarray] = {}
+    for text in texts:
+        digest = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+        for k, (row, right) in enumerate(examples(text)):
+            kept = xxhash.xxh3_64_intdigest(k.to_bytes(8, "little"), digest) % 3 == 0
+            key = np.searchsorted(GRID, row).astype(np.uint8).tobytes()
+            found.setdefault(key, np.zeros(4, np.int64))[2 * kept + (not right)] += 1
+        if len(found) >= most:
+            yield found
+            found = {}
+    yield found
+
+
+def cells(trees: Boosted, bins: np.ndarray, right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+    """How many rows are right and wrong, by kind and cell of the score."""
+    width = 2 * HIGHEST * CELLS
+    at = bins[:, 0].astype(np.int64) * width + np.clip(np.floor(trees.scores(bins) * CELLS) + width // 2, 0, width - 1).astype(np.int64)
+    return np.stack([np.bincount(at, own, len(KINDS) * width).astype(np.int64).reshape(-1, width) for own in (right, wrong)])
+
+
+def fitted(counts: np.ndarray, total: Callable[[Callable], np.ndarray]) -> PiiModel:
+    """counts: the numbers of examples; total(f): the sum of f(bins, counts) over all rows."""
+    if not counts[::2].sum() or not counts[1::2].sum() or counts.sum() < 50:
         return PiiModel(None, {})
-    x = np.array(rows)
-    order = rng.permutation(len(y))
-    kept, learned = order[: len(y) // 3], order[len(y) // 3 :]
-    trees = Boosted().fit(x[learned], y[learned].astype(float))
-    model = PiiModel(trees, {}, platt([trees.score(x[r].tolist()) for r in kept], y[kept]))
+    trees = Boosted().fit(*counts[:2].tolist(), lambda own, splits, level: total(lambda bins, n: own.sums(bins, n[:, 0], n[:, 1], splits, level)))
+    found = total(lambda bins, n: cells(trees, bins, n[:, 2], n[:, 3]))
+    lowest = np.arange(found.shape[2]) / CELLS - HIGHEST
+    model = PiiModel(trees, {}, platt(lowest + 0.5 / CELLS, *found.sum(axis=1)))
     for k, kind in enumerate(KINDS):
-        scored = sorted(((model.probability(x[r].tolist()), int(y[r])) for r in kept if x[r][0] == k), reverse=True)
-        hits, least = 0, np.inf
-        for n, (score, label) in enumerate(scored, 1):
-            hits += label
-            last_of_ties = n == len(scored) or scored[n][0] < score
-            if last_of_ties and n >= 10 and hits / n >= PRECISION and score > 0.5:
-                least = score
-        model.thresholds[kind] = least
+        hits, n, model.thresholds[kind] = 0, 0, np.inf
+        for cell in np.flatnonzero(found[:, k].sum(axis=0))[::-1].tolist():
+            hits, n = hits + found[0, k, cell], n + found[:, k, cell].sum()
+            if n >= 10 and hits / n >= PRECISION and (score := model.curved(lowest[cell])) > 0.5:
+                model.thresholds[kind] = score
     return model
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> PiiModel:
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, FEATURES)
+
+
+def fit(texts: Iterable[str]) -> PiiModel:
+    """The model of these texts, here."""
+    (found,) = counted(texts, 1 << 62)
+    bins, counts = _unpacked([*found]), np.array([*found.values()], np.int64).reshape(-1, 4)
+    return fitted(counts.sum(axis=0), lambda f: f(bins, counts))
+
+
+def learn(docs: DataFrame) -> PiiModel:
+    """The model of all texts of docs."""
+    names = ["n0", "n1", "n2", "n3"]
+
+    def count(batches):
+        for found in counted(t for b in batches for _, own in runs(b.column("text")) for t in own):
+            counts = np.array([*found.values()], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.binary()), *map(pa.array, counts.T)], names=["row", *names])
+
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    n = texts.count()
-    return fit([r["text"] for r in texts.where(hash_share("text") < F.lit(sample / max(n, sample))).distinct().collect()])
+    rows = texts.mapInArrow(thrifty(count), "row binary, " + ", ".join(f"{n} long" for n in names))
+    table = settle(rows.groupBy("row").agg(*(F.sum(n).alias(n) for n in names)), "examples")
+
+    def total(f: Callable) -> np.ndarray:
+        def add(batches):
+            out = 0
+            for b in batches:
+                if b.num_rows:
+                    out = out + f(_unpacked(b.column("row").to_pylist()), np.stack([b.column(n).to_numpy() for n in names], axis=1))
+            if not isinstance(out, int):
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()]), pa.array([list(out.shape)], pa.list_(pa.int32()))], names=["sums", "shape"])
+
+        return sum(np.frombuffer(r["sums"], np.int64).reshape(r["shape"]) for r in table.mapInArrow(add, "sums binary, shape array<int>").collect())
+
+    counts = np.array(table.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in names)).first(), np.int64)
+    model = fitted(counts, total)
+    discard(table)
+    return model
 
 
-def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find_pii(docs: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, base and spans (arrays of kind, start, end)."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, sample))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     listed = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
 
@@ -355,9 +458,9 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def redacted_rows(docs: DataFrame) -> DataFrame:
     """docs with the spans in text redacted; n_chars, if there, is the new length. Rows without spans stay as they are."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(learn(docs, sample)), docs.columns
+    shared, names = docs.sparkSession.sparkContext.broadcast(learn(docs)), docs.columns
 
     def clean(batches):
         for b in batches:
@@ -375,9 +478,9 @@ def redacted_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return docs.mapInArrow(thrifty(clean), docs.schema)
 
 
-def pii_report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def pii_report(docs: DataFrame) -> DataFrame:
     """The columns of the contract, derived from find_pii(). Counts are of base spans."""
-    found = find_pii(docs, sample)
+    found = find_pii(docs)
     joined = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(number, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))

@@ -95,6 +95,17 @@ def test_planted_free_formats_in_given_documents(spark, rng):
     assert model.added("see version 1.2.3 and page 12, 13, 14, 15, on 2024-01-15, when they look at the house. Then go", []) == []
 
 
+def test_model_learns_from_all_texts_in_any_layout(spark):
+    texts = [f"{k} mail user{k}@host{k % 11}.example.org" if k % 2 else f"{k} of {k % 250}, {k % 13}, 7, 999" for k in range(4000)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string")
+    whole = pii.fit(texts)
+    for layout in (docs.coalesce(1), docs.repartition(5)):
+        model = pii.learn(layout)
+        assert (model.trees.trees, model.trees.start, model.thresholds, model.curve) == (whole.trees.trees, whole.trees.start, whole.thresholds, whole.curve)
+    counts = sum(n for found in pii.counted(texts, 50) for n in found.values())
+    assert counts.sum() == sum(1 for t in texts for _ in pii.examples(t)) >= 2000 * pii.REWRITES
+
+
 def test_pii_report(spark, odd, none):
     assert pii.pii_report(odd).count() == odd.count() and pii.pii_report(none).count() == 0
     empty = hashlib.sha256(b"").hexdigest()
