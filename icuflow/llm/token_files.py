@@ -9,7 +9,7 @@ beside it has, for each document, doc_id and the start and number of its ids in
 Each task attempt writes files of its own names in the shared folder, and the manifest, which is written once, names
 the files of the attempts that counted; so a lost executor leaves nothing but unnamed files.
 
-A word is encoded once a task. Text is cut at spaces; the tokenizer drops white space, and neither its normalization
+A word is encoded once a worker, which keeps what it has encoded from task to task, up to KNOWN_WORDS. Text is cut at spaces; the tokenizer drops white space, and neither its normalization
 nor its splitting looks across a space, so the ids of a text are those of its parts in order. Parts of ASCII and
 Latin letters, whose lower case and splitting are plain, are cut into the tokenizer's own words first. Null and empty texts
 have no ids but the end id. Repeated rows are documents of their own.
@@ -35,7 +35,7 @@ from icuflow.llm.common import scratch_dir, settle
 
 LENGTH = 2048
 BATCH_ROWS = 256
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 19
 
 
 def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -139,9 +139,9 @@ class WordCache:
         self.model.no_truncation()
 
     def encode(self, texts: list[str | None], end: int) -> Iterator[np.ndarray]:
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-            self.words.clear()
+        for words in (self.known, self.words):
+            if len(words) > KNOWN_WORDS:
+                words.clear()
         split = [t.split(" ") if t else [] for t in texts]
         fresh = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.known]
         cut = {w: _SPLIT.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else None for w in fresh}
@@ -162,6 +162,18 @@ class WordCache:
             yield np.frombuffer(b"".join([*map(self.known.__getitem__, words), last]), self.dtype)
 
 
+_KEPT: dict[tuple[str, str], WordCache] = {}
+
+
+def worker_cache(source: str, dtype) -> WordCache:
+    """This worker's cache for a vocabulary; tasks that follow find its words. One vocabulary at a time."""
+    key = (source, np.dtype(dtype).str)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = WordCache(source, dtype)
+    return _KEPT[key]
+
+
 def _slices(b: pa.RecordBatch, chars: int = 2 << 20) -> Iterator[tuple[list, list[str | None]]]:
     start, size = 0, 0
     texts = b.column("text")
@@ -178,7 +190,7 @@ def write_files(docs: DataFrame, vocabulary: str, end: int, length: int = LENGTH
     with open(vocabulary, encoding="utf-8") as f:
         source = f.read()
     folder = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    shared = spark.sparkContext.broadcast(source)
+    shared, narrow = spark.sparkContext.broadcast(source), max(end, _largest_id(source)) < 65536
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ordered = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -187,8 +199,8 @@ def write_files(docs: DataFrame, vocabulary: str, end: int, length: int = LENGTH
         part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, path = opened(folder)
         fs.create_dir(path, recursive=True)
-        width = pa.uint16() if end < 65536 and _largest_id(shared.value) < 65536 else pa.uint32()
-        cache = WordCache(shared.value, width.to_pandas_dtype())
+        width = pa.uint16() if narrow else pa.uint32()
+        cache = worker_cache(shared.value, width.to_pandas_dtype())
         names = [f"part-{part:06d}-{own}.{kind}.arrow" for kind in ("ids", "index")]
         writer, index, sink, n = SequenceWriter(fs, f"{path}/{names[0]}", width, length), None, None, 0
         for b in batches:

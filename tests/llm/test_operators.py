@@ -482,6 +482,17 @@ def test_token_files(spark, odd, none):
     assert len(ids) == 16 and mask.all() and not file.row(-(-manifest[0]["n_tokens"] // 16) - 1)[1].all() == bool(manifest[0]["n_tokens"] % 16)
 
 
+def test_encoded_words_stay_in_the_worker():
+    with open(WORDS, encoding="utf-8") as f:
+        source = f.read()
+    cache = token_files.worker_cache(source, np.uint16)
+    first = [ids.tolist() for ids in cache.encode(["some words, some more", None], 1)]
+    again = token_files.worker_cache(source, np.uint16)
+    assert again is cache and {"some", "words,", "more"} <= set(again.known)
+    assert first == [ids.tolist() for ids in again.encode(["some words, some more", ""], 1)]
+    assert token_files.worker_cache(source, np.uint32) is not cache
+
+
 # 10 token counts
 
 
