@@ -11,7 +11,7 @@ Classes, not doc_ids, are the keys throughout: one id may hold several texts.
    n-gram that one class has alone is dropped; no n-gram's rows are ever held at once. Each row left tells how many
    n-grams before it are left too (no other can be shared, which tightens the positional filter), and the first of them.
 3. Then in rounds: each n-gram names the classes that share most as its pivots (1, then 16, 256, ... a round), and every
-   other class of the n-gram meets them. A pair counts at the first n-gram that it shares. Pairs that pass the length and
+   other class of the n-gram meets them, the first one where the n-gram's classes are ranked. A pair counts at the first n-gram that it shares. Pairs that pass the length and
    positional filters, and whose histograms allow enough common n-grams, are verified, each once: the sets of a pivot's partners travel to the pivot's set, a bounded
    number of n-grams to a task, where the suffix filter (the parts of both suffixes on either side of a probe) precedes
    the whole comparison. Linked classes are contracted (components.py); then pivots leave their n-grams, as do
@@ -243,20 +243,48 @@ def placed(rows: DataFrame) -> DataFrame:
     return x.withColumn("first", first).withColumn("label", F.col("cls"))
 
 
+def _pass(x, p, percent: int) -> Column:
+    """Whether a class may link with a pivot of its n-gram by the length and positional filters, and the n-gram is the first that they share. x, p: columns of their rows, by name."""
+    least = F.ceil(percent * (p("n") + x("n")).cast("long") / (100 + percent))
+    lengths = F.least(p("n"), x("n")) * F.lit(100).cast("long") >= F.greatest(p("n"), x("n")) * F.lit(percent).cast("long")
+    positional = F.least(p("before"), x("before")) + F.least(p("n") - p("place"), x("n") - x("place")) >= least
+    return lengths & positional & ~F.arrays_overlap(p("earlier"), x("earlier"))
+
+
 def candidate_pairs(live: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     """u, v, m, n: pairs of classes of different components, u a pivot and v a later class of one of its n-grams, that pass the length and positional filters; m and n are their set sizes.
 
     live, pivots: rows of placed()."""
-    p = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("p")
-    least = F.ceil(percent * (F.col("p.n") + F.col("x.n")).cast("long") / (100 + percent))
-    lengths = F.least("p.n", "x.n") * F.lit(100).cast("long") >= F.greatest("p.n", "x.n") * F.lit(percent).cast("long")
-    positional = F.least("p.before", "x.before") + F.least(F.col("p.n") - F.col("p.place"), F.col("x.n") - F.col("x.place")) >= least
+    p = pivots.drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("p")
     later = (F.col("x.first") > F.col("p.first")) | ((F.col("x.first") == F.col("p.first")) & (F.col("x.cls") > F.col("p.cls")))
     met = live.alias("x").join(p, (F.col("x.gram") == F.col("p.gram")) & (F.col("x.salt") == F.col("p.salt")) & later & (F.col("x.label") != F.col("p.label")))
-    passed = met.where(lengths & positional).where(~F.arrays_overlap("p.earlier", "x.earlier"))
+    passed = met.where(_pass(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"p.{c}"), percent))
     return passed.select(F.col("p.cls").alias("u"), F.col("x.cls").alias("v"), F.col("p.n").alias("m"), F.col("x.n").alias("n")).distinct()
 
 
+def ranked(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """rows of placed() with rank (1 to k: a pivot of its n-gram) and, for n-grams that aren't salted, u and m: the n-gram's first pivot and its set size where the pair passes.
+
+    So classes meet their first pivot where they are ranked, and pivots leave by their rank. A salted n-gram's pivots are the first of its parts' first k."""
+    order = Window.partitionBy("gram").orderBy("first", "cls")
+    pivot = F.first(F.struct("cls", "n", "place", "before", "earlier", "label")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    plain = rows.where("salts = 1").withColumn("rank", F.row_number().over(order)).withColumn("pivot", pivot)
+    meets = (F.col("rank") > 1) & (F.col("label") != F.col("pivot.label")) & _pass(F.col, lambda c: F.col(f"pivot.{c}"), percent)
+    plain = plain.withColumn("u", F.when(meets, F.col("pivot.cls"))).withColumn("m", F.when(meets, F.col("pivot.n"))).drop("pivot")
+    salted = rows.where("salts > 1")
+    tops = salted.select("gram", "salt", "first", "cls").withColumn("rank", F.row_number().over(Window.partitionBy("gram", "salt").orderBy("first", "cls"))).where(F.col("rank") <= k)
+    tops = tops.select("gram", "first", "cls").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("gram", "cls", "rank")
+    salted = salted.join(tops, ["gram", "cls"], "left").withColumn("rank", F.coalesce("rank", F.lit(k + 1)))
+    return plain.unionByName(salted.withColumn("u", F.lit(None).cast("binary")).withColumn("m", F.lit(None).cast("int")))
+
+
+def met_pairs(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of candidate_pairs() of ranked() rows: those with the first pivots are at hand, those with others and of salted n-grams come by a join."""
+    first = rows.where("u is not null").select("u", F.col("cls").alias("v"), "m", "n")
+    pivots = rows.where((F.col("rank") <= k) & ((F.col("rank") > 1) | (F.col("salts") > 1)))
+    return first.unionByName(candidate_pairs(rows if k > 1 else rows.where("salts > 1"), pivots, percent)).distinct()
+
+
 def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """pairs (settled) whose histograms allow a link."""
     bins = lambda c: classes.select(F.col("cls").alias(f"c{c}"), F.col("bins").alias(f"b{c}"))
@@ -298,7 +326,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     hubs = settle(pairs.groupBy("u").agg(F.ceil(F.sum(F.col("n").cast("long")) / part_grams).cast("int").alias("parts")), "hubs")
     dealt = pairs.alias("p").join(hubs.alias("h"), F.col("p.u") == F.col("h.u")).select(F.col("p.u").alias("u"), F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.col("v").alias("wanted"), F.lit(1).alias("turn"))
     own = hubs.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("u").alias("wanted"), F.lit(0).alias("turn"))
-    needs = own.unionByName(dealt)
+    needs = settle(own.unionByName(dealt), "needs")  # so that its size is known: while it is small, the sets travel once
     ids = pairs.select(F.col("v").alias("wanted")).unionByName(hubs.select(F.col("u").alias("wanted"))).distinct().join(classes, F.col("wanted") == F.col("cls")).select("doc_id").distinct()
     moved = needs.join(sets_of(docs, ids, words), F.col("wanted") == F.col("cls")).select("u", "part", "turn", "wanted", "grams")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -325,7 +353,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary()), pa.array(list(out.values()), pa.bool_())], names=["u", "v", "linked"])
 
     done = settle(moved.repartition(parts, "u", "part").sortWithinPartitions("u", "part", "turn").mapInArrow(thrifty(check), "u binary, v binary, linked boolean"), "verdicts")
-    discard(hubs)
+    discard(hubs, needs)
     return done
 
 
@@ -334,9 +362,9 @@ def linked_classes(live: DataFrame, classes: DataFrame, docs: DataFrame, words:
     tested, found, k = [], None, 1
     rows = settle(placed(live), "live")
     while not rows.isEmpty():
-        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("gram").orderBy("first", "cls")))
-        pivots = settle(ranked.where(F.col("rank") <= k).drop("rank", "salt"), "pivots")
-        pairs = candidate_pairs(rows, pivots, percent)
+        before, rows = rows, settle(ranked(rows, k, percent), "ranked")
+        discard(before)
+        pairs = met_pairs(rows, k, percent)
         for old in tested:
             pairs = pairs.join(old.where("not linked").select("u", "v"), ["u", "v"], "left_anti")
         met = settle(pairs, "met")
@@ -347,15 +375,15 @@ def linked_classes(live: DataFrame, classes: DataFrame, docs: DataFrame, words:
             before, found = found, connected(edges if found is None else edges.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
             discard(*([before] if before is not None else []))
 
-        def named(x: DataFrame, found=found, pivots=pivots) -> DataFrame:
-            """x without pivots, with labels of now."""
-            x = x.join(pivots.select("gram", "cls"), ["gram", "cls"], "left_anti")
+        def named(x: DataFrame, found=found) -> DataFrame:
+            """x with labels of now."""
             return x.withColumn("label", F.col("cls")) if found is None else x.join(found, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls")).drop("node", "component")
 
         # grams whose classes aren't all in one component
-        open_ = settle(named(rows.select("gram", "cls")).groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram"), "open")
-        before, rows = rows, settle(named(rows.drop("label").join(open_, "gram", "left_semi")), "live")
-        discard(before, pivots, met, pairs, open_)
+        left = rows.where(F.col("rank") > k)  # without pivots
+        open_ = settle(named(left.select("gram", "cls")).groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram"), "open")
+        before, rows = rows, settle(named(left.drop("label", "rank", "u", "m").join(open_, "gram", "left_semi")), "live")
+        discard(before, met, pairs, open_)
         k *= PIVOTS
     discard(rows, *tested)
     return found

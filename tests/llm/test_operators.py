@@ -422,6 +422,25 @@ def test_large_groups_of_near_copies(spark, rng):
         assert sorted(map(tuple, jaccard.near_duplicates(df, **bounds).collect())) == brute_components(docs)
 
 
+def test_first_pivots_are_met_where_they_are_ranked(spark, rng):
+    """The same pairs as a join of all rows with all pivots, salted or not."""
+    base = [f"a{k}" for k in range(80)]
+    docs = [(k, " ".join([*base[: rng.randrange(60, 80)], f"b{k % 3}", f"c{k}"])) for k in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for hot in (1, 10_000):
+        sketch = jaccard.sketch_of(jaccard.surveyed(df, 3))
+        rows = jaccard.placed(jaccard.shared_grams(jaccard.prefixes(df, sketch, 3, 80, hot))).localCheckpoint()
+        ids = {g: sorted((r["first"], r["cls"]) for r in rows.collect() if r["gram"] == g) for g in {r["gram"] for r in rows.collect()}}
+        for k in (1, 4):
+            ranked = jaccard.ranked(rows, k, 80).localCheckpoint()
+            pivots = ranked.where(ranked["rank"] <= k)
+            assert {(r["gram"], r["cls"]) for r in pivots.collect()} == {(g, c) for g, own in ids.items() for _, c in own[:k]} and ranked.count() == rows.count()
+            joined = jaccard.candidate_pairs(rows, pivots.drop("rank", "u", "m"), 80)
+            assert sorted(map(tuple, jaccard.met_pairs(ranked, k, 80).collect())) == sorted(map(tuple, joined.collect())) != []
+        if hot > 1:  # no row meets its n-gram's first pivot by a join
+            assert ranked.where("u is not null").count() and not ranked.where("salts > 1").count()
+
+
 def test_bounds_of_common_ngrams(rng):
     """Neither histograms nor the suffix filter rule out what two sets share."""
     for n in (3, 50, 3000, 40_000):
