@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from icuflow.functions.scalars import blend, clipped_logit, platt
 from icuflow.operators.metrics import RANGES, probability_metrics, ranking_metrics
-from icuflow.operators.resampling import draws, hashed_weights, resampled_metrics
+from icuflow.operators.resampling import METRICS, draws, freed, hashed_weights, resampled_metrics
 from icuflow.sources.files import kept, removed
 
 PACKED_ROWS = 1 << 17
@@ -147,12 +147,16 @@ def improvement(metrics: DataFrame, metric: str) -> DataFrame:
     return metrics.agg(own.alias("blend"), best.alias("best_single"), (own - best).alias("gain"), (100 * (own - best) / best).alias("gain_percent"))
 
 
-def bootstrap(df: DataFrame, key: str, scores: Sequence[str], replicates: int = 2000, seed: int = 1, hashed: bool = False) -> DataFrame:
-    """replicate, score, roc_auc, average_precision of each resample of whole groups; replicates without both classes go.
+def bootstrap(df: DataFrame, key: str, scores: Sequence[str], replicates: int = 2000, seed: int = 1, hashed: bool = False, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """replicate, score and the metrics (roc_auc, average_precision) of each resample of whole groups; replicates without both classes go.
 
-    hashed draws come from md5 and can be repeated by another engine; they cost a row for each draw and suit few replicates."""
-    weights = (hashed_weights if hashed else draws)(df, key, replicates, seed)
-    return resampled_metrics(df, key, scores, weights, replicates, seed)
+    Rows are made once. hashed draws come from md5 and can be repeated by another engine; each is hashed, which suits few replicates."""
+    rows, path = kept(df.select(key, "label", *scores), "bootstrap")
+    freed(df.sparkSession)
+    weights = (hashed_weights if hashed else draws)(rows, key, replicates, seed)
+    out = resampled_metrics(rows, key, scores, weights, replicates, seed, metrics)
+    removed(df.sparkSession, path)
+    return out
 
 
 def confidence(replicates: DataFrame, metric: str) -> DataFrame:

@@ -143,11 +143,11 @@ def bootstrap_replicates(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    return rounded(ensemble.confidence(ensemble.bootstrap(predictions(spark, d), "stay_id", ["p1", "p2"], REPLICATES), "roc_auc"))
+    return rounded(ensemble.confidence(ensemble.bootstrap(predictions(spark, d), "stay_id", ["p1", "p2"], REPLICATES, metrics=["roc_auc"]), "roc_auc"))
 
 
 def bootstrap_gain(spark, d):
-    return rounded(ensemble.gain_probability(ensemble.bootstrap(predictions(spark, d), "stay_id", ["p1", "p2"], REPLICATES), "roc_auc", "p1", "p2"))
+    return rounded(ensemble.gain_probability(ensemble.bootstrap(predictions(spark, d), "stay_id", ["p1", "p2"], REPLICATES, metrics=["roc_auc"]), "roc_auc", "p1", "p2"))
 
 
 def boot_sql(replicates: int) -> str:
