@@ -28,8 +28,8 @@ PLACES, PLACE_ROWS = 256, 1 << 12
 PACKED_ROWS, STEP, COLUMN_CELLS = 1 << 17, 64, 1 << 24
 #: Counts that are summed up at a time where scores are frequent.
 SUMMED_CELLS = 1 << 23
-#: Draws that are packed together, and counts of a bucket of groups.
-PACKED_DRAWS, BUCKET_CELLS = 1 << 22, 1 << 21
+#: Draws of a row, draws that are packed together, and counts of a bucket of groups.
+ROW_DRAWS, PACKED_DRAWS, BUCKET_CELLS = 1 << 9, 1 << 22, 1 << 21
 #: Rows of a table that one task sorts, about.
 ROWS_A_TASK = 1 << 20
 METRICS = ("roc_auc", "average_precision")
@@ -74,16 +74,18 @@ def hashed_weights(groups: DataFrame, key: str, replicates: int, seed: int = 1)
     spark, keys = groups.sparkSession, groups.select(key).distinct()
     n = keys.count()
     bucket = max(1, min(BUCKET, BUCKET_CELLS // max(1, replicates)))
-    tasks = tasks_of(spark, replicates * n // 16)
-    drawn = spark.range(0, replicates * n, 1, tasks).select(F.floor(F.col("id") / n).cast("int").alias("replicate"), F.pmod("id", F.lit(n)).alias("d"))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("replicate"), F.col("d"))), 1, 8), 16, 10).cast("long")
+    tasks = tasks_of(spark, replicates * n // 8)
+    blocks = max(1, -(-n // ROW_DRAWS))
+    drawn = spark.range(0, replicates * blocks if n else 0, 1, tasks).select(F.floor(F.col("id") / blocks).cast("int").alias("replicate"), (F.pmod("id", F.lit(blocks)) * ROW_DRAWS).alias("low"))
+    drawn = drawn.withColumns({"named": F.concat_ws(":", F.lit(seed), "replicate", F.lit("")), "ds": F.sequence("low", F.least(F.col("low") + ROW_DRAWS, F.lit(n)) - 1)})
+    digests = F.array_join(F.transform("ds", lambda d: F.substring(F.md5(F.concat("named", d.cast("string"))), 1, 8)), "")
     offset = np.dtype("<u2" if bucket <= 1 << 16 else "<u4")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _gathered(batches, PACKED_DRAWS):
-            replicate, at = x.column("replicate").to_numpy(), x.column("index").to_numpy()
+        for x in _gathered(batches, PACKED_DRAWS // ROW_DRAWS):
+            replicate, digests = x.column("replicate").to_numpy(), x.column("digests").to_pylist()
             for low, high in _runs(replicate):  # draws come in the order of replicates
-                own = np.sort(at[low:high])
+                own = np.sort(np.frombuffer(bytes.fromhex("".join(digests[low:high])), ">u4").astype(np.int64) % n)
                 found, cuts = np.unique(own // bucket, return_index=True)
                 offsets = [o.astype(offset).tobytes() for o in np.split(own % bucket, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([replicate[low]] * len(found), pa.int32()), pa.array(offsets, pa.binary())], names=["bucket", "replicate", "offsets"])
@@ -95,7 +97,7 @@ def hashed_weights(groups: DataFrame, key: str, replicates: int, seed: int = 1)
         some = np.flatnonzero(counts.any(1))
         return pa.table({key: keys.column(key).take(pa.array(some)), "weights": pa.array([w.tobytes() for w in counts[some].astype(COUNT)], pa.binary())})
 
-    draws = drawn.select("replicate", F.pmod(hashed, F.lit(n)).alias("index")).mapInArrow(packed, "bucket long, replicate int, offsets binary")
+    draws = drawn.select("replicate", digests.alias("digests")).mapInArrow(packed, "bucket long, replicate int, offsets binary")
     indexed = dense_index(keys, key).withColumn("bucket", F.floor(F.col("index") / bucket))
     buckets = tasks_of(spark, n)
     return indexed.repartition(buckets, "bucket").groupBy("bucket").cogroup(draws.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(counted, f"`{key}` {keys.schema[key].dataType.simpleString()}, weights binary")
