@@ -43,3 +43,14 @@ def test_a_pass_holds_many_weights(spark, monkeypatch):
     assert len(seen) <= 1 + -(-101 // 16)
     x = df.selectExpr("label", f"round({best['weight']} * a + (1 - {best['weight']}) * b, 12) AS p")
     assert best["average_precision"] == pytest.approx(metrics.ranking_metrics(x, "p").first()["average_precision"], abs=1e-9)
+
+
+def test_choice_takes_few_passes(spark, monkeypatch):
+    seen = freed_passes(monkeypatch)
+    monkeypatch.setattr(ensemble, "PASS_SCORES", 1 << 19)
+    df = spark.range(1 << 15).selectExpr("id", "pmod(xxhash64(id), 9973) / 9973 AS a", "pmod(xxhash64(id, 1), 9967) / 9967 AS b", "cast(id % 3 = 0 as int) AS label")
+    r = ensemble.blend_choice(df.where("id % 4 <> 0"), df.where("id % 4 = 0"), "a", "b").first()
+    assert len(seen) <= 1 + -(-101 // 16)
+    x = lambda part: df.where(f"id % 4 {part} 0").selectExpr("label", f"round({r['weight']} * a + (1 - {r['weight']}) * b, 12) AS p")
+    assert r["tuned"] == pytest.approx(metrics.ranking_metrics(x("<>"), "p").first()["average_precision"], abs=1e-9)
+    assert r["average_precision"] == pytest.approx(metrics.ranking_metrics(x("="), "p").first()["average_precision"], abs=1e-9)
