@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from helpers import DATA
 from pyspark.sql import functions as F
 from test_metrics import brute, counts
 
 from icuflow.operators import ensemble, resampling
+from icuflow.plans import decisions
 
 
 def frame(spark):
@@ -59,3 +61,15 @@ def test_draws_by_md5_travel_packed(spark):
     plan = resampling.hashed_weights(frame(spark)[1], "stay_id", 20)._jdf.queryExecution().executedPlan().toString()
     # a draw was a row that was shuffled by group and replicate
     assert "map_from_entries" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_gain_is_of_paired_replicates_and_works_out_only_what_it_reads(spark, monkeypatch):
+    asked, made = [], ensemble.bootstrap
+    monkeypatch.setattr(decisions, "REPLICATES", 16)
+    monkeypatch.setattr(ensemble, "bootstrap", lambda *args, **kwargs: (asked.append(made(*args, **kwargs)), asked[0])[1])
+    r = decisions.bootstrap_gain(spark, DATA).first()
+    assert asked[0].columns == ["replicate", "score", "roc_auc"]
+    d = {}
+    for x in asked[0].collect():
+        d.setdefault(x["replicate"], {})[x["score"]] = x["roc_auc"]
+    assert r["n"] == 16 == len(d) and r["p_better"] == pytest.approx(np.mean([v["p1"] > v["p2"] for v in d.values()]), abs=1e-6)
